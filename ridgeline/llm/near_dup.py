@@ -86,7 +86,7 @@ def packed(mins: np.ndarray) -> np.ndarray:
     low *= np.uint32(0x2C1B3C6D)
     low ^= low >> np.uint32(12)
     bits = np.concatenate([(low >> np.uint32(b)) & np.uint32(1) for b in (0, 1)]).astype(np.uint8)
-    return np.packbits(bits.T, axis=1).view("<i8")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1)).view("<i8")
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
