@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, decontaminate, line_dedup, near_dup, packing, substrings, url_filter
+from ridgeline.llm import chat, decontaminate, gif, line_dedup, near_dup, packing, substrings, url_filter
 from ridgeline.sources.stage import stored
 
 
@@ -28,6 +28,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.payload_features(gif.media(table(spark, sf_dir, "documents")))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -122,6 +126,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_gif_media": op5_gif_media,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
