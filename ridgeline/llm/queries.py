@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, decontaminate, gif, line_dedup, near_dup, packing, substrings, url_filter
+from ridgeline.llm import chat, decontaminate, gif, langid, line_dedup, near_dup, packing, substrings, url_filter
 from ridgeline.sources.stage import stored
 
 
@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.predicted(docs.select("doc_id", "text"), langid.fit(langid.training(docs)))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -123,6 +129,7 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
