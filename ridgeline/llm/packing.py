@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +36,14 @@ CHUNK = regex.compile(public_tokenizers.PATTERN)
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes. Chunks are encoded by ``tokenizers``; what was seen before is looked up."""
+    """Ids as little-endian 32-bit bytes. Chunks are encoded by ``tokenizers``; what was seen before is looked up.
 
-    def __init__(self, path: str, most: int = 700_000):
+    A part is what follows a space, with it. Where no two spaces meet, the pattern never joins two parts, so a text is
+    encoded part by part and each distinct part of a batch once. The two tables stop growing at ``most`` entries; what
+    isn't in them is encoded again.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,33 +51,53 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.most, self.chunks, self.parts = most, {}, {}
 
-    def _learn(self, texts: list[str]) -> None:
-        """Encode chunks that are new; they hold no two chunks of the pattern."""
-        new = list({c for t in texts for c in CHUNK.findall(t)}.difference(self.chunks))
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.chunks[c] = np.array(e.ids, "<u4").tobytes()
+    def _run(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks. Those of a space and letters are encoded many at a time: the tokenizer tells them apart."""
+        plain = [c for c in chunks if c[0] == " " and c[1:].isalpha()]
+        other = [c for c in chunks if not (c[0] == " " and c[1:].isalpha())]
+        out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True)}
+        rows = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for row, e in zip(rows, self.tokenizer.encode_batch(["".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids, place = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            cuts = (4 * np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))).tolist()
+            out.update(zip(row, (ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        return out
+
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        """Texts by their chunks."""
+        cut = [[t] if t[1:].isalpha() and t[0] == " " else CHUNK.findall(t) for t in texts]
+        known = self.chunks
+        new = {c for p in cut for c in p if c not in known}
+        got = self._run(list(new)) if new else {}
+        if len(known) < self.most:
+            known.update(got)
+            got = {}
+        return [known[p[0]] if len(p) == 1 and p[0] in known else b"".join([known[c] if c in known else got[c] for c in p]) for p in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A part is what follows a space, with it. Where no two spaces meet, the pattern never joins two parts."""
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        cut = [None if "  " in t else t.split(" ") for t in texts]
-        heads = [p[0] for p in cut if p]
-        rest = {x for p in cut if p for x in p[1:]}.difference(self.parts)
-        self._learn([*heads, *(" " + x for x in rest), *(t for t, p in zip(texts, cut, strict=True) if p is None)])
-        chunk, part = self.chunks, self.parts
-        for x in rest:
-            part[x] = b"".join([chunk[c] for c in CHUNK.findall(" " + x)])
-        out = []
-        for text, p in zip(texts, cut, strict=True):
-            if p is None:
-                out.append(b"".join([chunk[c] for c in CHUNK.findall(text)]))
-            else:
-                head = b"".join([chunk[c] for c in CHUNK.findall(p[0])])
-                out.append(head + b"".join(map(part.__getitem__, p[1:])))
-        return out
+        heads, tails = [], []
+        for t in texts:
+            at = -1 if "  " in t else t.find(" ")
+            heads.append(t if at < 0 else t[:at])
+            tails.append(None if at < 0 else t[at + 1 :])
+        split = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        coded = pc.dictionary_encode(split.flatten())
+        words = [" " + x for x in coded.dictionary.to_pylist()]
+        own = [self.parts.get(x) for x in words]
+        new = [i for i, x in enumerate(own) if x is None]
+        for i, x in zip(new, self._apart([words[i] for i in new]), strict=True):
+            own[i] = x
+        if len(self.parts) < self.most:
+            self.parts.update((words[i], own[i]) for i in new)
+        flat, size = np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        long = size[index] if len(own) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(long)])
+        first = (np.cumsum(size) - size)[index] if len(own) else long
+        ids = flat[np.repeat(first - ends[:-1], long) + np.arange(ends[-1])].tobytes()
+        # A null list takes no place in the flattened parts.
+        cuts = 4 * ends[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))])]
+        return [h + ids[a:b] for h, a, b in zip(self._apart(heads), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -90,7 +116,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacit
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(public_tokenizers.path(vocabulary))
         end = np.array([END], "<u4").tobytes()
-        for batch in pieces(batches, most=4 << 20):
+        for batch in pieces(batches, most=8 << 20):
             rows = []
             for doc, ids in zip(column(batch, "doc_id").to_pylist(), code.encode(strings(batch, "text")), strict=True):
                 ids += end
