@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, decontaminate, gif, langid, line_dedup, near_dup, packing, substrings, url_filter
+from ridgeline.llm import chat, decontaminate, gif, langid, line_dedup, near_dup, packing, secrets, substrings, url_filter
 from ridgeline.sources.stage import stored
 
 
@@ -71,6 +71,16 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scanned(docs, secrets.fit(docs))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    base = F.sha2(told(F.filter("spans", lambda s: s["kind"] != "model")), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), told("spans").alias("spans"))
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -138,6 +148,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES = {
