@@ -17,7 +17,8 @@ documents past automata of all shards costs documents x shards, so only hot pass
    frequent it is. Reducers find the first start overall and mark all others.
 3. Documents with marks are cut.
 
-Rows between tasks are packed: one row for each task and slice of the key space.
+Rows between tasks are packed: one row for each run of input and slice of the key space, or slice and block of
+documents. Slices and blocks hold about 8 M characters each, whatever the corpus.
 
 Defined cases: null, empty and blank texts have no words; documents of fewer than 20 words lose nothing; earlier means a
 smaller doc_id, or an earlier start in the same document; rows that repeat a doc_id are one after another in no fixed
@@ -32,7 +33,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.texts import column, mixed, pieces, raw, word_hashes
@@ -42,7 +44,7 @@ WINDOW = SPAN - GRAM + 1
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xD6E8FEB86659FD93
 #: Text that a task takes at once, and characters of the corpus for each slice of the key space.
-RUN_BYTES, SLICE_CHARS = 24 << 20, 16 << 20
+RUN_BYTES, SLICE_CHARS = 8 << 20, 8 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -84,10 +86,14 @@ def minimizers(grams: np.ndarray) -> np.ndarray:
     return at
 
 
-def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Ids, word counts, hashes of all words one after another, and the words."""
-    words = [t.split() for t in raw(batch, "text")]
-    return column(batch, "doc_id").to_numpy(zero_copy_only=False), np.array([len(w) for w in words], np.int64), word_hashes([x for w in words for x in w]), words
+def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, word counts, and hashes of all words one after another."""
+    counts, hashes = [], []
+    for part in pieces([batch], most=1 << 20):
+        words = [t.split() for t in raw(part, "text")]
+        counts += [len(w) for w in words]
+        hashes.append(word_hashes([x for w in words for x in w]))
+    return column(batch, "doc_id").to_numpy(zero_copy_only=False), np.array(counts, np.int64), np.concatenate(hashes)
 
 
 def whole(starts: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
@@ -134,7 +140,7 @@ def anchors(docs: DataFrame, n: int) -> DataFrame:
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=RUN_BYTES):
-            ids, counts, h, _ = read(batch)
+            ids, counts, h = read(batch)
             starts = np.cumsum(counts) - counts
             grams = ROLL.runs(h, GRAM)
             at = minimizers(grams)[whole(starts, counts, SPAN)]
@@ -156,98 +162,118 @@ def joined(pdf: pd.DataFrame, *kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(pdf[f"v{k}"]), kind) for k, kind in enumerate(kinds)]
 
 
-def by_document(ids: np.ndarray, places: np.ndarray) -> pd.DataFrame:
-    """A row for each document with its places packed."""
-    order = np.argsort(ids, kind="stable")
-    ids, places = ids[order], places[order]
-    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
-    return pd.DataFrame({"doc_id": ids[cuts[:-1]], "places": [places[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+def by_block(ids: np.ndarray, places: np.ndarray, n: int) -> pd.DataFrame:
+    """A row for each block of documents with ids and places, packed."""
+    at = ids % n
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(n + 1))
+    full = np.flatnonzero(cuts[1:] > cuts[:-1])
+    own = [order[cuts[k] : cuts[k + 1]] for k in full]
+    return pd.DataFrame({"block": full.astype(np.int32), "ids": [ids[i].tobytes() for i in own], "places": [places[i].tobytes() for i in own]})
+
+
+def block_of(n: int) -> Column:
+    """The block of a document: ``n`` is prime, so regular gaps between ids don't matter."""
+    return F.coalesce(F.pmod("doc_id", F.lit(n)), F.pmod(F.xxhash64("text"), F.lit(n))).cast("int")
+
+
+def prime(least: int) -> int:
+    while any(least % k == 0 for k in range(2, int(least**0.5) + 1)):
+        least += 1
+    return least
+
 
+class Marks:
+    """Places by document, from the rows of a block."""
 
-def repeated_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+    def __init__(self, table: pa.Table):
+        ids = np.frombuffer(b"".join(table["ids"].to_pylist()), "<i8")
+        places = np.frombuffer(b"".join(table["places"].to_pylist()), "<i4")
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.places = ids[order], places[order]
+
+    def of(self, doc: int | None) -> np.ndarray:
+        if doc is None:
+            return self.places[:0]
+        return self.places[np.searchsorted(self.ids, doc, "left") : np.searchsorted(self.ids, doc, "right")]
+
+
+def repeated_anchors(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
     key, doc, place, more_doc, more_place = joined(pdf, "<u8", "<i8", "<i4", "<i8", "<i4")
     order = np.argsort(key, kind="stable")
     later = firsts(key[order]) != np.arange(len(key))
     later[:-1] |= later[1:]
-    return by_document(np.concatenate([doc[order[later]], more_doc]), np.concatenate([place[order[later]], more_place]))
-
-
-def windows(marked: DataFrame, n: int) -> DataFrame:
-    """Keys of windows over marked minimizers with their first start, each once for a run of input rows; its other starts go along."""
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, most=RUN_BYTES):
-            ids, counts, h, _ = read(batch)
-            starts = np.cumsum(counts) - counts
-            at = whole(starts, counts, SPAN)
-            if not len(at):
-                continue
-            own = [np.frombuffer(b"".join(x or []), "<i4") for x in column(batch, "marks").to_pylist()]
-            hit = np.zeros(len(h) + 1, bool)
-            for o, s, k in zip(own, starts, counts, strict=True):
-                hit[o[o < k] + s] = True
-            at = at[hit[minimizers(ROLL.runs(h, GRAM))[at]]]
-            key, key2, owner = ROLL.runs(h, SPAN)[at], ROLL2.runs(h, SPAN)[at], owners(starts, counts, at)
-            doc, start = ids[owner], (at - starts[owner]).astype(np.int32)
-            order = np.lexsort((start, doc, key2, key))
-            key, key2, doc, start = key[order], key2[order], doc[order], start[order]
-            to = firsts(key, key2)
-            first = to == np.arange(len(to))
-            later = (doc != doc[to]) | (start != start[to])
-            yield slice_batch(n, packed_rows(n, key[first], key2[first], doc[first], start[first]) + packed_rows(n, key[later], doc[later], start[later])[1:])
-
-    return marked.mapInArrow(collect, "slice int, " + ", ".join(f"v{k} binary" for k in range(6)))
-
-
-def later_starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    return by_block(np.concatenate([doc[order[later]], more_doc]), np.concatenate([place[order[later]], more_place]), n)
+
+
+WINDOWS = ["slice", *(f"v{k}" for k in range(6))]
+
+
+def windows(docs: pa.Table, marks: pa.Table, n: int) -> pa.Table:
+    """Of a block: keys of windows over marked minimizers with their first start, each once for a run of rows; its other starts go along."""
+    found, out = Marks(marks), []
+    for batch in pieces(docs.drop_columns("block").combine_chunks().to_batches(), most=RUN_BYTES) if len(found.ids) else ():
+        batch = batch.filter(pc.is_valid(column(batch, "doc_id")))
+        if not batch.num_rows:
+            continue
+        ids, counts, h = read(batch)
+        starts = np.cumsum(counts) - counts
+        at = whole(starts, counts, SPAN)
+        if not len(at):
+            continue
+        hit = np.zeros(len(h) + 1, bool)
+        for doc, s, k in zip(ids.tolist(), starts, counts, strict=True):
+            own = found.of(doc)
+            hit[own[own < k] + s] = True
+        at = at[hit[minimizers(ROLL.runs(h, GRAM))[at]]]
+        key, key2, owner = ROLL.runs(h, SPAN)[at], ROLL2.runs(h, SPAN)[at], owners(starts, counts, at)
+        doc, start = ids[owner], (at - starts[owner]).astype(np.int32)
+        order = np.lexsort((start, doc, key2, key))
+        key, key2, doc, start = key[order], key2[order], doc[order], start[order]
+        to = firsts(key, key2)
+        first = to == np.arange(len(to))
+        later = (doc != doc[to]) | (start != start[to])
+        out.append(slice_batch(n, packed_rows(n, key[first], key2[first], doc[first], start[first]) + packed_rows(n, key[later], doc[later], start[later])[1:]))
+    return pa.Table.from_batches(out, pa.schema([("slice", pa.int32()), *((c, pa.binary()) for c in WINDOWS[1:])]))
+
+
+def later_starts(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
     key, key2, doc, start, more_doc, more_start = joined(pdf, "<u8", "<u8", "<i8", "<i4", "<i8", "<i4")
     order = np.lexsort((start, doc, key2, key))
     key, key2, doc, start = key[order], key2[order], doc[order], start[order]
     to = firsts(key, key2)
     later = (doc != doc[to]) | (start != start[to])
-    return by_document(np.concatenate([doc[later], more_doc]), np.concatenate([start[later], more_start]))
-
-
-def gathered(found: DataFrame) -> DataFrame:
-    return found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("places").alias("marks"))
-
-
-CUT = "doc_id long, text string, n_words long, n_removed long"
-
-
-def cut_words(docs: DataFrame) -> DataFrame:
-    """Rows with marks (packed starts of windows) to their kept words, joined by one space."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            out, total, gone = [], [], []
-            for text, marks in zip(raw(batch, "text"), column(batch, "marks").to_pylist(), strict=True):
-                words = text.split()
-                total.append(len(words))
-                if marks and len(words) >= SPAN:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(np.frombuffer(b"".join(marks), "<i4"))
-                    at = at[at <= len(words) - SPAN]
-                    edge[at] += 1
-                    edge[at + SPAN] -= 1
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                gone.append(total[-1] - len(words))
-                out.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
-
-    return docs.mapInArrow(cut, CUT)
+    return by_block(np.concatenate([doc[later], more_doc]), np.concatenate([start[later], more_start]), n)
+
+
+def cut_words(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    """Documents of a block without the words under marks (starts of windows), joined by one space."""
+    found, ids, out, total, gone = Marks(marks), [], [], [], []
+    for batch in pieces(docs.to_batches()):
+        for doc, text in zip(column(batch, "doc_id").to_pylist(), raw(batch, "text"), strict=True):
+            words = text.split()
+            total.append(len(words))
+            at = found.of(doc) if len(words) >= SPAN else ()
+            if len(at):
+                edge = np.zeros(len(words) + 1, np.int32)
+                at = np.unique(at[at <= len(words) - SPAN])
+                edge[at] += 1
+                edge[at + SPAN] -= 1
+                words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+            ids.append(doc)
+            gone.append(total[-1] - len(words))
+            out.append(b" ".join(words))
+    text = pa.chunked_array([pa.array(out, pa.binary())]).cast(pa.string())
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": text, "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())})
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """doc_id, text (the words kept), n_words, n_removed for each row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    known = docs.where("doc_id IS NOT NULL")
-    size = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-size // SLICE_CHARS))
-    places = "doc_id long, places binary"
-    marks = gathered(anchors(known, n).groupBy("slice").applyInPandas(lambda pdf: repeated_anchors(pdf), places))
-    marked = known.join(marks, known.doc_id == marks["_doc"]).select("doc_id", "text", "marks")
-    covered = gathered(windows(marked, n).groupBy("slice").applyInPandas(lambda pdf: later_starts(pdf), places))
-    every = known.join(covered, known.doc_id == covered["_doc"], "left").select("doc_id", "text", "marks")
-    alone = docs.where("doc_id IS NULL").withColumn("marks", F.lit(None).cast("array<binary>"))
-    return cut_words(every.union(alone))
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = prime(max(1, -(-size // SLICE_CHARS)))
+    blocks, places = docs.withColumn("block", block_of(n)), "block int, ids binary, places binary"
+    marks = anchors(docs.where("doc_id IS NOT NULL"), n).groupBy("slice").applyInPandas(lambda pdf: repeated_anchors(pdf, n), places)
+    keyed = blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda d, m: windows(d, m, n), "slice int, " + ", ".join(f"{c} binary" for c in WINDOWS[1:]))
+    covered = keyed.groupBy("slice").applyInPandas(lambda pdf: later_starts(pdf, n), places)
+    return blocks.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(cut_words, "doc_id long, text string, n_words long, n_removed long")

@@ -53,7 +53,7 @@ class WordHashes(dict):
     """64-bit hashes of byte words, kept for the most common ones of a worker's life."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
