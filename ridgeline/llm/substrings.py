@@ -1,14 +1,8 @@
 """Substring dedup: words covered by a passage of ``SPAN`` words that starts earlier in the corpus are removed.
 
-Two ways, for two kinds of reference:
-
-``strip_references(docs, references)`` is for a reference set of bounded size. It is cut into shards, each shard becomes
-a suffix automaton over word ids, the automata are broadcast, and documents stream through them: the matching statistics
-(the longest suffix of what was read that the shard holds) give the maximal spans at or over the length threshold.
-
-``dedup_passages(docs)`` is for the corpus against itself, where references are as large as the corpus. Streaming all
-documents past automata of all shards costs documents x shards, so only hot passages go that way (see
-``hot_passages``); every other repeated window is found by exact joins on window keys:
+``automata.strip_references`` is the way for a reference set of bounded size: broadcast suffix automata that documents
+stream past. The corpus against itself has references as large as itself; streaming all documents past automata of all
+shards costs documents x shards, so ``dedup_passages`` finds repeated windows by exact joins on window keys:
 
 1. Every window of 20 words has a minimizer, the 8-gram of least hash in it (its leftmost one). Two equal windows have
    the same minimizer. Each task lists its distinct minimizers; reducers tell which ones occur more than once.
