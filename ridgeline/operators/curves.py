@@ -150,3 +150,9 @@ def shape_and_scale(arrays: DataFrame, y: str = "y") -> DataFrame:
 
 def recomposed(arrays: DataFrame, shape: str = "shape", scale: str = "scale", y: str = "y") -> DataFrame:
     return arrays.withColumn(y, F.transform(shape, lambda v: v * safe_scale(F.col(scale))))
+
+
+def shared_grid(curves: DataFrame, n: int, x: str = "x") -> DataFrame:
+    """(i, x): ``n`` even places from the smallest to the largest x of all curves."""
+    ends = curves.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    return ends.select("_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("i", (F.col("_lo") + F.col("i") * ((F.col("_hi") - F.col("_lo")) / (n - 1))).alias("x"))

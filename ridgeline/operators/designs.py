@@ -118,22 +118,14 @@ def clipped_normal(seed: int, mean: float, std: float, low: float, high: float,
 
 
 def split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """``split`` by a seeded shuffle with exact sizes: every part but the last has floor(share x n) rows.
-
-    Ranks come from counts of hash ranges: only rows of a range are sorted together.
-    """
-    ranges = 1 << 12
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_g", F.shiftrightunsigned("_h", 52).cast("int").bitwiseXOR(F.lit(ranges >> 1)))
-    counts = hashed.groupBy("_g").agg(F.count("*").alias("_c"))
-    before = counts.select("_g", F.coalesce(F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    n = counts.agg(F.sum("_c").alias("_n"))
-    ranked = hashed.join(F.broadcast(before), "_g").join(F.broadcast(n)).withColumn("_k", F.col("_b") + F.row_number().over(Window.partitionBy("_g").orderBy("_h", key)))
+    """``split`` by a seeded shuffle with exact sizes: every part but the last has floor(share x n) rows."""
+    ranked = hash_ranked(df, key, seed)
     out, bound = F.when(F.lit(False), F.lit("")), F.lit(0)
     names = list(shares)
     for name in names[:-1]:
-        bound = bound + F.floor(F.lit(shares[name]) * F.col("_n"))
-        out = out.when(F.col("_k") <= bound, F.lit(name))
-    return ranked.withColumn("split", out.otherwise(F.lit(names[-1]))).drop("_h", "_g", "_b", "_n", "_k")
+        bound = bound + F.floor(F.lit(shares[name]) * F.col("total"))
+        out = out.when(F.col("rank") <= bound, F.lit(name))
+    return ranked.withColumn("split", out.otherwise(F.lit(names[-1]))).drop("rank", "total")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -180,3 +172,29 @@ def augmented(gridded: DataFrame, parameters: DataFrame, key: str, rounds: int,
     mixed = mixed.select(key, "round", *(F.greatest((F.col(p) + F.col("alpha") * (F.col(f"_{p}") - F.col(p))) * (1 + jitter * gaussian(seed, F.col(key), F.col("round"), F.lit(p))), F.lit(0.0)).alias(p) for p in params))
     own = gridded.select(key, F.lit(0).alias("round"), "i", "y"), parameters.select(key, F.lit(0).alias("round"), *params)
     return own[0].unionByName(curves), own[1].unionByName(mixed)
+
+
+def hash_ranked(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``rank`` from 1 in the order of a seeded hash, and ``total``; only rows of one of 4,096 hash ranges are sorted together."""
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_g", F.shiftrightunsigned("_h", 52).cast("int").bitwiseXOR(F.lit(1 << 11)))
+    counts = hashed.groupBy("_g").agg(F.count("*").alias("_c"))
+    before = counts.select("_g", F.coalesce(F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    total = counts.agg(F.sum("_c").alias("total"))
+    out = hashed.join(F.broadcast(before), "_g").join(F.broadcast(total))
+    return out.withColumn("rank", F.col("_b") + F.row_number().over(Window.partitionBy("_g").orderBy("_h", key))).drop("_h", "_g", "_b")
+
+
+def nested_subsets(df: DataFrame, key: str, fractions: list[float], seed: int = 42) -> DataFrame:
+    """Rows with ``fraction``: the smaller subset is in every larger one, sizes are floor(fraction x n)."""
+    each = hash_ranked(df, key, seed).withColumn("fraction", F.explode(F.array(*(F.lit(f) for f in sorted(fractions)))))
+    return each.where(F.col("rank") <= F.floor(F.col("fraction") * F.col("total"))).drop("rank", "total")
+
+
+def bootstrapped(rows: DataFrame, factors: DataFrame, place: Column, n: int) -> DataFrame:
+    """Each row with a row of ``factors`` (numbered 0..n-1 in ``place``) drawn by ``place`` modulo n."""
+    return rows.withColumn("_to", F.pmod(place, F.lit(n))).join(factors.withColumnRenamed("place", "_to"), "_to").drop("_to")
+
+
+def scaled_replicates(rows: DataFrame, scale: str, key: str, jitter: float = 0.02, low: float = 0.0, high: float = 10.0, seed: int = 42) -> DataFrame:
+    """A drawn scale times 1 + jitter x a hashed normal, clamped."""
+    return rows.withColumn(scale, clamp(F.col(scale) * (1 + jitter * gaussian(seed, F.col(key), F.lit("scale"))), low, high))

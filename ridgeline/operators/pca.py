@@ -29,6 +29,10 @@ class Components:
         ratio = self.variance / self.total if self.total > 0 else np.zeros_like(self.variance)
         return spark.createDataFrame([(k + 1, float(v), float(r), float(c)) for k, (v, r, c) in enumerate(zip(self.variance, ratio, np.cumsum(ratio), strict=True))], "component int, variance double, ratio double, cumulative double")
 
+    def loadings(self, spark: SparkSession) -> DataFrame:
+        """component, i, loading."""
+        return spark.createDataFrame([(k + 1, i, float(v)) for k, row in enumerate(self.vectors) for i, v in enumerate(row)], "component int, i int, loading double")
+
 
 def fit(arrays: DataFrame, k: int, y: str = "y") -> Components:
     """Sums and products by partition, added up by matrix row, so that the driver receives p rows whatever the partitions.

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions.normal import normal_quantile
+
 
 def unpivoted(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """(keys, column, value) with values as doubles."""
@@ -207,3 +209,20 @@ def drift(before: DataFrame, after: DataFrame, columns: list[str], low: float =
     both = stat(before, "before").join(stat(after, "after"), "column")
     ratio = F.try_divide("after_peak", "before_peak")
     return both.withColumn("peak_ratio", ratio).withColumn("peak_ok", (ratio > low) & (ratio < high)).withColumn("non_negative", F.col("after_min") >= 0)
+
+
+def qq_normal(df: DataFrame, value: str, n: int = 99) -> DataFrame:
+    """``n`` sample quantiles at (k + 0.5) / n against standard normal ones, with the line through them."""
+    levels = [(k + 0.5) / n for k in range(n)]
+    q = df.agg(F.percentile(value, F.array(*(F.lit(p) for p in levels))).alias("q")).select(F.posexplode("q").alias("k", "sample"))
+    pairs = q.withColumn("normal", normal_quantile((F.col("k") + 0.5) / n))
+    line = pairs.agg(F.regr_slope("sample", "normal").alias("slope"), F.regr_intercept("sample", "normal").alias("intercept"))
+    return pairs.join(F.broadcast(line)).withColumn("line", F.col("intercept") + F.col("slope") * F.col("normal"))
+
+
+def final_summary(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row of a struct for each part (its first row), null for a part without rows."""
+    out = next(iter(parts.values())).sparkSession.range(1).select(F.lit(1).alias("_one"))
+    for name, df in parts.items():
+        out = out.join(df.limit(1).select(F.lit(1).alias("_one"), F.struct(*df.columns).alias(name)), "_one", "left")
+    return out.drop("_one")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ridgeline.operators import curves as C
 from ridgeline.operators import designs as D
 from ridgeline.operators import joins, sensitivity
 from ridgeline.plans.bindings import gridded, table
@@ -127,3 +128,22 @@ def random_designs(spark, sf):
     key = F.col("o_orderkey")
     draws = table(spark, sf, "orders").select(D.uniform(1, key).alias("u"), D.gaussian(2, key).alias("z"), D.clipped_normal(3, 28.0, 3.0, 20.0, 36.0, key).alias("c"))
     return draws.agg(*(f(c).alias(f"{c}_{n}") for c in "uzc" for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "min"), (F.max, "max"))))
+
+
+@query("SELECT f AS fraction, floor(f * (SELECT count(*) FROM customer))::BIGINT AS n FROM (SELECT unnest([0.1::DOUBLE, 0.5, 1.0]) AS f)")
+def nested_subset_sizes(spark, sf):
+    out = D.nested_subsets(table(spark, sf, "customer").select("c_custkey"), "c_custkey", [0.1, 0.5, 1.0])
+    return out.groupBy("fraction").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS place, s_acctbal FROM supplier), n AS (SELECT count(*) AS n FROM supplier)
+    SELECT p_partkey, s_acctbal FROM part, n JOIN f ON f.place = p_partkey * 7919 % n.n""")
+def bootstrap_lookup(spark, sf):
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    factors = D.numbered(suppliers, "s_suppkey").join(suppliers, "s_suppkey").select("place", "s_acctbal")
+    return D.bootstrapped(table(spark, sf, "part").select("p_partkey"), factors, F.col("p_partkey").cast("long") * 7919, suppliers.count())
+
+
+@query("WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT i::INTEGER AS i, round(lo + i * ((hi - lo) / 99), 6) AS x FROM e, range(100) t(i)")
+def shared_grid(spark, sf):
+    return rounded(C.shared_grid(table(spark, sf, "events").select(F.col("value").alias("x")), 100))

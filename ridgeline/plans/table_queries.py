@@ -250,3 +250,15 @@ def union_rounds(spark, sf):
 def safe_division(spark, sf):
     size = F.col("p_size").cast("double")
     return table(spark, sf, "part").groupBy("p_brand").agg(F.count_if(scalars.is_usable(size)).alias("usable"), F.count_if(size.isNull()).alias("n_null"), F.round(F.sum(F.col("p_retailprice") / scalars.safe_scale(size - 25)), 6).alias("scaled"))
+
+
+@query()
+def qq_normal(spark, sf):
+    return rounded(stats.qq_normal(table(spark, sf, "part"), "p_retailprice"))
+
+
+@query("SELECT 'n=' || count(*) AS prices, NULL::VARCHAR AS nothing FROM lineitem")
+def final_summary(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    out = stats.final_summary({"prices": rows.agg(F.count("*").alias("n")), "nothing": rows.where(F.lit(False)).select("l_orderkey")})
+    return out.select(F.concat(F.lit("n="), F.col("prices.n").cast("string")).alias("prices"), F.col("nothing.l_orderkey").cast("string").alias("nothing"))

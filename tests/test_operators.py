@@ -252,3 +252,16 @@ def test_files(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/report").collect()] == ["one", "two"]
     tables.write_doc(df.select(F.struct("time", "force").alias("r")), f"{tmp_path}/docs")
     assert spark.read.json(f"{tmp_path}/docs").count() == 2
+
+
+def test_nested_subsets_loadings_and_scales(spark):
+    df = spark.range(200)
+    out = designs.nested_subsets(df, "id", [0.1, 0.5]).toPandas()
+    small, large = (set(out[out.fraction == f].id) for f in (0.1, 0.5))
+    assert len(small) == 20 and len(large) == 100 and small < large
+    scaled = designs.scaled_replicates(df.withColumn("s", F.lit(1.0)), "s", "id", 0.5, 0.2, 1.4).agg(F.min("s"), F.max("s"), F.count("*")).first()
+    assert scaled[0] >= 0.2 and scaled[1] <= 1.4 and scaled[2] == 200
+    model = pca.Components(np.zeros(2), np.array([[0.6, 0.8]]), np.array([2.0]), 4.0)
+    assert model.loadings(spark).count() == 2 and model.table(spark).first().ratio == 0.5
+    q = stats.qq_normal(spark.range(2000).select(designs.to_normal(designs.uniform(1, F.col("id")), 5.0, 2.0).alias("v")), "v").first()
+    assert q.slope == pytest.approx(2, abs=0.15) and q.intercept == pytest.approx(5, abs=0.15)
