@@ -7,8 +7,10 @@ estimate is far below the threshold go. What stays is confirmed on full sets.
 
 No bucket is expanded into all its pairs. Equal sets are one class, with its smallest doc_id as representative. Each
 bucket first pairs its members with two hubs only; components of the confirmed links follow. A bucket whose members then
-lie in several components is mixed: there, members outside its largest component are paired with all members of other
-components. So every pair that shares a band and isn't already connected is tested.
+lie in several components is mixed. There, documents go of which more than a quarter of the shingles are theirs alone
+(no similarity can reach the threshold), and those of most links serve as further hubs, ``HUB_TURNS`` times. What is
+still mixed is paired out as far as exact bounds by a pivot allow a link (``possible_pairs``). So every pair that shares a
+band and isn't already connected is tested or ruled out.
 
 Two documents of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e-6. Shingles are 64-bit hashes.
 
@@ -34,8 +36,9 @@ from ridgeline.sources.stage import stored
 
 WIDTH, BANDS, ROWS = 5, 32, 4
 MINIMA = BANDS * ROWS
-#: Estimates below the threshold by more than this are dropped; six standard deviations at similarity 0.75 are 0.28.
-SLACK = 0.3
+#: Estimates below the threshold by more than this are dropped; a standard deviation at similarity 0.75 is 0.046.
+SLACK = 0.22
+HUB_TURNS = 2
 
 _rng = np.random.default_rng(20240101)
 FACTORS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -159,6 +162,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * F.col("inter") >= threshold * (F.size("sa") + F.size("sb") - F.col("inter"))).select("a", "b")
 
 
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, doc_id, component and the largest component there, for buckets whose members lie in several components."""
+    placed = members.select("band", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("m"))
+    several = parts.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1").drop("k")
+    return stored(placed.join(several, "band"), "mixed-buckets")
+
+
+def linkable(inside: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """doc_id of those that may have a link here: shingles that no other document of the buckets has bound similarity."""
+    each = sets.join(inside.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("k"), F.first(F.struct("doc_id", "n")).alias("o")).where("k = 1").groupBy("o").agg(F.count("*").alias("u"))
+    out = alone.where(100 * (F.col("o.n") - F.col("u")) < threshold * F.col("o.n")).select(F.col("o.doc_id").alias("doc_id"))
+    return inside.select("doc_id").distinct().join(out, "doc_id", "left_anti")
+
+
+def by_degree(inside: DataFrame, links: DataFrame) -> DataFrame:
+    """``inside`` with the number of links of each document."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count("*").alias("degree"))
+    return inside.join(degree, F.col("doc_id") == F.col("_d"), "left").drop("_d").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
+def possible_pairs(inside: DataFrame, sets: DataFrame, links: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (x, y) of mixed buckets, of different components, that may be as similar as the threshold; exact.
+
+    Buckets of one largest component share a pivot, its document of most links. The overlap of two sets is at most the
+    smaller of their overlaps with the pivot plus the shingles that both have outside it. Where the first part isn't enough
+    by itself, a pair must share a shingle outside the pivot: these come from an equi-join on such shingles, which are few
+    and rare in a group of near copies. The other pairs come from the buckets, and are few.
+    """
+    t = threshold
+    pivots = by_degree(inside.where("component = largest").select("largest", "doc_id").distinct(), links).groupBy("largest").agg(F.max_by("doc_id", F.struct("degree", "doc_id")).alias("pivot"))
+    known = sets.select(F.col("doc_id").alias("_d"), F.col("shingles").alias("own"))
+    centre = pivots.join(known, F.col("pivot") == F.col("_d")).select("largest", F.col("own").alias("centre"))
+    each = inside.select("largest", "doc_id", "component").distinct().join(known, F.col("doc_id") == F.col("_d")).join(centre, "largest")
+    placed = stored(each.select("largest", "doc_id", "component", F.size("own").alias("n"), F.array_except("own", "centre").alias("outside")).withColumn("i", F.col("n") - F.size("outside")), "pivoted")
+
+    def side(df: DataFrame, name: str, on: str) -> DataFrame:
+        return df.select("largest", on, F.col("doc_id").alias(name), F.col("component").alias(f"c{name}"), F.col("n").alias(f"n{name}"), F.col("i").alias(f"i{name}"))
+
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y")))
+    enough = lambda more: (100 + t) * (F.least("ix", "iy") + more) >= t * (F.col("nx") + F.col("ny"))
+    minor = F.col("component") != F.col("largest")
+    rare = placed.select("largest", "doc_id", "component", "n", "i", F.explode("outside").alias("s"))
+    shared = side(rare.where(minor), "x", "s").join(side(rare, "y", "s"), ["largest", "s"]).where(apart)
+    shared = shared.groupBy("x", "y", "nx", "ny", "ix", "iy").agg(F.count("*").alias("k")).where(enough(F.col("k"))).select("x", "y")
+    banded = inside.join(placed.select("largest", "doc_id", "n", "i"), ["largest", "doc_id"])
+    close = side(banded.where(minor), "x", "band").join(side(banded, "y", "band"), ["largest", "band"]).where(apart & enough(F.lit(0))).select("x", "y")
+    return shared.union(close)
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
     sigs = stored(signatures(docs), "signatures")
@@ -178,20 +232,32 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     few = reps.select("doc_id", "n", "planes").join(names, "doc_id", "left_semi")
     links = stored(confirmed(likely(first, few, threshold), sets, threshold).distinct(), "links")
     labels = connected(links)
-
-    # Buckets that still hold several components.
-    placed = members.select("band", "doc_id").join(labels, members.doc_id == labels.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("m"))
-    mixed_bands = parts.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1").drop("k")
-    inside = stored(placed.join(mixed_bands, "band"), "mixed-buckets")
-    if not inside.isEmpty():
-        x = inside.where("component <> largest").select("band", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-        y = inside.select("band", F.col("doc_id").alias("y"), F.col("component").alias("cy"), "largest")
-        apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y")))
-        second = x.join(y, "band").where(apart).select(*ordered(F.col("x"), F.col("y"))).distinct().join(first, ["a", "b"], "left_anti")
-        more = stored(confirmed(likely(second, few, threshold), sets, threshold).distinct(), "links")
+    first = stored(first, "tested")
+    alive = None
+    for turn in range(HUB_TURNS + 1):
+        inside = mixed_buckets(members, labels)
+        if alive is None and not inside.isEmpty():
+            alive = stored(linkable(inside, sets, threshold), "linkable")
+            members = members.join(alive, "doc_id", "left_semi")
+            inside = mixed_buckets(members, labels)
+        if inside.isEmpty():
+            break
+        x = inside.select("band", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
+        if turn < HUB_TURNS:  # hubs: the documents of most links, in the largest component and outside it
+            ranked = by_degree(inside, links).withColumn("r", F.struct("degree", F.xxhash64("doc_id", F.lit(turn))))
+            outside = F.col("component") != F.col("largest")
+            best = ranked.groupBy("band").agg(*(F.max_by(F.when(w, F.struct(F.col("doc_id").alias("y"), F.col("component").alias("cy"))), F.when(w, F.col("r"))).alias(n) for n, w in (("h1", ~outside), ("h2", outside))))
+            hubs = best.select("band", F.explode(F.array("h1", "h2")).alias("h")).select("band", "h.*")
+            found = x.join(hubs, "band").where("cx <> cy")
+        else:
+            found = possible_pairs(inside, sets, links, threshold)
+        pairs = stored(found.select(*ordered(F.col("x"), F.col("y"))).distinct().join(first, ["a", "b"], "left_anti"), "tested")
+        tests = likely(pairs, few, threshold) if turn < HUB_TURNS else pairs
+        more = stored(confirmed(tests, sets, threshold).distinct(), "links")
+        first = first.union(pairs)
         if not more.isEmpty():
-            labels = connected(links.union(more))
+            links = links.union(more)
+            labels = connected(links)
 
     ids = classes.join(labels, classes.rep == labels.node, "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component"))
     own = known.join(ids, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left").select("doc_id", "n", "component")

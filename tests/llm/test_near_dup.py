@@ -87,3 +87,21 @@ def test_components_of_chains_and_stars(spark):
     links = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in chain + star] + [(7, 7), (None, 3)]
     out = {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {**{i: 100 for i in range(100, 161)}, **{i: 5 for i in [5, *range(10, 60)]}}
+
+
+@pytest.mark.parametrize("turns", [0, 1])
+def test_groups_around_the_threshold(spark, monkeypatch, turns):
+    """Edits from none to many of a few bases, so that buckets stay mixed and pivots have to decide."""
+    monkeypatch.setattr(near_dup, "HUB_TURNS", turns)
+    rng = random.Random(9)
+    rows, k = [], 0
+    for _ in range(3):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        for _ in range(45):
+            own = list(base[: rng.choice([120, 120, 110, 95])])
+            for _ in range(rng.randrange(0, 9)):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(40)}"
+            rows.append((k * 101 % 997, " ".join(own), ""))
+            k += 1
+    out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == brute(rows)
