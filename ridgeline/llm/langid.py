@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,9 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 MOST_WORDS, MOST_GRAMS, MOST_LANGUAGES = 20_000, 20_000, 200
 #: Words that a task counts before it passes its counts on.
-FLUSH = 200_000
+FLUSH = 100_000
+#: Words whose scores a worker keeps; far more than the model's are seen once only.
+KEPT = 250_000
 #: Log penalty for each character by which an n-gram is shorter than the longest, and that of a letter never seen.
 BACKOFF, UNSEEN = 0.4, 16.0
 
@@ -97,33 +100,50 @@ def most_frequent(counts: DataFrame, most: int, *by: str) -> DataFrame:
 
 
 class Model:
-    """Log frequencies: a word or n-gram to its row of ``scores``, one column for each language."""
+    """Log frequencies: a word or n-gram to its row of ``scores``, one column for each language.
 
-    def __init__(self, languages: list[str], words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]], totals: dict[str, int]):
+    It is sent as two texts of lines and one matrix; a worker makes the look-up tables from them.
+    """
+
+    def __init__(self, languages: list[str], words: pa.Table, grams: pa.Table, totals: dict[str, int]):
         self.languages = languages
-        place = {x: i for i, x in enumerate(languages)}
         size = np.array([max(1, totals.get(x, 0)) for x in languages], float)
-        by_length: dict[int, np.ndarray] = {}
-        for lang, gram, n in grams:
-            by_length.setdefault(len(gram), np.zeros(len(languages)))[place[lang]] += n
-
-        def table(rows: list[tuple[str, str, int]], scale) -> dict[str, np.ndarray]:
-            counts: dict[str, np.ndarray] = {}
-            for lang, x, n in rows:
-                counts.setdefault(x, np.zeros(len(languages)))[place[lang]] = n
-            return {x: np.log((c + 0.1) / scale(x)) for x, c in counts.items()}
 
-        self.words = table(words, lambda x: size + 1)
-        self.grams = table(grams, lambda g: by_length[len(g)] + 1)
+        def counts(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
+            coded = t["word"].combine_chunks().dictionary_encode()
+            out = np.zeros((len(coded.dictionary), len(languages)))
+            place = np.searchsorted(languages, t["lang"].to_numpy().astype(str)) if len(t) else np.zeros(0, int)
+            np.add.at(out, (coded.indices.to_numpy(zero_copy_only=False), place), t["n"].to_numpy())
+            return coded.dictionary, out
+
+        (own, n_words), (parts, n_grams) = counts(words), counts(grams)
+        length = pc.utf8_length(parts).to_numpy(zero_copy_only=False)
+        by_length = np.zeros((LONGEST + 1, len(languages)))
+        np.add.at(by_length, length, n_grams)
+        self.scores = np.log(np.concatenate([(n_words + 0.1) / (size + 1), (n_grams + 0.1) / (by_length[length] + 1)])).astype(np.float32)
+        self.sent = "\n".join(own.to_pylist()), "\n".join(parts.to_pylist())
+        self._tables()
+
+    def _tables(self) -> None:
+        own, parts = (x.split("\n") if x else [] for x in self.sent)
+        self.words = dict(zip(own, range(len(own)), strict=True))
+        self.grams = dict(zip(parts, range(len(own), len(own) + len(parts)), strict=True))
+
+    def __getstate__(self) -> dict:
+        return {"languages": self.languages, "scores": self.scores, "sent": self.sent}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._tables()
 
     def word(self, word: str) -> np.ndarray:
         if (known := self.words.get(word)) is not None:
-            return known
+            return self.scores[known]
         w, at, total = f" {word} ", 0, np.zeros(len(self.languages))
         while at < len(w):
             for k in range(min(LONGEST, len(w) - at), 0, -1):
                 if (known := self.grams.get(w[at : at + k])) is not None:
-                    total = total + known - BACKOFF * (LONGEST - k)
+                    total = total + self.scores[known] - BACKOFF * (LONGEST - k)
                     break
             else:
                 k = 1
@@ -138,9 +158,9 @@ def fit(labelled: DataFrame) -> Model:
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(totals) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages; raise langid.MOST_LANGUAGES if the model may grow")
-    best = most_frequent(words, MOST_WORDS, "lang").collect()
-    grams = most_frequent(gram_counts(words), MOST_GRAMS, "lang", "size").collect()
-    return Model(sorted(totals), [(r.lang, r.word, r.n) for r in best], [(r.lang, r.word, r.n) for r in grams], totals)
+    best = most_frequent(words, MOST_WORDS, "lang").toArrow()
+    grams = most_frequent(stored(gram_counts(words), "gram-counts"), MOST_GRAMS, "lang", "size").toArrow()
+    return Model(sorted(totals), best, grams, totals)
 
 
 class Rows(dict):
@@ -149,10 +169,10 @@ class Rows(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.scores = np.zeros((1 << 12, len(model.languages)))
+        self.scores = np.zeros((1 << 12, len(model.languages)), np.float32)
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= KEPT:
             self.clear()
         if len(self) >= len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
@@ -170,7 +190,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
         rows = Rows(kept.value)
         names = np.array([*kept.value.languages, UNKNOWN], object)
         last = len(names) - 1
-        for batch in pieces(batches, most=4 << 20):
+        for batch in pieces(batches, most=2 << 20):
             best, share = [], []
             for text in strings(batch, "text"):
                 words = WORD.findall(text.lower())
@@ -182,10 +202,10 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 for at in range(0, len(words), 100_000):
                     # Look all words up before reading scores: a lookup may move or renew the table.
                     part = words[at : at + 100_000]
-                    if len(rows) + len(part) > 500_000:
+                    if len(rows) + len(part) > KEPT:
                         rows.clear()
                     index = np.fromiter(map(rows.__getitem__, part), np.int64, len(part))
-                    total += rows.scores[index].sum(0)
+                    total += rows.scores[index].sum(0, dtype=float)
                 k = int(np.argmax(total))
                 best.append(k)
                 share.append(float(1 / np.exp((total - total[k]) / np.sqrt(len(words))).sum()))
