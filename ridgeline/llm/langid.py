@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.texts import column, pieces, plus, strings
+from ridgeline.llm.texts import column, forget, pieces, plus, strings
 from ridgeline.sources.stage import stored
 
 UNKNOWN = "und"
@@ -56,6 +56,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own: dict[str, Counter] = defaultdict(Counter)
 
         def told() -> pa.RecordBatch:
@@ -187,6 +188,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     schema = plus(docs.schema, ("lang_pred", T.StringType()), ("score", T.DoubleType()))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         rows = Rows(kept.value)
         names = np.array([*kept.value.languages, UNKNOWN], object)
         last = len(names) - 1

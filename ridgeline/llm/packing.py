@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.texts import column, pieces, strings
+from ridgeline.llm.texts import cache, column, pieces, strings
 from ridgeline.sources.stage import stored
 
 CAPACITY, END = 2048, 0
@@ -100,14 +100,9 @@ class Encoder:
         return [h + ids[a:b] for h, a, b in zip(self._apart(heads), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker and vocabulary."""
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+    return cache(f"encoder {path}", lambda: Encoder(path))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY) -> DataFrame:

@@ -59,11 +59,25 @@ class WordHashes(dict):
         return h
 
 
-WORDS = WordHashes()
+#: What a worker keeps between tasks; only of the operator that it ran last.
+CACHES: dict[str, object] = {}
+
+
+def cache(name: str, make):
+    """The worker's cache of this name, made anew if another operator's was kept."""
+    if name not in CACHES:
+        CACHES.clear()
+        CACHES[name] = make()
+    return CACHES[name]
+
+
+def forget() -> None:
+    """Free what the last operator kept; a function, so that a task calls its worker's own."""
+    CACHES.clear()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(cache("word hashes", WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
