@@ -6,7 +6,7 @@
 4. decontamination: documents of which a twentieth or more of the words stand in benchmark windows go.
 5. packing: what is left is tokenised and packed into sequences of 2,048 tokens.
 
-Stages 1 to 4 return the columns of ``documents``; n_chars follows the text.
+Stages 3 and 4 judge each row by its own text, also where rows share a doc_id or have none. Stages 1 to 4 return the columns of ``documents``; n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti").select(docs.columns)
+    return near_dup.deduplicated(docs).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

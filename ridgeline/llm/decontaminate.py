@@ -8,7 +8,8 @@ each document and the texts of likely documents' join are what is shuffled.
 
 Defined cases: null, empty and word-less texts have no words and no hits; word-less items match nothing; items that
 repeat count by their distinct item_id, a null item_id not at all; rows that repeat a doc_id are taken as one document
-with the largest word count and all their hits, and so are rows with a null doc_id; other columns are ignored.
+with the largest word count and all their hits, and so are rows with a null doc_id (``decontaminated`` judges each row by its own
+text); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,6 +114,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without its contaminated rows."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad["_bad"]), "left_anti")
+    """``docs`` without its contaminated rows, each judged by its own text whatever rows share its doc_id."""
+    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"))
+    return docs.join(bad, key == F.col("_bad"), "left_anti")

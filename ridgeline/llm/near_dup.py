@@ -16,7 +16,8 @@ Two documents of similarity 0.75 share no band with probability (1 - 0.75^4)^32
 
 Defined cases: null, empty or blank texts have no shingle and are linked with nothing; fewer than five words are one
 shingle; rows that repeat a doc_id are judged each by its own text and share the id's links; a null doc_id takes part in
-no link and keeps its row, with a null component; other columns are ignored.
+no link and keeps its row, with a null component (``deduplicated`` judges each row by a key of doc_id and text, null ids
+too); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -264,3 +265,24 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     rest = sigs.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component"))
     out = own.union(rest).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, threshold: int = 75) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one of the smallest doc_id (null last).
+
+    Rows are judged by a 64-bit key of doc_id and text, so those that share an id don't share links, and null ids take part.
+    Rows that repeat both are one group. Texts without a shingle stay.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), threshold).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("key")).agg(F.max("component_id").alias("component"), F.count("*").alias("copies"))
+    ids = docs.select(key.alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    judged = stored(found.join(ids, "key").select("key", "component", "copies", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("place")), "judged")
+    firsts = judged.groupBy("component").agg(F.min("place").alias("first")).select("component", F.col("first.key").alias("kept"))
+    gone = judged.join(firsts, "component").where("key <> kept").select(F.col("key").alias("_gone"))
+    out = docs.join(gone, key == F.col("_gone"), "left_anti")
+    repeated = stored(judged.join(firsts, "component").where("key = kept AND copies > 1").select(F.col("key").alias("_repeated")), "repeated")
+    if repeated.isEmpty():
+        return out
+    once = out.join(repeated, key == F.col("_repeated"), "left_semi").groupBy(key.alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return out.join(repeated, key == F.col("_repeated"), "left_anti").union(once)

@@ -65,3 +65,27 @@ def test_stages_equal_brute_force(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     lengths = out.groupby("doc_id").length.sum().to_dict()
     assert lengths == {d[0]: len(tokenizer.encode(d[1], add_special_tokens=False).ids) + 1 for d in want}
+
+
+def test_rows_of_null_and_repeated_ids_are_judged_alone(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    item, near, unlike, alone, none = text(20), text(60), text(50), text(40), text(30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, rows):
+        out = stage(spark, spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA), str(tmp_path))
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    # a contaminated row takes no clean one of its id along, and a long clean one doesn't let it through
+    long = text(1000)
+    clean = [(None, alone), (None, long), (3, unlike), (3, long)]
+    assert left(corpus_pipeline.decontamination, [(None, item), (3, item), *clean]) == sorted(clean, key=str)
+
+    # near copies go by themselves; null-id copies and identical rows are reduced to one
+    rows = [(1, near), (2, near + " end"), (2, unlike), (5, alone), (5, alone), (None, none), (None, none + " end"), (None, none + " end"), (7, ""), (7, ""), (None, near)]
+    out = left(corpus_pipeline.near_duplicates, rows)
+    kept = [r for r in out if r[0] is None]
+    assert [r for r in out if r[0] is not None] == sorted([(1, near), (2, unlike), (5, alone), (7, ""), (7, "")], key=str)
+    assert len(kept) == 1 and kept[0][1].startswith(none)
