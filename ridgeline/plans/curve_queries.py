@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import scalars
 from ridgeline.operators import curves as C
 from ridgeline.operators import stats
+from ridgeline.operators.designs import numbered
 from ridgeline.plans.bindings import CURVES_SQL, GRIDDED_SQL, curves, grid_place, gridded, table
 from ridgeline.plans.registry import query, rounded
 
@@ -77,8 +78,11 @@ def curve_arc_resample(spark, sf):
     SELECT g.curve_id, g.i, (g.curve_id + 1) % n AS partner, round(g.y + 0.25 * (o.y - g.y), 6) AS y FROM gridded g, n JOIN gridded o ON o.i = g.i AND o.curve_id = (g.curve_id + 1) % n""")
 def curve_mix(spark, sf):
     g = gridded(spark, sf)
-    n = g.agg(F.max("curve_id") + 1).first()[0] or 1
-    pairs = g.select("curve_id").distinct().withColumn("partner", (F.col("curve_id") + 1) % n)
+    # by place, so that every curve has a partner whatever ids are missing; without gaps from 0 on this is the SQL's id + 1
+    places = numbered(curves(spark, sf).select("curve_id").distinct(), "curve_id")
+    n = places.count() or 1
+    after = places.select(F.col("curve_id").alias("partner"), ((F.col("place") + n - 1) % n).alias("place"))
+    pairs = places.join(after, "place").select("curve_id", "partner")
     return rounded(C.mixed(g, pairs, 0.25).select("curve_id", "i", "partner", "y"))
 
 

@@ -19,3 +19,9 @@ def test_equals_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, oracle.DATA).count() > 0
+
+
+def test_curve_mix_has_a_partner_for_every_curve(spark, tmp_path):
+    spark.read.parquet(f"{oracle.DATA}/events.parquet").where("user_id IN (3, 7, 8, 12)").write.parquet(f"{tmp_path}/events.parquet")
+    out = catalog.QUERIES["curve_mix"](spark, str(tmp_path)).groupBy("curve_id", "partner").count().collect()
+    assert sorted(map(tuple, out)) == [(3, 7, 200), (7, 8, 200), (8, 12, 200), (12, 3, 200)]
