@@ -8,20 +8,24 @@ estimate is far below the threshold go. What stays is confirmed on full sets.
 No bucket is expanded into all its pairs. Equal sets are one class, with its smallest doc_id as representative. Each
 bucket first pairs its members with two hubs only; components of the confirmed links follow. A bucket whose members then
 lie in several components is mixed. There, documents go of which more than a quarter of the shingles are theirs alone
-(no similarity can reach the threshold), and those of most links serve as further hubs, ``HUB_TURNS`` times. What is
-still mixed is paired out as far as exact bounds by a pivot allow a link (``possible_pairs``). So every pair that shares a
-band and isn't already connected is tested or ruled out.
+(no similarity can reach the threshold). The others are placed against the centre of their group, the shingles that most
+of it hold, and the nearest to the centre serve as further hubs. Of the pairs that still lie in different components, those
+are tested that exact bounds leave possible (``possible_pairs``): they share a rare shingle outside the centre, early enough
+in the order of rarity, or lie both close to the centre. So every pair that shares a band and isn't already connected is
+tested or ruled out, and hot shingles, which the centre takes in, are never joined with themselves.
 
-Two documents of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e-6. Shingles are 64-bit hashes.
+Two documents of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e-6. The bit estimate of such a pair falls
+under ``SLACK`` with probability 3e-6. Shingles are 64-bit hashes.
 
 Defined cases: null, empty or blank texts have no shingle and are linked with nothing; fewer than five words are one
 shingle; rows that repeat a doc_id are judged each by its own text and share the id's links; a null doc_id takes part in
 no link and keeps its row, with a null component (``deduplicated`` judges each row by a key of doc_id and text, null ids
-too); other columns are ignored.
+too); texts of any length are taken whole; an empty table gives no row; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -39,7 +43,8 @@ WIDTH, BANDS, ROWS = 5, 32, 4
 MINIMA = BANDS * ROWS
 #: Estimates below the threshold by more than this are dropped; a standard deviation at similarity 0.75 is 0.046.
 SLACK = 0.22
-HUB_TURNS = 2
+#: Overlaps with a centre are matched by levels a hundredth apart.
+LEVEL = math.log(1.01)
 
 _rng = np.random.default_rng(20240101)
 FACTORS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -130,7 +135,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the set as sorted longs."""
+    """doc_id, the set as sorted longs and a hash of it."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=2 << 20):
@@ -139,7 +144,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles array<long>").withColumn("v", F.xxhash64("shingles"))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -179,38 +184,72 @@ def linkable(inside: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return inside.select("doc_id").distinct().join(out, "doc_id", "left_anti")
 
 
-def by_degree(inside: DataFrame, links: DataFrame) -> DataFrame:
-    """``inside`` with the number of links of each document."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count("*").alias("degree"))
-    return inside.join(degree, F.col("doc_id") == F.col("_d"), "left").drop("_d").withColumn("degree", F.coalesce("degree", F.lit(0)))
+def placed_in_groups(inside: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Each set of the mixed buckets of one largest component, against the centre of that group.
+
+    The centre is what more than half of the group's documents hold. ``n`` is the size of the set, ``i`` its overlap with the
+    centre, ``need`` how many shingles outside it a partner must share at the least, ``rare`` the shingles outside that must
+    hold the first of these: by how few documents have them, all but the last ``need - 1`` (prefix filter), each with the number
+    of those after it. Sets that no partner can reach are left out. Counted by (group, shingle), so no task sees a whole group.
+    """
+    docs = stored(inside.select("largest", "doc_id").distinct(), "group-members")
+    tokens = stored(docs.join(sets, "doc_id").select("largest", "doc_id", "v", F.explode("shingles").alias("s")), "group-shingles")
+    sizes = docs.groupBy("largest").agg(F.count("*").alias("docs"))
+    held = tokens.groupBy("largest", "s").agg(F.count_distinct("doc_id").alias("k")).join(sizes, "largest").select("largest", "s", "k", (2 * F.col("k") > F.col("docs")).alias("central"))
+    out = tokens.join(held, ["largest", "s"]).groupBy("largest", "doc_id", "v")
+    out = out.agg(
+        F.count("*").alias("n"),
+        F.count_if("central").alias("i"),
+        F.count_if(~F.col("central") & (F.col("k") == 1)).alias("alone"),
+        F.sort_array(F.collect_list(F.when(~F.col("central") & (F.col("k") > 1), F.struct("k", "s")))).alias("rest"),
+    )
+    need = F.ceil((threshold * F.col("n") - 100 * F.col("i")) / 100)
+    out = out.withColumn("need", need).where("need <= n - i")
+    most = F.greatest(F.lit(0), F.col("n") - F.col("i") - F.greatest("need", F.lit(1)) + 1 - F.col("alone")).cast("int")
+    rare = F.transform(F.slice("rest", F.lit(1), most), lambda x, at: F.struct(x["s"].alias("s"), (F.col("n") - F.col("i") - F.col("alone") - at - 1).alias("after")))
+    return stored(out.select("largest", "doc_id", "n", "i", "need", rare.alias("rare")), "placed")
+
+
+def centred(inside: DataFrame, placed: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of each document of a mixed bucket with two hubs: those nearest to the centre in the largest component and outside it.
+
+    Two sets whose distances from the centre leave them similar whatever they share are both similar to the nearest one.
+    """
+    near = placed.groupBy("largest", "doc_id").agg(F.max((100 + threshold) * F.col("i") - threshold * F.col("n")).alias("near"))
+    ranked = inside.join(near, ["largest", "doc_id"]).withColumn("r", F.struct("near", F.xxhash64("doc_id")))
+    outside = F.col("component") != F.col("largest")
+    best = ranked.groupBy("band").agg(*(F.max_by(F.when(w, F.struct(F.col("doc_id").alias("y"), F.col("component").alias("cy"))), F.when(w, F.col("r"))).alias(n) for n, w in (("h1", ~outside), ("h2", outside))))
+    hubs = best.select("band", F.explode(F.array("h1", "h2")).alias("h")).select("band", "h.*")
+    return ranked.select("band", F.col("doc_id").alias("x"), F.col("component").alias("cx")).join(hubs, "band").where("cx <> cy")
 
 
-def possible_pairs(inside: DataFrame, sets: DataFrame, links: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (x, y) of mixed buckets, of different components, that may be as similar as the threshold; exact.
+def possible_pairs(placed: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (x, y) within groups, of different components, that may be as similar as the threshold; exact.
 
-    Buckets of one largest component share a pivot, its document of most links. The overlap of two sets is at most the
-    smaller of their overlaps with the pivot plus the shingles that both have outside it. Where the first part isn't enough
-    by itself, a pair must share a shingle outside the pivot: these come from an equi-join on such shingles, which are few
-    and rare in a group of near copies. The other pairs come from the buckets, and are few.
+    The overlap of two sets is at most the smaller of their overlaps with the centre plus the shingles that both have outside
+    it. Where the first part isn't enough by itself, the pair must share a rare shingle outside. Where it is (few: both lie
+    close to the centre, and yet their components found no link), their overlaps with the centre are of like size.
     """
     t = threshold
-    pivots = by_degree(inside.where("component = largest").select("largest", "doc_id").distinct(), links).groupBy("largest").agg(F.max_by("doc_id", F.struct("degree", "doc_id")).alias("pivot"))
-    known = sets.select(F.col("doc_id").alias("_d"), F.col("shingles").alias("own"))
-    centre = pivots.join(known, F.col("pivot") == F.col("_d")).select("largest", F.col("own").alias("centre"))
-    each = inside.select("largest", "doc_id", "component").distinct().join(known, F.col("doc_id") == F.col("_d")).join(centre, "largest")
-    placed = stored(each.select("largest", "doc_id", "component", F.size("own").alias("n"), F.array_except("own", "centre").alias("outside")).withColumn("i", F.col("n") - F.size("outside")), "pivoted")
-
-    def side(df: DataFrame, name: str, on: str) -> DataFrame:
-        return df.select("largest", on, F.col("doc_id").alias(name), F.col("component").alias(f"c{name}"), F.col("n").alias(f"n{name}"), F.col("i").alias(f"i{name}"))
-
-    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("largest")) | (F.col("x") < F.col("y")))
-    enough = lambda more: (100 + t) * (F.least("ix", "iy") + more) >= t * (F.col("nx") + F.col("ny"))
-    minor = F.col("component") != F.col("largest")
-    rare = placed.select("largest", "doc_id", "component", "n", "i", F.explode("outside").alias("s"))
-    shared = side(rare.where(minor), "x", "s").join(side(rare, "y", "s"), ["largest", "s"]).where(apart)
-    shared = shared.groupBy("x", "y", "nx", "ny", "ix", "iy").agg(F.count("*").alias("k")).where(enough(F.col("k"))).select("x", "y")
-    banded = inside.join(placed.select("largest", "doc_id", "n", "i"), ["largest", "doc_id"])
-    close = side(banded.where(minor), "x", "band").join(side(banded, "y", "band"), ["largest", "band"]).where(apart & enough(F.lit(0))).select("x", "y")
+    of = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    now = placed.join(of, F.col("doc_id") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "doc_id")).drop("_n", "_c")
+    main = now.select("largest").distinct().join(of, F.col("largest") == F.col("_n"), "left").select(F.col("largest").alias("_g"), F.coalesce("_c", "largest").alias("main"))
+    now = stored(now.join(main, F.col("largest") == F.col("_g")).withColumn("minor", F.col("c") != F.col("main")).drop("_g", "main"), "labelled")
+
+    def side(df: DataFrame, name: str, on: str, *more: str) -> DataFrame:
+        return df.select("largest", on, F.col("doc_id").alias(name), *(F.col(k).alias(f"{k[0]}{name}") for k in ("c", "n", "i", "minor", *more)))
+
+    apart = (F.col("cx") != F.col("cy")) & (~F.col("my") | (F.col("x") < F.col("y")))
+    fits = 100 * F.least("nx", "ny") >= t * F.greatest("nx", "ny")
+    rare = now.withColumn("r", F.explode("rare")).withColumn("s", F.col("r.s")).withColumn("after", F.col("r.after"))
+    possible = (100 + t) * (1 + F.least("ax", "ay") + F.least("ix", "iy")) >= t * (F.col("nx") + F.col("ny"))
+    shared = side(rare.where("minor"), "x", "s", "after").join(side(rare, "y", "s", "after"), ["largest", "s"]).where(apart & fits & possible).select("x", "y")
+    level = lambda i: F.floor(F.log(i.cast("double")) / LEVEL)
+    near = now.where("need <= 0")
+    reach = F.sequence(level(F.greatest(F.lit(1), t * F.col("n") / 100)) - 1, level(F.greatest(F.col("i"), (100 + t) * F.col("i") / t - F.col("n"))) + 1)
+    x = side(near.where("minor").withColumn("level", F.explode(reach)), "x", "level")
+    enough = (100 + t) * F.least("ix", "iy") >= t * (F.col("nx") + F.col("ny"))
+    close = x.join(side(near.withColumn("level", level(F.col("i"))), "y", "level"), ["largest", "level"]).where(apart & enough).select("x", "y")
     return shared.union(close)
 
 
@@ -229,36 +268,25 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
     first = members.select("doc_id", F.explode(F.array("hub", "other")).alias("hub")).where(F.col("doc_id") != F.col("hub")).select(*ordered(F.col("doc_id"), F.col("hub"))).distinct()
     names = stored(members.select("doc_id").distinct(), "candidates")
-    sets = stored(shingle_sets(docs.select("doc_id", "text").join(names, "doc_id", "left_semi")).dropDuplicates(["doc_id", "shingles"]), "shingle-sets")
+    sets = stored(shingle_sets(docs.select("doc_id", "text").join(names, "doc_id", "left_semi")).dropDuplicates(["doc_id", "v"]), "shingle-sets")
     few = reps.select("doc_id", "n", "planes").join(names, "doc_id", "left_semi")
     links = stored(confirmed(likely(first, few, threshold), sets, threshold).distinct(), "links")
     labels = connected(links)
     first = stored(first, "tested")
-    alive = None
-    for turn in range(HUB_TURNS + 1):
+    inside = mixed_buckets(members, labels)
+    if not inside.isEmpty():
+        members = members.join(stored(linkable(inside, sets, threshold), "linkable"), "doc_id", "left_semi")
         inside = mixed_buckets(members, labels)
-        if alive is None and not inside.isEmpty():
-            alive = stored(linkable(inside, sets, threshold), "linkable")
-            members = members.join(alive, "doc_id", "left_semi")
-            inside = mixed_buckets(members, labels)
-        if inside.isEmpty():
-            break
-        x = inside.select("band", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-        if turn < HUB_TURNS:  # hubs: the documents of most links, in the largest component and outside it
-            ranked = by_degree(inside, links).withColumn("r", F.struct("degree", F.xxhash64("doc_id", F.lit(turn))))
-            outside = F.col("component") != F.col("largest")
-            best = ranked.groupBy("band").agg(*(F.max_by(F.when(w, F.struct(F.col("doc_id").alias("y"), F.col("component").alias("cy"))), F.when(w, F.col("r"))).alias(n) for n, w in (("h1", ~outside), ("h2", outside))))
-            hubs = best.select("band", F.explode(F.array("h1", "h2")).alias("h")).select("band", "h.*")
-            found = x.join(hubs, "band").where("cx <> cy")
-        else:
-            found = possible_pairs(inside, sets, links, threshold)
-        pairs = stored(found.select(*ordered(F.col("x"), F.col("y"))).distinct().join(first, ["a", "b"], "left_anti"), "tested")
-        tests = likely(pairs, few, threshold) if turn < HUB_TURNS else pairs
-        more = stored(confirmed(tests, sets, threshold).distinct(), "links")
-        first = first.union(pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = connected(links)
+    if not inside.isEmpty():
+        placed = placed_in_groups(inside, sets, threshold)
+        for found in (centred(inside, placed, threshold), None):
+            found = possible_pairs(placed, labels, threshold) if found is None else found
+            pairs = stored(found.select(*ordered(F.col("x"), F.col("y"))).distinct().join(first, ["a", "b"], "left_anti"), "tested")
+            more = stored(confirmed(likely(pairs, few, threshold), sets, threshold).distinct(), "links")
+            first = first.union(pairs)
+            if not more.isEmpty():
+                links = links.union(more)
+                labels = connected(links)
 
     ids = classes.join(labels, classes.rep == labels.node, "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component"))
     own = known.join(ids, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left").select("doc_id", "n", "component")

@@ -89,10 +89,16 @@ def test_components_of_chains_and_stars(spark):
     assert out == {**{i: 100 for i in range(100, 161)}, **{i: 5 for i in [5, *range(10, 60)]}}
 
 
-@pytest.mark.parametrize("turns", [0, 1])
-def test_groups_around_the_threshold(spark, monkeypatch, turns):
-    """Edits from none to many of a few bases, so that buckets stay mixed and pivots have to decide."""
-    monkeypatch.setattr(near_dup, "HUB_TURNS", turns)
+def without_hubs(monkeypatch):
+    """Leave the pairs of mixed buckets to the bounds alone."""
+    monkeypatch.setattr(near_dup, "centred", lambda inside, placed, threshold: inside.select(F.col("doc_id").alias("x"), F.col("doc_id").alias("y")).limit(0))
+
+
+@pytest.mark.parametrize("hubs", [False, True])
+def test_groups_around_the_threshold(spark, monkeypatch, hubs):
+    """Edits from none to many of a few bases, so that buckets stay mixed and bounds have to decide."""
+    if not hubs:
+        without_hubs(monkeypatch)
     rng = random.Random(9)
     rows, k = [], 0
     for _ in range(3):
@@ -105,3 +111,24 @@ def test_groups_around_the_threshold(spark, monkeypatch, turns):
             k += 1
     out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == brute(rows)
+
+
+@pytest.mark.parametrize("hubs", [False, True])
+def test_groups_that_share_passages(spark, monkeypatch, hubs):
+    """Texts of several common passages and own words: similar in part, linked in few pairs; a long text, repeated ids and clashing columns too."""
+    if not hubs:
+        without_hubs(monkeypatch)
+    rng = random.Random(4)
+    passages = [[f"p{j}_{rng.randrange(9000)}" for _ in range(60)] for j in range(5)]
+    rows = []
+    for k in range(150):
+        own = [w for p in rng.sample(passages, rng.choice([2, 3, 4])) for w in p]
+        own += [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([0, 10, 40, 90]))]
+        for _ in range(rng.randrange(0, 6)):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(30)}"
+        rows.append((k * 37 % 311, " ".join(own), "x"))
+    long = [f"l{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows += [(400, " ".join(long), "x"), (401, " ".join(long[:190_000]), "x"), (402, " ".join(long[:140_000]), "x")]
+    table = spark.createDataFrame(rows, SCHEMA).withColumn("band", F.lit(1)).withColumn("n", F.lit("n")).withColumn("_d", F.lit(0))
+    out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(table).collect()}
+    assert out == brute(rows)
