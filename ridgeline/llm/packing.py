@@ -48,7 +48,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(regex.escape(x) for x in added)) if added else None
         self.most, self.chunks, self.parts = most, {}, {}
 
     def _run(self, chunks: list[str]) -> dict[str, bytes]:
@@ -75,6 +76,17 @@ class Encoder:
         return [known[p[0]] if len(p) == 1 and p[0] in known else b"".join([known[c] if c in known else got[c] for c in p]) for p in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts that spell an added token are encoded whole by the tokenizer, which gives it its own id."""
+        whole = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+        if not whole:
+            return self._spelled(texts)
+        skip = set(whole)
+        out = self._spelled(["" if i in skip else t for i, t in enumerate(texts)])
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _spelled(self, texts: list[str]) -> list[bytes]:
         heads, tails = [], []
         for t in texts:
             at = -1 if "  " in t else t.find(" ")

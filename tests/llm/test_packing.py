@@ -7,12 +7,11 @@ from tokenizers import Tokenizer
 
 from ridgeline.llm import packing
 
-TEXTS = [None, "", "a", "two words", "x" * 3000, "a  b   c \n\n d", " lead", "trail ", "don't 's 'S it's", "é ñ x   y", "<|endoftext|> a", "\n\n\n", "tab\t x \r\n y", "１２ 12 ½ a1b2", "word " * 5000, "same", "same"]
+TEXTS = [None, "", "a", "two words", "x" * 3000, "a  b   c \n\n d", " lead", "trail ", "don't 's 'S it's", "é ñ x   y", "<|endoftext|> a", "b <|endoftext|>", "x<|endoftext|><|endoftext|>  y <|endoftext|",  "\n\n\n", "tab\t x \r\n y", "１２ 12 ½ a1b2", "word " * 5000, "same", "same"]
 
 
 def tokens(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -30,6 +29,10 @@ def test_pieces_equal_whole_encodings(spark):
             assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
 
 
+def test_added_tokens_have_their_own_ids():
+    assert tokens("a <|endoftext|> b").count(50256) == 1
+
+
 def test_bins_are_gapless_and_few(spark):
     out = packing.pack(docs(spark).unionAll(docs(spark).withColumn("doc_id", F.col("doc_id") + 100))).toPandas()
     for _, own in out.groupby("sequence_id"):
