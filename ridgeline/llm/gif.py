@@ -6,7 +6,8 @@ methods, transparent indices, frame delays. ``media`` and ``frames`` apply them
 map-only, so nothing is shuffled.
 
 Defined cases: a null or empty text is 64 zero bytes; equal texts give equal values; a stream that is null, damaged or
-cut gives the frames before the damage (none for null); repeated rows and null ids pass; an empty table gives no row;
+cut gives the frames before the damage (none for null), and so does one that declares more pixels than it can encode or than
+``MOST_PIXELS``; texts of any length are stored whole, and read back one frame at a time; repeated rows and null ids pass; an empty table gives no row;
 other columns are ignored.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -26,6 +27,8 @@ from ridgeline.llm.texts import column, pieces, raw
 
 WIDTH, ROWS, DELAY = 64, 1024, 10
 MOST_CODES = 4096
+#: Pixels of a canvas or frame beyond which a stream counts as broken; pixels that one code can stand for.
+MOST_PIXELS, LONGEST_RUN = 1 << 24, 4096
 
 #: An RGB 3-3-2 palette, as all 256 indices are used.
 PALETTE = np.stack([np.arange(256) >> 5, (np.arange(256) >> 2) & 7, np.arange(256) & 3], 1)
@@ -198,13 +201,25 @@ def deinterlaced(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def canvas_size(data: bytes | None) -> tuple[int, int]:
+    return struct.unpack_from("<HH", data, 6) if data and len(data) >= 13 and data[:6] in (b"GIF87a", b"GIF89a") else (0, 0)
+
+
 def decode(data: bytes | None) -> tuple[int, int, list[Frame]]:
     """Canvas width and height, and frames."""
-    frames: list[Frame] = []
-    if not data or len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
-        return 0, 0, frames
-    wide, high, flags = struct.unpack_from("<HHB", data, 6)
-    at, shared = 13, np.zeros((0, 3), np.uint8)
+    return *canvas_size(data), list(decoded(data))
+
+
+def decoded(data: bytes | None) -> Iterator[Frame]:
+    """Frames one by one, up to the first that is broken.
+
+    Memory follows the data: a frame or canvas of more than ``MOST_PIXELS``, or a frame of more pixels than its stream could
+    encode (a code stands for ``LONGEST_RUN`` pixels at the most), counts as broken.
+    """
+    wide, high = canvas_size(data)
+    if not wide * high or wide * high > MOST_PIXELS:
+        return
+    flags, at, shared = data[10], 13, np.zeros((0, 3), np.uint8)
 
     def palette(bits: int, at: int) -> np.ndarray:
         return np.frombuffer(data[at : at + 3 * (2 << bits)], np.uint8).reshape(-1, 3)
@@ -238,17 +253,18 @@ def decode(data: bytes | None) -> tuple[int, int, list[Frame]]:
                 if not 1 <= least <= 8:
                     break
                 body, at = chain(at + 1)
+                if width * height > min(MOST_PIXELS, 8 * len(body) // (least + 1) * LONGEST_RUN):
+                    break
                 pixels = np.frombuffer(lzw_decode(body, least, width * height).ljust(width * height, b"\0"), np.uint8).reshape(height, width)
-                frames.append(Frame(left, top, width, height, control[1], control[0], control[2], deinterlaced(pixels) if own & 0x40 else pixels, colours))
+                yield Frame(left, top, width, height, control[1], control[0], control[2], deinterlaced(pixels) if own & 0x40 else pixels, colours)
                 control = (0, 0, None)
             else:
                 break
     except (IndexError, struct.error, ValueError):
-        pass
-    return wide, high, frames
+        return
 
 
-def composed(wide: int, high: int, frames: list[Frame]) -> Iterator[np.ndarray]:
+def composed(wide: int, high: int, frames: Iterable[Frame]) -> Iterator[np.ndarray]:
     """The canvas (RGBA) while each frame shows. Disposal 2 clears the frame's area after it, 3 restores what was there."""
     canvas = np.zeros((high, wide, 4), np.uint8)
     for f in frames:
@@ -273,6 +289,20 @@ def histogram(pixels: np.ndarray) -> np.ndarray:
     return np.bincount((seen[:, 0] >> 6) * 16 + (seen[:, 1] >> 6) * 4 + (seen[:, 2] >> 6), minlength=64)
 
 
+def timed(data: bytes | None) -> Iterator[tuple[int, Frame, np.ndarray, np.ndarray]]:
+    """Each frame with its start in milliseconds, the canvas while it shows and the canvas's colour histogram."""
+    start, now = 0, []
+
+    def kept() -> Iterator[Frame]:
+        for f in decoded(data):
+            now[:] = [f]
+            yield f
+
+    for canvas in composed(*canvas_size(data), kept()):
+        yield start, now[0], canvas, histogram(canvas)
+        start += 10 * now[0].delay
+
+
 FRAMES = "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, disposal int, transparent int, pixels binary, histogram array<long>"
 
 
@@ -292,12 +322,11 @@ def frames(table: DataFrame) -> DataFrame:
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, data in zip(column(batch, "doc_id").to_pylist(), column(batch, "media").to_pylist(), strict=True):
-                wide, high, found = decode(data)
-                start = 0
-                for k, (f, canvas) in enumerate(zip(found, composed(wide, high, found), strict=True)):
-                    row = {"doc_id": doc, "frame": k, "start_ms": start, "delay_ms": 10 * f.delay, "width": wide, "height": high, "disposal": f.disposal, "transparent": f.transparent, "pixels": canvas.tobytes(), "histogram": histogram(canvas).tolist()}
-                    start += 10 * f.delay
+            for doc, data in zip(column(batch, "doc_id").to_pylist(), column(batch, "media"), strict=True):
+                data = data.as_py()
+                wide, high = canvas_size(data)
+                for k, (start, f, canvas, seen) in enumerate(timed(data)):
+                    row = {"doc_id": doc, "frame": k, "start_ms": start, "delay_ms": 10 * f.delay, "width": wide, "height": high, "disposal": f.disposal, "transparent": f.transparent, "pixels": canvas.tobytes(), "histogram": seen.tolist()}
                     yield pa.RecordBatch.from_pylist([row], schema=FRAME_SCHEMA)
 
     return table.select("doc_id", "media").mapInArrow(show, FRAMES)
@@ -307,24 +336,23 @@ FRAME_SCHEMA = pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("start
 
 
 def payload_features(table: DataFrame) -> DataFrame:
-    """What is read back from stored payloads: digests and a feature of frames, canvas, time and summed colour histogram."""
+    """What is read back from stored payloads: digests, and a feature of the timed frames as composed (palette, disposal and
+    transparency applied): canvas, start and delay of each frame, and the summed colour histogram."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "media"):
             rows = []
             for doc, n, data in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                wide, high, found = decode(data)
-                indices = [f.indices.reshape(-1) for f in found]
-                payload = b"".join(x.tobytes() for x in indices)
-                # Payload frames are opaque, so a frame's colours are its indices' colours.
-                counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-                bins = np.bincount(BIN, counts, 64).astype(np.int64)
-                feature = f"{len(found)} frames {wide}x{high} {sum(10 * f.delay for f in found)} ms; " + ",".join(f"{b}:{bins[b]}" for b in np.flatnonzero(bins))
-                rows.append((doc, n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), sha256(data).hexdigest(), feature))
+                wide, high = canvas_size(data)
+                payload, times, bins = [], [], np.zeros(64, np.int64)
+                for start, f, _, seen in timed(data):
+                    payload.append(f.indices.tobytes())
+                    times.append(f"{start}+{10 * f.delay}")
+                    bins += seen
+                own = b"".join(payload)
+                feature = f"{wide}x{high}; {' '.join(times)} ms; " + ",".join(f"{b}:{bins[b]}" for b in np.flatnonzero(bins))
+                rows.append((doc, n, len(own), sha256(own).hexdigest(), zlib.crc32(own[-64:]), len(data), sha256(data).hexdigest(), feature))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2, strict=True)], names)
 
     return table.mapInArrow(look, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
-
-BIN = (PALETTE[:, 0] >> 6).astype(np.int64) * 16 + (PALETTE[:, 1] >> 6).astype(np.int64) * 4 + (PALETTE[:, 2] >> 6)

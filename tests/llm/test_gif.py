@@ -100,3 +100,22 @@ def test_payloads(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(own), len(want), sha256(want).hexdigest(), zlib.crc32(want[-64:]))
     assert tuple(out[2])[1:] == tuple(out[7])[1:] == tuple(out[None])[1:]
     assert gif.payload_features(gif.media(df.limit(0))).count() == 0
+
+
+def test_a_hostile_stream_takes_no_memory():
+    """34 bytes that declare 65,535 x 65,535 pixels; a good frame before a frame that its stream can't fill."""
+    lie = b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x02\x4c\x01\x00"
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + lie + b";"
+    assert gif.decode(huge) == (65535, 65535, []) and list(gif.timed(huge)) == []
+    wide, high, found = gif.decode(film(image(np.zeros((20, 4), int)), lie))
+    assert (wide, high, len(found)) == (4, 20, 1)
+
+
+def test_the_feature_is_of_composed_frames(spark):
+    """Palette, transparency and disposal change the feature of a stored form."""
+    full, dot = np.zeros((20, 4), int), np.array([[1, 2]])
+    films = [film(image(full), image(dot, 1, 5)), film(image(full), image(dot, 1, 5, transparent=2)), film(image(full, disposal=2), image(dot, 1, 5)), film(image(full), image(dot, 1, 5, delay=9))]
+    df = spark.createDataFrame([(i, 0, bytearray(x)) for i, x in enumerate(films)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r.feature for r in gif.payload_features(df).collect()}
+    assert got[0] == "4x20; 0+30 30+30 ms; 3:1,12:1,48:158" and got[1] == "4x20; 0+30 30+30 ms; 12:1,48:159"
+    assert got[2] == "4x20; 0+30 30+30 ms; 3:1,12:1,48:80" and got[3] == "4x20; 0+30 30+90 ms; 3:1,12:1,48:158"
