@@ -6,11 +6,12 @@ and the sorted rules keeps the stack of rules whose interval is open. The rule o
 page's path wins, among those of one host the longest path.
 
 Rules are broadcast while there are at most ``MOST_RULES``; beyond, ``judged_by_suffixes`` joins each distinct URL's
-host suffixes with the rules instead.
+host suffixes with the rules instead, with the same results.
 
-Defined cases: a null URL or one without ``://`` has an empty host and path; where no rule fits, rule is null and the
+Defined cases: of rules that repeat a host and path the verdict that sorts first wins; a null URL or one without ``://`` has an empty host and path; where no rule fits, rule is null and the
 verdict is the default; repeated rows and null page_ids are judged like any others; ports and user names stay in the
-host; an empty table gives no row; only page_id and url are read.
+host; URLs of any length are taken whole; an empty table gives no row; only page_id and url are read, whatever other columns
+are called.
 """
 
 from __future__ import annotations
@@ -100,5 +101,5 @@ def judged_by_suffixes(pages: DataFrame, rules: DataFrame, default: str = "allow
     suffix = F.array_join(F.expr("slice(labels, i, size(labels))"), ".")
     each = each.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("labels")))).select("host", "path", suffix.alias("rule_host"))
     fits = each.join(rules, "rule_host").where(F.expr("startswith(path, rule_path)"))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule_host"), F.length("rule_path"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
+    best = fits.groupBy("host", "path").agg(F.min(F.struct(-F.length("rule_host"), -F.length("rule_path"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
     return own.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from ridgeline.llm import url_filter
 
 URLS = [None, "", "no scheme", "http://", "http://net", "http://net/", "https://a.NET/x", "http://example.net/en/", "http://m.example.net/en/1?q=/de/", "http://m.example.net/EN/1", "http://example.com/de/x#f", "http://xexample.com/de/", "ftp://org/fr/", "http://a.b.org/fr", "http://net?x", "a://b://net/", "http://example.net:80/en/", "http://.net/", "http://é.net/ü"]
@@ -37,5 +39,16 @@ def test_equals_brute_force(spark):
         assert rows(url_filter.judged_by_suffixes(df, table)) == want
 
 
+def test_rules_of_any_number_judge_alike(spark, monkeypatch):
+    """Ties of host and path, long URLs and clashing columns, on both sides of the bound on broadcast rules."""
+    rules = [("net", "/", "block"), ("net", "/", "allow"), ("a.net", "/", "block"), ("a.net", "/", "block"), ("org", "", "block"), ("org", "/", "allow")]
+    urls = ["http://net/", "http://b.a.net/x", "http://org", "http://x.org/1", "http://" + "l." * 100_000 + "net/" + "p" * 100_000]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("key", F.lit(1)).withColumn("best", F.lit(2))
+    swept = rows(url_filter.judged(df, rules))
+    assert [(r[1][2], r[1][3]) for r in swept] == [("net/", "allow"), ("a.net/", "block"), ("org", "block"), ("org/", "allow"), ("net/", "allow")]
+    monkeypatch.setattr(url_filter, "MOST_RULES", 0)
+    assert rows(url_filter.judged(df.where("page_id < 4"), rules)) == swept[:4]
+
+
 def test_empty_table(spark):
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
