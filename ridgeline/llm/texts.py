@@ -97,5 +97,13 @@ def plus(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType(kept + [T.StructField(n, t, True) for n, t in fields])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def documents(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text")

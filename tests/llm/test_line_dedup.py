@@ -1,8 +1,12 @@
 import hashlib
 
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from ridgeline.llm.line_dedup import SLOTS, CuckooFilter, LineIndex, built, dedup_lines, dedup_within, likely, line_key
+from ridgeline.llm import line_dedup
+from ridgeline.llm.line_dedup import SLOTS, CuckooFilter, LineIndex, built, dedup_lines, dedup_within, line_key
+from ridgeline.llm.queries import OP4_SQL
 
 LONG = "this boiler plate line is longer than forty code points"
 ROWS = [
@@ -59,9 +63,52 @@ def test_filters_have_no_false_negatives_and_few_false_positives():
     assert (again.table == f.table).all()
 
 
-def test_filters_and_the_plain_join_agree(spark):
-    docs = spark.createDataFrame(ROWS, SCHEMA)
+def bits(index):
+    return {r.shard: bytes(r.bits) for r in index.filters.collect()}
+
+
+def test_broadcast_and_dealt_filters_agree(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
+    lines = [f"line {k} is repeated in quite a few of all these documents" for k in range(30)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[k] for k in range(30) if (i * 7 + k) % 4 == 0), "x") for i in range(40)], SCHEMA)
     index = LineIndex(spark).insert(docs)
-    frequent = index.counts().where("n >= 5")
-    assert likely(index.postings(), frequent, 1).count() == 5 <= likely(index.postings(), frequent, 1 << 40).count()
+    assert index.shards == 10
+    want = result(dedup_lines(docs, index))
+    assert sum(v[2] for v in want.values()) > 100
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(line_dedup, "SALT_ROWS", 7)
+    assert result(dedup_lines(docs, index)) == want
     assert line_key(("  " + LONG + " ").encode(), 40) == line_key(LONG.upper().encode(), 40)
+
+
+def test_filters_follow_insertions_and_deletions(spark, monkeypatch):
+    """Filters change by the keys that cross the threshold, and grow anew when full."""
+    docs = spark.createDataFrame([(i, LONG, "x") for i in range(4)], SCHEMA)
+    more = spark.createDataFrame([(9, LONG, "x")], SCHEMA)
+    index = LineIndex(spark).insert(docs)
+    assert not bits(index)
+    index.insert(more)
+    (one,) = bits(index).values()
+    assert np.count_nonzero(np.frombuffer(one, np.uint16)) == 1
+    index.delete(more)
+    assert not any(np.frombuffer(x, np.uint16).any() for x in bits(index).values())
+    assert result(dedup_lines(docs, index))[0][2] == 0
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    many = spark.createDataFrame([(i, "\n".join(f"{LONG} {k}" for k in range(9)), "x") for i in range(20, 26)], SCHEMA)
+    index.insert(many)
+    assert index.shards == 9 and sum(np.count_nonzero(np.frombuffer(x, np.uint16)) for x in bits(index).values()) == 9
+    assert result(dedup_lines(many, index))[20] == ("", 9, 9)
+
+
+def test_holders_are_distinct_documents(spark):
+    """Four rows of one document and one of another are two holders; clashing columns pass; a long text is cut whole."""
+    rows = [(1, LONG)] * 4 + [(2, LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_doc", F.lit("d")).withColumn("_drop", F.lit(1)).withColumn("k1", F.lit(2))
+    assert {r.n_dropped for r in dedup_within(docs).collect()} == {0}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES " + ", ".join(f"({d}, '{t}')" for d, t in rows) + ") v(doc_id, text)")
+    assert {r[2] for r in con.execute(OP4_SQL).fetchall()} == {0}
+    long = "\n".join([LONG] * 200_000 + ["end"])
+    out = dedup_within(docs.union(spark.createDataFrame([(d, t, "d", 1, 2) for d, t in [(3, LONG), (4, long), (5, LONG)]], docs.schema)))
+    assert sorted(out.columns) == ["_doc", "_drop", "doc_id", "k1", "n_dropped", "n_lines", "text"]
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in out.collect()) == [(1, 1, 1)] * 4 + [(2, 1, 1), (3, 1, 1), (4, 200_001, 200_000), (5, 1, 0)]
