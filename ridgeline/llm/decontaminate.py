@@ -7,9 +7,9 @@ windows of the others probe the set, whose hash matches are verified by comparin
 each document and the texts of likely documents' join are what is shuffled.
 
 Defined cases: null, empty and word-less texts have no words and no hits; word-less items match nothing; items that
-repeat count by their distinct item_id, a null item_id not at all; rows that repeat a doc_id are taken as one document
-with the largest word count and all their hits, and so are rows with a null doc_id (``decontaminated`` judges each row by its own
-text); other columns are ignored.
+repeat count by their distinct item_id, a null item_id not at all; each row is judged by its own text, whatever rows share
+its doc_id or have none: rows are told apart by doc_id and a hash of the text, and rows that repeat both come out as often;
+texts of any length are taken whole; an empty table gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,32 +72,34 @@ def limited(df: DataFrame, size: int) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words and the hit windows with their items, for every document.
+    """doc_id, h (a hash of the text), n_words and the hit windows with their items, for every row.
 
     First each document probes with aligned blocks, one in seven of its runs of seven words: any window of 13 words holds
     one of them whole. Only documents with a block of the benchmark's then probe with all their windows.
     """
     known = stored(item_windows(benchmark, window), "benchmark-windows")
     lengths = [r.k for r in known.select("k").distinct().orderBy("k").collect()]
-    size = known.agg(F.sum(F.length("key") + 16 * F.size("items"))).first()[0] or 0
+    size = known.agg(F.sum(F.octet_length("key") + 16 * F.size("items"))).first()[0] or 0
     none = F.lit(None).cast("string")
     start = F.array(F.struct(F.lit(0).alias("k"), none.alias("key")))
     own = F.concat(start, *(F.coalesce(blocks(F.col("w"), k), F.filter(start, lambda _: F.lit(False))) for k in lengths))
-    parts = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.explode(own).alias("p")).select("doc_id", "n_words", "p.*")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    same = lambda t: F.col("doc_id").eqNullSafe(t["_doc"]) & (F.col("h") == t["_h"])
+    parts = docs.select("doc_id", "h", words(F.col("text")).alias("w")).select("doc_id", "h", F.size("w").cast("long").alias("n_words"), F.explode(own).alias("p")).select("doc_id", "h", "n_words", "p.*")
     seen = limited(window_blocks(known, lengths).withColumn("hit", F.lit(True)), 8 * size)
     marked = parts.join(seen, ["k", "key"], "left").where(F.col("hit") | (F.col("k") == 0))
-    counted = stored(marked.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("likely")), "word-counts")
+    counted = stored(marked.groupBy("doc_id", "h").agg(F.max("n_words").alias("n_words"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("likely"), F.count_if(F.col("k") == 0).alias("rows")), "word-counts")
 
-    likely = counted.where("likely").select(F.col("doc_id").alias("_doc"))
-    likely = limited(likely, 8 * likely.count())
-    some = docs.select("doc_id", "text").join(likely, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    likely = counted.where("likely").select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"))
+    likely = limited(likely, 16 * likely.count())
+    some = docs.join(likely, same(likely), "left_semi")
     runs = [F.coalesce(windows(F.col("w"), k), F.array().cast("array<struct<pos:int,k:int,key:string>>")) for k in lengths]
-    probes = some.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.concat(*runs) if runs else F.array().cast("array<struct<pos:int,k:int,key:string>>")).alias("p")).select("doc_id", "p.*")
+    probes = some.select("doc_id", "h", words(F.col("text")).alias("w")).select("doc_id", "h", F.explode(F.concat(*runs) if runs else F.array().cast("array<struct<pos:int,k:int,key:string>>")).alias("p")).select("doc_id", "h", "p.*")
     found = probes.join(limited(known.select("key", "items"), size), "key")
     span = F.struct("pos", (F.col("pos") + F.col("k") - 1).alias("end"))
-    spans = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    out = counted.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<pos:int,end:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+    spans = found.groupBy(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    out = counted.join(spans, same(spans), "left").withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return out.select("doc_id", "h", "n_words", F.coalesce("spans", F.array().cast("array<struct<pos:int,end:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
 def covered(spans: Column) -> Column:
@@ -107,14 +109,17 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["n"]).cast("long")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, spans of hit words, items, and contaminated: one word in ``share`` or more is hit."""
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     out = hits(docs, benchmark, window).withColumn("n_hit", covered(F.col("spans")))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """doc_id, n_words, n_hit, spans of hit words, items, and contaminated: one word in ``share`` or more is hit."""
+    return judged(docs, benchmark, window, share).drop("h")
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without its contaminated rows, each judged by its own text whatever rows share its doc_id."""
-    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    bad = contamination(docs.select(key.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    bad = judged(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("h").alias("_bad_text")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"]), "left_anti")

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from ridgeline.llm import decontaminate
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -64,3 +66,16 @@ def test_empty_tables(spark):
     out = decontaminate.contamination(docs, bench).collect()
     assert [(r.n_words, r.n_hit, r.contaminated) for r in out] == [(2, 0, False)]
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    """Repeated and null ids, repeated rows, clashing columns, and a long text."""
+    bench = spark.createDataFrame([(1, "a b c"), (2, " ".join(f"q{i}" for i in range(13)))], "item_id long, text string")
+    long = "w " * 300_000 + " ".join(f"q{i}" for i in range(13))
+    rows = [(5, "a b c"), (5, "z " * 200), (None, "a b c"), (None, "clean text"), (7, "a b c x"), (7, "a b c x"), (8, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("_bad", F.lit(2)).withColumn("_doc", F.lit(3))
+    out = sorted(((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, bench).collect()), key=str)
+    assert out == sorted([(5, 3, 3, True), (5, 200, 0, False), (None, 3, 3, True), (None, 2, 0, False), (7, 4, 3, True), (7, 4, 3, True), (8, 300_013, 13, False)], key=str)
+    kept = decontaminate.decontaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, len(r.text)) for r in kept.collect()), key=str) == sorted([(5, 400), (None, 10), (8, len(long))], key=str)
