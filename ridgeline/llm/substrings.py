@@ -11,13 +11,14 @@ shards costs documents x shards, so ``dedup_passages`` finds repeated windows by
    frequent it is. Reducers find the first start overall and mark all others.
 3. Documents with marks are cut.
 
-Rows between tasks are packed: one row for each run of input and slice of the key space, or slice and block of
-documents. Slices and blocks hold about 8 M characters each, whatever the corpus.
+Rows between tasks are packed: one row for each run of input and slice of the key space that it has keys of, or slice and
+block of documents. Slices and blocks hold about 8 M characters each, whatever the corpus. What a task itself finds to be
+repeated goes straight to the blocks of its documents, so a passage that a tenth of the corpus holds makes no hot slice.
 
 Defined cases: null, empty and blank texts have no words; documents of fewer than 20 words lose nothing; earlier means a
 smaller doc_id, or an earlier start in the same document; rows that repeat a doc_id are one after another in no fixed
-order, so equal ones keep one copy between them; a null doc_id is never compared and loses nothing; other columns are
-ignored.
+order, so equal ones keep one copy between them; a null doc_id is never compared and loses nothing; texts of any length are
+taken whole; an empty table gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -100,17 +101,22 @@ def slices(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys >> np.uint64(32)).astype(np.int64) % n
 
 
-def packed_rows(n: int, keys: np.ndarray, *values: np.ndarray) -> list[list[bytes]]:
-    """For each of n slices of the key space its keys, and what goes with each, as bytes."""
-    at = slices(keys, n)
+def packed_rows(at: np.ndarray, *values: np.ndarray) -> dict[int, list[bytes]]:
+    """The values of each place (a slice or block) as bytes."""
     order = np.argsort(at, kind="stable")
-    cuts = np.searchsorted(at[order], np.arange(n + 1))
-    return [[v[order[cuts[s] : cuts[s + 1]]].tobytes() for s in range(n)] for v in (keys, *values)]
+    full, first = np.unique(at[order], return_index=True)
+    cuts = [*first.tolist(), len(at)]
+    values = [v[order] for v in values]
+    return {int(s): [v[a:b].tobytes() for v in values] for s, a, b in zip(full, cuts[:-1], cuts[1:], strict=True)}
 
 
-def slice_batch(n: int, columns: list[list[bytes]]) -> pa.RecordBatch:
-    full = [s for s in range(n) if any(c[s] for c in columns)]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([c[s] for s in full], pa.binary()) for c in columns)], ["slice", *(f"v{k}" for k in range(len(columns)))])
+def slice_batch(n: int, keys: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows for the slices of ``keys`` (the first of them picks the slice), and from n on for the blocks of ``marks`` (ids, places)."""
+    own, more = packed_rows(slices(keys[0], n), *keys), packed_rows(n + marks[0] % n, *marks)
+    rows = [(s, *v, b"", b"") for s, v in own.items()] + [(s, *[b""] * len(keys), *v) for s, v in more.items()]
+    columns = zip(*rows, strict=True) if rows else [()] * (len(keys) + 3)
+    names = ["slice", *(f"v{k}" for k in range(len(keys) + 2))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(columns)], names)
 
 
 def owners(starts: np.ndarray, counts: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -147,7 +153,7 @@ def anchors(docs: DataFrame, n: int) -> DataFrame:
             first = firsts(key) == np.arange(len(key))
             twice = ~first
             twice[:-1] |= ~first[1:]
-            yield slice_batch(n, packed_rows(n, key[first], doc[first], place[first]) + packed_rows(n, key[twice], doc[twice], place[twice])[1:])
+            yield slice_batch(n, [key[first], doc[first], place[first]], [doc[twice], place[twice]])
 
     return docs.mapInArrow(collect, "slice int, " + ", ".join(f"v{k} binary" for k in range(5)))
 
@@ -158,12 +164,7 @@ def joined(pdf: pd.DataFrame, *kinds: str) -> list[np.ndarray]:
 
 def by_block(ids: np.ndarray, places: np.ndarray, n: int) -> pd.DataFrame:
     """A row for each block of documents with ids and places, packed."""
-    at = ids % n
-    order = np.argsort(at, kind="stable")
-    cuts = np.searchsorted(at[order], np.arange(n + 1))
-    full = np.flatnonzero(cuts[1:] > cuts[:-1])
-    own = [order[cuts[k] : cuts[k + 1]] for k in full]
-    return pd.DataFrame({"block": full.astype(np.int32), "ids": [ids[i].tobytes() for i in own], "places": [places[i].tobytes() for i in own]})
+    return pd.DataFrame([(s, *v) for s, v in packed_rows(ids % n, ids, places).items()], columns=["block", "ids", "places"])
 
 
 def block_of(n: int) -> Column:
@@ -227,7 +228,7 @@ def windows(docs: pa.Table, marks: pa.Table, n: int) -> pa.Table:
         to = firsts(key, key2)
         first = to == np.arange(len(to))
         later = (doc != doc[to]) | (start != start[to])
-        out.append(slice_batch(n, packed_rows(n, key[first], key2[first], doc[first], start[first]) + packed_rows(n, key[later], doc[later], start[later])[1:]))
+        out.append(slice_batch(n, [key[first], key2[first], doc[first], start[first]], [doc[later], start[later]]))
     return pa.Table.from_batches(out, pa.schema([("slice", pa.int32()), *((c, pa.binary()) for c in WINDOWS[1:])]))
 
 

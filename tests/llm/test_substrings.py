@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.llm import substrings
 
@@ -55,3 +56,15 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     out = sorted((r.doc_id or 0, r.n_removed) for r in substrings.dedup_passages(df).collect())
     assert out == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 30)]
     assert substrings.dedup_passages(df.limit(0)).count() == 0
+
+
+def test_a_hot_passage_a_long_text_and_clashing_columns(spark, monkeypatch):
+    """A passage that every document holds, in small runs and slices; its later starts go to their documents' blocks."""
+    monkeypatch.setattr(substrings, "SLICE_CHARS", 3000)
+    monkeypatch.setattr(substrings, "RUN_BYTES", 500)
+    passage = [f"p{i}" for i in range(25)]
+    rows = [(i, " ".join([f"a{i}", *passage, f"b{i}"]), "x") for i in range(200)]
+    rows.append((300, " ".join([f"w{i % 90_000}" for i in range(100_000)] + passage), "x"))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("block", F.lit(1)).withColumn("slice", F.lit("s")).repartition(3)
+    out = {r.doc_id: (r.text, r.n_words, r.n_removed) for r in substrings.dedup_passages(df).collect()}
+    assert out == brute(rows) and out[300][2] == 10_025 and out[0][2] == 0
