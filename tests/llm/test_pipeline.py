@@ -89,3 +89,21 @@ def test_rows_of_null_and_repeated_ids_are_judged_alone(spark, tmp_path):
     kept = [r for r in out if r[0] is None]
     assert [r for r in out if r[0] is not None] == sorted([(1, near), (2, unlike), (5, alone), (7, ""), (7, "")], key=str)
     assert len(kept) == 1 and kept[0][1].startswith(none)
+
+
+def test_empty_tables_clashing_columns_and_a_long_text(spark, tmp_path):
+    docs, items = corpus()
+    long = " ".join(f"{w} stream" for w in docs[0][1].split() * 4000)
+    rows = [(*d, 1, "k", 2.0, 3) for d in [*docs[:30], (300, long, "en", "s", 0)]]
+    schema = SCHEMA + ", _gone int, key string, score double, n_lines int"
+    for name, own in (("full", rows), ("empty", [])):
+        spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(items if own else [], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    df = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, f"{tmp_path}/full")
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "_gone", "key", "score", "n_lines"]
+    left = df.collect()
+    assert {tuple(r[5:]) for r in left} == {(1, "k", 2.0, 3)} and {r.doc_id: r.text for r in left}[300] == long
+    out = corpus_pipeline.run(spark, f"{tmp_path}/empty")
+    assert out.count() == 0 and "sequence_id" in out.columns
