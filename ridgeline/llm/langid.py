@@ -227,8 +227,11 @@ class Rows(dict):
             many = self.ends[place + 1] - first
             entry = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
             out += np.bincount(np.repeat(own, many) * n + self.lang[entry], self.extra[entry], d * n)
-            for k in range(LONGEST + 1):
-                kinds[:, k] += np.bincount(own, self.kinds[place, k], d)
+            whole = self.kinds[place, 0]
+            kinds[:, 0] += np.bincount(own, whole, d)
+            cut = np.flatnonzero(whole == 0)
+            for k in range(1, LONGEST + 1) if len(cut) else ():
+                kinds[:, k] += np.bincount(own[cut], self.kinds[place[cut], k], d)
         return out.reshape(d, n) + kinds @ self.model.base
 
 

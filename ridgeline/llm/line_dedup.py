@@ -265,7 +265,8 @@ def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     """``docs`` with text cut by the lines that ``index.min_docs`` or more indexed documents hold, save in the largest holder."""
     least = index.least
     hits = stored(likely(index.postings(), index), "line-hits")
-    frequent = holders(hits).where(F.col("n") >= index.min_docs)
+    # Written, so that a line of very many holders is a skewed join of two plain shuffles, which adaptive execution splits.
+    frequent = stored(holders(hits).where(F.col("n") >= index.min_docs), "frequent-lines")
     docs = docs.drop("n_lines", "n_dropped")
     doc, drop = fresh(docs, "_doc"), fresh(docs, "_drop")
     drops = hits.join(frequent, ["k1", "k2"]).where(F.col("doc_id") < F.col("last")).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("k1", "k2")).alias(drop))

@@ -194,8 +194,9 @@ def placed_in_groups(inside: DataFrame, sets: DataFrame, threshold: int) -> Data
     """
     docs = stored(inside.select("largest", "doc_id").distinct(), "group-members")
     tokens = stored(docs.join(sets, "doc_id").select("largest", "doc_id", "v", F.explode("shingles").alias("s")), "group-shingles")
-    sizes = docs.groupBy("largest").agg(F.count("*").alias("docs"))
-    held = tokens.groupBy("largest", "s").agg(F.count_distinct("doc_id").alias("k")).join(sizes, "largest").select("largest", "s", "k", (2 * F.col("k") > F.col("docs")).alias("central"))
+    # Both written, so that adaptive execution can split the join of a large group.
+    sizes = stored(docs.groupBy("largest").agg(F.count("*").alias("docs")), "group-sizes")
+    held = stored(tokens.groupBy("largest", "s").agg(F.count_distinct("doc_id").alias("k")), "group-counts").join(sizes, "largest").select("largest", "s", "k", (2 * F.col("k") > F.col("docs")).alias("central"))
     out = tokens.join(held, ["largest", "s"]).groupBy("largest", "doc_id", "v")
     out = out.agg(
         F.count("*").alias("n"),
@@ -231,10 +232,10 @@ def possible_pairs(placed: DataFrame, labels: DataFrame, threshold: int) -> Data
     close to the centre, and yet their components found no link), their overlaps with the centre are of like size.
     """
     t = threshold
-    of = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    now = placed.join(of, F.col("doc_id") == F.col("_n"), "left").withColumn("c", F.coalesce("_c", "doc_id")).drop("_n", "_c")
-    main = now.select("largest").distinct().join(of, F.col("largest") == F.col("_n"), "left").select(F.col("largest").alias("_g"), F.coalesce("_c", "largest").alias("main"))
-    now = stored(now.join(main, F.col("largest") == F.col("_g")).withColumn("minor", F.col("c") != F.col("main")).drop("_g", "main"), "labelled")
+    own, main = (labels.select(F.col("node").alias(f"_n{x}"), F.col("component").alias(f"_c{x}")) for x in "om")
+    now = placed.join(own, F.col("doc_id") == F.col("_no"), "left").join(main, F.col("largest") == F.col("_nm"), "left")
+    now = now.withColumn("c", F.coalesce("_co", "doc_id")).withColumn("minor", F.col("c") != F.coalesce("_cm", "largest")).drop("_no", "_co", "_nm", "_cm")
+    now = stored(now, "labelled")
 
     def side(df: DataFrame, name: str, on: str, *more: str) -> DataFrame:
         return df.select("largest", on, F.col("doc_id").alias(name), *(F.col(k).alias(f"{k[0]}{name}") for k in ("c", "n", "i", "minor", *more)))
