@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import safe_scale
+from ridgeline.operators.ranges import beside, quantiles
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -45,11 +46,13 @@ def on_grid(curves: DataFrame, grid: Column, n: int, curve: str = "curve_id", x:
 
 
 def envelope(gridded: DataFrame, by: list[str], y: str = "y", levels: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), accuracy: int | None = None) -> DataFrame:
-    """Mean, population deviation and percentiles at each grid point. ``accuracy`` turns to sketches for very many curves."""
-    at = F.array(*(F.lit(p) for p in levels))
-    level = F.percentile(y, at) if accuracy is None else F.percentile_approx(y, at, accuracy)
+    """Mean, population deviation and exact percentiles at each grid point; with ``accuracy``, percentiles from sketches."""
     names = [f"p{round(100 * p):02d}" for p in levels]
-    out = gridded.groupBy(*by).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), level.alias("_q"))
+    sums = [F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("std")]
+    if accuracy is None:
+        out = beside(gridded.groupBy(*by).agg(*sums), quantiles(gridded, y, list(levels), by, "_q"), by, "left")
+    else:
+        out = gridded.groupBy(*by).agg(*sums, F.percentile_approx(y, F.array(*(F.lit(p) for p in levels)), accuracy).alias("_q"))
     return out.select(*by, "n", "mean", "std", *(F.col("_q")[k].alias(n) for k, n in enumerate(names)))
 
 

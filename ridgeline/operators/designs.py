@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.normal import normal_quantile
 from ridgeline.functions.scalars import clamp
+from ridgeline.operators.ranges import ranked
 
 #: Joe and Kuo (2008), the first dimensions: degree, coefficient, initial odd numbers.
 JOE_KUO = [(1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3]), (4, 4, [1, 3, 5, 13]), (5, 2, [1, 1, 5, 5, 17])]
 PRIMES = [2, 3, 5, 7, 11, 13, 17, 19]
-BITS = 30
+#: Bits of a Sobol coordinate, and so the points before they would repeat: what a double holds exactly.
+BITS = 52
 
 
 def uniform(seed: int, *of: Column) -> Column:
@@ -65,6 +67,8 @@ def radical_inverse(row: Column, base: int) -> Column:
 
 
 def halton(spark: SparkSession, n: int, names: list[str], skip: int = 1) -> DataFrame:
+    if len(names) > len(PRIMES):
+        raise ValueError(f"at most {len(PRIMES)} dimensions")
     return rows(spark, n).select("row", *(radical_inverse(F.col("row") + skip, PRIMES[k]).alias(c) for k, c in enumerate(names)))
 
 
@@ -95,6 +99,8 @@ def sobol_point(row: Column, dimension: int) -> Column:
 def sobol(spark: SparkSession, n: int, names: list[str], first: int = 0) -> DataFrame:
     """The largest power of two of points that is at most n; ``first`` picks the dimensions to begin with."""
     n = 1 << (n.bit_length() - 1)
+    if n > 1 << BITS or first + len(names) > len(JOE_KUO) + 1:
+        raise ValueError(f"at most 2^{BITS} points in {len(JOE_KUO) + 1} dimensions")
     return rows(spark, n).select("row", *(sobol_point(F.col("row"), first + k).alias(c) for k, c in enumerate(names)))
 
 
@@ -148,12 +154,8 @@ def partners(keys: DataFrame, key: str, seed: int = 42, n: int | None = None) ->
 
 
 def numbered(keys: DataFrame, key: str) -> DataFrame:
-    """``place`` of each key from 0 in ascending order, by counts of value ranges: one ordered pass over counts only."""
-    cuts = keys.agg(F.percentile_approx(key, F.array(*(F.lit((k + 1) / 64) for k in range(63))), 10_000).alias("_cuts"))
-    ranged = keys.select(key).join(F.broadcast(cuts)).withColumn("_g", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
-    counts = ranged.groupBy("_g").agg(F.count("*").alias("_c"))
-    before = counts.select("_g", F.coalesce(F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ranged.join(F.broadcast(before), "_g").withColumn("place", F.col("_b") + F.row_number().over(Window.partitionBy("_g").orderBy(key)) - 1).drop("_g", "_b")
+    """``place`` of each key from 0 in ascending order; keys of any type that can be ordered."""
+    return ranked(keys.select(key), [key]).select(key, (F.col("rank") - 1).alias("place"))
 
 
 def augmented(gridded: DataFrame, parameters: DataFrame, key: str, rounds: int, params: list[str], seed: int = 42, noise: float = 0.02, jitter: float = 0.02) -> tuple[DataFrame, DataFrame]:

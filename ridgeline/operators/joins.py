@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators.ranges import quantiles, ranked
+from ridgeline.sources.stage import stored
+
 
 def common_keys(tables: list[DataFrame], key: str) -> DataFrame:
     """Distinct keys that all tables have."""
@@ -35,16 +40,9 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def renumbered(keys: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
-    """``number`` from 0 in ``order``; rows are ranked inside ranges of the first order column and offset by range counts."""
-    first = F.col(order[0]).cast("timestamp").cast("double") if dict(keys.dtypes)[order[0]].startswith("timestamp") else F.col(order[0]).cast("double")
-    keyed = keys.withColumn("_v", first)
-    cuts = keyed.agg(F.percentile_approx("_v", F.array(*(F.lit((k + 1) / buckets) for k in range(buckets - 1))), 10_000).alias("_cuts"))
-    ranged = keyed.join(F.broadcast(cuts)).withColumn("_g", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    counts = ranged.groupBy("_g").agg(F.count("*").alias("_c"))
-    before = counts.select("_g", F.coalesce(F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    out = ranged.join(F.broadcast(before), "_g").withColumn("number", F.col("_b") + F.row_number().over(Window.partitionBy("_g").orderBy(*order)) - 1)
-    return out.drop("_v", "_g", "_b")
+def renumbered(keys: DataFrame, order: list[str]) -> DataFrame:
+    """``number`` from 0 in ``order``, of columns of any type that can be ordered."""
+    return ranked(keys, order).withColumn("number", F.col("rank") - 1).drop("rank", "rank_all")
 
 
 def standardised(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -62,21 +60,42 @@ def run_statistics(runs: DataFrame, status: str, runtime: str) -> DataFrame:
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def pair_distances(vectors: DataFrame, spaces: list[str], key: str = "vec_id", blocks: int = 8) -> DataFrame:
+#: Vectors of a block: a task holds two blocks and one column of their distances.
+BLOCK = 1000
+
+
+def pair_distances(vectors: DataFrame, spaces: list[str], key: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """Euclidean distances of all pairs i < j in each of several array columns.
 
-    Rows are dealt to blocks; block pairs (p <= q) are dealt out by an equi-join, so the pairs are spread over
-    blocks (blocks + 1) / 2 keys. All pairs are what the measure asks for; sample first where n is large.
+    Rows are dealt to blocks of about ``block`` rows, each unordered pair of blocks is one group, and a group's distances come
+    from matrix products in Arrow batches. All pairs are what the measure asks for; sample first where n is large.
     """
-    rows = vectors.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    a = rows.select(F.col(key).alias("i"), *(F.col(s).alias(f"a_{s}") for s in spaces), "_p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_q"))
-    b = rows.select(F.col(key).alias("j"), *(F.col(s).alias(f"b_{s}") for s in spaces), F.col("_p").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_p"))
-    distance = lambda s: F.sqrt(F.aggregate(F.zip_with(f"a_{s}", f"b_{s}", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v)).alias(f"d_{s}")
-    return a.join(b, ["_p", "_q"]).where("i < j").select("i", "j", *(distance(s) for s in spaces))
+    blocks = max(1, -(-vectors.count() // block))
+    rows = vectors.select(F.col(key).alias("key"), *spaces, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    dealt = rows.select("*", other).select("*", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    names = ["i", "j", *(f"d_{s}" for s in spaces)]
+
+    def distances(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.own == pdf.p.iloc[0]
+        a, b = pdf[first], pdf if pdf.p.iloc[0] == pdf.q.iloc[0] else pdf[~first]
+        i, j = np.meshgrid(a.key.to_numpy(), b.key.to_numpy(), indexing="ij")
+        keep = i < j if pdf.p.iloc[0] == pdf.q.iloc[0] else i != j
+        out = [np.minimum(i, j)[keep], np.maximum(i, j)[keep]]
+        for s in spaces:
+            x, y = (np.stack(d[s].to_numpy()).astype(float) for d in (a, b))
+            middle = x.mean(0)
+            x, y = x - middle, y - middle
+            out.append(np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))[keep])
+        return pd.DataFrame(dict(zip(names, out, strict=True)))
+
+    kind = dict(vectors.dtypes)[key]
+    return dealt.groupBy("p", "q").applyInPandas(distances, f"i {kind}, j {kind}, " + ", ".join(f"{n} double" for n in names[2:]))
 
 
 def smoothness(pairs: DataFrame, latent: str, curve: str, nearest: float = 0.1) -> DataFrame:
     """Correlation of distances in two spaces, their spread, and 1 / (1 + deviation of curve distances) of the nearest share."""
-    cut = pairs.agg(F.percentile(latent, F.lit(nearest)).alias("_cut"))
+    pairs = stored(pairs.select(latent, curve), "pair-distances")
+    cut = quantiles(pairs, latent, [nearest]).select(F.col("q")[0].alias("_cut"))
     near = F.when(F.col(latent) <= F.col("_cut"), F.col(curve))
     return pairs.join(F.broadcast(cut)).agg(F.corr(latent, curve).alias("correlation"), F.avg(latent).alias("mean_distance"), F.stddev_pop(latent).alias("std_distance"), (1 / (1 + F.stddev_pop(near))).alias("smoothness"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators.ranges import quantiles
 from ridgeline.operators.stats import unpivoted
 
 
@@ -14,9 +15,8 @@ def binned_first_order(df: DataFrame, factors: list[str], qois: list[str], bins:
     Bins lie between quantiles, each without its upper edge, so the largest value is in none; the index is the unweighted
     variance of bin means over the variance. ``valid`` asks for enough rows and a variance.
     """
-    n = len(factors)
-    levels = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    edges = df.agg(*(F.percentile(F.col(f).cast("double"), levels).alias(f"_e{k}") for k, f in enumerate(factors)))
+    q = quantiles(unpivoted(df, factors), "value", [k / bins for k in range(bins + 1)], ["column"])
+    edges = q.agg(*(F.max(F.when(F.col("column") == f, F.col("q"))).alias(f"_e{k}") for k, f in enumerate(factors)))
     rows = df.select(*factors, *qois).join(F.broadcast(edges))
     place = lambda k, f: F.size(F.filter(f"_e{k}", lambda e: e <= F.col(f))) - 1
     each = F.array(*(F.struct(F.lit(f).alias("factor"), place(k, f).alias("bin")) for k, f in enumerate(factors)))

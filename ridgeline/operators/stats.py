@@ -1,14 +1,16 @@
 """Checks and statistics on tables: one pass of aggregates wherever the measure allows it.
 
 Two-pass measures (outliers, exceedance) join the aggregates back as a broadcast one-row table; its size is one row.
+Quantiles, ranks and running shares come from ``ranges``, so no task holds a whole column or group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.normal import normal_quantile
+from ridgeline.operators.ranges import beside, quantiles, ranked, running
 
 
 def unpivoted(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -19,15 +21,16 @@ def unpivoted(df: DataFrame, columns: list[str], keys: list[str] | None = None)
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, minimum, quartiles, maximum of each column."""
-    q = F.percentile("value", F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75)))).alias("_q")
-    out = unpivoted(df, columns).groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q, F.max("value").alias("max"))
+    rows = unpivoted(df, columns)
+    out = rows.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    out = beside(out, quantiles(rows, "value", [0.25, 0.5, 0.75], ["column"], "_q"), ["column"], "left")
     return out.select("column", "count", "mean", "std", "min", *(F.col("_q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))), "max")
 
 
 def qoi_summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Mean, population deviation, coefficient of variation, median, 5th and 95th percentile, extremes."""
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_q")
-    out = df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q, F.min(value).alias("min"), F.max(value).alias("max"))
+    out = df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = beside(out, quantiles(df, value, [0.05, 0.5, 0.95], by, "_q"), by or [], "left")
     return out.select(*(by or []), "n", "mean", "std", F.try_divide("std", F.abs("mean")).alias("cov"), F.col("_q")[1].alias("median"), F.col("_q")[0].alias("p05"), F.col("_q")[2].alias("p95"), "min", "max")
 
 
@@ -77,7 +80,7 @@ def sigma_outliers(df: DataFrame, columns: list[str], k: float = 3.0, log: bool
 
 def iqr_outliers(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     rows = unpivoted(df, columns)
-    q = rows.groupBy("column").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(rows, "value", [0.25, 0.75], ["column"])
     width = F.col("q")[1] - F.col("q")[0]
     out = (F.col("value") < F.col("q")[0] - k * width) | (F.col("value") > F.col("q")[1] + k * width)
     return rows.join(F.broadcast(q), "column").groupBy("column").agg(F.count_if(out).alias("outliers"), F.count("*").alias("n"))
@@ -124,7 +127,9 @@ def curve_metrics(pairs: DataFrame, by: list[str], truth: str = "truth", guess:
 
 def rolled_up(metrics: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Mean, population deviation, extremes and median of metrics over curves."""
-    return unpivoted(metrics, columns, by).groupBy(*(by or []), "column").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.lit(0.5)).alias("median"))
+    rows, groups = unpivoted(metrics, columns, by), [*(by or []), "column"]
+    out = rows.groupBy(*groups).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return beside(out, quantiles(rows, "value", [0.5], groups, "_q"), groups, "left").withColumn("median", F.col("_q")[0]).drop("_q")
 
 
 def model_scores(metrics: DataFrame, model: str = "model", first: str = "r2_first", second: str = "r2_second", ms: str = "ms") -> DataFrame:
@@ -137,49 +142,34 @@ def model_scores(metrics: DataFrame, model: str = "model", first: str = "r2_firs
 
 def extremes(metrics: DataFrame, by: list[str], error: str, key: str) -> DataFrame:
     """The best, the median and the worst row of each group by error, ties by key."""
-    order, whole = Window.partitionBy(*by).orderBy(error, key), Window.partitionBy(*by)
-    ranked = metrics.withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count("*").over(whole))
-    place = F.when(F.col("_k") == 1, "best").when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, "median").when(F.col("_k") == F.col("_n"), "worst")
-    return ranked.withColumn("place", place).where("place IS NOT NULL").drop("_k", "_n")
+    rows = ranked(metrics, [error, key], by)
+    place = F.when(F.col("rank") == 1, "best").when(F.col("rank") == F.floor(F.col("rank_all") / 2) + 1, "median").when(F.col("rank") == F.col("rank_all"), "worst")
+    return rows.withColumn("place", place).where("place IS NOT NULL").drop("rank", "rank_all")
 
 
 def ks_two_sample(one: DataFrame, two: DataFrame, value: str) -> DataFrame:
-    """The two-sample Kolmogorov-Smirnov statistic and its asymptotic p value.
-
-    Counts by distinct value come first; running counts then need one ordered pass. That pass is over value ranges: each
-    of up to ``RANGES`` ranges starts from the counts before it, so no task sorts the whole sample.
-    """
+    """The two-sample Kolmogorov-Smirnov statistic and its asymptotic p value, from running counts by distinct value."""
     marked = one.select(F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(two.select(F.col(value), F.lit(0), F.lit(1))).where("v IS NOT NULL")
     counts = marked.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    cuts = counts.agg(F.percentile_approx("v", F.array(*(F.lit((k + 1) / RANGES) for k in range(RANGES - 1))), 10_000).alias("_cuts"))
-    ranged = counts.join(F.broadcast(cuts)).withColumn("_g", F.size(F.filter("_cuts", lambda c: c < F.col("v")))).drop("_cuts")
-    sums = ranged.groupBy("_g").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
-    back = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    start = sums.select("_g", F.coalesce(F.sum("_a").over(back), F.lit(0)).alias("_a0"), F.coalesce(F.sum("_b").over(back), F.lit(0)).alias("_b0"))
-    total = sums.agg(F.sum("_a").alias("na"), F.sum("_b").alias("nb"))
-    run = Window.partitionBy("_g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs((F.col("_a0") + F.sum("a").over(run)) / F.col("na") - (F.col("_b0") + F.sum("b").over(run)) / F.col("nb"))
-    d = ranged.join(F.broadcast(start), "_g").join(F.broadcast(total)).select(gap.alias("_d"), "na", "nb").agg(F.max("_d").alias("ks"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    at = running(counts, ["v"], na=F.col("a"), nb=F.col("b"))
+    gap = F.abs(F.col("na") / F.col("na_all") - F.col("nb") / F.col("nb_all"))
+    d = at.agg(F.max(gap).alias("ks"), F.max("na_all").alias("na"), F.max("nb_all").alias("nb"))
     n = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
     z = (n + 0.12 + 0.11 / n) * F.col("ks")
     series = sum(((2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * z * z) for k in range(1, 101)), F.lit(0.0))
     return d.withColumn("p", F.when(z < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0))))
 
 
-RANGES = 64
-
-
 def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Each distinct value with the share of its group at or under it."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    run, whole = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    return counts.select(*by, value, (F.sum("_n").over(run) / F.sum("_n").over(whole)).alias("share"))
+    return running(counts, [value], by, _upto=F.col("_n")).select(*by, value, (F.col("_upto") / F.col("_upto_all")).alias("share"))
 
 
 def qq_pairs(one: DataFrame, two: DataFrame, value: str, n: int) -> DataFrame:
     """``n`` matching quantiles of two samples, from 0 to 1."""
-    levels = F.array(*(F.lit(k / (n - 1)) for k in range(n)))
-    a, b = (d.agg(F.percentile(value, levels).alias("q")).select(F.posexplode("q").alias("k", c)) for d, c in ((one, "a"), (two, "b")))
+    levels = [k / (n - 1) for k in range(n)]
+    a, b = (quantiles(d, value, levels).select(F.posexplode("q").alias("k", c)) for d, c in ((one, "a"), (two, "b")))
     return a.join(b, "k")
 
 
@@ -214,7 +204,7 @@ def drift(before: DataFrame, after: DataFrame, columns: list[str], low: float =
 def qq_normal(df: DataFrame, value: str, n: int = 99) -> DataFrame:
     """``n`` sample quantiles at (k + 0.5) / n against standard normal ones, with the line through them."""
     levels = [(k + 0.5) / n for k in range(n)]
-    q = df.agg(F.percentile(value, F.array(*(F.lit(p) for p in levels))).alias("q")).select(F.posexplode("q").alias("k", "sample"))
+    q = quantiles(df, value, levels).select(F.posexplode("q").alias("k", "sample"))
     pairs = q.withColumn("normal", normal_quantile((F.col("k") + 0.5) / n))
     line = pairs.agg(F.regr_slope("sample", "normal").alias("slope"), F.regr_intercept("sample", "normal").alias("intercept"))
     return pairs.join(F.broadcast(line)).withColumn("line", F.col("intercept") + F.col("slope") * F.col("normal"))

@@ -74,11 +74,12 @@ def curve_arc_resample(spark, sf):
     return out.select("curve_id", "i", F.round("s", 6).alias("s"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query(f"""WITH {GRIDDED_SQL}, n AS (SELECT max(curve_id) + 1 AS n FROM gridded)
-    SELECT g.curve_id, g.i, (g.curve_id + 1) % n AS partner, round(g.y + 0.25 * (o.y - g.y), 6) AS y FROM gridded g, n JOIN gridded o ON o.i = g.i AND o.curve_id = (g.curve_id + 1) % n""")
+@query(f"""WITH {GRIDDED_SQL}, pl AS (SELECT curve_id, row_number() OVER (ORDER BY curve_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT curve_id FROM gridded)),
+    pairs AS (SELECT a.curve_id, b.curve_id AS partner FROM pl a JOIN pl b ON b.place = (a.place + 1) % a.n)
+    SELECT g.curve_id, g.i, partner, round(g.y + 0.25 * (o.y - g.y), 6) AS y FROM gridded g JOIN pairs USING (curve_id) JOIN gridded o ON o.i = g.i AND o.curve_id = partner""")
 def curve_mix(spark, sf):
     g = gridded(spark, sf)
-    # by place, so that every curve has a partner whatever ids are missing; without gaps from 0 on this is the SQL's id + 1
+    # by place, so that every curve has a partner whatever ids are missing
     places = numbered(curves(spark, sf).select("curve_id").distinct(), "curve_id")
     n = places.count() or 1
     after = places.select(F.col("curve_id").alias("partner"), ((F.col("place") + n - 1) % n).alias("place"))

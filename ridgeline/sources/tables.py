@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,9 +49,11 @@ def read_keys(spark: SparkSession, path: str, key: str = "job") -> DataFrame:
 
 def read_doc(spark: SparkSession, path: str, schema: str, default: dict | None = None) -> DataFrame:
     """A JSON document; where there is none, one row of defaults."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    try:
         return spark.read.schema(schema).option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     return spark.createDataFrame([default or {}], schema)
 
 
