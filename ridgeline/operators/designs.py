@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.normal import normal_quantile
-from ridgeline.functions.scalars import clamp
+from ridgeline.functions.scalars import clamp, job_key
 from ridgeline.operators.ranges import ranked
+from ridgeline.sources.stage import stored
 
 #: Joe and Kuo (2008), the first dimensions: degree, coefficient, initial odd numbers.
 JOE_KUO = [(1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3]), (4, 4, [1, 3, 5, 13]), (5, 2, [1, 1, 5, 5, 17])]
@@ -158,24 +161,50 @@ def numbered(keys: DataFrame, key: str) -> DataFrame:
     return ranked(keys.select(key), [key]).select(key, (F.col("rank") - 1).alias("place"))
 
 
-def augmented(gridded: DataFrame, parameters: DataFrame, key: str, rounds: int, params: list[str], seed: int = 42, noise: float = 0.02, jitter: float = 0.02) -> tuple[DataFrame, DataFrame]:
-    """Augmentation rounds: curves mixed with a random partner's plus noise scaled by the peak; parameters mixed alike, then
-    jittered and floored at zero. Returns curves (key, round, i, y) and parameters (key, round, ...); round 0 is the original."""
-    places = numbered(parameters.select(key).distinct(), key)
+def augmentation(gridded: DataFrame, parameters: DataFrame, key: str, rounds: int, params: list[str], derived: dict[str, Column] | None = None, seed: int = 42, noise: float = 0.02, jitter: float = 0.02, shares: tuple[float, float] = (0.0, 1.0), least: float = 1e-6, low: float | None = None, high: float | None = None, draw: Callable[..., Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Augmentation rounds over keys of any type, re-keyed.
+
+    In each round every curve is mixed with another one's, ``shares`` of the way, and gets noise scaled by its peak; its
+    parameters are mixed alike, jittered and kept at ``least`` or more, and columns in ``derived`` are computed from the new ones.
+    Round 0 is the original. Returns curves (key, round, number, job_aug, i, y), clamped to ``low`` and ``high``, and parameters
+    (key, round, number, job_aug, ...); numbers go on from round to round in the order of keys. ``draw`` gives a uniform column
+    from a name and columns; by default a hash.
+    """
+    draw = draw or (lambda name, *of: uniform(seed, F.lit(name), *of))
+    places = stored(numbered(parameters.select(key).distinct(), key), "places")
     n = places.count()
-    pairs = None
-    for r in range(1, rounds + 1):
-        one = partners(places, key, seed + r, n).withColumn("round", F.lit(r)).withColumn("alpha", uniform(seed + r, F.col(key), F.lit("alpha")))
-        pairs = one if pairs is None else pairs.unionByName(one)
+    turns = places.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    shift = F.least(1 + F.floor(draw("partner", F.col("place"), F.col("round")) * (n - 1)), F.lit(max(1, n - 1)))
+    alpha = shares[0] + (shares[1] - shares[0]) * draw("alpha", F.col("place"), F.col("round"))
+    turns = turns.select(key, "place", "round", alpha.alias("alpha"), F.pmod(F.col("place") + shift, F.lit(max(1, n))).alias("_to"))
+    pairs = stored(turns.join(places.select(F.col("place").alias("_to"), F.col(key).alias("partner")), "_to").drop("_to"), "partners")
+
+    def told(df: DataFrame, *columns: Column | str) -> DataFrame:
+        number = F.col("round") * n + F.col("place")
+        return df.select(key, "round", number.alias("number"), job_key(number).alias("job_aug"), *columns)
+
+    normal = lambda name, *of: normal_quantile(draw(name, F.col("place"), F.col("round"), *of)) if noise or jitter else F.lit(0.0)
     other = gridded.select(F.col(key).alias("partner"), "i", F.col("y").alias("_o"))
-    peak = gridded.groupBy(key).agg(F.max(F.abs("y")).alias("_peak"))
-    curves = gridded.join(pairs, key).join(other, ["partner", "i"]).join(peak, key)
-    curves = curves.select(key, "round", "i", (F.col("y") + F.col("alpha") * (F.col("_o") - F.col("y")) + noise * F.col("_peak") * gaussian(seed, F.col(key), F.col("round"), F.col("i"))).alias("y"))
+    mixed = gridded.select(key, "i", "y").join(pairs, key).join(other, ["partner", "i"])
+    if noise:
+        mixed = mixed.join(gridded.groupBy(key).agg(F.max(F.abs("y")).alias("_peak")), key)
+    y = F.col("y") + F.col("alpha") * (F.col("_o") - F.col("y")) + (noise * F.col("_peak") * normal("y", F.col("i")) if noise else F.lit(0.0))
+    y = y if low is None and high is None else clamp(y, low if low is not None else float("-inf"), high if high is not None else float("inf"))
+    own = gridded.select(key, "i", "y").join(places, key).withColumn("round", F.lit(0))
+    curves = told(own, "i", "y").unionByName(told(mixed, "i", y.alias("y")))
+
     theirs = parameters.select(F.col(key).alias("partner"), *(F.col(p).alias(f"_{p}") for p in params))
-    mixed = parameters.join(pairs, key).join(theirs, "partner")
-    mixed = mixed.select(key, "round", *(F.greatest((F.col(p) + F.col("alpha") * (F.col(f"_{p}") - F.col(p))) * (1 + jitter * gaussian(seed, F.col(key), F.col("round"), F.lit(p))), F.lit(0.0)).alias(p) for p in params))
-    own = gridded.select(key, F.lit(0).alias("round"), "i", "y"), parameters.select(key, F.lit(0).alias("round"), *params)
-    return own[0].unionByName(curves), own[1].unionByName(mixed)
+    both = parameters.select(key, *params).join(pairs, key).join(theirs, "partner")
+    value = lambda p: F.col(p) + F.col("alpha") * (F.col(f"_{p}") - F.col(p))
+    new = told(both, *(F.greatest(value(p) * (1 + jitter * normal(p)) if jitter else value(p), F.lit(least)).alias(p) for p in params))
+    every = told(parameters.select(key, *params).join(places, key).withColumn("round", F.lit(0)), *params).unionByName(new)
+    return curves, every.withColumns(derived) if derived else every
+
+
+def augmented(gridded: DataFrame, parameters: DataFrame, key: str, rounds: int, params: list[str], seed: int = 42, noise: float = 0.02, jitter: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """``augmentation`` under the original keys: curves (key, round, i, y) and parameters (key, round, ...)."""
+    curves, every = augmentation(gridded, parameters, key, rounds, params, None, seed, noise, jitter)
+    return curves.drop("number", "job_aug"), every.drop("number", "job_aug")
 
 
 def hash_ranked(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -1,7 +1,8 @@
 """Gaussian process regression with landmarks (projected process), one process for each target component.
 
 With m landmarks a fit is sums of m x m and m-vectors over rows, taken on Spark; with all rows as landmarks it is the
-exact posterior. Length scales, noise and amplitude come from a grid, by the marginal likelihood on a bounded sample.
+exact posterior. Length scales, one for each feature, noise and amplitude are those of the largest marginal likelihood on a
+bounded sample: the best single length from a grid, then one feature's length after another (automatic relevance).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ from ridgeline.sources.tables import with_arrays
 #: Landmarks, and rows on which hyper-parameters are compared.
 MOST_LANDMARKS, MOST_TUNING = 512, 400
 LENGTHS, NOISES = (0.3, 0.6, 1.0, 2.0, 4.0), (1e-4, 1e-2, 1e-1, 0.5)
+#: Factors by which a feature's length is tried, and turns over all features.
+FACTORS, TURNS = (0.4, 0.7, 1.5, 3.0, 8.0), 2
+#: Partial sums that are added up before those of all partitions meet.
+BUCKETS = 32
 
 
 def kernel(a: np.ndarray, b: np.ndarray, length: float | np.ndarray, kind: str = "rbf") -> np.ndarray:
@@ -33,7 +39,7 @@ def kernel(a: np.ndarray, b: np.ndarray, length: float | np.ndarray, kind: str =
     raise ValueError(f"unknown kernel {kind}")
 
 
-def evidence(x: np.ndarray, y: np.ndarray, length: float, noise: float, kind: str) -> float:
+def evidence(x: np.ndarray, y: np.ndarray, length: float | np.ndarray, noise: float, kind: str) -> float:
     """Log marginal likelihood with the amplitude at its best."""
     n = len(x)
     low = np.linalg.cholesky(kernel(x, x, length, kind) + (noise + 1e-8) * np.eye(n))
@@ -63,7 +69,7 @@ class Process:
         return np.stack(means, 1), np.stack(stds, 1)
 
 
-def fit(rows: DataFrame, features: list[str], target: str, key: str, kind: str = "rbf", landmarks: int = 256, seed: int = 7) -> Process:
+def fit(rows: DataFrame, features: list[str], target: str, key: str, kind: str = "rbf", landmarks: int = MOST_LANDMARKS, seed: int = 7) -> Process:
     """``target`` is an array column with an entry for each component."""
     rows = rows.select(F.col(key).alias("key"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"), F.col(target).cast("array<double>").alias("y"))
     n_out = rows.select(F.max(F.size("y"))).first()[0]
@@ -94,13 +100,17 @@ def fit(rows: DataFrame, features: list[str], target: str, key: str, kind: str =
                     now.append(np.concatenate([(k @ k.T).reshape(-1), k @ t[:, j], [t[:, j] @ t[:, j], len(f)]]))
                 sums = now if sums is None else [u + v for u, v in zip(sums, now, strict=True)]
         if sums is not None:
-            yield pd.DataFrame({"component": np.arange(len(sums)), "sums": sums})
+            yield pd.DataFrame({"component": np.arange(len(sums)), "bucket": TaskContext.get().partitionId() % BUCKETS, "sums": sums})
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"component": [f.component.iloc[0]], "sums": [np.sum(np.stack(f.sums.to_numpy()), 0)]})
-
-    schema, parts, m = "component int, sums array<double>", [], len(marks)
-    for r in rows.mapInPandas(part, schema).groupBy("component").applyInPandas(add, schema).orderBy("component").collect():
+        total = f.sums.iloc[0].copy()
+        for s in f.sums.iloc[1:]:
+            total += s
+        return pd.DataFrame({"component": [f.component.iloc[0]], "bucket": [f.bucket.iloc[0]], "sums": [total]})
+
+    schema, parts, m = "component int, bucket int, sums array<double>", [], len(marks)
+    some = rows.mapInPandas(part, schema).groupBy("component", "bucket").applyInPandas(add, schema)
+    for r in some.groupBy("component").applyInPandas(add, schema).orderBy("component").collect():
         s = np.array(r.sums)
         length, noise = best[r.component]
         kk, ky, yy, n = s[: m * m].reshape(m, m), s[m * m : m * m + m], s[-2], s[-1]
@@ -115,8 +125,9 @@ def fit(rows: DataFrame, features: list[str], target: str, key: str, kind: str =
     return Process(mean, std, marks, kind, parts)
 
 
-def tuned(rows: DataFrame, x: np.ndarray, y: np.ndarray, kind: str) -> list[tuple[float, float]]:
-    """The best (length, noise) of each component: candidates x components as the rows of one job."""
+def tuned(rows: DataFrame, x: np.ndarray, y: np.ndarray, kind: str) -> list[tuple[np.ndarray, float]]:
+    """The best (lengths by feature, noise) of each component: candidates x components as the rows of one job, then one row
+    for each component that goes over the features."""
     spark = rows.sparkSession
     kept = spark.sparkContext.broadcast((x, y))
     cells = [(j, float(length), float(noise)) for j in range(y.shape[1]) for length, noise in itertools.product(LENGTHS, NOISES)]
@@ -127,9 +138,27 @@ def tuned(rows: DataFrame, x: np.ndarray, y: np.ndarray, kind: str) -> list[tupl
             f["evidence"] = [evidence(a, t[:, j], length, noise, kind) for j, length, noise in zip(f.component, f.length, f.noise, strict=True)]
             yield f
 
+    def by_feature(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, t = kept.value
+        for f in frames:
+            found = []
+            for j, length, noise in zip(f.component, f.length, f.noise, strict=True):
+                best = np.full(a.shape[1], length)
+                top = evidence(a, t[:, j], best, noise, kind)
+                for _ in range(TURNS if a.shape[1] > 1 else 0):
+                    for d, factor in itertools.product(range(a.shape[1]), FACTORS):
+                        new = best.copy()
+                        new[d] *= factor
+                        if (now := evidence(a, t[:, j], new, noise, kind)) > top:
+                            best, top = new, now
+                found.append(best)
+            f["lengths"] = found
+            yield f[["component", "lengths", "noise"]]
+
     grid = spark.createDataFrame(cells, "component int, length double, noise double").repartition(8)
     best = grid.mapInPandas(judge, "component int, length double, noise double, evidence double").groupBy("component").agg(F.max_by(F.struct("length", "noise"), F.struct("evidence", "length", "noise")).alias("b"))
-    return [(r.b.length, r.b.noise) for r in best.orderBy("component").collect()]
+    best = best.select("component", "b.length", "b.noise").mapInPandas(by_feature, "component int, lengths array<double>, noise double")
+    return [(np.array(r.lengths), r.noise) for r in best.orderBy("component").collect()]
 
 
 def predict(rows: DataFrame, model: Process, features: list[str], mean: str = "mean", std: str = "std") -> DataFrame:

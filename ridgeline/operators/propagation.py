@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.operators.designs import clipped_normal, gaussian
+from ridgeline.operators.designs import clipped_normal
 from ridgeline.operators.gp import Process
 from ridgeline.sources.tables import with_arrays
 
@@ -68,25 +68,41 @@ def draws(rows: DataFrame, key: str, inputs: dict[str, tuple[float, float, float
     return rows.select(key, *(clipped_normal(seed, m, s, lo, hi, F.col(key), F.lit(name)).alias(name) for name, (m, s, lo, hi) in inputs.items()))
 
 
-def propagated(inputs: DataFrame, key: str, model: Surrogate, replicates: int, seed: int = 42, amplify: float = 1.0, least: float = 0.01, noise: float = 0.0, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Monte-Carlo propagation: (key, rep, features, y, peak, final).
+def splitmix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64 (Steele, Lea, Flood, 2014)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def normals(keys: np.ndarray, *shape: int) -> np.ndarray:
+    """Standard normals, keys x shape: hashes of (key, place) made uniform, by the polar form of pairs."""
+    n = int(np.prod(shape))
+    with np.errstate(over="ignore"):
+        places = splitmix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        h = splitmix(keys.astype(np.int64).view(np.uint64)[:, None] + places)
+    u = ((h >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+    return (np.sqrt(-2 * np.log(u[:, :n])) * np.cos(2 * np.pi * u[:, n:])).reshape(len(keys), *shape)
+
+
+def propagated(inputs: DataFrame, key: str, model: Surrogate, replicates: int, seed: int = 42, amplify: float = 1.0, least: float = 0.01, noise: float = 0.0, low: float | None = None, high: float | None = None, curves: bool = False) -> DataFrame:
+    """Monte-Carlo propagation: (key, rep, features, peak, final), and the curve y if ``curves``.
 
     Every draw is scored once; its replicates sample the latent scores N(mean, max(amplify x std, least)). Latent normals
     are hashes of (seed, key, rep, component), so results don't depend on partitions. A curve that isn't finite has null
     quantities.
     """
     k = len(model.process.parts)
-    reps = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.array(*(gaussian(seed, F.col(key), r, F.lit(j)) for j in range(k + 1))))
     kept = inputs.sparkSession.sparkContext.broadcast(model)
     features = model.features
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = kept.value
         for f in frames:
-            for at in range(0, len(f), 256):
-                g = f.iloc[at : at + 256]
+            for at in range(0, len(f), 2048):
+                g = f.iloc[at : at + 2048]
                 mean, std = m.process.predict(g[features].to_numpy(float))
-                z = np.array([[list(r) for r in row] for row in g["_z"]])
+                z = normals(g["_hash"].to_numpy(), replicates, k + 1)
                 scores = mean[:, None] + np.maximum(amplify * std, least)[:, None] * z[:, :, :k]
                 y = m.curves(scores.reshape(-1, k)) * (1 + noise * z[:, :, k].reshape(-1, 1))
                 if low is not None or high is not None:
@@ -94,12 +110,14 @@ def propagated(inputs: DataFrame, key: str, model: Surrogate, replicates: int, s
                 out = g.loc[g.index.repeat(replicates), [key, *features]].reset_index(drop=True)
                 good = np.isfinite(y).all(1)
                 out["rep"] = np.tile(np.arange(1, replicates + 1), len(g)).astype(np.int32)
-                out["y"], out["peak"], out["final"] = list(y), np.where(good, y.max(1), np.nan), np.where(good, y[:, -1], np.nan)
+                if curves:
+                    out["y"] = list(y)
+                out["peak"], out["final"] = np.where(good, y.max(1), np.nan), np.where(good, y[:, -1], np.nan)
                 yield out
 
     kind = dict(inputs.dtypes)[key]
-    schema = f"{key} {kind}, " + ", ".join(f"{x} double" for x in features) + ", rep int, y array<double>, peak double, final double"
-    out = inputs.select(key, *(F.col(x).cast("double").alias(x) for x in features), reps.alias("_z")).mapInPandas(run, schema)
+    schema = f"{key} {kind}, " + ", ".join(f"{x} double" for x in features) + ", rep int, " + ("y array<double>, " if curves else "") + "peak double, final double"
+    out = inputs.select(key, *(F.col(x).cast("double").alias(x) for x in features), F.xxhash64(F.lit(seed), key).alias("_hash")).mapInPandas(run, schema)
     return out.select(*(F.nanvl(c, F.lit(None)).alias(c) if c in ("peak", "final") else F.col(c) for c in out.columns))
 
 

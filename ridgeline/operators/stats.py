@@ -109,6 +109,13 @@ def exceedance(df: DataFrame, low: str, high: str, k: float = 2.0, low_factor: f
     return rows.agg(F.first("low_limit").alias("low_limit"), F.first("high_limit").alias("high_limit"), share(under).alias("p_low"), share(over).alias("p_high"), share(under | over).alias("p_any"))
 
 
+def exceedance_of(df: DataFrame, low: str, high: str, low_limit: float, high_limit: float) -> DataFrame:
+    """The same shares for limits that are given."""
+    under, over = F.col(low) < low_limit, F.col(high) > high_limit
+    share = lambda c: F.avg(c.cast("double"))
+    return df.agg(F.lit(float(low_limit)).alias("low_limit"), F.lit(float(high_limit)).alias("high_limit"), share(under).alias("p_low"), share(over).alias("p_high"), share(under | over).alias("p_any"))
+
+
 def curve_metrics(pairs: DataFrame, by: list[str], truth: str = "truth", guess: str = "guess") -> DataFrame:
     """Errors of predicted curves in long form: RMSE, MAE, R2, range-normalised RMSE, peak errors, largest gap."""
     t, g = F.col(truth), F.col(guess)

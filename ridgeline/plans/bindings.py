@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.operators import curves as C
+from ridgeline.sources.stage import stored
 
 #: The shared grid, in hours from the start of 2024.
 GRID_LOW, GRID_HIGH, GRID_N = 0.0, 720.0, 200
@@ -26,8 +27,9 @@ def grid_place():
 
 
 def gridded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves on the grid, written once: most queries read them in several branches."""
     rows = C.keep_last(curves(spark, sf_dir), ["curve_id", "x"], ["ord"])
-    return C.on_grid(rows, grid_place(), GRID_N)
+    return stored(C.on_grid(rows, grid_place(), GRID_N), "gridded")
 
 
 CURVES_SQL = "curves AS (SELECT user_id AS curve_id, event_id AS ord, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS x, value AS y, event_type FROM events)"

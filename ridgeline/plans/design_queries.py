@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ridgeline.functions import scalars
 from ridgeline.operators import curves as C
 from ridgeline.operators import designs as D
 from ridgeline.operators import joins, sensitivity
-from ridgeline.plans.bindings import gridded, table
+from ridgeline.plans.bindings import GRIDDED_SQL, gridded, table
 from ridgeline.plans.registry import query, rounded
 
 
@@ -113,13 +114,43 @@ def pairwise_smoothness(spark, sf):
     return rounded(joins.smoothness(pairs, "d_latent", "d_curve"))
 
 
-@query()
+def augmentation_inputs(spark, sf):
+    """Curves on the grid and their parameters under keys like sample_007."""
+    g = gridded(spark, sf).select(scalars.job_key(F.col("curve_id")).alias("job"), "curve_id", "i", "y")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("curve_id"), (F.greatest(F.col("c_acctbal"), F.lit(0.0)) / 300 + 8).alias("fc"), (F.col("c_nationkey") * 2.0 + 10).alias("cover"))
+    parameters = g.select("job", "curve_id").distinct().join(c, "curve_id").drop("curve_id")
+    return g.join(parameters.select("job"), "job", "left_semi").drop("curve_id"), parameters
+
+
+def counted(name, place, turn, *_):
+    """A uniform number from integers, which SQL can state: by place, round and purpose."""
+    return ((place * 7919 + turn * 104729 + {"partner": 1, "alpha": 2}[name] * 1299709) % 1009 + 0.5) / 1009.0
+
+
+@query(f"""WITH {GRIDDED_SQL}, par AS (SELECT printf('sample_%03d', c_custkey) AS job, greatest(c_acctbal, 0) / 300 + 8 AS fc, c_nationkey * 2.0::DOUBLE + 10 AS cover FROM customer WHERE c_custkey IN (SELECT curve_id FROM gridded)),
+    g AS (SELECT printf('sample_%03d', curve_id) AS job, i, y FROM gridded WHERE curve_id IN (SELECT c_custkey FROM customer)),
+    pl AS (SELECT *, row_number() OVER (ORDER BY job) - 1 AS place, count(*) OVER () AS n FROM par),
+    d AS (SELECT pl.*, r, ((place * 7919 + r * 104729 + 1299709) % 1009 + 0.5) / 1009.0::DOUBLE AS u, ((place * 7919 + r * 104729 + 2599418) % 1009 + 0.5) / 1009.0::DOUBLE AS v FROM pl, range(1, 3) t(r)),
+    pairs AS (SELECT d.job, d.place, d.n, d.r, 0.2 + 0.6 * d.v AS alpha, d.fc, d.cover, o.job AS partner, o.fc AS ofc, o.cover AS ocover FROM d JOIN pl o ON o.place = (d.place + least(1 + floor(d.u * (d.n - 1))::BIGINT, greatest(d.n - 1, 1))) % d.n),
+    c AS (SELECT job, 0 AS r, i, y FROM g UNION ALL SELECT p.job, p.r, a.i, least(greatest(a.y + p.alpha * (b.y - a.y), 0), 400) FROM pairs p JOIN g a ON a.job = p.job JOIN g b ON b.job = p.partner AND b.i = a.i),
+    q AS (SELECT job, 0 AS r, place AS number, fc, cover FROM pl UNION ALL SELECT job, r, r * n + place, greatest(fc + alpha * (ofc - fc), 1e-6), greatest(cover + alpha * (ocover - cover), 1e-6) FROM pairs)
+    SELECT job, r::INTEGER AS round, number::BIGINT AS number, printf('sample_%03d', number) AS job_aug, count(*) AS n, round(min(y), 6) AS low, round(max(y), 6) AS peak, round(avg(y), 6) AS mean, round(fc, 6) AS fc, round(cover, 6) AS cover, round(22000.0 * pow(fc / 10.0, 0.3), 4) AS stiffness
+    FROM q JOIN c USING (job, r) GROUP BY job, r, number, fc, cover""")
 def augment_curves(spark, sf):
-    """Curves and one more round of each: key, round, points, largest value."""
-    g = gridded(spark, sf).withColumnRenamed("curve_id", "key")
-    parameters = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal").join(g.select("key").distinct(), "key", "left_semi")
-    curves, _ = D.augmented(g, parameters, "key", 2, ["c_acctbal"])
-    return rounded(curves.groupBy("key", "round").agg(F.count("*").alias("n"), F.max("y").alias("peak")))
+    """The whole job without noise: mixed and clamped curves, mixed parameters, the stiffness computed from the new strength, new keys."""
+    g, parameters = augmentation_inputs(spark, sf)
+    curves, every = D.augmentation(g, parameters, "job", 2, ["fc", "cover"], {"stiffness": scalars.stiffness(F.col("fc"))}, noise=0.0, jitter=0.0, shares=(0.2, 0.8), low=0.0, high=400.0, draw=counted)
+    per = curves.groupBy("job", "round").agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("peak"), F.avg("y").alias("mean"))
+    out = every.join(per, ["job", "round"])
+    return rounded(out.withColumn("stiffness", F.round("stiffness", 4)), "stiffness")
+
+
+@query()
+def augment_noisy(spark, sf):
+    """Three rounds with noise and jitter: key, round, points, largest value, parameters."""
+    g, parameters = augmentation_inputs(spark, sf)
+    curves, every = D.augmentation(g, parameters, "job", 3, ["fc", "cover"], {"stiffness": scalars.stiffness(F.col("fc"))}, low=0.0)
+    return rounded(every.join(curves.groupBy("job_aug").agg(F.count("*").alias("n"), F.max("y").alias("peak")), "job_aug"), digits=4)
 
 
 @query()

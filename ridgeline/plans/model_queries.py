@@ -12,15 +12,16 @@ from ridgeline.operators import propagation as mc
 from ridgeline.plans.bindings import gridded, table
 from ridgeline.plans.curve_queries import vectors
 from ridgeline.plans.registry import query, rounded
+from ridgeline.sources.stage import stored
 
 
 def ensemble(spark, sf):
-    """Monotone responses of all curves on the grid, with their parameters."""
+    """Monotone responses of all curves on the grid, as shares of their totals, with the totals and parameters; written once."""
     arrays = curves.to_arrays(gridded(spark, sf))
     total = F.aggregate("y", F.lit(0.0), lambda a, v: a + F.greatest(v, F.lit(0.0)))
     rise = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.aggregate(F.slice("y", 1, k * 10), F.lit(0.0), lambda a, v: a + F.greatest(v, F.lit(0.0))) / total)
     inputs = table(spark, sf, "customer").select(F.col("c_custkey").alias("curve_id"), F.col("c_acctbal").alias("p1"), F.col("c_nationkey").cast("double").alias("p2"))
-    return arrays.select("curve_id", rise.alias("y")).join(inputs, "curve_id")
+    return stored(arrays.select("curve_id", rise.alias("y"), total.alias("total")).join(inputs, "curve_id"), "ensemble")
 
 
 @query()
@@ -43,19 +44,37 @@ def pca_reconstruct(spark, sf):
     return out.select("curve_id", (F.array_max(F.zip_with("y", "rebuilt", lambda a, b: F.abs(a - b))) < 1e-8).alias("exact"))
 
 
+FEATURES = ["p1", "p2"]
+
+
+def pca_surrogate(rows, k=3):
+    model = pca.fit(rows, k)
+    return mc.Surrogate(gp.fit(pca.project(rows, model), FEATURES, "scores", "curve_id"), FEATURES, mc.pca_decoder(model.mean, model.vectors))
+
+
+def autoencoder_surrogate(rows, k=3):
+    """The monotone decoder of shares; processes from the parameters to the codes."""
+    net, _ = autoencoder.fit(rows, k, monotone=True)
+    return mc.Surrogate(gp.fit(autoencoder.encoded(rows, net), FEATURES, "code", "curve_id"), FEATURES, net.decode)
+
+
+def shape_scale_surrogate(rows, k=3):
+    """Components of the shape (a curve over its largest value) and the logarithm of the scale."""
+    shaped = rows.withColumn("scale", F.greatest(F.array_max("y"), F.lit(1e-12))).withColumn("y", F.transform("y", lambda v: v / F.col("scale")))
+    model = pca.fit(shaped, k)
+    scored = pca.project(shaped, model).withColumn("scores", F.concat("scores", F.array(F.ln("scale"))))
+    return mc.Surrogate(gp.fit(scored, FEATURES, "scores", "curve_id"), FEATURES, mc.pca_decoder(model.mean, model.vectors), scale_last=True)
+
+
 def surrogate(spark, sf):
-    rows = ensemble(spark, sf)
-    model = pca.fit(rows, 3)
-    process = gp.fit(pca.project(rows, model), ["p1", "p2"], "scores", "curve_id", landmarks=64)
-    return mc.Surrogate(process, ["p1", "p2"], mc.pca_decoder(model.mean, model.vectors))
+    return pca_surrogate(ensemble(spark, sf))
 
 
 @query()
 def gp_predict(spark, sf):
     rows = ensemble(spark, sf)
-    model = pca.fit(rows, 3)
-    scored = pca.project(rows, model)
-    out = gp.predict(scored, gp.fit(scored, ["p1", "p2"], "scores", "curve_id", landmarks=64), ["p1", "p2"])
+    scored = stored(pca.project(rows, pca.fit(rows, 3)), "scores")
+    out = gp.predict(scored, gp.fit(scored, FEATURES, "scores", "curve_id"), FEATURES)
     return rounded(out.select("curve_id", F.col("mean")[0].alias("mean"), F.col("std")[0].alias("std")))
 
 
@@ -67,21 +86,67 @@ def surrogate_score(spark, sf):
     return rounded(out.select("c_custkey", F.element_at("y", -1).alias("final"), F.array_max("spread").alias("spread")))
 
 
+@query()
+def surrogate_comparison(spark, sf):
+    """Three surrogates through one interface: errors on held-out curves (a fifth, by hash) in curves, and the best one's mark."""
+    rows = ensemble(spark, sf).withColumn("y", F.transform("y", lambda v: v * F.col("total")))
+    held = F.pmod(F.xxhash64(F.lit(11), "curve_id"), F.lit(5)) == 0
+    train, test, out = stored(rows.where(~held), "train"), rows.where(held), None
+    top = train.agg(F.max(F.array_max("y"))).first()[0] or 1.0
+    shares = train.withColumn("y", F.transform("y", lambda v: v / F.col("total")))
+    for name, model, scale in (("pca", pca_surrogate(train), F.lit(1.0)), ("autoencoder", autoencoder_surrogate(shares), F.col("total")), ("shape_scale", shape_scale_surrogate(train), F.lit(1.0))):
+        pairs = mc.score(test, model, "guess", "spread").select("curve_id", scale.alias("by"), F.explode(F.arrays_zip("y", "guess")).alias("v"))
+        one = stats.curve_metrics(pairs.select("curve_id", F.col("v.y").alias("truth"), (F.col("v.guess") * F.col("by")).alias("guess")), ["curve_id"]).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    rolled = out.groupBy("model").agg(F.count("*").alias("curves"), F.avg("rmse").alias("rmse"), (F.avg("rmse") / top).alias("nrmse"), F.avg("r2").alias("r2"), F.min("r2").alias("worst_r2"))
+    best = rolled.agg(F.min_by("model", "rmse").alias("b"))
+    return rounded(rolled.join(F.broadcast(best)).withColumn("best", F.col("model") == F.col("b")).drop("b"))
+
+
+def priors(rows, key):
+    return mc.draws(rows, key, {"p1": (4500.0, 3000.0, -999.0, 9999.0), "p2": (12.0, 6.0, 0.0, 24.0)})
+
+
 @query()
 def mc_propagate(spark, sf):
     """Twenty thousand draws and more (one for each line item), three replicates each, to summaries of both quantities."""
     rows = table(spark, sf, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("draw")).distinct()
-    inputs = mc.draws(rows, "draw", {"p1": (4500.0, 3000.0, -999.0, 9999.0), "p2": (12.0, 6.0, 0.0, 24.0)})
-    out = mc.propagated(inputs, "draw", surrogate(spark, sf), 3)
+    out = stored(mc.propagated(priors(rows, "draw"), "draw", surrogate(spark, sf), 3).select("peak", "final"), "propagated")
     good, bad = mc.valid(out, "peak", "final")
-    return rounded(stats.rolled_up(good, ["peak", "final"]).join(out.agg(bad.alias("invalid"))), digits=4)
+    return rounded(stats.rolled_up(good, ["peak", "final"]).join(F.broadcast(out.agg(bad.alias("invalid")))), digits=4)
+
+
+@query()
+def uq_result_set(spark, sf):
+    """The whole result of a propagation, 15 replicates for each customer as a draw, as (part, item, statistic, value): the envelope at
+    each grid point, summaries of both quantities, exceedance of drawn and of fixed limits, correlations with the inputs, counts."""
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("draw"))
+    drawn = stored(mc.propagated(priors(rows, "draw"), "draw", surrogate(spark, sf), 15, noise=0.01, low=0.0, curves=True), "propagated")
+    good, bad = mc.valid(drawn, "peak", "final")
+    points = good.select(F.posexplode("y").alias("i", "y"))
+
+    def told(df, part, item):
+        named = [c for c in df.columns if c != item]
+        pairs = F.array(*(F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in named))
+        return df.select(F.lit(part).alias("part"), F.col(item).cast("string").alias("item"), F.explode(pairs).alias("p")).select("part", "item", "p.*")
+
+    out = told(curves.envelope(points, ["i"]), "envelope", "i")
+    for c in ("peak", "final"):
+        out = out.unionByName(told(stats.qoi_summary(good, c).withColumn("qoi", F.lit(c)), "summary", "qoi"))
+    limits = stats.exceedance(good, "final", "peak", low_factor=1.08).withColumn("of", F.lit("drawn limits"))
+    out = out.unionByName(told(limits, "exceedance", "of"))
+    out = out.unionByName(told(stats.exceedance_of(good, "final", "peak", 0.9, 1.05).withColumn("of", F.lit("fixed limits")), "exceedance", "of"))
+    related = stats.correlations(good, FEATURES, ["peak", "final"]).select(F.concat_ws(" and ", "a", "b").alias("pair"), "r")
+    out = out.unionByName(told(related, "correlation", "pair"))
+    counted = drawn.agg(F.count("*").alias("evaluations"), bad.alias("invalid")).withColumn("of", F.lit("all"))
+    return rounded(out.unionByName(told(counted, "counts", "of")), digits=4)
 
 
 @query()
 def ae_reconstruct(spark, sf):
-    """Mean squared error of a small network against that of the mean curve."""
+    """Mean squared error of the network against that of the mean curve."""
     rows = ensemble(spark, sf).select("curve_id", "y")
-    net, losses = autoencoder.fit(rows, 3, hidden=(16, 8), rounds=6, monotone=True, partitions=4)
+    net, losses = autoencoder.fit(rows, 3, monotone=True)
     out = autoencoder.decoded(autoencoder.encoded(rows, net), net)
     mean = pca.fit(rows, 1).mean
     error = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
@@ -94,7 +159,7 @@ def rf_importance(spark, sf):
     names = ["l_quantity", "l_discount", "l_tax"]
     data = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     train, test = data.where(F.pmod(F.xxhash64(*names, "label"), F.lit(5)) > 0), data.where(F.pmod(F.xxhash64(*names, "label"), F.lit(5)) == 0)
-    model = RandomForestRegressor(numTrees=20, maxDepth=6, seed=42).fit(train)
+    model = RandomForestRegressor(numTrees=200, maxDepth=15, seed=42, maxMemoryInMB=1024).fit(train)
     r2 = RegressionEvaluator(metricName="r2").evaluate(model.transform(test))
     return spark.createDataFrame([(n, float(i), float(r2)) for n, i in zip(names, model.featureImportances.toArray(), strict=True)], "factor string, importance double, r2 double")
 
@@ -104,13 +169,13 @@ def learning_curve(spark, sf):
     """Training and validation error of the first score by share of the training rows."""
     rows = ensemble(spark, sf)
     model = pca.fit(rows, 1)
-    scored = pca.project(rows, model).withColumn("h", F.pmod(F.xxhash64(F.lit(9), "curve_id"), F.lit(100)))
+    scored = stored(pca.project(rows, model).withColumn("h", F.pmod(F.xxhash64(F.lit(9), "curve_id"), F.lit(100))), "scores")
     train, held, out = scored.where("h < 75").drop("h"), scored.where("h >= 75").drop("h"), None
-    for share in (0.5, 1.0):
+    for share in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
         some = train.where(F.pmod(F.xxhash64(F.lit(5), "curve_id"), F.lit(1000)) < 1000 * share)
         if some.isEmpty():
             continue
-        process = gp.fit(some, ["p1", "p2"], "scores", "curve_id", landmarks=64)
+        process = gp.fit(some, ["p1", "p2"], "scores", "curve_id")
         for name, part in (("train", some), ("validation", held)):
             gap = F.col("mean")[0] - F.col("scores")[0]
             one = gp.predict(part, process, ["p1", "p2"]).agg(F.sqrt(F.avg(gap * gap)).alias("rmse")).select(F.lit(share).alias("share"), F.lit(name).alias("part"), F.round("rmse", 6).alias("rmse"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.functions import normal, scalars
-from ridgeline.operators import autoencoder, designs, gp, joins, pca, propagation, render, sensitivity, stats
+from ridgeline.operators import autoencoder, designs, gp, joins, pca, propagation, ranges, render, sensitivity, stats
 from ridgeline.operators import curves as C
 from ridgeline.sources import tables
 
@@ -206,7 +206,7 @@ def test_propagation_is_whole_and_independent_of_partitions(spark):
     process = gp.fit(df, ["p", "q"], "s", "id", landmarks=64)
     model = propagation.Surrogate(process, ["p", "q"], propagation.pca_decoder(np.ones(4), rng.normal(size=(2, 4))))
     inputs = propagation.draws(spark.range(300), "id", {"p": (0.5, 0.2, 0.0, 1.0), "q": (0.5, 0.2, 0.0, 1.0)})
-    one, two = (propagation.propagated(inputs.repartition(k), "id", model, 4).orderBy("id", "rep").toPandas() for k in (1, 5))
+    one, two = (propagation.propagated(inputs.repartition(k), "id", model, 4, curves=True).orderBy("id", "rep").toPandas() for k in (1, 5))
     assert len(one) == 1200 and np.allclose(np.stack(one.y), np.stack(two.y)) and one.p.between(0, 1).all()
     scored = propagation.score(inputs, model)
     assert scored.count() == 300 and len(scored.first().y) == 4
@@ -224,6 +224,63 @@ def test_augmentation_rounds(spark):
     assert params.agg(F.min("f")).first()[0] >= 0
 
 
+def test_augmentation_of_string_keys(spark):
+    """Every round's curves lie between a curve and another one's; new keys go on; clamps and derived columns hold."""
+    g = spark.createDataFrame([(f"sample_{k:03d}", i, float(k + i)) for k in range(6) for i in range(5)], "job string, i int, y double")
+    p = spark.createDataFrame([(f"sample_{k:03d}", float(k)) for k in range(6)], "job string, f double")
+    curves, params = designs.augmentation(g, p, "job", 2, ["f"], {"e": F.col("f") * 2}, noise=0.0, jitter=0.0, high=7.5)
+    rows = params.orderBy("number").collect()
+    assert [r.number for r in rows] == list(range(18)) and [r.job_aug for r in rows] == [f"sample_{k:03d}" for k in range(18)]
+    assert [r.job for r in rows[:6]] == [f"sample_{k:03d}" for k in range(6)] and all(r.e == 2 * r.f and r.f >= 1e-6 or r["round"] == 0 for r in rows)
+    ys = curves.groupBy("number").agg(F.count("*").alias("n"), F.max("y").alias("top")).collect()
+    assert {r.n for r in ys} == {5} and all(r.top <= 7.5 for r in ys if r.number >= 6)
+    noisy, _ = designs.augmentation(g, p, "job", 2, ["f"])
+    assert noisy.where("round > 0").join(curves.select("number", "i", F.col("y").alias("o")), ["number", "i"]).where("y <> o").count() > 0
+
+
+def test_ranges_give_ranks_and_quantiles(spark):
+    """Against numpy, with ties, nulls, groups of one row, a hot group, string keys and an empty table."""
+    rng = np.random.default_rng(8)
+    rows = [("hot", float(v)) for v in rng.integers(0, 40, 900)] + [("one", 5.0), ("none", None), (None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    levels = [0.0, 0.05, 0.5, 0.77, 1.0]
+    got = {r.g: r.q for r in ranges.quantiles(df, "v", levels, ["g"]).collect()}
+    for k in ("hot", "one", None):
+        assert np.allclose(got[k], np.quantile([v for g, v in rows if g == k], levels))
+    assert set(got) == {"hot", "one", None}
+    assert np.allclose(ranges.quantiles(df, "v", [0.5]).first().q, [np.median([v for _, v in rows if v is not None])])
+    keys = spark.createDataFrame([(f"sample_{k:03d}",) for k in rng.permutation(200)], "k string").repartition(5)
+    assert {r.k: r.place for r in designs.numbered(keys, "k").collect()} == {f"sample_{k:03d}": k for k in range(200)}
+    assert {r.k: r.number for r in joins.renumbered(keys, ["k"]).collect()} == {f"sample_{k:03d}": k for k in range(200)}
+    assert ranges.quantiles(df.limit(0), "v", levels, ["g"]).count() == 0 and ranges.quantiles(df.limit(0), "v", levels).count() == 0
+
+
+def test_lengths_by_feature(spark):
+    """A feature that doesn't matter gets a longer length than one that does."""
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 1, (150, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), [float(np.sin(7 * a))]) for i, (a, b) in enumerate(x)], "id long, p double, q double, s array<double>")
+    process = gp.fit(df, ["p", "q"], "s", "id")
+    length = process.parts[0]["length"]
+    assert length[1] > 3 * length[0]
+    mean, _ = process.predict(np.array([[0.3, 0.1], [0.3, 0.9]]))
+    assert np.allclose(mean[:, 0], np.sin(2.1), atol=0.05)
+
+
+def test_normals_are_normal_and_independent():
+    z = propagation.normals(np.arange(40_000), 2, 3)
+    assert z.shape == (40_000, 2, 3) and abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01
+    c = np.corrcoef(z.reshape(len(z), -1).T)
+    assert np.abs(c - np.eye(6)).max() < 0.03
+
+
+def test_sobol_points_do_not_repeat(spark):
+    far = spark.createDataFrame([(5,), ((1 << 33) + 5,)], "row long").select(designs.sobol_point(F.col("row"), 1).alias("u")).collect()
+    assert far[0].u != far[1].u
+    with pytest.raises(ValueError):
+        designs.sobol(spark, 8, [f"x{k}" for k in range(9)])
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sample_007_load.csv").write_text("time,force\n0.0,1.5\nbad,row,too\n1.0,2.5\n")
     (tmp_path / "other.csv").write_text("time,force\n0.0,9\n")
