@@ -159,6 +159,8 @@ def rf_importance(spark, sf):
     names = ["l_quantity", "l_discount", "l_tax"]
     data = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     train, test = data.where(F.pmod(F.xxhash64(*names, "label"), F.lit(5)) > 0), data.where(F.pmod(F.xxhash64(*names, "label"), F.lit(5)) == 0)
+    # a small file is one partition; trees are grown over all cores
+    train = train.repartition(max(spark.sparkContext.defaultParallelism, train.rdd.getNumPartitions())) if train.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else train
     model = RandomForestRegressor(numTrees=200, maxDepth=15, seed=42, maxMemoryInMB=1024).fit(train)
     r2 = RegressionEvaluator(metricName="r2").evaluate(model.transform(test))
     return spark.createDataFrame([(n, float(i), float(r2)) for n, i in zip(names, model.featureImportances.toArray(), strict=True)], "factor string, importance double, r2 double")
