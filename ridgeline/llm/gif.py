@@ -264,8 +264,9 @@ def decoded(data: bytes | None) -> Iterator[Frame]:
         return
 
 
-def composed(wide: int, high: int, frames: Iterable[Frame]) -> Iterator[np.ndarray]:
-    """The canvas (RGBA) while each frame shows. Disposal 2 clears the frame's area after it, 3 restores what was there."""
+def shown(wide: int, high: int, frames: Iterable[Frame]) -> Iterator[np.ndarray]:
+    """The canvas (RGBA) while each frame shows; the same array, changed from frame to frame. Disposal 2 clears the frame's
+    area after it, 3 restores what was there."""
     canvas = np.zeros((high, wide, 4), np.uint8)
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -274,23 +275,35 @@ def composed(wide: int, high: int, frames: Iterable[Frame]) -> Iterator[np.ndarr
         colours = np.zeros((256, 4), np.uint8)
         colours[: len(f.palette), :3] = f.palette
         colours[:, 3] = 255
-        shown = np.ones(seen.shape, bool) if f.transparent is None else seen != f.transparent
-        area[shown] = colours[seen[shown]]
-        yield canvas.copy()
+        if f.transparent is None:
+            area.view("<u4")[..., 0] = colours.view("<u4")[:, 0][seen]
+        else:
+            opaque = seen != f.transparent
+            area[opaque] = colours[seen[opaque]]
+        yield canvas
         if f.disposal == 2:
             area[:] = 0
         elif before is not None:
-            canvas = before
+            canvas[:] = before
+
+
+def composed(wide: int, high: int, frames: Iterable[Frame]) -> Iterator[np.ndarray]:
+    """A copy of the canvas while each frame shows."""
+    for canvas in shown(wide, high, frames):
+        yield canvas.copy()
 
 
 def histogram(pixels: np.ndarray) -> np.ndarray:
     """Pixels that are seen by colour, in 4 x 4 x 4 bins of RGB."""
-    seen = pixels[pixels[..., 3] > 0].astype(np.int64)
-    return np.bincount((seen[:, 0] >> 6) * 16 + (seen[:, 1] >> 6) * 4 + (seen[:, 2] >> 6), minlength=64)
+    high = pixels.reshape(-1, 4) >> 6
+    bins = high[:, 0] << 4
+    bins |= high[:, 1] << 2
+    bins |= high[:, 2]
+    return np.bincount(bins if high[:, 3].all() else bins[high[:, 3] > 0], minlength=64)
 
 
 def timed(data: bytes | None) -> Iterator[tuple[int, Frame, np.ndarray, np.ndarray]]:
-    """Each frame with its start in milliseconds, the canvas while it shows and the canvas's colour histogram."""
+    """Each frame with its start in milliseconds, the canvas while it shows (not to be kept) and its colour histogram."""
     start, now = 0, []
 
     def kept() -> Iterator[Frame]:
@@ -298,7 +311,7 @@ def timed(data: bytes | None) -> Iterator[tuple[int, Frame, np.ndarray, np.ndarr
             now[:] = [f]
             yield f
 
-    for canvas in composed(*canvas_size(data), kept()):
+    for canvas in shown(*canvas_size(data), kept()):
         yield start, now[0], canvas, histogram(canvas)
         start += 10 * now[0].delay
 
