@@ -36,18 +36,32 @@ def test_equals_brute_force(spark):
         want = sorted([(i if i % 50 else None, brute(u, own)) for i, u in enumerate(urls)] * 2, key=str)
         assert rows(url_filter.judged(df, own)) == want
         table = spark.createDataFrame(own, "rule_host string, rule_path string, rule_verdict string")
-        assert rows(url_filter.judged_by_suffixes(df, table)) == want
+        assert rows(url_filter.judged(df, table)) == want
 
 
-def test_rules_of_any_number_judge_alike(spark, monkeypatch):
-    """Ties of host and path, long URLs and clashing columns, on both sides of the bound on broadcast rules."""
-    rules = [("net", "/", "block"), ("net", "/", "allow"), ("a.net", "/", "block"), ("a.net", "/", "block"), ("org", "", "block"), ("org", "/", "allow")]
-    urls = ["http://net/", "http://b.a.net/x", "http://org", "http://x.org/1", "http://" + "l." * 100_000 + "net/" + "p" * 100_000]
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("key", F.lit(1)).withColumn("best", F.lit(2))
+def test_ties_long_urls_and_clashing_columns(spark):
+    rules = [("net", "/", "block"), ("net", "/", "allow"), ("a.net", "/", "block"), ("a.net", "/", "block"), ("org", "", "block"), ("org", "/", "allow"), (None, "/", "block"), ("com", None, "block"), ("com", "/", None)]
+    urls = ["http://net/", "http://b.a.net/x", "http://org", "http://x.org/1", "http://" + "l." * 100_000 + "net/" + "p" * 100_000, "http://com/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("key", F.lit(1)).withColumn("range", F.lit(2))
     swept = rows(url_filter.judged(df, rules))
-    assert [(r[1][2], r[1][3]) for r in swept] == [("net/", "allow"), ("a.net/", "block"), ("org", "block"), ("org/", "allow"), ("net/", "allow")]
-    monkeypatch.setattr(url_filter, "MOST_RULES", 0)
-    assert rows(url_filter.judged(df.where("page_id < 4"), rules)) == swept[:4]
+    assert [(r[1][2], r[1][3]) for r in swept] == [("net/", "allow"), ("a.net/", "block"), ("org", "block"), ("org/", "allow"), ("net/", "allow"), (None, "allow")]
+
+
+def test_more_rules_than_a_broadcast_would_hold(spark):
+    """150,000 rules, among them some that are open over many ranges, as a table of Spark's own."""
+    n = 150_000
+    many = spark.range(n).select(F.concat(F.lit("h"), "id", F.lit(".net")).alias("rule_host"), F.lit("/").alias("rule_path"), F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("rule_verdict"))
+    wide = spark.createDataFrame([("net", "/x", "block"), ("org", "/", "block")], many.schema)
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://m.h"), F.col("id") * 10 - 7, F.lit(".net/x")).alias("url"))
+    hot = spark.range(20_000).select((F.col("id") + 20_000).alias("page_id"), F.lit("http://a.org/").alias("url"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(pages.union(hot), many.union(wide)).collect()}
+    want = {i: (f"h{k}.net/", "block" if k % 2 == 0 else "allow") if 0 <= (k := 10 * i - 7) < n else ("net/x", "block") for i in range(20_000)}
+    assert got == want | {i: ("org/", "block") for i in range(20_000, 40_000)}
+
+
+def test_no_rule(spark):
+    df = spark.createDataFrame([(1, "http://net/")], "page_id long, url string")
+    assert rows(url_filter.judged(df, [])) == [(1, ("net", "/", None, "allow"))]
 
 
 def test_empty_table(spark):
