@@ -71,6 +71,12 @@ def lognormal_parameters(mean: float, variation: float) -> tuple[float, float]:
     return math.log(mean) - s2 / 2, math.sqrt(s2)
 
 
+def lognormal_parameters_of(mean: Column, variation: Column) -> tuple[Column, Column]:
+    """The same of columns."""
+    s2 = F.ln(1 + variation * variation)
+    return F.ln(mean) - s2 / 2, F.sqrt(s2)
+
+
 def lognormal_pdf(x: Column, mu: float, sigma: float) -> Column:
     return F.when(x > 0, normal_pdf(F.ln(x), mu, sigma) / x).otherwise(0.0)
 

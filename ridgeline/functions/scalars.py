@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,11 @@ def safe_scale(scale: Column) -> Column:
     return F.coalesce(F.nullif(scale, F.lit(0.0)), F.lit(1.0))
 
 
+def derived_if_missing(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column ``name``: where there is none, or it is null, ``value``."""
+    return df.withColumn(name, F.coalesce(F.col(name), value) if name in df.columns else value)
+
+
 def is_infinite(x: Column) -> Column:
     return F.abs(x) == F.lit(math.inf)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.scalars import safe_scale
+from ridgeline.functions.scalars import is_usable, safe_scale
 from ridgeline.operators.ranges import beside, quantiles
 
 
@@ -94,10 +94,11 @@ def nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str) ->
     return out.withColumn("_m", closer).withColumn(f"nearest_{at}", F.col("_m.at")).withColumn(f"nearest_{value}", F.col("_m.v")).drop("_r", "_l", "_a", "_b", "_m")
 
 
-def validated(curves: DataFrame, x: str = "x", y: str = "y", curve: str = "curve_id", order: str = "ord", tail: int = 20, slip: float = 1e-6) -> DataFrame:
-    """Facts for judging a curve: points, nulls, NaNs, infinities, reversals of x and y, spread of the last x, extremes."""
+def validated(curves: DataFrame, x: str = "x", y: str = "y", curve: str = "curve_id", order: str = "ord", tail: int = 20, slip: float = 1e-6, damage: str | None = None) -> DataFrame:
+    """Facts for judging a curve: points, nulls, NaNs, infinities, reversals of x and y, spread of the last x, extremes of the
+    usable values, negatives, and values of a ``damage`` column outside 0 to 1."""
     w = Window.partitionBy(curve).orderBy(order)
-    rows = curves.select(curve, order, x, y, F.row_number().over(Window.partitionBy(curve).orderBy(F.desc(order))).alias("_back"), (F.col(x) - F.lag(x).over(w)).alias("_dx"), (F.col(y) - F.lag(y).over(w)).alias("_dy"))
+    rows = curves.select(curve, order, x, y, *([damage] if damage else []), F.row_number().over(Window.partitionBy(curve).orderBy(F.desc(order))).alias("_back"), (F.col(x) - F.lag(x).over(w)).alias("_dx"), (F.col(y) - F.lag(y).over(w)).alias("_dy"))
     infinite = lambda c: F.abs(F.col(c)) == F.lit(float("inf"))
     return rows.groupBy(curve).agg(
         F.count("*").alias("n"),
@@ -107,8 +108,10 @@ def validated(curves: DataFrame, x: str = "x", y: str = "y", curve: str = "curve
         F.count_if(F.col("_dx") < -slip).alias("x_reversals"),
         F.count_if(F.col("_dy") < -slip).alias("y_reversals"),
         F.stddev_pop(F.when(F.col("_back") <= tail, F.col(x))).alias("tail_spread"),
-        F.min(y).alias("y_min"),
-        F.max(y).alias("y_max"),
+        F.min(F.when(is_usable(F.col(y)), F.col(y))).alias("y_min"),
+        F.max(F.when(is_usable(F.col(y)), F.col(y))).alias("y_max"),
+        F.count_if(F.col(y) < -slip).alias("n_negative"),
+        *([F.count_if((F.col(damage) < -slip) | (F.col(damage) > 1 + slip)).alias("n_outside")] if damage else []),
     )
 
 

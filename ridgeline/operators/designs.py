@@ -139,9 +139,9 @@ def split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) ->
     return ranked.withColumn("split", out.otherwise(F.lit(names[-1]))).drop("rank", "total")
 
 
-def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, those of the least hashes."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+def sample(df: DataFrame, key: str, n: int, seed: int = 42, draw: Column | None = None) -> DataFrame:
+    """``n`` rows without replacement, those of the least hashes, or of the least ``draw``."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key) if draw is None else draw, key).limit(n)
 
 
 def replicated(df: DataFrame, times: int) -> DataFrame:

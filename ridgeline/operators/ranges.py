@@ -44,11 +44,29 @@ def ranked(df: DataFrame, order: list[str], by: list[str] | None = None) -> Data
     return running(df, order, by, rank=F.lit(1).cast("long"))
 
 
+#: More levels than this are exploded by the rows that hold them instead of being two aggregates each, which Spark can't compile.
+MANY_LEVELS = 10
+
+
+def many_quantiles(at: DataFrame, levels: list[float], by: list[str], name: str) -> DataFrame:
+    """The same as ``quantiles`` from running counts: each distinct value yields the levels whose ranks it holds, a few rows a group."""
+    every = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(levels)))
+    place = lambda p: p * (F.col("_upto_all") - 1)
+    holds = lambda k: (F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto"))
+    mine = at.select("*", F.explode(F.filter(every, lambda s: holds(F.floor(place(s["p"]))) | holds(F.ceil(place(s["p"]))))).alias("_s"))
+    rank = place(F.col("_s.p"))
+    ends = mine.groupBy(*by, F.col("_s.j").alias("_j")).agg(F.max(rank - F.floor(rank)).alias("_w"), *(F.max(F.when(holds(k), F.col("_v"))).alias(c) for c, k in (("_lo", F.floor(rank)), ("_hi", F.ceil(rank)))))
+    value = F.when((F.col("_w") == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise((1 - F.col("_w")) * F.col("_lo") + F.col("_w") * F.col("_hi"))
+    return ends.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_j", value.alias("v")))), lambda s: s["v"]).alias(name)).where(F.size(name) > 0)
+
+
 def quantiles(df: DataFrame, value: str, levels: list[float], by: list[str] | None = None, name: str = "q") -> DataFrame:
     """(by, ``name``): exact quantiles at ``levels``, linear between ranks; groups without a value have no row."""
     by = list(by or [])
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     at = running(counts, ["_v"], by, _upto=F.col("_n"))
+    if len(levels) > MANY_LEVELS:
+        return many_quantiles(at, levels, by, name)
     place = lambda p: F.lit(float(p)) * (F.col("_upto_all") - 1)
     held = lambda k: F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")), F.col("_v")))
     ends = [x for j, p in enumerate(levels) for x in (held(F.floor(place(p))).alias(f"_lo{j}"), held(F.ceil(place(p))).alias(f"_hi{j}"))]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.normal import normal_quantile
+from ridgeline.functions.scalars import issues
 from ridgeline.operators.ranges import beside, quantiles, ranked, running
 
 
@@ -57,6 +58,13 @@ def duplicates(df: DataFrame, keys: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"), F.count_if(F.col("_n") > 1).alias("groups"))
 
 
+def duplicate_rows(df: DataFrame, keys: dict[str, Column], digits: int = 6) -> DataFrame:
+    """The keys that several rows share and how many do; keys that are doubles are rounded half to even first."""
+    rows = df.select(*(c.alias(n) for n, c in keys.items()))
+    rows = rows.select(*(F.bround(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def missing(df: DataFrame, columns: list[str]) -> DataFrame:
     one = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_missing")) for c in columns))).alias("_p")).select("_p.*")
@@ -132,6 +140,14 @@ def curve_metrics(pairs: DataFrame, by: list[str], truth: str = "truth", guess:
     return out.select(*by, "rmse", "mae", "r2", F.try_divide("rmse", "_range").alias("nrmse"), "peak_error", F.try_divide("peak_error", "_peak").alias("peak_error_share"), "max_error")
 
 
+def component_metrics(df: DataFrame, truth: str, guess: str, split: str) -> DataFrame:
+    """RMSE, MAE and R2 of each component of two arrays in each split, and their means over components (component "mean")."""
+    pairs = df.select(split, F.posexplode(F.arrays_zip(F.col(truth).alias("truth"), F.col(guess).alias("guess"))).alias("component", "_p")).select(split, "component", "_p.*")
+    each = curve_metrics(pairs, ["component", split]).select(F.col("component").cast("string").alias("component"), split, "rmse", "mae", "r2")
+    mean = each.groupBy(split).agg(*(F.avg(c).alias(c) for c in ("rmse", "mae", "r2"))).select(F.lit("mean").alias("component"), split, "rmse", "mae", "r2")
+    return each.unionByName(mean)
+
+
 def rolled_up(metrics: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Mean, population deviation, extremes and median of metrics over curves."""
     rows, groups = unpivoted(metrics, columns, by), [*(by or []), "column"]
@@ -217,9 +233,12 @@ def qq_normal(df: DataFrame, value: str, n: int = 99) -> DataFrame:
     return pairs.join(F.broadcast(line)).withColumn("line", F.col("intercept") + F.col("slope") * F.col("normal"))
 
 
-def final_summary(parts: dict[str, DataFrame]) -> DataFrame:
-    """One row of a struct for each part (its first row), null for a part without rows."""
+def final_summary(parts: dict[str, DataFrame], findings: dict[str, str] | None = None) -> DataFrame:
+    """One row of a struct for each part (its first row), null for a part without rows; with ``findings``, also the messages whose
+    conditions on the parts hold, in order. A condition on a part that is missing doesn't hold."""
     out = next(iter(parts.values())).sparkSession.range(1).select(F.lit(1).alias("_one"))
     for name, df in parts.items():
         out = out.join(df.limit(1).select(F.lit(1).alias("_one"), F.struct(*df.columns).alias(name)), "_one", "left")
+    if findings is not None:
+        out = out.withColumn("findings", issues(*((F.expr(c), m) for m, c in findings.items())))
     return out.drop("_one")

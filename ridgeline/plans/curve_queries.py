@@ -34,8 +34,8 @@ def curve_summary(spark, sf):
 @query(f"""WITH {CURVES_SQL}, w AS (SELECT *, x - lag(x) OVER o AS dx, y - lag(y) OVER o AS dy, row_number() OVER (PARTITION BY curve_id ORDER BY ord DESC) AS back
     FROM curves WINDOW o AS (PARTITION BY curve_id ORDER BY ord)),
     v AS (SELECT curve_id, count(*) AS n, count(*) FILTER (dx < -1e-6) AS x_reversals, count(*) FILTER (dy < -1e-6) AS y_reversals,
-      stddev_pop(x) FILTER (back <= 20) AS tail_spread, min(y) AS y_min, max(y) AS y_max FROM w GROUP BY curve_id)
-    SELECT curve_id, n, 0::BIGINT AS n_null, 0::BIGINT AS n_nan, 0::BIGINT AS n_inf, x_reversals, y_reversals, round(tail_spread, 6) AS tail_spread, y_min, y_max,
+      stddev_pop(x) FILTER (back <= 20) AS tail_spread, min(y) AS y_min, max(y) AS y_max, count(*) FILTER (y < -1e-6) AS n_negative FROM w GROUP BY curve_id)
+    SELECT curve_id, n, 0::BIGINT AS n_null, 0::BIGINT AS n_nan, 0::BIGINT AS n_inf, x_reversals, y_reversals, round(tail_spread, 6) AS tail_spread, y_min, y_max, n_negative,
       concat_ws('; ', CASE WHEN n < 60 THEN 'few points' END, CASE WHEN x_reversals > 5 THEN 'x goes back' END, CASE WHEN y_max > 400 THEN 'too large' END, CASE WHEN n > 20 AND tail_spread < 1e-8 THEN 'plateau' END) AS issues,
       NOT (n < 60 OR x_reversals > 5 OR y_max > 400 OR (n > 20 AND tail_spread < 1e-8)) AS valid FROM v""")
 def curve_validation(spark, sf):
@@ -45,6 +45,18 @@ def curve_validation(spark, sf):
     return rounded(facts.withColumn("issues", F.array_join(found, "; ")).withColumn("valid", F.size(found) == 0))
 
 
+@query("""WITH c AS (SELECT user_id AS curve_id, event_id AS ord, CASE event_id % 97 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE ELSE value - 20 END AS y, value / 150 AS d FROM events), f AS (SELECT *, y IS NOT NULL AND NOT isnan(y) AND NOT isinf(y) AS ok FROM c)
+    SELECT curve_id, count(*) AS n, count(*) FILTER (y IS NULL) AS n_null, count(*) FILTER (isnan(y)) AS n_nan, count(*) FILTER (isinf(y)) AS n_inf, min(y) FILTER (ok) AS y_min, max(y) FILTER (ok) AS y_max, count(*) FILTER (y < -1e-6) AS n_negative, count(*) FILTER (d < -1e-6 OR d > 1 + 1e-6) AS n_outside,
+      concat_ws('; ', CASE WHEN count(*) FILTER (NOT ok) > 0 THEN 'unusable values' END, CASE WHEN count(*) FILTER (y < -1e-6) > 0 THEN 'negative' END, CASE WHEN count(*) FILTER (d > 1 + 1e-6) > 0 THEN 'damage outside' END) AS issues FROM f GROUP BY curve_id""")
+def curve_flaws(spark, sf):
+    """The validation record of curves with planted nulls, NaNs, infinities, negatives and damage over 1."""
+    kind = F.col("ord") % 97
+    y = F.when(kind == 0, F.lit(None)).when(kind == 1, F.lit(float("nan"))).when(kind == 2, F.lit(float("inf"))).otherwise(F.col("y") - 20)
+    facts = C.validated(curves(spark, sf).withColumn("d", F.col("y") / 150).withColumn("y", y), damage="d")
+    found = scalars.issues((F.col("n_null") + F.col("n_nan") + F.col("n_inf") > 0, "unusable values"), (F.col("n_negative") > 0, "negative"), (F.col("n_outside") > 0, "damage outside"))
+    return facts.withColumn("issues", F.array_join(found, "; ")).drop("x_reversals", "y_reversals", "tail_spread")
+
+
 @query("""SELECT l_suppkey, l_quantity, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS last_price
     FROM lineitem GROUP BY l_suppkey, l_quantity""")
 def curve_dedupe_keep_last(spark, sf):
@@ -131,11 +143,11 @@ def normalize_per_curve(spark, sf):
     return out.select("curve_id", F.round("scale", 6).alias("scale"), F.round(F.aggregate("shape", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
 
-@query(f"WITH {VECTORS_SQL} SELECT vec_id AS curve_id, max(abs(e)) < 1e-9 AS same FROM (SELECT vec_id, unnest(y) * 0 AS e FROM v) GROUP BY vec_id")
+@query(f"WITH {VECTORS_SQL} SELECT vec_id AS curve_id, generate_subscripts(y, 1)::INTEGER - 1 AS i, round(unnest(y), 6) AS y FROM v")
 def shape_scale_round_trip(spark, sf):
-    v = vectors(spark, sf)
-    back = C.recomposed(C.shape_and_scale(v.withColumn("given", F.col("y"))))
-    return back.select("curve_id", (F.array_max(F.zip_with("y", "given", lambda a, b: F.abs(a - b))) < 1e-9).alias("same"))
+    """Every value of a curve from its shape and its scale."""
+    back = C.recomposed(C.shape_and_scale(vectors(spark, sf)).drop("y"))
+    return rounded(C.to_long(back.select("curve_id", "y")))
 
 
 @query(f"""WITH {CURVES_SQL} SELECT curve_id, round(x, 6) AS x, round(sum(greatest(y, 0)) OVER (PARTITION BY curve_id ORDER BY x ROWS UNBOUNDED PRECEDING) / sum(greatest(y, 0)) OVER (PARTITION BY curve_id), 6) AS response FROM curves""")

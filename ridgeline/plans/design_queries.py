@@ -10,6 +10,7 @@ from ridgeline.operators import designs as D
 from ridgeline.operators import joins, sensitivity
 from ridgeline.plans.bindings import GRIDDED_SQL, gridded, table
 from ridgeline.plans.registry import query, rounded
+from ridgeline.plans.table_queries import quantile_sql
 
 
 def n_parts(spark, sf):
@@ -59,6 +60,31 @@ def split_integrity(spark, sf):
     return joins.split_integrity(D.split(keys, "c_custkey", {"train": 0.7, "val": 0.15, "test": 0.15}), keys, "c_custkey")
 
 
+@query("""WITH p AS (SELECT c_custkey, unnest(CASE WHEN c_custkey % 10 = 6 THEN ['train', 'val'] WHEN c_custkey % 10 = 7 THEN ['val', 'val'] WHEN c_custkey % 10 = 8 THEN [] ELSE ['train'] END) AS split FROM customer), k AS (SELECT c_custkey, count(DISTINCT split) AS parts, count(*) AS n FROM p GROUP BY 1)
+    SELECT (SELECT count(*) FROM k WHERE parts > 1) AS overlaps, (SELECT count(*) FROM k WHERE n > 1) AS repeated, (SELECT count(*) FROM customer WHERE c_nationkey > 4 AND c_custkey NOT IN (SELECT c_custkey FROM k)) AS uncovered, (SELECT count(*) FROM k WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey > 4)) AS unknown""")
+def split_faults(spark, sf):
+    """Counts of a split with planted faults: keys in two parts, repeated, in none, and of rows that the whole lacks."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    last, parts = F.col("c_custkey") % 10, lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    split = F.when(last == 6, parts("train", "val")).when(last == 7, parts("val", "val")).when(last == 8, parts()).otherwise(parts("train"))
+    return joins.split_integrity(customers.select("c_custkey", F.explode(split).alias("split")), customers.where("c_nationkey > 4"), "c_custkey")
+
+
+@query("""SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey * 7919 % 1009, c_custkey LIMIT 100""")
+def capped_sample(spark, sf):
+    """A sample of at most a hundred rows without replacement, by a draw that SQL can state."""
+    return D.sample(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey", 100, draw=F.col("c_custkey") * 7919 % 1009)
+
+
+@query(f"""WITH u AS (SELECT p_partkey, (p_partkey * 7919 % 1009 + 0.5) / 1009.0::DOUBLE AS u FROM part), z AS (SELECT *, {quantile_sql("u")} AS z FROM u)
+    SELECT p_partkey, round(28 + 3 * z, 6) AS fc, round(exp(3.3 + 0.1 * z), 6) AS lognormal, round(least(greatest(28 + 3 * z, 24.0), 32.0), 6) AS clipped, round(10 + 40 * u, 6) AS ranged, round(22000.0 * pow(greatest(28 + 3 * z, 1e-6) / 10.0, 0.3), 4) AS stiffness FROM z""")
+def marginal_transforms(spark, sf):
+    """Uniform draws to normal, lognormal, clipped and bounded inputs and a derived column."""
+    u = (F.col("p_partkey") * 7919 % 1009 + 0.5) / 1009.0
+    fc = D.to_normal(u, 28.0, 3.0)
+    return table(spark, sf, "part").select("p_partkey", F.round(fc, 6).alias("fc"), F.round(D.to_lognormal(u, 3.3, 0.1), 6).alias("lognormal"), F.round(scalars.clamp(fc, 24.0, 32.0), 6).alias("clipped"), F.round(D.to_range(u, 10.0, 50.0), 6).alias("ranged"), F.round(scalars.stiffness(fc), 4).alias("stiffness"))
+
+
 @query("""SELECT p_partkey, r::INTEGER AS rep FROM part, range(1, 4) t(r)""")
 def replicate_rows(spark, sf):
     return D.replicated(table(spark, sf, "part").select("p_partkey"), 3)

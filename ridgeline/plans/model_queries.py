@@ -35,13 +35,13 @@ def pca_total_variance(spark, sf):
     return spark.createDataFrame([(round(float(model.variance.sum()), 4),)], "total double")
 
 
-@query("SELECT vec_id AS curve_id, true AS exact FROM embeddings")
+@query("SELECT vec_id AS curve_id, generate_subscripts(embedding, 1)::INTEGER - 1 AS i, round(unnest(embedding::DOUBLE[]), 6) AS y FROM embeddings")
 def pca_reconstruct(spark, sf):
-    """All components rebuild every curve."""
+    """Every value of a curve from its scores on all components."""
     v = vectors(spark, sf)
-    model = pca.fit(v, 64)
+    model = pca.fit(v, pca.MOST_COLUMNS)
     out = pca.reconstruct(pca.project(v, model), model)
-    return out.select("curve_id", (F.array_max(F.zip_with("y", "rebuilt", lambda a, b: F.abs(a - b))) < 1e-8).alias("exact"))
+    return rounded(out.select("curve_id", F.posexplode("rebuilt").alias("i", "y")))
 
 
 FEATURES = ["p1", "p2"]

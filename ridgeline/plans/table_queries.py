@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ridgeline.functions import scalars
+from ridgeline.functions import normal, scalars
 from ridgeline.operators import joins, sensitivity, stats
 from ridgeline.operators import render as R
+from ridgeline.operators.propagation import valid
 from ridgeline.plans.bindings import table
 from ridgeline.plans.registry import query, rounded
 
@@ -108,11 +109,12 @@ def run_statistics(spark, sf):
     return out.select("o_orderstatus", "n", F.round("share", 6).alias("share"), F.round("total", 2).alias("total"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max")
 
 
-@query("""SELECT round(max(abs(fa - fb)), 6) AS ks FROM (SELECT sum(a) OVER o / sum(a) OVER () AS fa, sum(b) OVER o / sum(b) OVER () AS fb
-    FROM (SELECT value, count(*) FILTER (event_type = 'signup') AS a, count(*) FILTER (event_type = 'error') AS b FROM events WHERE event_type IN ('signup', 'error') GROUP BY value) WINDOW o AS (ORDER BY value ROWS UNBOUNDED PRECEDING))""")
+@query("""SELECT round(d, 6) AS ks, na::BIGINT AS na, nb::BIGINT AS nb, round(CASE WHEN z < 0.2 THEN 1 ELSE least(greatest((SELECT sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * z * z)) FROM range(1, 101) t(k)), 0), 1) END, 6) AS p
+    FROM (SELECT *, (s + 0.12 + 0.11 / s) * d AS z FROM (SELECT *, sqrt(na::DOUBLE * nb / (na + nb)) AS s FROM (SELECT max(abs(fa - fb)) AS d, max(ca) AS na, max(cb) AS nb FROM (SELECT sum(a) OVER o AS ca, sum(b) OVER o AS cb, sum(a) OVER o / sum(a) OVER () AS fa, sum(b) OVER o / sum(b) OVER () AS fb
+    FROM (SELECT value, count(*) FILTER (event_type = 'signup') AS a, count(*) FILTER (event_type = 'error') AS b FROM events WHERE event_type IN ('signup', 'error') GROUP BY value) WINDOW o AS (ORDER BY value ROWS UNBOUNDED PRECEDING)))))""")
 def ks_two_sample(spark, sf):
     e = table(spark, sf, "events")
-    return rounded(stats.ks_two_sample(e.where("event_type = 'signup'"), e.where("event_type = 'error'"), "value").select("ks"))
+    return rounded(stats.ks_two_sample(e.where("event_type = 'signup'"), e.where("event_type = 'error'"), "value"))
 
 
 @query("""WITH k AS (SELECT k::INTEGER AS k, k / 20.0::DOUBLE AS p FROM range(21) t(k)), a AS (SELECT list(value) AS v FROM events WHERE event_type = 'click'), b AS (SELECT list(value) AS v FROM events WHERE event_type = 'view')
@@ -252,13 +254,103 @@ def safe_division(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand").agg(F.count_if(scalars.is_usable(size)).alias("usable"), F.count_if(size.isNull()).alias("n_null"), F.round(F.sum(F.col("p_retailprice") / scalars.safe_scale(size - 25)), 6).alias("scaled"))
 
 
-@query()
+def polynomial_sql(x, rising):
+    out = repr(rising[-1]) + "::DOUBLE"
+    for c in reversed(rising[:-1]):
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def quantile_sql(p):
+    """The normal quantile of ``p`` (strictly between 0 and 1) in SQL."""
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    mid, far, end = f"(0.180625::DOUBLE - ({p} - 0.5) * ({p} - 0.5))", f"({r} - 1.6::DOUBLE)", f"({r} - 5)"
+    piece = lambda x, a, b: f"{polynomial_sql(x, a)} / {polynomial_sql(x, b)}"
+    return f"""CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {piece(mid, normal.MID_P, normal.MID_Q)}
+        ELSE sign({p} - 0.5) * CASE WHEN {r} <= 5 THEN {piece(far, normal.TAIL_P, normal.TAIL_Q)} ELSE {piece(end, normal.END_P, normal.END_Q)} END END"""
+
+
+LEVELS = ", ".join(repr((k + 0.5) / 99) for k in range(99))
+
+
+@query(f"""WITH q AS (SELECT unnest(quantile_cont(p_retailprice, [{LEVELS}])) AS sample, unnest([{LEVELS}])::DOUBLE AS p FROM part), z AS (SELECT sample, (row_number() OVER (ORDER BY p) - 1)::INTEGER AS k, {quantile_sql("p")} AS normal FROM q),
+    l AS (SELECT regr_slope(sample, normal) AS slope, regr_intercept(sample, normal) AS intercept FROM z)
+    SELECT k, round(sample, 6) AS sample, round(normal, 6) AS normal, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(intercept + slope * normal, 6) AS line FROM z, l""")
 def qq_normal(spark, sf):
     return rounded(stats.qq_normal(table(spark, sf, "part"), "p_retailprice"))
 
 
-@query("SELECT 'n=' || count(*) AS prices, NULL::VARCHAR AS nothing FROM lineitem")
+@query("""WITH m AS (SELECT p_brand, avg(p_retailprice) AS mean, stddev_pop(p_retailprice) / avg(p_retailprice) AS cov FROM part GROUP BY 1)
+    SELECT p_brand, round(ln(mean) - ln(1 + cov * cov) / 2, 8) AS mu, round(sqrt(ln(1 + cov * cov)), 8) AS sigma FROM m""")
+def lognormal_parameters(spark, sf):
+    per = table(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("mean"), F.stddev_pop("p_retailprice").alias("std"))
+    mu, sigma = normal.lognormal_parameters_of(F.col("mean"), F.col("std") / F.col("mean"))
+    return per.select("p_brand", F.round(mu, 8).alias("mu"), F.round(sigma, 8).alias("sigma"))
+
+
+@query("""WITH s AS (SELECT DISTINCT p_size, (p_size - 25) / 8.0::DOUBLE AS x FROM part), f AS (SELECT p_size, sum(CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-(x * x) * (k * k) / 8e6)) * x / 6000 / sqrt(2 * pi()) AS area FROM s, range(2001) t(k) GROUP BY p_size, x)
+    SELECT p_partkey, round(exp(-(x * x) / 2) / sqrt(2 * pi()), 7) AS pdf, round(0.5 + area, 7) AS cdf, round(x, 6) AS back, round(exp(-(x * x) / 2) / sqrt(2 * pi()) / exp(x), 7) AS log_pdf, round(0.5 + area, 7) AS log_cdf FROM part JOIN s USING (p_size) JOIN f USING (p_size)""")
+def normal_functions(spark, sf):
+    """Density, distribution and quantile; the SQL integrates the density."""
+    x = (F.col("p_size") - 25) / 8.0
+    cdf = normal.normal_cdf(x)
+    return table(spark, sf, "part").select("p_partkey", F.round(normal.normal_pdf(x), 7).alias("pdf"), F.round(cdf, 7).alias("cdf"), F.round(normal.normal_quantile(cdf), 6).alias("back"), F.round(normal.lognormal_pdf(F.exp(x), 0.0, 1.0), 7).alias("log_pdf"), F.round(normal.lognormal_cdf(F.exp(x), 0.0, 1.0), 7).alias("log_cdf"))
+
+
+@query("""SELECT l_suppkey, round_even(l_quantity / 2, 0)::DOUBLE AS half, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_list(spark, sf):
+    return stats.duplicate_rows(table(spark, sf, "lineitem"), {"l_suppkey": F.col("l_suppkey"), "half": F.col("l_quantity") / 2}, 0)
+
+
+@query("""SELECT 5.0::DOUBLE AS low_limit, 60000.0::DOUBLE AS high_limit, round(avg((l_quantity < 5)::INTEGER), 6) AS p_low, round(avg((l_extendedprice > 60000)::INTEGER), 6) AS p_high, round(avg((l_quantity < 5 OR l_extendedprice > 60000)::INTEGER), 6) AS p_any FROM lineitem""")
+def fixed_exceedance(spark, sf):
+    return rounded(stats.exceedance_of(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 5, 60000))
+
+
+@query("""SELECT count(*) FILTER (l_discount > 0.02) AS valid, count(*) FILTER (l_discount <= 0.02) AS invalid, round(avg(l_extendedprice / l_discount) FILTER (l_discount > 0.02), 4) AS mean FROM lineitem""")
+def invalid_draws(spark, sf):
+    """Draws whose quantity is null (discounts of at most 0.01) or not a number (0.02) are dropped and counted."""
+    q = F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice") / F.col("l_discount")).when(F.col("l_discount") > 0.01, F.lit(float("nan")))
+    rows = table(spark, sf, "lineitem").select(q.alias("q"))
+    good, bad = valid(rows, "q")
+    return rounded(good.agg(F.count("*").alias("valid"), F.avg("q").alias("mean")).join(F.broadcast(rows.agg(bad.alias("invalid")))), digits=4)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size * 1.0::DOUBLE ELSE round(22000.0 * pow(greatest(p_size, 1e-6) / 10.0, 0.3), 6) END AS "E", round(p_retailprice / 2, 6) AS proxy FROM part""")
+def derived_columns(spark, sf):
+    """E stays where it is given and is computed where it is null; a column that isn't there is computed."""
+    given = table(spark, sf, "part").withColumn("E", F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("double")))
+    full = scalars.derived_if_missing(given, "E", scalars.stiffness(F.col("p_size").cast("double")))
+    return rounded(scalars.derived_if_missing(full, "proxy", F.col("p_retailprice") / 2).select("p_partkey", "E", "proxy"))
+
+
+@query("""WITH p AS (SELECT i::INTEGER AS component, CASE vec_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'train' ELSE 'val' END AS split, embedding[i + 1]::DOUBLE AS t, 0.9 * embedding[i + 1]::DOUBLE + 0.01 AS g FROM embeddings, range(64) r(i)),
+    m AS (SELECT component, split, sqrt(avg((g - t) ** 2)) AS rmse, avg(abs(g - t)) AS mae, 1 - sum((g - t) ** 2) / nullif(var_pop(t) * count(t), 0) AS r2 FROM p GROUP BY ALL)
+    SELECT component::VARCHAR AS component, split, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2 FROM m UNION ALL SELECT 'mean', split, round(avg(rmse), 6), round(avg(mae), 6), round(avg(r2), 6) FROM m GROUP BY split""")
+def component_metrics(spark, sf):
+    split = F.element_at(F.array(F.lit("test"), F.lit("train"), F.lit("val")), (F.col("vec_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf, "embeddings").select(split.alias("split"), F.col("embedding").cast("array<double>").alias("truth"))
+    return rounded(stats.component_metrics(rows.withColumn("guess", F.transform("truth", lambda v: 0.9 * v + 0.01)), "truth", "guess", "split"))
+
+
+@query("""WITH c AS (SELECT l_returnflag AS best, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+    v AS (SELECT count(*) FILTER (l_quantity > 45) AS failed, count(*) AS n FROM lineitem), m AS (SELECT avg(l_quantity) - 1.5 * stddev_pop(l_quantity) AS lo, avg(l_extendedprice) + 1.5 * stddev_pop(l_extendedprice) AS hi FROM lineitem),
+    u AS (SELECT round(avg((l_quantity < lo OR l_extendedprice > hi)::INTEGER), 6) AS p_any FROM lineitem, m), s AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS q, abs(corr(l_discount, l_extendedprice)) AS d FROM lineitem)
+    SELECT 'comparison ' || best || ', failed ' || failed || ' of ' || n || ', p ' || printf('%.6f', p_any) || ', top ' || CASE WHEN q > d THEN 'l_quantity' ELSE 'l_discount' END AS summary, true AS robustness_missing,
+      concat_ws('; ', CASE WHEN failed > 0.05 * n THEN 'many failed checks' END, CASE WHEN p_any > 0.1 THEN 'exceedance over a tenth' END, CASE WHEN greatest(q, d) > 0.5 THEN 'one factor dominates' END) AS findings FROM c, v, u, s""")
 def final_summary(spark, sf):
+    """Comparison, validation, exceedance and sensitivity of one table with findings; a part without results is null."""
     rows = table(spark, sf, "lineitem")
-    out = stats.final_summary({"prices": rows.agg(F.count("*").alias("n")), "nothing": rows.where(F.lit(False)).select("l_orderkey")})
-    return out.select(F.concat(F.lit("n="), F.col("prices.n").cast("string")).alias("prices"), F.col("nothing.l_orderkey").cast("string").alias("nothing"))
+    means = rows.groupBy(F.col("l_returnflag").alias("best")).agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+    related = stats.correlations(rows, ["l_quantity", "l_discount"], ["l_extendedprice"])
+    parts = {
+        "comparison": means.orderBy(F.desc("mean"), "best"),
+        "validation": stats.violations(rows, {"l_quantity": (0, 45)}).select(F.col("above").alias("failed")).join(rows.agg(F.count("*").alias("n"))),
+        "uq": stats.exceedance(rows, "l_quantity", "l_extendedprice", 1.5),
+        "sensitivity": related.select(F.col("a").alias("factor"), F.abs("r").alias("r")).orderBy(F.desc("r"), "factor"),
+        "robustness": means.where("false"),
+    }
+    findings = {"many failed checks": "validation.failed > 0.05 * validation.n", "exceedance over a tenth": "uq.p_any > 0.1", "one factor dominates": "sensitivity.r > 0.5", "not robust": "robustness.mean < 0"}
+    out = stats.final_summary(parts, findings)
+    text = F.format_string("comparison %s, failed %d of %d, p %.6f, top %s", "comparison.best", "validation.failed", "validation.n", "uq.p_any", "sensitivity.factor")
+    return out.select(text.alias("summary"), F.col("robustness").isNull().alias("robustness_missing"), F.array_join("findings", "; ").alias("findings"))

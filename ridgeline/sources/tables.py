@@ -17,10 +17,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else reader.parquet(path)
 
 
-def read_curve_files(spark: SparkSession, glob: str, schema: str, key: str = "sample_id", pattern: str = r"sample_(\d+)") -> DataFrame:
-    """Many CSV files as one table, the id from each file's name; rows that don't parse and files without an id are left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(glob)
-    found = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
+def read_curve_files(spark: SparkSession, glob: str, schema: str, key: str = "sample_id", pattern: str = r"sample_(\d+)", of: str = "file_name") -> DataFrame:
+    """Many CSV files as one table, the id from each file's name (or its whole path, with ``of`` as "file_path"); rows that don't
+    parse, files that can't be read and files without an id are left out."""
+    reader = spark.read.schema(f"{schema}, _corrupt string").option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
+    rows = reader.option("columnNameOfCorruptRecord", "_corrupt").csv(glob)
+    found = F.regexp_extract(F.col(f"_metadata.{of}"), pattern, 1)
     return rows.withColumn(key, found.try_cast("int")).where(F.col(key).isNotNull() & F.col("_corrupt").isNull()).drop("_corrupt")
 
 

@@ -281,11 +281,41 @@ def test_sobol_points_do_not_repeat(spark):
         designs.sobol(spark, 8, [f"x{k}" for k in range(9)])
 
 
+def test_many_quantiles_equal_few(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g in ("a", "b") for v in rng.integers(0, 40, 300)] + [("a", None), ("lone", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    levels = [k / 24 for k in range(25)]
+    got = {r.g: r.q for r in ranges.quantiles(df, "v", levels, ["g"]).collect()}
+    for g in ("a", "b", "lone"):
+        assert np.allclose(got[g], np.quantile([v for h, v in rows if h == g and v is not None], levels))
+    assert ranges.quantiles(df.limit(0), "v", levels, ["g"]).count() == 0 and ranges.quantiles(df.limit(0), "v", levels).count() == 0
+
+
+def test_derived_if_missing_duplicates_and_findings(spark):
+    df = spark.createDataFrame([(1, 2.5, None), (2, 3.5, 7.0), (3, 2.5, None)], "k int, a double, b double")
+    assert [r.b for r in scalars.derived_if_missing(df, "b", F.col("a") * 2).orderBy("k").collect()] == [5.0, 7.0, 5.0]
+    assert scalars.derived_if_missing(df, "c", F.col("a") + 1).columns == ["k", "a", "b", "c"]
+    same = stats.duplicate_rows(df, {"a": F.col("a")}, 0).collect()
+    assert [tuple(r) for r in same] == [(2.0, 2)]
+    out = stats.final_summary({"one": df.agg(F.max("a").alias("a")), "none": df.where("false")}, {"high": "one.a > 3", "lost": "none.k > 0"}).first()
+    assert out.one.a == 3.5 and out.none is None and out.findings == ["high"]
+
+
+def test_flaws_of_curves(spark):
+    rows = [(1, k, float(k), y, d) for k, (y, d) in enumerate([(1.0, 0.5), (-2.0, 1.2), (float("nan"), 0.1), (float("inf"), -0.1), (None, None)])]
+    r = C.validated(spark.createDataFrame(rows, "curve_id int, ord int, x double, y double, d double"), damage="d").first()
+    assert (r.n, r.n_null, r.n_nan, r.n_inf, r.y_min, r.y_max, r.n_negative, r.n_outside) == (5, 1, 1, 1, -2.0, 1.0, 1, 2)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sample_007_load.csv").write_text("time,force\n0.0,1.5\nbad,row,too\n1.0,2.5\n")
     (tmp_path / "other.csv").write_text("time,force\n0.0,9\n")
     rows = tables.read_curve_files(spark, f"{tmp_path}/*.csv", "time double, force double").collect()
     assert sorted((r.sample_id, r.time, r.force) for r in rows) == [(7, 0.0, 1.5), (7, 1.0, 2.5)]
+    (tmp_path / "sample_008.csv.gz").write_bytes(b"\x1f\x8b not a stream")
+    rows = tables.read_curve_files(spark, f"{tmp_path}/sample*", "time double, force double").collect()
+    assert sorted((r.sample_id, r.time, r.force) for r in rows) == [(7, 0.0, 1.5), (7, 1.0, 2.5)]
     (tmp_path / "run.log").write_text("job_name: a\ntimestamp: 2024-01-02 03:04:05\nstatus: SUCCESS\nruntime: 12.5 seconds\ncpus: 1\n")
     (tmp_path / "run2.log").write_text("job_name: b\nstatus: FAILED (code 1)\n")
     logs = {r.job: (r.status, r.runtime, r.cpus) for r in tables.read_run_log(spark, f"{tmp_path}/*.log").collect()}
