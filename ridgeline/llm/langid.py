@@ -41,7 +41,7 @@ ROWS = 10_000
 #: Words that a task counts before it passes its counts on.
 FLUSH = 100_000
 #: Words whose scores a worker keeps, and words looked up at once.
-KEPT, PART = 250_000, 100_000
+KEPT, PART = 125_000, 25_000
 
 
 def runs(codes: Iterable[int]) -> str:

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 16
     """Cut batches so that each holds about ``most`` bytes of text at the most (one row at least)."""
     for batch in batches:
         at, n = 0, batch.num_rows
-        sizes = np.array([len(x) for x in raw(batch, text)], np.int64)
+        sizes = pc.fill_null(pc.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         while at < n:
             base = ends[at - 1] if at else 0
@@ -53,7 +54,7 @@ class WordHashes(dict):
     """64-bit hashes of byte words, kept for the most common ones of a worker's life."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -66,14 +67,16 @@ CACHES: dict[str, object] = {}
 def cache(name: str, make):
     """The worker's cache of this name, made anew if another operator's was kept."""
     if name not in CACHES:
-        CACHES.clear()
+        forget()
         CACHES[name] = make()
     return CACHES[name]
 
 
 def forget() -> None:
-    """Free what the last operator kept; a function, so that a task calls its worker's own."""
+    """Free what the last operator kept; a function, so that a task calls its worker's own. What was freed goes back to the machine."""
     CACHES.clear()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
