@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, decontaminate, gif, langid, line_dedup, near_dup, packing, secrets, substrings, url_filter
+from ridgeline.llm import chat, collocations, decontaminate, gif, langid, licenses, line_dedup, near_dup, packing, secrets, spelling, substrings, url_filter
 from ridgeline.sources.stage import stored
 
 
@@ -81,6 +81,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), told("spans").alias("spans"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_places(table(spark, sf_dir, "documents"))
+    told = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", told("base_labels"), told("labels"), "score")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -161,6 +175,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP12_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {LOWER.format("coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM s, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+v AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+own AS (SELECT a.* FROM v a WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM (SELECT lang, f, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase FROM v WHERE k > 2) b WHERE b.lang = a.lang AND b.phrase = a.phrase AND b.f >= a.f)),
+cuts AS (SELECT lang, phrase, f, c, array_to_string(w[1:c], ' ') AS h, array_to_string(w[c + 1:k], ' ') AS t FROM (SELECT *, unnest(range(1, k)) AS c FROM own)),
+z AS (SELECT x.lang, x.phrase, x.f AS a, h.f AS l, t.f AS r, n.n, c, (1000::HUGEINT * x.f * n.n // (h.f::HUGEINT * t.f))::BIGINT AS score
+      FROM cuts x JOIN v h ON h.lang = x.lang AND h.phrase = x.h JOIN v t ON t.lang = x.lang AND t.phrase = x.t JOIN n ON n.lang = x.lang),
+best AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -172,6 +202,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_secret_scan": op10_secret_scan,
+    "op11_license_scan": op11_license_scan,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {
@@ -181,4 +214,5 @@ ORACLES = {
     "op7_url_filter": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op12_phrase_collocations": OP12_SQL,
 }
