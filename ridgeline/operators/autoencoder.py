@@ -9,9 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators.sums import added
 from ridgeline.sources.stage import stored
 from ridgeline.sources.tables import with_arrays
 
@@ -111,10 +113,11 @@ PART_ROWS = 20_000
 
 
 def fit(arrays: DataFrame, k: int, y: str = "y", hidden: tuple[int, ...] = (128, 64, 32), rounds: int = 12, epochs: int = 6, patience: int = 4, rate: float = 2e-3, monotone: bool = False, rough: float = 0.0, partitions: int | None = None) -> tuple[Network, list[float]]:
-    """A trained network and the validation loss of each round (a fifth of the rows, by hash, is held out).
+    """A trained network and the validation loss of each round's result (a fifth of the rows, by hash, is held out).
 
-    A round is one job: each partition, of about ``PART_ROWS`` rows, trains a copy from the shared weights, one Arrow batch
-    after another, and returns its weights times its rows, which are summed in slices; the driver holds one weight vector.
+    A round is one job: each partition, of about ``PART_ROWS`` rows, judges the shared weights, trains a copy of them on all its
+    rows together, and returns its weights times its rows, which are summed in a tree; the driver holds one weight vector. The
+    last round only judges, so every average of weights is measured before it can be returned.
     """
     curves = arrays.select(F.col(y).cast("array<double>").alias("y")).withColumn("held", F.pmod(F.xxhash64("y"), F.lit(5)) == 0)
     one = curves.agg(F.count("*").alias("n"), F.max(F.size("y")).alias("p")).first()
@@ -124,41 +127,30 @@ def fit(arrays: DataFrame, k: int, y: str = "y", hidden: tuple[int, ...] = (128,
     rows = stored(curves.repartition(partitions or max(1, -(-one.n // PART_ROWS)), F.xxhash64("y")), "curves-to-learn")
     net = Network([p, *hidden, k, *reversed(hidden), p], monotone, rough)
     best, losses, left = net.vector(), [], patience
-    for turn in range(rounds):
+    for turn in range(rounds + 1):
         shared = rows.sparkSession.sparkContext.broadcast(net.vector())
 
         def part(frames: Iterator[pd.DataFrame], shared=shared, turn=turn) -> Iterator[pd.DataFrame]:
-            sizes = [p, *hidden, k, *reversed(hidden), p]
-            given, local = (Network(sizes, monotone, rough).load(shared.value) for _ in range(2))
-            n = held = 0
-            loss = 0.0
-            for f in frames:
-                if not len(f):
-                    continue
-                x, out = np.stack(f.y.to_numpy()), f.held.to_numpy(bool)
-                if out.any():
-                    loss += given.loss(x[out]) * out.sum()
-                    held += int(out.sum())
-                if not out.all():
-                    local.train(x[~out], epochs, rate, turn)
-                    n += int((~out).sum())
-            flat = local.vector() * n
-            if n or held:
-                yield pd.DataFrame({"slice": np.arange(-(-len(flat) // 4096)), "part": [flat[i : i + 4096] for i in range(0, len(flat), 4096)], "n": n, "held": held, "loss": loss})
-
-        def add(f: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"slice": [f.slice.iloc[0]], "part": [np.sum(np.stack(f.part.to_numpy()), 0)], "n": [f.n.sum()], "held": [f.held.sum()], "loss": [f.loss.sum()]})
-
-        schema = "slice int, part array<double>, n long, held long, loss double"
-        got = rows.mapInPandas(part, schema).groupBy("slice").applyInPandas(add, schema).orderBy("slice").collect()
-        losses.append(got[0].loss / max(1, got[0].held))
+            own = [f for f in frames if len(f)]
+            if not own:
+                return
+            x, out = np.concatenate([np.stack(f.y.to_numpy()) for f in own]), np.concatenate([f.held.to_numpy(bool) for f in own])
+            given, local = (Network([p, *hidden, k, *reversed(hidden), p], monotone, rough).load(shared.value) for _ in range(2))
+            n, held = int((~out).sum()), int(out.sum())
+            if n and turn < rounds:
+                local.train(x[~out], epochs, rate, turn)
+            sums = np.concatenate([local.vector() * n, [n, held, given.loss(x[out]) * held if held else 0.0]])
+            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "sums": [sums]})
+
+        got = np.array(added(rows.mapInPandas(part, "at long, sums array<double>"), [], "at", "sums").first().sums)
+        losses.append(float(got[-1] / max(1, got[-2])))
         if len(losses) > 1 and losses[-1] >= min(losses[:-1]):
             left -= 1
             if not left:
                 break
         else:
             best = net.vector()
-        net.load(np.concatenate([r.part for r in got]) / max(1, got[0].n))
+        net.load(got[:-3] / max(1, got[-3]))
     return net.load(best), losses
 
 

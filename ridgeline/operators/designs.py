@@ -208,13 +208,14 @@ def augmented(gridded: DataFrame, parameters: DataFrame, key: str, rounds: int,
 
 
 def hash_ranked(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """``rank`` from 1 in the order of a seeded hash, and ``total``; only rows of one of 4,096 hash ranges are sorted together."""
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_g", F.shiftrightunsigned("_h", 52).cast("int").bitwiseXOR(F.lit(1 << 11)))
-    counts = hashed.groupBy("_g").agg(F.count("*").alias("_c"))
-    before = counts.select("_g", F.coalesce(F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    total = counts.agg(F.sum("_c").alias("total"))
-    out = hashed.join(F.broadcast(before), "_g").join(F.broadcast(total))
-    return out.withColumn("rank", F.col("_b") + F.row_number().over(Window.partitionBy("_g").orderBy("_h", key))).drop("_h", "_g", "_b")
+    """``rank`` from 1 in the order of a seeded hash, and ``total``; ranks come from ranges of the hash, as many as there are tasks."""
+    return ranked(df.withColumn("_h", F.xxhash64(F.lit(seed), key)), ["_h", key]).withColumnRenamed("rank_all", "total").drop("_h")
+
+
+def bound(design: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``design`` with the key of each of its rows: row k is that of the k-th key in ascending order."""
+    places = numbered(keys, key)
+    return design.join(places, design["row"] == places["place"]).drop("place")
 
 
 def nested_subsets(df: DataFrame, key: str, fractions: list[float], seed: int = 42) -> DataFrame:

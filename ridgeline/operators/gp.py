@@ -1,8 +1,10 @@
 """Gaussian process regression with landmarks (projected process), one process for each target component.
 
 With m landmarks a fit is sums of m x m and m-vectors over rows, taken on Spark; with all rows as landmarks it is the
-exact posterior. Length scales, one for each feature, noise and amplitude are those of the largest marginal likelihood on a
-bounded sample: the best single length from a grid, then one feature's length after another (automatic relevance).
+exact posterior (``exact_gp`` gives that for any number of rows). Length scales, one for each feature, noise and amplitude
+start from the largest marginal likelihood on a bounded sample: the best single length from a grid, then one feature's length
+after another (automatic relevance). With ``rounds``, they then climb the evidence of all rows by its gradient, from several
+starts within bounds (``ascended``).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators.sums import added
 from ridgeline.sources.tables import with_arrays
 
 #: Landmarks, and rows on which hyper-parameters are compared.
@@ -24,8 +27,8 @@ MOST_LANDMARKS, MOST_TUNING = 512, 400
 LENGTHS, NOISES = (0.3, 0.6, 1.0, 2.0, 4.0), (1e-4, 1e-2, 1e-1, 0.5)
 #: Factors by which a feature's length is tried, and turns over all features.
 FACTORS, TURNS = (0.4, 0.7, 1.5, 3.0, 8.0), 2
-#: Partial sums that are added up before those of all partitions meet.
-BUCKETS = 32
+#: Landmarks of the climb, starts of each component beside the best of the sample, and bounds of lengths and noise.
+CLIMB_LANDMARKS, STARTS, LENGTH_BOUNDS, NOISE_BOUNDS = 96, 2, (0.05, 50.0), (1e-5, 2.0)
 
 
 def kernel(a: np.ndarray, b: np.ndarray, length: float | np.ndarray, kind: str = "rbf") -> np.ndarray:
@@ -39,6 +42,16 @@ def kernel(a: np.ndarray, b: np.ndarray, length: float | np.ndarray, kind: str =
     raise ValueError(f"unknown kernel {kind}")
 
 
+def slopes(a: np.ndarray, b: np.ndarray, length: np.ndarray, kind: str = "rbf") -> tuple[np.ndarray, list[np.ndarray]]:
+    """The kernel and its derivatives by the logarithms of the lengths."""
+    k = kernel(a, b, length, kind)
+    gaps = [((a[:, d, None] - b[None, :, d]) / length[d]) ** 2 for d in range(a.shape[1])]
+    if kind == "rbf":
+        return k, [k * g for g in gaps]
+    fall = np.exp(-np.sqrt(3 * sum(gaps)))
+    return k, [3 * g * fall for g in gaps]
+
+
 def evidence(x: np.ndarray, y: np.ndarray, length: float | np.ndarray, noise: float, kind: str) -> float:
     """Log marginal likelihood with the amplitude at its best."""
     n = len(x)
@@ -69,8 +82,8 @@ class Process:
         return np.stack(means, 1), np.stack(stds, 1)
 
 
-def fit(rows: DataFrame, features: list[str], target: str, key: str, kind: str = "rbf", landmarks: int = MOST_LANDMARKS, seed: int = 7) -> Process:
-    """``target`` is an array column with an entry for each component."""
+def fit(rows: DataFrame, features: list[str], target: str, key: str, kind: str = "rbf", landmarks: int = MOST_LANDMARKS, seed: int = 7, rounds: int = 0) -> Process:
+    """``target`` is an array column with an entry for each component; ``rounds`` of ascent on the evidence of all rows."""
     rows = rows.select(F.col(key).alias("key"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"), F.col(target).cast("array<double>").alias("y"))
     n_out = rows.select(F.max(F.size("y"))).first()[0]
     if not n_out:
@@ -85,6 +98,8 @@ def fit(rows: DataFrame, features: list[str], target: str, key: str, kind: str =
     y = (np.array([r.y for r in chosen]) - y_mean) / y_std
     marks = np.unique(x[: min(landmarks, MOST_LANDMARKS)], axis=0)
     best = tuned(rows, x[:MOST_TUNING], y[:MOST_TUNING], kind)
+    if rounds:
+        best = [(length, noise) for length, noise, _ in ascended(rows, (mean, std, y_mean, y_std), marks[: min(len(marks), CLIMB_LANDMARKS)], best, kind, rounds, seed)]
     kept = rows.sparkSession.sparkContext.broadcast((mean, std, y_mean, y_std, marks, [b[0] for b in best]))
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,17 +115,10 @@ def fit(rows: DataFrame, features: list[str], target: str, key: str, kind: str =
                     now.append(np.concatenate([(k @ k.T).reshape(-1), k @ t[:, j], [t[:, j] @ t[:, j], len(f)]]))
                 sums = now if sums is None else [u + v for u, v in zip(sums, now, strict=True)]
         if sums is not None:
-            yield pd.DataFrame({"component": np.arange(len(sums)), "bucket": TaskContext.get().partitionId() % BUCKETS, "sums": sums})
-
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        total = f.sums.iloc[0].copy()
-        for s in f.sums.iloc[1:]:
-            total += s
-        return pd.DataFrame({"component": [f.component.iloc[0]], "bucket": [f.bucket.iloc[0]], "sums": [total]})
+            yield pd.DataFrame({"component": np.arange(len(sums)), "at": TaskContext.get().partitionId(), "sums": sums})
 
-    schema, parts, m = "component int, bucket int, sums array<double>", [], len(marks)
-    some = rows.mapInPandas(part, schema).groupBy("component", "bucket").applyInPandas(add, schema)
-    for r in some.groupBy("component").applyInPandas(add, schema).orderBy("component").collect():
+    parts, m = [], len(marks)
+    for r in added(rows.mapInPandas(part, "component int, at long, sums array<double>"), ["component"], "at", "sums").orderBy("component").collect():
         s = np.array(r.sums)
         length, noise = best[r.component]
         kk, ky, yy, n = s[: m * m].reshape(m, m), s[m * m : m * m + m], s[-2], s[-1]
@@ -120,11 +128,98 @@ def fit(rows: DataFrame, features: list[str], target: str, key: str, kind: str =
         weights = np.linalg.solve(whole, ky)
         # The amplitude of best likelihood given length and noise.
         amplitude = max(float((yy - ky @ weights) / (noise * n)), 1e-12)
-        reduce = np.linalg.inv(inner) - noise * np.linalg.inv(whole)
+        reduce = np.linalg.solve(inner, np.eye(m)) - noise * np.linalg.solve(whole, np.eye(m))
         parts.append({"length": length, "noise": noise, "amplitude": amplitude, "weights": weights, "reduce": reduce, "y_mean": y_mean[r.component], "y_std": y_std[r.component]})
     return Process(mean, std, marks, kind, parts)
 
 
+@dataclass
+class Climber:
+    """A component's state on its way: logarithms of lengths and noise, steps by coordinate, last signs, and the best so far."""
+
+    component: int
+    at: np.ndarray
+    steps: np.ndarray
+    signs: np.ndarray
+    best: tuple[float, np.ndarray] = (-np.inf, np.zeros(0))
+
+    def move(self, value: float, slope: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """A step along the signs of the gradient, longer where a sign stays and shorter where it turns."""
+        if value > self.best[0]:
+            self.best = (value, self.at.copy())
+        turn = np.sign(slope) * self.signs
+        self.steps = np.clip(np.where(turn > 0, 1.3 * self.steps, np.where(turn < 0, 0.4 * self.steps, self.steps)), 1e-3, 1.0)
+        self.signs = np.where(turn < 0, 0, np.sign(slope))
+        self.at = np.clip(self.at + self.signs * self.steps, low, high)
+
+
+def ascended(rows: DataFrame, scale: tuple[np.ndarray, ...], marks: np.ndarray, start: list[tuple[np.ndarray, float]], kind: str, rounds: int, seed: int = 7) -> list[tuple[np.ndarray, float, float]]:
+    """(lengths, noise, log evidence) of each component, climbing the evidence of the projected process over all rows.
+
+    A round is one job: each partition adds up, for every component and start, K K', its derivatives by the lengths, and their
+    products with the targets; the sums meet in a tree, and the driver, which holds a few landmark x landmark matrices, takes
+    value and gradient from them. The amplitude is at its best at every point.
+    """
+    mean, std, y_mean, y_std = scale
+    m, d = marks.shape
+    low, high = (np.log(np.array([LENGTH_BOUNDS[k]] * d + [NOISE_BOUNDS[k]])) for k in (0, 1))
+    rng = np.random.default_rng(seed)
+    climbers = []
+    for j, (length, noise) in enumerate(start):
+        own = np.log(np.concatenate([np.broadcast_to(length, d), [noise]]))
+        for k in range(STARTS + 1):
+            at = np.clip(own if k == 0 else own + rng.normal(0, 1.0, d + 1), low, high)
+            climbers.append(Climber(j, at, np.full(d + 1, 0.3), np.zeros(d + 1)))
+    for turn in range(rounds + 1):
+        kept = rows.sparkSession.sparkContext.broadcast([(c.component, np.exp(c.at[:d])) for c in climbers])
+
+        def part(frames: Iterator[pd.DataFrame], kept=kept) -> Iterator[pd.DataFrame]:
+            sums = None
+            for f in frames:
+                if len(f):
+                    a = (np.stack(f.x.to_numpy()) - mean) / std
+                    t = (np.stack(f.y.to_numpy()) - y_mean) / y_std
+                    now = []
+                    for j, lengths in kept.value:
+                        k, dk = slopes(marks, a, lengths, kind)
+                        now.append(np.concatenate([*((x @ k.T).reshape(-1) for x in (k, *dk)), *(x @ t[:, j] for x in (k, *dk)), [t[:, j] @ t[:, j], len(f)]]))
+                    sums = now if sums is None else [u + v for u, v in zip(sums, now, strict=True)]
+            if sums is not None:
+                yield pd.DataFrame({"climber": np.arange(len(sums)), "at": TaskContext.get().partitionId(), "sums": sums})
+
+        for r in added(rows.mapInPandas(part, "climber int, at long, sums array<double>"), ["climber"], "at", "sums").collect():
+            c = climbers[r.climber]
+            c.move(*slope_of(np.array(r.sums), marks, np.exp(c.at[:d]), float(np.exp(c.at[d])), kind), low, high)
+    out = []
+    for j in range(len(start)):
+        value, at = max((c.best for c in climbers if c.component == j), key=lambda b: b[0])
+        out.append((np.exp(at[:d]), float(np.exp(at[d])), value))
+    return out
+
+
+def slope_of(s: np.ndarray, marks: np.ndarray, lengths: np.ndarray, noise: float, kind: str) -> tuple[float, np.ndarray]:
+    """Log evidence of the projected process and its gradient by the logarithms of lengths and noise, from sums over rows."""
+    m, d = marks.shape
+    square = [x.reshape(m, m) for x in np.split(s[: (d + 1) * m * m], d + 1)]
+    by_y = np.split(s[(d + 1) * m * m : -2], d + 1)
+    yy, n = s[-2], s[-1]
+    inner, inner_slopes = slopes(marks, marks, lengths, kind)
+    inner = inner + 1e-6 * np.eye(m)
+    whole = square[0] + noise * inner
+    inverse, inner_inverse = np.linalg.inv(whole), np.linalg.inv(inner)
+    w = inverse @ by_y[0]
+    quad = max(float(yy - by_y[0] @ w) / noise, 1e-300)
+    logdet = np.linalg.slogdet(whole)[1] - np.linalg.slogdet(inner)[1] + (n - m) * np.log(noise)
+    value = -0.5 * (n * np.log(quad / n) + logdet)
+    out = []
+    for k in range(d):
+        change = noise * inner_slopes[k] + square[k + 1] + square[k + 1].T
+        d_quad = (w @ change @ w - 2 * by_y[k + 1] @ w) / noise
+        out.append(-0.5 * (n / quad * d_quad + (inverse * change).sum() - (inner_inverse * inner_slopes[k]).sum()))
+    out.append(-0.5 * (n / quad * (w @ inner @ w - quad) + noise * (inverse * inner).sum() + n - m))
+    return float(value), np.array(out)
+
+
 def tuned(rows: DataFrame, x: np.ndarray, y: np.ndarray, kind: str) -> list[tuple[np.ndarray, float]]:
     """The best (lengths by feature, noise) of each component: candidates x components as the rows of one job, then one row
     for each component that goes over the features."""

@@ -1,15 +1,21 @@
-"""Principal components of gridded curves: sums on Spark, a p x p eigenproblem on the driver (p is the grid's size)."""
+"""Principal components of gridded curves: sums on Spark, a p x p eigenproblem on the driver (p is the grid's size).
+
+Grids of more than ``MOST_COLUMNS`` points take ``fit_wide``: subspace iteration from a random start, with tall products by
+partition and an orthonormal step on the driver's k columns, so that nothing of p x p is ever held.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.operators.sums import added
 from ridgeline.sources.tables import with_arrays
 
 MOST_COLUMNS = 4096
@@ -35,11 +41,17 @@ class Components:
 
 
 def fit(arrays: DataFrame, k: int, y: str = "y") -> Components:
-    """Sums and products by partition, added up by matrix row, so that the driver receives p rows whatever the partitions.
+    """Sums and products by partition, added up by matrix row in a tree, so that the driver receives p rows whatever the partitions.
 
-    Curves with a null, NaN or infinite value are left out. k is cut to what rows and columns allow.
+    Curves with a null, NaN or infinite value are left out. k is cut to what rows and columns allow. Wider grids than
+    ``MOST_COLUMNS`` go to ``fit_wide``.
     """
     clean = arrays.where(F.col(y).isNotNull() & F.forall(y, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))).select(F.col(y).cast("array<double>").alias("y"))
+    p = clean.select(F.max(F.size("y"))).first()[0]
+    if not p:
+        raise ValueError("no curves to fit")
+    if p > MOST_COLUMNS:
+        return fit_wide(clean, k, p)
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -48,22 +60,69 @@ def fit(arrays: DataFrame, k: int, y: str = "y") -> Components:
                 m = np.column_stack([np.ones(len(f)), np.stack(f.y.to_numpy())])
                 total = m.T @ m if total is None else total + m.T @ m
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
-
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [f.i.iloc[0]], "row": [np.sum(np.stack(f.row.to_numpy()), 0)]})
+            yield pd.DataFrame({"i": np.arange(len(total)), "at": TaskContext.get().partitionId(), "row": list(total)})
 
-    rows = clean.mapInPandas(part, "i int, row array<double>").groupBy("i").applyInPandas(add, "i int, row array<double>").orderBy("i").limit(MOST_COLUMNS + 2).collect()
-    if not rows or len(rows) > MOST_COLUMNS + 1:
-        raise ValueError(f"no curves, or more than {MOST_COLUMNS} grid points")
+    rows = added(clean.mapInPandas(part, "i int, at long, row array<double>"), ["i"], "at", "row").orderBy("i").limit(p + 1).collect()
     m = np.array([r.row for r in rows])
     n, mean = m[0, 0], m[0, 1:] / m[0, 0]
     cov = (m[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)
     values, vectors = np.linalg.eigh(cov)
     k = int(min(k, n, len(mean)))
-    values, vectors = np.maximum(values[::-1][:k], 0), vectors[:, ::-1][:, :k].T
-    sign = np.sign(vectors[np.arange(k), np.abs(vectors).argmax(1)])
-    return Components(mean, vectors * np.where(sign == 0, 1, sign)[:, None], values, float(np.trace(cov)))
+    return Components(mean, upright(vectors[:, ::-1][:, :k].T), np.maximum(values[::-1][:k], 0), float(np.trace(cov)))
+
+
+def upright(vectors: np.ndarray) -> np.ndarray:
+    """Each row with its largest entry positive."""
+    sign = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(1)])
+    return vectors * np.where(sign == 0, 1, sign)[:, None]
+
+
+#: Columns beyond k, rounds at the most, and the relative change of the variances that ends them.
+EXTRA, ROUNDS, SETTLED = 10, 30, 1e-10
+
+
+def fit_wide(clean: DataFrame, k: int, p: int, seed: int = 7) -> Components:
+    """The first ``k`` components by subspace iteration: each round multiplies the covariance with k + ``EXTRA`` columns in one
+    job and makes them orthonormal again, until the variances have settled."""
+
+    def total(f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = None
+            for x in frames:
+                if len(x):
+                    now = f(np.stack(x.y.to_numpy()))
+                    own = now if own is None else own + now
+            if own is not None:
+                yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "sums": [own.reshape(-1)]})
+
+        return np.array(added(clean.mapInPandas(part, "at long, sums array<double>"), [], "at", "sums").first().sums)
+
+    one = total(lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+    n, mean = one[0], one[1 : p + 1] / one[0]
+    whole = float((one[p + 1 :] - n * mean**2).sum() / max(n - 1, 1))
+    k = int(min(k, n, p))
+    width = int(min(k + EXTRA, n, p))
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(p, width)))[0]
+    before = np.zeros(k)
+    for _ in range(ROUNDS):
+        kept = clean.sparkSession.sparkContext.broadcast((mean, q))
+
+        def products(x: np.ndarray, kept=kept) -> np.ndarray:
+            m, columns = kept.value
+            x = x - m
+            y = x @ columns
+            return np.vstack([x.T @ y, y.T @ y])
+
+        both = total(products).reshape(p + width, width)
+        values, turn = np.linalg.eigh(both[p:] / max(n - 1, 1))
+        now = np.maximum(values[::-1][:k], 0)
+        if np.abs(now - before).max(initial=0) <= SETTLED * max(float(now.max(initial=0)), 1e-300):
+            break
+        before, last = now, q
+        q = np.linalg.qr(both[:p])[0]
+    else:
+        q = last  # what ``turn`` belongs to
+    return Components(mean, upright((q @ turn[:, ::-1][:, :k]).T), now, whole)
 
 
 def project(arrays: DataFrame, model: Components, y: str = "y", to: str = "scores") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators.designs import clipped_normal
 from ridgeline.operators.gp import Process
+from ridgeline.operators.joins import renumbered
 from ridgeline.sources.tables import with_arrays
 
 
@@ -104,9 +105,10 @@ def propagated(inputs: DataFrame, key: str, model: Surrogate, replicates: int, s
                 mean, std = m.process.predict(g[features].to_numpy(float))
                 z = normals(g["_hash"].to_numpy(), replicates, k + 1)
                 scores = mean[:, None] + np.maximum(amplify * std, least)[:, None] * z[:, :, :k]
-                y = m.curves(scores.reshape(-1, k)) * (1 + noise * z[:, :, k].reshape(-1, 1))
+                y = m.curves(scores.reshape(-1, k))
                 if low is not None or high is not None:
                     y = np.clip(y, low, high)
+                y = y * (1 + noise * z[:, :, k].reshape(-1, 1))
                 out = g.loc[g.index.repeat(replicates), [key, *features]].reset_index(drop=True)
                 good = np.isfinite(y).all(1)
                 out["rep"] = np.tile(np.arange(1, replicates + 1), len(g)).astype(np.int32)
@@ -121,6 +123,99 @@ def propagated(inputs: DataFrame, key: str, model: Surrogate, replicates: int, s
     return out.select(*(F.nanvl(c, F.lit(None)).alias(c) if c in ("peak", "final") else F.col(c) for c in out.columns))
 
 
+@dataclass
+class Response:
+    """One of several responses to the same inputs.
+
+    A curve is the model's, times a drawn factor (where ``factors`` has the known ones: a row drawn at random, plus ``jitter``
+    deviations of all factors times a normal, within their range), clipped to [low, high], and last times 1 + noise x a normal.
+    """
+
+    model: Surrogate
+    low: float | None = None
+    high: float | None = None
+    noise: float = 0.0
+    factors: DataFrame | None = None
+    jitter: float = 0.2
+
+
+#: Factors up to which they are broadcast; beyond, draws meet them in a join.
+MOST_FACTORS = 1_000_000
+
+
+def drawn_factors(inputs: DataFrame, key: str, factors: DataFrame, replicates: int, seed: int, to: str) -> tuple[DataFrame, Callable[[pd.Series], np.ndarray], tuple[float, float, float]]:
+    """``inputs`` with an array of a factor for each replicate, how to read it in a task, and least, largest and deviation.
+
+    ``factors`` has one column; the factor is the one at a hashed place in their order, whichever way it is fetched.
+    """
+    column = factors.columns[0]
+    known = factors.select(F.col(column).cast("double").alias("factor")).where("factor IS NOT NULL")
+    stat = known.agg(F.count("*").alias("n"), F.min("factor").alias("low"), F.max("factor").alias("high"), F.stddev_pop("factor").alias("std")).first()
+    if not stat.n:
+        raise ValueError("no factors to draw from")
+    place = lambda rep: F.pmod(F.xxhash64(F.lit(seed), F.lit(to), F.col(key), rep), F.lit(stat.n))
+    reps = F.sequence(F.lit(1), F.lit(replicates))
+    if stat.n <= MOST_FACTORS:
+        kept = inputs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.factor for r in known.toLocalIterator()])))
+        return inputs.withColumn(to, F.transform(reps, place)), lambda at: kept.value[np.stack(at.to_numpy())], (stat.low, stat.high, stat.std)
+    numbers = renumbered(known, ["factor"]).select(F.col("number").alias("_at"), "factor")
+    each = inputs.select(key, F.explode(reps).alias("_rep")).withColumn("_at", place(F.col("_rep"))).join(numbers, "_at")
+    arrays = each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rep", "factor"))), lambda s: s["factor"]).alias(to))
+    return inputs.join(arrays, key), lambda own: np.stack(own.to_numpy()), (stat.low, stat.high, stat.std)
+
+
+def propagated_responses(inputs: DataFrame, key: str, responses: dict[str, Response], replicates: int, seed: int = 42, amplify: float = 1.0, least: float = 0.01, curves: bool = False) -> DataFrame:
+    """Monte-Carlo propagation of several responses over shared draws: (key, rep, features, and for each response name_peak,
+    name_final, and with ``curves`` the curve name_y). ``key`` tells draws apart.
+
+    Each response samples its own latent scores, N(mean, max(amplify x std, least)), its factor, jitter and noise, from hashes
+    of (seed, response, key, rep), so results don't depend on partitions. If a curve of a replicate isn't finite, all of its
+    quantities are null.
+    """
+    features = sorted({x for r in responses.values() for x in r.model.features})
+    rows = inputs.select(key, *(F.col(x).cast("double").alias(x) for x in features), *(F.xxhash64(F.lit(seed), F.lit(n), key).alias(f"_h_{n}") for n in responses))
+    read, spread = {}, {}
+    for n, r in responses.items():
+        if r.factors is not None:
+            rows, read[n], spread[n] = drawn_factors(rows, key, r.factors, replicates, seed, f"_f_{n}")
+    parts = {n: (r.model, r.low, r.high, r.noise, r.jitter) for n, r in responses.items()}
+    kept = inputs.sparkSession.sparkContext.broadcast(parts)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), 1024):
+                g = f.iloc[at : at + 1024]
+                out = g.loc[g.index.repeat(replicates), [key, *features]].reset_index(drop=True)
+                out["rep"] = np.tile(np.arange(1, replicates + 1), len(g)).astype(np.int32)
+                good, found = np.ones(len(out), bool), {}
+                for n, (model, low, high, noise, jitter) in kept.value.items():
+                    k = len(model.process.parts)
+                    mean, std = model.process.predict(g[model.features].to_numpy(float))
+                    z = normals(g[f"_h_{n}"].to_numpy(), replicates, k + 2)
+                    y = model.curves((mean[:, None] + np.maximum(amplify * std, least)[:, None] * z[:, :, :k]).reshape(-1, k))
+                    if n in read:
+                        lowest, highest, deviation = spread[n]
+                        factor = read[n](g[f"_f_{n}"]) + jitter * deviation * z[:, :, k + 1]
+                        y = y * np.clip(factor, lowest, highest).reshape(-1, 1)
+                    if low is not None or high is not None:
+                        y = np.clip(y, low, high)
+                    y = y * (1 + noise * z[:, :, k].reshape(-1, 1))
+                    good &= np.isfinite(y).all(1)
+                    found[n] = y
+                for n, y in found.items():
+                    out[f"{n}_peak"], out[f"{n}_final"] = np.where(good, y.max(1), np.nan), np.where(good, y[:, -1], np.nan)
+                    if curves:
+                        out[f"{n}_y"] = list(y)
+                yield out
+
+    kind = dict(inputs.dtypes)[key]
+    told = [f"{n}_{q} double" for n in responses for q in ("peak", "final")]
+    made = [x for n in responses for x in (f"{n}_peak double", f"{n}_final double", *([f"{n}_y array<double>"] if curves else []))]
+    out = rows.mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{x} double" for x in features) + ", rep int, " + ", ".join(made))
+    quantities = {t.split()[0] for t in told}
+    return out.select(*(F.nanvl(c, F.lit(None)).alias(c) if c in quantities else F.col(c) for c in out.columns))
+
+
 def valid(df: DataFrame, *columns: str) -> tuple[DataFrame, Column]:
     """Rows whose quantities are all there, and the count expression of the others."""
     ok = F.lit(True)

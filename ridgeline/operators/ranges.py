@@ -1,8 +1,8 @@
-"""Ranks, running sums and exact quantiles over whole tables, by ranges of the order.
+"""Ranks and running sums over whole tables by ranges of the order; exact quantiles by counts of digits.
 
-Spark deals the rows to ranges of their order from a sample; sums by range come first, rows are then ordered inside their
-range only. So no task sorts or holds a whole group, and the number of ranges follows that of shuffle partitions. Keys of any
-type that Spark can order are fine.
+For ranks Spark deals the rows to ranges of their order from a sample; sums by range come first, rows are then ordered inside
+their range only. So no task sorts or holds a whole group, and the number of ranges follows that of shuffle partitions. Keys
+of any type that Spark can order are fine.
 """
 
 from __future__ import annotations
@@ -44,36 +44,71 @@ def ranked(df: DataFrame, order: list[str], by: list[str] | None = None) -> Data
     return running(df, order, by, rank=F.lit(1).cast("long"))
 
 
-#: More levels than this are exploded by the rows that hold them instead of being two aggregates each, which Spark can't compile.
-MANY_LEVELS = 10
+#: Digits of an octave, finer digits of a digit's range, and values of one digit up to which they are put in order together.
+OCTAVE, FINE, FEW = 64, 4096, 20_000
 
 
-def many_quantiles(at: DataFrame, levels: list[float], by: list[str], name: str) -> DataFrame:
-    """The same as ``quantiles`` from running counts: each distinct value yields the levels whose ranks it holds, a few rows a group."""
-    every = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(levels)))
-    place = lambda p: p * (F.col("_upto_all") - 1)
-    holds = lambda k: (F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto"))
-    mine = at.select("*", F.explode(F.filter(every, lambda s: holds(F.floor(place(s["p"]))) | holds(F.ceil(place(s["p"]))))).alias("_s"))
-    rank = place(F.col("_s.p"))
-    ends = mine.groupBy(*by, F.col("_s.j").alias("_j")).agg(F.max(rank - F.floor(rank)).alias("_w"), *(F.max(F.when(holds(k), F.col("_v"))).alias(c) for c, k in (("_lo", F.floor(rank)), ("_hi", F.ceil(rank)))))
-    value = F.when((F.col("_w") == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise((1 - F.col("_w")) * F.col("_lo") + F.col("_w") * F.col("_hi"))
-    return ends.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_j", value.alias("v")))), lambda s: s["v"]).alias(name)).where(F.size(name) > 0)
+def digit(v: Column) -> Column:
+    """A whole number that doesn't fall as ``v`` rises: sign and logarithm, ``OCTAVE`` steps for each factor of two; NaN is highest."""
+    size = F.when(F.abs(v) == F.lit(float("inf")), F.lit(200_000)).otherwise(F.floor(OCTAVE * F.log2(F.abs(v))) + 1100 * OCTAVE)
+    return F.when(F.isnan(v), F.lit(300_000)).when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("int")
 
 
 def quantiles(df: DataFrame, value: str, levels: list[float], by: list[str] | None = None, name: str = "q") -> DataFrame:
-    """(by, ``name``): exact quantiles at ``levels``, linear between ranks; groups without a value have no row."""
+    """(by, ``name``): exact quantiles at ``levels``, linear between ranks; groups without a value have no row.
+
+    Values aren't moved: they are counted by group and digit, which Spark sums before the shuffle, and the digits that hold a
+    wanted rank are counted again by finer ones while they hold more than ``FEW`` values. A digit spans a factor of 2^(1 / 64),
+    so three finer rounds tell any two doubles apart. What then is put in order are the values of the wanted digits only.
+    ``df`` is read twice, or more often where values crowd: write it first if it is dear.
+    """
     by = list(by or [])
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    at = running(counts, ["_v"], by, _upto=F.col("_n"))
-    if len(levels) > MANY_LEVELS:
-        return many_quantiles(at, levels, by, name)
-    place = lambda p: F.lit(float(p)) * (F.col("_upto_all") - 1)
-    held = lambda k: F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")), F.col("_v")))
-    ends = [x for j, p in enumerate(levels) for x in (held(F.floor(place(p))).alias(f"_lo{j}"), held(F.ceil(place(p))).alias(f"_hi{j}"))]
-    got = at.groupBy(*by).agg(F.max("_upto_all").alias("_upto_all"), *ends)
-
-    def between(j: int, p: float) -> Column:
-        share = place(p) - F.floor(place(p))
-        return F.when((share == 0) | (F.col(f"_lo{j}") == F.col(f"_hi{j}")), F.col(f"_lo{j}")).otherwise((1 - share) * F.col(f"_lo{j}") + share * F.col(f"_hi{j}"))
-
-    return got.where("_upto_all > 0").select(*by, F.array(*(between(j, p) for j, p in enumerate(levels))).alias(name))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")).withColumn("_d", digit(F.col("_v")))
+    held = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    up = Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+    every = F.array(*(F.lit(float(p)) for p in levels))
+    place = lambda p: p * (F.col("_all") - 1)
+    counts = rows.groupBy(*by, "_d").agg(*held).withColumn("_upto", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    ranks = F.array_distinct(F.concat(F.transform(every, lambda p: F.floor(place(p))), F.transform(every, lambda p: F.ceil(place(p)))))
+
+    def wanted(at: DataFrame, ks: Column) -> DataFrame:
+        """The digits that hold wanted ranks, and the ranks within them."""
+        mine = F.filter(ks, lambda k: (F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")))
+        return at.withColumn("_ks", mine).where(F.size("_ks") > 0).withColumn("_before", F.col("_start") + F.col("_upto") - F.col("_n")).withColumn("_ks", F.transform("_ks", lambda k: k - (F.col("_upto") - F.col("_n")))).select(*by, "_d", "_n", "_lo", "_hi", "_all", "_before", "_ks")
+
+    open_ = stored(wanted(counts.withColumn("_start", F.lit(0).cast("long")), ranks), "digits")
+    one = (F.col("_lo") == F.col("_hi")) | (F.isnan("_lo") & F.isnan("_hi"))
+    found = open_.where(one).select(*by, "_all", F.explode("_ks").alias("_k"), "_before", F.col("_lo").alias("_x"))
+    open_ = open_.where(~one)
+    while True:
+        many = open_.where(F.col("_n") > FEW)
+        if many.isEmpty():
+            break
+        step = F.least(F.lit(FINE - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * FINE)).cast("int")
+        part = [*by, "_d", "_lo", "_hi"]
+        inside = within(rows, many, by).withColumn("_s", step).groupBy(*part, "_s").agg(F.count("*").alias("_n"), F.min("_v").alias("_l"), F.max("_v").alias("_h"), F.first("_all").alias("_all"), F.first("_before").alias("_start"), F.first("_ks").alias("_ks"))
+        inside = inside.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*part).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)))
+        finer = stored(wanted(inside.drop("_lo", "_hi").withColumnsRenamed({"_l": "_lo", "_h": "_hi"}), F.col("_ks")), "digits")
+        found = found.unionByName(finer.where(one).select(*by, "_all", F.explode("_ks").alias("_k"), "_before", F.col("_lo").alias("_x")))
+        open_ = open_.where(F.col("_n") <= FEW).unionByName(finer.where(~one))
+    last = within(rows, open_, by).groupBy(*by, "_d", "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_vs"), F.first("_all").alias("_all"), F.first("_before").alias("_before"), F.first("_ks").alias("_ks"))
+    found = found.unionByName(last.select(*by, "_all", F.explode("_ks").alias("_k"), "_before", "_vs").select(*by, "_all", "_k", "_before", F.get("_vs", F.col("_k").cast("int")).alias("_x")))
+    got = found.groupBy(*by).agg(F.first("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct((F.col("_before") + F.col("_k")).alias("k"), "_x"))).alias("_m"))
+
+    def between(p: Column) -> Column:
+        low, high, share = F.col("_m")[F.floor(place(p))], F.col("_m")[F.ceil(place(p))], place(p) - F.floor(place(p))
+        return F.when((share == 0) | (low == high), low).otherwise((1 - share) * low + share * high)
+
+    return got.where("_all > 0").select(*by, F.transform(every, between).alias(name))
+
+
+#: Wanted digits up to which they are broadcast.
+MOST_SENT = 50_000
+
+
+def within(rows: DataFrame, digits: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose value lies in one of ``digits``, with its columns."""
+    own = digits.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_d").alias("_e"), "_lo", "_hi", "_all", "_before", "_ks")
+    own = F.broadcast(own) if digits.limit(MOST_SENT + 1).count() <= MOST_SENT else own
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by), F.col("_d") == F.col("_e"))
+    return rows.join(own, same & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).drop("_e", *(f"_by_{c}" for c in by))

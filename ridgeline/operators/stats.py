@@ -77,12 +77,16 @@ def violations(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFra
     return df.agg(*counts).select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
 
 
-def sigma_outliers(df: DataFrame, columns: list[str], k: float = 3.0, log: bool = False) -> DataFrame:
-    """Values further than ``k`` sample deviations from the mean, of the logarithm if ``log``."""
+def sigma_outliers(df: DataFrame, columns: list[str], k: float = 3.0, log: bool = False, given: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Values further than ``k`` deviations from the mean, of the logarithm if ``log``: the sample's own, or those of the design,
+    (mean, deviation) by column in ``given`` (of the logarithm too, as ``normal.lognormal_parameters`` gives them)."""
     rows = unpivoted(df, columns)
     if log:
         rows = rows.where("value > 0").withColumn("value", F.ln("value"))
-    limits = rows.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    if given is None:
+        limits = rows.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    else:
+        limits = df.sparkSession.createDataFrame([(c, *map(float, given[c])) for c in columns], "column string, mean double, std double")
     return rows.join(F.broadcast(limits), "column").groupBy("column").agg(F.count_if(F.abs(F.col("value") - F.col("mean")) > k * F.col("std")).alias("outliers"), F.count("*").alias("n"))
 
 
@@ -201,26 +205,48 @@ def trend(df: DataFrame, y: str, x: str, by: list[str] | None = None) -> DataFra
 
 
 def agreement(one: DataFrame, two: DataFrame, by: str = "i") -> DataFrame:
-    """Gaps between two envelopes' means and the share of points whose 5-95 % bands overlap."""
+    """Gaps between two envelopes' means, the largest mean of the first, and the share of points whose 5-95 % bands overlap."""
     a, b = (d.select(by, *(F.col(c).alias(f"{p}_{c}") for c in ("mean", "p05", "p95"))) for d, p in ((one, "a"), (two, "b")))
     gap = F.abs(F.col("a_mean") - F.col("b_mean"))
     overlap = (F.col("a_p05") <= F.col("b_p95")) & (F.col("b_p05") <= F.col("a_p95"))
-    return a.join(b, by).agg(F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap"), F.avg(overlap.cast("double")).alias("band_overlap"), F.avg(F.abs("a_mean")).alias("level"))
+    return a.join(b, by).agg(F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap"), F.avg(overlap.cast("double")).alias("band_overlap"), F.max("a_mean").alias("peak"))
+
+
+def fidelity(one: DataFrame, two: DataFrame, response: str, envelopes: tuple[DataFrame, DataFrame], by: str = "i", y: str = "y") -> DataFrame:
+    """One row for a response of two ensembles in long form: the agreement of their envelopes, and the Kolmogorov-Smirnov test
+    of their values at the point where the first one's mean is largest (the first such point)."""
+    top = envelopes[0].agg(F.max_by(by, F.struct("mean", -F.col(by))).alias("_top"))
+    at = lambda d: d.join(F.broadcast(top)).where(F.col(by) == F.col("_top")).select(y)
+    test = ks_two_sample(at(one), at(two), y).select("ks", "p")
+    return agreement(*envelopes, by).join(F.broadcast(test)).select(F.lit(response).alias("response"), "*")
+
+
+def verdict(responses: DataFrame, gap: float = 0.05, overlap: float = 0.8, p: float = 0.05, needed: int = 2) -> DataFrame:
+    """``responses`` (rows of ``fidelity``) with three tests, whether enough of them hold, and on every row the recommendation:
+    the mean gap is under ``gap`` of the first ensemble's largest mean, the bands overlap at more than ``overlap`` of the points,
+    the samples at the peak don't differ (p value over ``p``). All responses pass: approved, high confidence; some: conditionally
+    approved, medium; none: not approved, low."""
+    tests = {"mean_ok": F.col("mean_gap") < gap * F.col("peak"), "band_ok": F.col("band_overlap") > overlap, "ks_ok": F.col("p") > p}
+    out = responses.select("*", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in tests.items()))
+    out = out.withColumn("passed", sum((F.col(n).cast("int") for n in tests), F.lit(0)))
+    good = F.col("passed") >= needed
+    every = out.agg(F.bool_and(good).alias("_all"), F.bool_or(good).alias("_any"))
+    say = lambda *x: F.when(F.col("_all"), x[0]).when(F.col("_any"), x[1]).otherwise(x[2])
+    return out.join(F.broadcast(every)).withColumn("recommendation", say("approved", "conditionally approved", "not approved")).withColumn("confidence", say("high", "medium", "low")).drop("_all", "_any")
+
+
+def drift(before: DataFrame, after: DataFrame, key: str, columns: list[str], low: float = 0.9, high: float = 1.1) -> DataFrame:
+    """For each of ``columns`` that both tables of curves have: mean and deviation before and after, the mean peak over the
+    curves (by ``key``), the ratio of these and whether it lies between ``low`` and ``high``, and whether no value after is negative."""
+    there = [c for c in columns if c in before.columns and c in after.columns]
+
+    def stat(d: DataFrame, p: str) -> DataFrame:
+        rows = unpivoted(d, there, [key])
+        peaks = rows.groupBy(key, "column").agg(F.max("value").alias("v")).groupBy("column").agg(F.avg("v").alias(f"{p}_peak"))
+        return rows.groupBy("column").agg(F.avg("value").alias(f"{p}_mean"), F.stddev_samp("value").alias(f"{p}_std"), F.min("value").alias(f"{p}_min")).join(peaks, "column")
 
-
-def verdict(agreed: DataFrame, ks: Column, gap: float = 0.15, overlap: float = 0.8, distance: float = 0.2, needed: int = 2) -> DataFrame:
-    """Which of three criteria hold, whether enough do, and the confidence that goes with their number."""
-    tests = {"mean_ok": F.col("mean_gap") <= gap * F.col("level"), "band_ok": F.col("band_overlap") >= overlap, "ks_ok": ks <= distance}
-    passed = sum((c.cast("int") for c in tests.values()), F.lit(0))
-    out = agreed.select("*", *(c.alias(n) for n, c in tests.items()), passed.alias("passed"))
-    return out.withColumn("approved", F.col("passed") >= needed).withColumn("confidence", F.when(F.col("passed") == 3, "high").when(F.col("passed") == 2, "medium").otherwise("low"))
-
-
-def drift(before: DataFrame, after: DataFrame, columns: list[str], low: float = 0.9, high: float = 1.1) -> DataFrame:
-    """Mean and deviation of each column in two tables, the ratio of peaks and whether it is close to one, and non-negativity."""
-    stat = lambda d, p: unpivoted(d, columns).groupBy("column").agg(F.avg("value").alias(f"{p}_mean"), F.stddev_samp("value").alias(f"{p}_std"), F.max("value").alias(f"{p}_peak"), F.min("value").alias(f"{p}_min"))
-    both = stat(before, "before").join(stat(after, "after"), "column")
     ratio = F.try_divide("after_peak", "before_peak")
+    both = stat(before, "before").join(stat(after, "after"), "column")
     return both.withColumn("peak_ratio", ratio).withColumn("peak_ok", (ratio > low) & (ratio < high)).withColumn("non_negative", F.col("after_min") >= 0)
 
 

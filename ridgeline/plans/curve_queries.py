@@ -8,8 +8,9 @@ from ridgeline.functions import scalars
 from ridgeline.operators import curves as C
 from ridgeline.operators import stats
 from ridgeline.operators.designs import numbered
-from ridgeline.plans.bindings import CURVES_SQL, GRIDDED_SQL, curves, grid_place, gridded, table
+from ridgeline.plans.bindings import CURVES_SQL, GRID_N, GRIDDED_SQL, curves, grid_place, gridded, table
 from ridgeline.plans.registry import query, rounded
+from ridgeline.sources.stage import stored
 
 ENVELOPE_SQL = """count(y) AS n, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS std, round(quantile_cont(y, 0.05), 6) AS p05,
     round(quantile_cont(y, 0.25), 6) AS p25, round(quantile_cont(y, 0.5), 6) AS p50, round(quantile_cont(y, 0.75), 6) AS p75, round(quantile_cont(y, 0.95), 6) AS p95"""
@@ -160,43 +161,52 @@ def roughness(spark, sf):
     return rounded(C.roughness(curves(spark, sf), order="x"), digits=4)
 
 
-def envelope_of(spark, sf, kind):
+def responses_of(spark, sf, kind):
+    """Two responses of the curves of one kind of event on the grid, written once: level (y) and response (monotone)."""
     rows = curves(spark, sf).where(F.col("event_type") == kind)
-    return C.envelope(C.on_grid(C.keep_last(rows, ["curve_id", "x"], ["ord"]), grid_place(), 50), ["i"])
+    grid = C.on_grid(C.keep_last(rows, ["curve_id", "x"], ["ord"]), grid_place(), GRID_N)
+    return stored(C.monotone(grid, order="i").select("curve_id", "i", "y", "response"), "two-responses")
 
 
-AGREE_SQL = GRIDDED_SQL.replace("FROM events)", "FROM events WHERE event_type = '{kind}')").replace("range(200)", "range(50)")
+AGREE_SQL = GRIDDED_SQL.replace("FROM events)", "FROM events WHERE event_type = '{kind}')")
 
 
 def agree_sql(kind, name):
     out = AGREE_SQL.replace("{kind}", kind)
     for t in ("curves", "knots", "points", "sides", "gridded"):
         out = out.replace(f"{t} AS (", f"{t}_{name} AS (").replace(f"FROM {t} ", f"FROM {t}_{name} ").replace(f"FROM {t})", f"FROM {t}_{name})").replace(f"JOIN {t} ", f"JOIN {t}_{name} ")
-    return out
+    return f"""{out}, long_{name} AS (SELECT 'level' AS response, curve_id, i, y FROM gridded_{name} UNION ALL
+  SELECT 'monotone', curve_id, i, sum(greatest(y, 0)) OVER (PARTITION BY curve_id ORDER BY i ROWS UNBOUNDED PRECEDING) / coalesce(nullif(sum(greatest(y, 0)) OVER (PARTITION BY curve_id), 0), 1) FROM gridded_{name}),
+e{name} AS (SELECT response, i, avg(y) AS mean, quantile_cont(y, 0.05) AS p05, quantile_cont(y, 0.95) AS p95 FROM long_{name} GROUP BY ALL)"""
 
 
 BOTH_SQL = f"""{agree_sql("click", "a")}, {agree_sql("view", "b")},
-ea AS (SELECT i, avg(y) AS mean, quantile_cont(y, 0.05) AS p05, quantile_cont(y, 0.95) AS p95 FROM gridded_a GROUP BY i),
-eb AS (SELECT i, avg(y) AS mean, quantile_cont(y, 0.05) AS p05, quantile_cont(y, 0.95) AS p95 FROM gridded_b GROUP BY i),
-agree AS (SELECT avg(abs(a.mean - b.mean)) AS mean_gap, max(abs(a.mean - b.mean)) AS max_gap, avg((a.p05 <= b.p95 AND b.p05 <= a.p95)::INTEGER) AS band_overlap, avg(abs(a.mean)) AS level FROM ea a JOIN eb b USING (i))"""
+agree AS (SELECT a.response, avg(abs(a.mean - b.mean)) AS mean_gap, max(abs(a.mean - b.mean)) AS max_gap, avg((a.p05 <= b.p95 AND b.p05 <= a.p95)::INTEGER) AS band_overlap, max(a.mean) AS peak FROM ea a JOIN eb b USING (response, i) GROUP BY a.response)"""
 
 
-@query(f"WITH {BOTH_SQL} SELECT round(mean_gap, 6) AS mean_gap, round(max_gap, 6) AS max_gap, round(band_overlap, 6) AS band_overlap, round(level, 6) AS level FROM agree")
+@query(f"WITH {BOTH_SQL} SELECT round(mean_gap, 6) AS mean_gap, round(max_gap, 6) AS max_gap, round(band_overlap, 6) AS band_overlap, round(peak, 6) AS peak FROM agree WHERE response = 'level'")
 def envelope_agreement(spark, sf):
-    return rounded(stats.agreement(envelope_of(spark, sf, "click"), envelope_of(spark, sf, "view")))
-
-
-KS_SQL = """ks AS (SELECT max(abs(fa - fb)) AS ks FROM (SELECT sum(a) OVER o / sum(a) OVER () AS fa, sum(b) OVER o / sum(b) OVER () AS fb
-  FROM (SELECT value, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b FROM events WHERE event_type IN ('click', 'view') GROUP BY value) WINDOW o AS (ORDER BY value ROWS UNBOUNDED PRECEDING)))"""
-
-
-@query(f"""WITH {BOTH_SQL}, {KS_SQL}, t AS (SELECT *, mean_gap <= 0.15 * level AS mean_ok, band_overlap >= 0.8 AS band_ok, ks <= 0.2 AS ks_ok FROM agree, ks), p AS (SELECT *, mean_ok::INTEGER + band_ok::INTEGER + ks_ok::INTEGER AS passed FROM t)
-    SELECT round(mean_gap, 6) AS mean_gap, round(max_gap, 6) AS max_gap, round(band_overlap, 6) AS band_overlap, round(level, 6) AS level, round(ks, 6) AS ks, mean_ok, band_ok, ks_ok, passed, passed >= 2 AS approved, CASE passed WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM p""")
+    return rounded(stats.agreement(*(C.envelope(responses_of(spark, sf, k), ["i"]) for k in ("click", "view"))))
+
+
+@query(f"""WITH {BOTH_SQL}, tops AS (SELECT response, arg_max(i, (mean, -i)) AS top FROM ea GROUP BY response),
+peaks AS (SELECT response, y AS v, 1 AS a, 0 AS b FROM long_a JOIN tops USING (response) WHERE i = top UNION ALL SELECT response, y, 0, 1 FROM long_b JOIN tops USING (response) WHERE i = top),
+steps AS (SELECT response, sum(a) OVER o AS ca, sum(b) OVER o AS cb, sum(a) OVER w AS na, sum(b) OVER w AS nb FROM (SELECT response, v, sum(a) AS a, sum(b) AS b FROM peaks GROUP BY ALL) WINDOW o AS (PARTITION BY response ORDER BY v ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY response)),
+ks AS (SELECT response, max(abs(ca / na - cb / nb)) AS ks, sqrt(max(na)::DOUBLE * max(nb) / (max(na) + max(nb))) AS s FROM steps GROUP BY response),
+test AS (SELECT *, (s + 0.12 + 0.11 / s) * ks AS z FROM ks),
+p AS (SELECT response, ks, CASE WHEN z < 0.2 THEN 1 ELSE least(greatest((SELECT sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * z * z)) FROM range(1, 101) t(k)), 0), 1) END AS p FROM test),
+t AS (SELECT *, mean_gap < 0.05 * peak AS mean_ok, band_overlap > 0.8 AS band_ok, p > 0.05 AS ks_ok FROM agree JOIN p USING (response)), u AS (SELECT *, mean_ok::INTEGER + band_ok::INTEGER + ks_ok::INTEGER AS passed FROM t), w AS (SELECT bool_and(passed >= 2) AS whole, bool_or(passed >= 2) AS some FROM u)
+    SELECT response, round(mean_gap, 6) AS mean_gap, round(max_gap, 6) AS max_gap, round(band_overlap, 6) AS band_overlap, round(peak, 6) AS peak, round(ks, 6) AS ks, round(p, 6) AS p, mean_ok, band_ok, ks_ok, passed,
+      CASE WHEN whole THEN 'approved' WHEN some THEN 'conditionally approved' ELSE 'not approved' END AS recommendation, CASE WHEN whole THEN 'high' WHEN some THEN 'medium' ELSE 'low' END AS confidence FROM u, w""")
 def fidelity_verdict(spark, sf):
-    rows = curves(spark, sf)
-    d = stats.ks_two_sample(*(rows.where(F.col("event_type") == k) for k in ("click", "view")), "y").select("ks")
-    agreed = stats.agreement(envelope_of(spark, sf, "click"), envelope_of(spark, sf, "view")).join(F.broadcast(d))
-    return rounded(stats.verdict(agreed, F.col("ks")))
+    """The curves of views as a stand-in for those of clicks, judged on two responses."""
+    one, two = (responses_of(spark, sf, k) for k in ("click", "view"))
+    out = None
+    for name, y in (("level", "y"), ("monotone", "response")):
+        a, b = (d.select("i", F.col(y).alias("y")) for d in (one, two))
+        row = stats.fidelity(a, b, name, (C.envelope(a, ["i"]), C.envelope(b, ["i"])))
+        out = row if out is None else out.union(row)
+    return rounded(stats.verdict(stored(out, "fidelity")))
 
 
 PAIRS_SQL = f"""{GRIDDED_SQL}, m AS (SELECT i, avg(y) AS mean FROM gridded GROUP BY i), l AS (SELECT curve_id, regr_slope(y, x) AS s, regr_intercept(y, x) AS c FROM gridded GROUP BY curve_id),

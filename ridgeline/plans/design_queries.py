@@ -7,46 +7,57 @@ from pyspark.sql import functions as F
 from ridgeline.functions import scalars
 from ridgeline.operators import curves as C
 from ridgeline.operators import designs as D
-from ridgeline.operators import joins, sensitivity
+from ridgeline.operators import joins, pairs, sensitivity
 from ridgeline.plans.bindings import GRIDDED_SQL, gridded, table
 from ridgeline.plans.registry import query, rounded
 from ridgeline.plans.table_queries import quantile_sql
 
 
-def n_parts(spark, sf):
-    return table(spark, sf, "part").count()
+def keyed(spark, sf, design, *names):
+    """A design with a point for each part, under its key."""
+    keys = table(spark, sf, "part").select("p_partkey")
+    return D.bound(design(spark, keys.count(), list(names)), keys, "p_partkey")
 
 
-@query("""WITH RECURSIVE r AS (SELECT row_number() OVER () - 1 AS "row" FROM part),
-    d AS (SELECT "row", ("row" + 1) AS l2, 1.0::DOUBLE AS s2, 0.0::DOUBLE AS a, ("row" + 1) AS l3, 1.0::DOUBLE AS s3, 0.0::DOUBLE AS b FROM r UNION ALL SELECT "row", l2 // 2, s2 / 2, a + (l2 % 2) * (s2 / 2), l3 // 3, s3 / 3, b + (l3 % 3) * (s3 / 3) FROM d WHERE l2 > 0 OR l3 > 0)
-    SELECT "row", round(a, 9) AS a, round(b, 9) AS b FROM d WHERE l2 = 0 AND l3 = 0""")
+PLACES = """places AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS "row", count(*) OVER () AS n FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {PLACES},
+    d AS (SELECT "row", ("row" + 1) AS l2, 1.0::DOUBLE AS s2, 0.0::DOUBLE AS a, ("row" + 1) AS l3, 1.0::DOUBLE AS s3, 0.0::DOUBLE AS b FROM places UNION ALL SELECT "row", l2 // 2, s2 / 2, a + (l2 % 2) * (s2 / 2), l3 // 3, s3 / 3, b + (l3 % 3) * (s3 / 3) FROM d WHERE l2 > 0 OR l3 > 0)
+    SELECT p_partkey, round(a, 9) AS a, round(b, 9) AS b, round(10 + 40 * a, 9) AS cover, round(28 + 3 * ({quantile_sql("b")}), 6) AS fc FROM d JOIN places USING ("row") WHERE l2 = 0 AND l3 = 0""")
 def halton_design(spark, sf):
-    return rounded(D.halton(spark, n_parts(spark, sf), ["a", "b"]), digits=9)
+    """Halton points of the parts, as a bounded and a normal input."""
+    out = keyed(spark, sf, D.halton, "a", "b")
+    return out.select("p_partkey", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"), F.round(D.to_range(F.col("a"), 10.0, 50.0), 9).alias("cover"), F.round(D.to_normal(F.col("b"), 28.0, 3.0), 6).alias("fc"))
 
 
-@query("""SELECT i::BIGINT AS "row", (i % k + 0.5) / k AS a, (i // k % k + 0.5) / k AS b FROM (SELECT floor(sqrt(count(*)))::BIGINT AS k FROM part), range(k * k) t(i)""")
+@query(f"""WITH {PLACES}, g AS (SELECT *, floor(sqrt(n))::BIGINT AS k FROM places)
+    SELECT p_partkey, ("row" % k + 0.5) / k AS a, ("row" // k % k + 0.5) / k AS b, round(10 + 40 * (("row" % k + 0.5) / k), 9) AS cover FROM g WHERE "row" < k * k""")
 def grid_design(spark, sf):
-    return D.grid(spark, int(n_parts(spark, sf) ** 0.5), ["a", "b"])
+    """The largest square grid that the parts fill."""
+    out = keyed(spark, sf, lambda s, n, names: D.grid(s, int(n**0.5), names), "a", "b")
+    return out.select("p_partkey", "a", "b", F.round(D.to_range(F.col("a"), 10.0, 50.0), 9).alias("cover"))
+
+
+def strata(out, n, *names):
+    """For each of n strata of the axes, how many points it holds on each."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("axis"), F.floor(F.col(c) * n).alias("stratum")) for c in names))).alias("s")
+    return out.select(each).groupBy("s.axis", "s.stratum").agg(F.count("*").alias("points"))
 
 
-@query("""SELECT true AS stratified, count(*) AS n FROM part""")
+@query(f"""WITH {PLACES} SELECT unnest(['a', 'b']) AS axis, "row" AS stratum, 1::BIGINT AS points FROM places""")
 def lhs_design(spark, sf):
-    """Whether each of n strata holds one point in both dimensions, and n."""
-    n = n_parts(spark, sf)
-    out = D.latin_hypercube(spark, n, ["a", "b"])
-    return out.agg(((F.count_distinct(F.floor(F.col("a") * n)) == n) & (F.count_distinct(F.floor(F.col("b") * n)) == n)).alias("stratified"), F.count("*").alias("n"))
+    """Points by stratum and axis of a Latin hypercube over the parts."""
+    out = keyed(spark, sf, D.latin_hypercube, "a", "b")
+    return strata(out, table(spark, sf, "part").count(), "a", "b")
 
 
-@query("""SELECT 2 ** floor(log2(count(*)))::BIGINT AS n, true AS balanced FROM part""".replace("2 ** floor(log2(count(*)))::BIGINT", "(2 ** floor(log2(count(*))))::BIGINT"))
+@query(f"""WITH {PLACES} SELECT unnest(['a', 'b', 'c']) AS axis, "row" AS stratum, 1::BIGINT AS points FROM places WHERE "row" < 2 ** floor(log2(n))""")
 def sobol_design(spark, sf):
-    """Whether every half, quarter and eighth of each axis holds its exact share of a Sobol design."""
-    out = D.sobol(spark, n_parts(spark, sf), ["a", "b", "c"])
-    n = out.count()
-    even = [(F.count_if(F.floor(F.col(c) * k) == j) == n // k) for c in "abc" for k in (2, 4, 8) for j in range(k)]
-    ok = even[0]
-    for e in even[1:]:
-        ok = ok & e
-    return out.agg(F.count("*").alias("n"), ok.alias("balanced"))
+    """Points by stratum and axis of a Sobol design over the parts, up to a power of two: one in each."""
+    out = keyed(spark, sf, D.sobol, "a", "b", "c")
+    n = table(spark, sf, "part").count()
+    return strata(out, 1 << (n.bit_length() - 1), "a", "b", "c")
 
 
 @query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN k <= floor(0.7 * n) THEN 'train' WHEN k <= floor(0.7 * n) + floor(0.15 * n) THEN 'val' ELSE 'test' END AS split FROM (SELECT row_number() OVER () AS k, count(*) OVER () AS n FROM customer)) GROUP BY 1")
@@ -125,19 +136,25 @@ def gradient_sensitivity(spark, sf):
     return rounded(gradient(spark, sf))
 
 
-@query(f"""{INTEGER_SQL}, {GRADIENT_SQL}, f AS (SELECT unnest(['a', 'b']) AS factor, unnest([0.8, 0.2]) AS share), u AS (SELECT factor, gradient / sum(gradient) OVER () AS share FROM g UNION ALL SELECT * FROM f), c AS (SELECT factor, avg(share) AS share, count(share) AS methods FROM u GROUP BY 1)
-    SELECT factor, round(share, 6) AS share, methods, row_number() OVER (ORDER BY share DESC, factor)::INTEGER AS rank FROM c""")
+@query(f"""{SOBOL_SQL[: SOBOL_SQL.rindex("SELECT factor, round(s / t")].rstrip()}, i AS (SELECT 'a' AS factor, avg(fb * (fab_a - fa)) / max(t) AS s, avg((fa - fab_a) ** 2) / 2 / max(t) AS st FROM v, t UNION ALL SELECT 'b', avg(fb * (fab_b - fa)) / max(t), avg((fa - fab_b) ** 2) / 2 / max(t) FROM v, t UNION ALL SELECT 'c', avg(fb * (fab_c - fa)) / max(t), avg((fa - fab_c) ** 2) / 2 / max(t) FROM v, t),
+    g AS (SELECT 'a' AS factor, avg(abs((3 * a0 * 1.01 - 3 * a0) / nullif(a0 * 0.01, 0))) AS g FROM r UNION ALL SELECT 'b', avg(abs((2 * b0 * 1.01 - 2 * b0) / nullif(b0 * 0.01, 0))) FROM r UNION ALL SELECT 'c', avg(abs((c0 * 1.01 - c0) / nullif(c0 * 0.01, 0))) FROM r),
+    u AS (SELECT factor, s / sum(s) OVER () AS share FROM i UNION ALL SELECT factor, st / sum(st) OVER () FROM i UNION ALL SELECT factor, g / sum(g) OVER () FROM g), m AS (SELECT factor, avg(share) AS share, count(share) AS methods FROM u GROUP BY 1)
+    SELECT factor, round(share, 6) AS share, methods, row_number() OVER (ORDER BY share DESC, factor)::INTEGER AS rank FROM m""")
 def combined_ranking(spark, sf):
-    other = spark.createDataFrame([("a", 0.8), ("b", 0.2)], "factor string, share double")
-    return rounded(sensitivity.combined(gradient(spark, sf), other))
+    """Three methods on one function: first-order and total Sobol indices, and gradients."""
+    factors, value = ["a", "b", "c"], 3 * F.col("a") + 2 * F.col("b") + F.col("c")
+    runs = sensitivity.saltelli(integer_design(spark, sf, 0), integer_design(spark, sf, 1), factors)
+    indices = sensitivity.sobol_indices(runs.withColumn("value", value), factors)
+    slopes = sensitivity.gradients(sensitivity.perturbed(integer_design(spark, sf, 0), factors).withColumn("value", value), factors)
+    return rounded(sensitivity.combined(sensitivity.normalised(indices, "S1", []), sensitivity.normalised(indices, "ST", []), slopes))
 
 
-@query("""WITH p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dc, list_distance(a.embedding[1:8]::DOUBLE[], b.embedding[1:8]::DOUBLE[]) AS dl FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), q AS (SELECT quantile_cont(dl, 0.1) AS cut FROM p)
-    SELECT round(corr(dl, dc), 6) AS correlation, round(avg(dl), 6) AS mean_distance, round(stddev_pop(dl), 6) AS std_distance, round(1 / (1 + stddev_pop(dc) FILTER (dl <= cut)), 6) AS smoothness FROM p, q""")
+@query("""WITH p AS (SELECT list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS di, list_distance(a.embedding[1:8]::DOUBLE[], b.embedding[1:8]::DOUBLE[]) AS dl FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), q AS (SELECT quantile_cont(di, 0.1) AS cut FROM p)
+    SELECT round(corr(di, dl), 6) AS correlation, round(avg(dl), 6) AS mean_distance, round(stddev_pop(dl), 6) AS std_distance, round(1 / (1 + stddev_pop(dl) FILTER (di < cut)), 6) AS smoothness FROM p, q""")
 def pairwise_smoothness(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("curve"))
-    pairs = joins.pair_distances(e.withColumn("latent", F.slice("curve", 1, 8)), ["latent", "curve"])
-    return rounded(joins.smoothness(pairs, "d_latent", "d_curve"))
+    """Vectors as inputs, their first eight entries as latents."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("inputs"))
+    return rounded(pairs.smoothness(e.withColumn("latents", F.slice("inputs", 1, 8)), "inputs", "latents"))
 
 
 def augmentation_inputs(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from ridgeline.operators import autoencoder, curves, gp, pca, stats
+from ridgeline.operators import autoencoder, curves, designs, exact_gp, gp, pca, sensitivity, stats
 from ridgeline.operators import propagation as mc
 from ridgeline.plans.bindings import gridded, table
 from ridgeline.plans.curve_queries import vectors
@@ -16,12 +16,19 @@ from ridgeline.sources.stage import stored
 
 
 def ensemble(spark, sf):
-    """Monotone responses of all curves on the grid, as shares of their totals, with the totals and parameters; written once."""
+    """All curves on the grid with two responses, written once: level (the curve), y (its monotone response, shares of the total
+    at every grid point), total, and the parameters. ``held`` marks a fifth of the curves, by hash, that no model is fitted on."""
     arrays = curves.to_arrays(gridded(spark, sf))
     total = F.aggregate("y", F.lit(0.0), lambda a, v: a + F.greatest(v, F.lit(0.0)))
-    rise = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.aggregate(F.slice("y", 1, k * 10), F.lit(0.0), lambda a, v: a + F.greatest(v, F.lit(0.0))) / total)
+    upto = F.aggregate("level", F.array().cast("array<double>"), lambda a, v: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + F.greatest(v, F.lit(0.0)))))
     inputs = table(spark, sf, "customer").select(F.col("c_custkey").alias("curve_id"), F.col("c_acctbal").alias("p1"), F.col("c_nationkey").cast("double").alias("p2"))
-    return stored(arrays.select("curve_id", rise.alias("y"), total.alias("total")).join(inputs, "curve_id"), "ensemble")
+    rows = arrays.select("curve_id", F.col("y").alias("level"), total.alias("total")).where("total > 0")
+    rows = rows.select("curve_id", "level", F.transform(upto, lambda v: v / F.col("total")).alias("y"), "total")
+    return stored(rows.join(inputs, "curve_id").withColumn("held", F.pmod(F.xxhash64(F.lit(11), "curve_id"), F.lit(5)) == 0), "ensemble")
+
+
+def parted(rows):
+    return rows.where("NOT held"), rows.where("held")
 
 
 @query()
@@ -53,9 +60,13 @@ def pca_surrogate(rows, k=3):
 
 
 def autoencoder_surrogate(rows, k=3):
-    """The monotone decoder of shares; processes from the parameters to the codes."""
-    net, _ = autoencoder.fit(rows, k, monotone=True)
-    return mc.Surrogate(gp.fit(autoencoder.encoded(rows, net), FEATURES, "code", "curve_id"), FEATURES, net.decode)
+    """The monotone decoder of shares; processes from the parameters to the codes and to the logarithm of the curve's last value,
+    by which the shares are multiplied again."""
+    shares = rows.withColumn("scale", F.greatest(F.element_at("y", -1), F.lit(1e-12))).withColumn("y", F.transform("y", lambda v: v / F.col("scale")))
+    shares = stored(shares, "shares")
+    net, _ = autoencoder.fit(shares, k, monotone=True)
+    coded = autoencoder.encoded(shares, net).withColumn("code", F.concat("code", F.array(F.ln("scale"))))
+    return mc.Surrogate(gp.fit(coded, FEATURES, "code", "curve_id"), FEATURES, net.decode, scale_last=True)
 
 
 def shape_scale_surrogate(rows, k=3):
@@ -72,9 +83,22 @@ def surrogate(spark, sf):
 
 @query()
 def gp_predict(spark, sf):
-    rows = ensemble(spark, sf)
-    scored = stored(pca.project(rows, pca.fit(rows, 3)), "scores")
-    out = gp.predict(scored, gp.fit(scored, FEATURES, "scores", "curve_id"), FEATURES)
+    """The first score of curves that nothing was fitted on: mean, deviation and what it is. Lengths and noise climb the evidence of all rows."""
+    train, held = parted(ensemble(spark, sf))
+    model = pca.fit(train, 3)
+    process = gp.fit(stored(pca.project(train, model), "scores"), FEATURES, "scores", "curve_id", rounds=8)
+    out = gp.predict(pca.project(held, model), process, FEATURES)
+    return rounded(out.select("curve_id", F.col("mean")[0].alias("mean"), F.col("std")[0].alias("std"), F.col("scores")[0].alias("score")))
+
+
+@query()
+def gp_exact(spark, sf):
+    """The same by the exact posterior of all training rows, solved over blocks."""
+    train, held = parted(ensemble(spark, sf))
+    model = pca.fit(train, 3)
+    scored = stored(pca.project(train, model), "scores")
+    exact = exact_gp.fit(scored, FEATURES, "scores", "curve_id", gp.fit(scored, FEATURES, "scores", "curve_id"))
+    out = exact_gp.predict(held, exact, FEATURES, "curve_id")
     return rounded(out.select("curve_id", F.col("mean")[0].alias("mean"), F.col("std")[0].alias("std")))
 
 
@@ -86,23 +110,72 @@ def surrogate_score(spark, sf):
     return rounded(out.select("c_custkey", F.element_at("y", -1).alias("final"), F.array_max("spread").alias("spread")))
 
 
+SURROGATES = {"pca": pca_surrogate, "autoencoder": autoencoder_surrogate, "shape_scale": shape_scale_surrogate}
+
+
+def amounts(rows):
+    """Curves as running amounts: shares times totals."""
+    return rows.withColumn("y", F.transform("y", lambda v: v * F.col("total")))
+
+
+def guesses(models, test):
+    """(model, curve_id, guess): each model sees the key and the parameters of the test curves, nothing else."""
+    known, out = test.select("curve_id", *FEATURES), None
+    for name, model in models.items():
+        one = mc.score(known, model, "guess", "spread").select(F.lit(name).alias("model"), "curve_id", "guess")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def judged(models, test):
+    """Errors of each model on each test curve."""
+    pairs = guesses(models, test).join(test.select("curve_id", "y"), "curve_id").select("model", "curve_id", F.explode(F.arrays_zip("y", "guess")).alias("v"))
+    return stats.curve_metrics(pairs.select("model", "curve_id", F.col("v.y").alias("truth"), F.col("v.guess").alias("guess")), ["model", "curve_id"])
+
+
 @query()
 def surrogate_comparison(spark, sf):
-    """Three surrogates through one interface: errors on held-out curves (a fifth, by hash) in curves, and the best one's mark."""
-    rows = ensemble(spark, sf).withColumn("y", F.transform("y", lambda v: v * F.col("total")))
-    held = F.pmod(F.xxhash64(F.lit(11), "curve_id"), F.lit(5)) == 0
-    train, test, out = stored(rows.where(~held), "train"), rows.where(held), None
+    """Three surrogates through one interface: errors on held-out curves, and the best one's mark."""
+    train, test = parted(amounts(ensemble(spark, sf)))
+    train = stored(train, "train")
     top = train.agg(F.max(F.array_max("y"))).first()[0] or 1.0
-    shares = train.withColumn("y", F.transform("y", lambda v: v / F.col("total")))
-    for name, model, scale in (("pca", pca_surrogate(train), F.lit(1.0)), ("autoencoder", autoencoder_surrogate(shares), F.col("total")), ("shape_scale", shape_scale_surrogate(train), F.lit(1.0))):
-        pairs = mc.score(test, model, "guess", "spread").select("curve_id", scale.alias("by"), F.explode(F.arrays_zip("y", "guess")).alias("v"))
-        one = stats.curve_metrics(pairs.select("curve_id", F.col("v.y").alias("truth"), (F.col("v.guess") * F.col("by")).alias("guess")), ["curve_id"]).withColumn("model", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    rolled = out.groupBy("model").agg(F.count("*").alias("curves"), F.avg("rmse").alias("rmse"), (F.avg("rmse") / top).alias("nrmse"), F.avg("r2").alias("r2"), F.min("r2").alias("worst_r2"))
+    out = judged({n: f(train) for n, f in SURROGATES.items()}, test)
+    rolled = stored(out.groupBy("model").agg(F.count("*").alias("curves"), F.avg("rmse").alias("rmse"), (F.avg("rmse") / top).alias("nrmse"), F.avg("r2").alias("r2"), F.min("r2").alias("worst_r2")), "rolled")
     best = rolled.agg(F.min_by("model", "rmse").alias("b"))
     return rounded(rolled.join(F.broadcast(best)).withColumn("best", F.col("model") == F.col("b")).drop("b"))
 
 
+@query()
+def surrogate_selection(spark, sf):
+    """The component and shape-scale surrogates of both responses: R2 of each on held-out curves, milliseconds a row, and the score of the three."""
+    rows = ensemble(spark, sf)
+    train, test = parted(rows)
+    inputs = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("p1"), F.col("c_nationkey").cast("double").alias("p2"))
+    both, models = None, {}
+    for response, y in (("r2_first", "level"), ("r2_second", "y")):
+        of = lambda d, y=y: d.select("curve_id", F.col(y).alias("y"), *FEATURES)
+        models[response] = {n: SURROGATES[n](stored(of(train), "train")) for n in ("pca", "shape_scale")}
+        one = judged(models[response], of(test)).groupBy("model").agg(F.avg("r2").alias(response))
+        both = one if both is None else both.join(one, "model")
+    speed = mc.latency(inputs, {n: lambda d, n=n: mc.score(mc.score(d, models["r2_first"][n]), models["r2_second"][n], "y2", "spread2") for n in models["r2_first"]})
+    return rounded(stats.model_scores(both.join(speed.select("model", F.col("mean").alias("ms")), "model")))
+
+
+@query()
+def sobol_of_surrogate(spark, sf):
+    """Sobol indices of the last value that the surrogate predicts: both matrices are halves of one Sobol sequence, a point for each
+    line item up to a power of two, over the range of the parameters."""
+    model = surrogate(spark, sf)
+    bounds = table(spark, sf, "customer").agg(F.min("c_acctbal").alias("l1"), F.max("c_acctbal").alias("h1")).first()
+    n = 1 << max(4, table(spark, sf, "lineitem").count().bit_length() - 1)
+    points = designs.sobol(spark, n, ["a1", "a2", "b1", "b2"])
+    wide = lambda c, lo, hi: (lo + (hi - lo) * F.col(c))
+    half = lambda x: points.select("row", wide(f"{x}1", bounds.l1, bounds.h1).alias("p1"), wide(f"{x}2", 0.0, 24.0).alias("p2"))
+    runs = sensitivity.saltelli(half("a"), half("b"), FEATURES)
+    scored = mc.score(runs, model).select("row", "matrix", F.element_at("y", -1).alias("value"))
+    return rounded(sensitivity.sobol_indices(stored(scored, "scored-design"), FEATURES))
+
+
 def priors(rows, key):
     return mc.draws(rows, key, {"p1": (4500.0, 3000.0, -999.0, 9999.0), "p2": (12.0, 6.0, 0.0, 24.0)})
 
@@ -116,27 +189,40 @@ def mc_propagate(spark, sf):
     return rounded(stats.rolled_up(good, ["peak", "final"]).join(F.broadcast(out.agg(bad.alias("invalid")))), digits=4)
 
 
+def uq_responses(rows):
+    """Level, and the monotone response scaled by a drawn share of the largest total, clipped to [0, 0.95]."""
+    top = rows.agg(F.max("total")).first()[0] or 1.0
+    level = rows.select("curve_id", F.col("level").alias("y"), *FEATURES)
+    factors = rows.select((F.col("total") / top).alias("factor"))
+    return {"level": mc.Response(pca_surrogate(level), noise=0.01), "share": mc.Response(pca_surrogate(rows), low=0.0, high=0.95, noise=0.01, factors=factors)}
+
+
 @query()
 def uq_result_set(spark, sf):
-    """The whole result of a propagation, 15 replicates for each customer as a draw, as (part, item, statistic, value): the envelope at
-    each grid point, summaries of both quantities, exceedance of drawn and of fixed limits, correlations with the inputs, counts."""
+    """The whole result of a propagation of both responses, 15 replicates for each customer as a draw, as (part, item, statistic,
+    value): the envelopes at each grid point, summaries of the quantities, exceedance (first peak too low, second final value too
+    high, either) of drawn and of fixed limits, correlations with the inputs, counts."""
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("draw"))
-    drawn = stored(mc.propagated(priors(rows, "draw"), "draw", surrogate(spark, sf), 15, noise=0.01, low=0.0, curves=True), "propagated")
-    good, bad = mc.valid(drawn, "peak", "final")
-    points = good.select(F.posexplode("y").alias("i", "y"))
+    drawn = stored(mc.propagated_responses(priors(rows, "draw"), "draw", uq_responses(ensemble(spark, sf)), 15, curves=True), "propagated")
+    quantities = ["level_peak", "level_final", "share_peak", "share_final"]
+    good, bad = mc.valid(drawn, *quantities)
 
     def told(df, part, item):
         named = [c for c in df.columns if c != item]
         pairs = F.array(*(F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in named))
         return df.select(F.lit(part).alias("part"), F.col(item).cast("string").alias("item"), F.explode(pairs).alias("p")).select("part", "item", "p.*")
 
-    out = told(curves.envelope(points, ["i"]), "envelope", "i")
-    for c in ("peak", "final"):
+    out = None
+    for response in ("level", "share"):
+        points = good.select(F.posexplode(f"{response}_y").alias("i", "y"))
+        one = told(curves.envelope(points, ["i"]), f"{response} envelope", "i")
+        out = one if out is None else out.unionByName(one)
+    for c in quantities:
         out = out.unionByName(told(stats.qoi_summary(good, c).withColumn("qoi", F.lit(c)), "summary", "qoi"))
-    limits = stats.exceedance(good, "final", "peak", low_factor=1.08).withColumn("of", F.lit("drawn limits"))
+    limits = stats.exceedance(good, "level_peak", "share_final", low_factor=1.08).withColumn("of", F.lit("drawn limits"))
     out = out.unionByName(told(limits, "exceedance", "of"))
-    out = out.unionByName(told(stats.exceedance_of(good, "final", "peak", 0.9, 1.05).withColumn("of", F.lit("fixed limits")), "exceedance", "of"))
-    related = stats.correlations(good, FEATURES, ["peak", "final"]).select(F.concat_ws(" and ", "a", "b").alias("pair"), "r")
+    out = out.unionByName(told(stats.exceedance_of(good, "level_peak", "share_final", 100.0, 0.9).withColumn("of", F.lit("fixed limits")), "exceedance", "of"))
+    related = stats.correlations(good, FEATURES, ["level_peak", "share_final"]).select(F.concat_ws(" and ", "a", "b").alias("pair"), "r")
     out = out.unionByName(told(related, "correlation", "pair"))
     counted = drawn.agg(F.count("*").alias("evaluations"), bad.alias("invalid")).withColumn("of", F.lit("all"))
     return rounded(out.unionByName(told(counted, "counts", "of")), digits=4)
@@ -144,11 +230,11 @@ def uq_result_set(spark, sf):
 
 @query()
 def ae_reconstruct(spark, sf):
-    """Mean squared error of the network against that of the mean curve."""
-    rows = ensemble(spark, sf).select("curve_id", "y")
-    net, losses = autoencoder.fit(rows, 3, monotone=True)
-    out = autoencoder.decoded(autoencoder.encoded(rows, net), net)
-    mean = pca.fit(rows, 1).mean
+    """Mean squared error on held-out curves of the network against that of the mean curve of the others."""
+    train, test = parted(ensemble(spark, sf).select("curve_id", "y", "held"))
+    net, losses = autoencoder.fit(train, 3, monotone=True)
+    out = autoencoder.decoded(autoencoder.encoded(test, net), net)
+    mean = pca.fit(train, 1).mean
     error = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
     return out.agg(F.count("*").alias("n"), F.avg(error("y", "rebuilt")).alias("network"), F.avg(error("y", F.array(*(F.lit(float(m)) for m in mean)))).alias("mean_curve"), F.lit(len(losses)).alias("rounds"))
 
@@ -168,20 +254,20 @@ def rf_importance(spark, sf):
 
 @query()
 def learning_curve(spark, sf):
-    """Training and validation error of the first score by share of the training rows."""
-    rows = ensemble(spark, sf)
-    model = pca.fit(rows, 1)
-    scored = stored(pca.project(rows, model).withColumn("h", F.pmod(F.xxhash64(F.lit(9), "curve_id"), F.lit(100))), "scores")
-    train, held, out = scored.where("h < 75").drop("h"), scored.where("h >= 75").drop("h"), None
-    for share in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
-        some = train.where(F.pmod(F.xxhash64(F.lit(5), "curve_id"), F.lit(1000)) < 1000 * share)
+    """Training and validation error of each score by share of the training rows; components are those of the training rows."""
+    train, held = parted(ensemble(spark, sf))
+    model = pca.fit(train, 3)
+    held, out = stored(pca.project(held, model), "held-scores"), None
+    fractions = [k / 10 for k in range(1, 11)]
+    subsets = stored(designs.nested_subsets(pca.project(train, model).select("curve_id", *FEATURES, "scores"), "curve_id", fractions, seed=5), "nested-scores")
+    for share in fractions:
+        some = subsets.where(F.col("fraction") == share)
         if some.isEmpty():
             continue
-        process = gp.fit(some, ["p1", "p2"], "scores", "curve_id")
+        process = gp.fit(some, FEATURES, "scores", "curve_id")
         for name, part in (("train", some), ("validation", held)):
-            gap = F.col("mean")[0] - F.col("scores")[0]
-            one = gp.predict(part, process, ["p1", "p2"]).agg(F.sqrt(F.avg(gap * gap)).alias("rmse")).select(F.lit(share).alias("share"), F.lit(name).alias("part"), F.round("rmse", 6).alias("rmse"))
+            each = gp.predict(part, process, FEATURES).select(F.posexplode(F.arrays_zip("mean", "scores")).alias("k", "v"))
+            gap = F.col("v.mean") - F.col("v.scores")
+            one = each.groupBy((F.col("k") + 1).alias("component")).agg(F.sqrt(F.avg(gap * gap)).alias("rmse")).select(F.lit(share).alias("share"), F.lit(name).alias("part"), "component", F.round("rmse", 6).alias("rmse"))
             out = one if out is None else out.unionByName(one)
     return out
-
-

@@ -71,6 +71,19 @@ def sigma_outliers(spark, sf):
     return stats.sigma_outliers(table(spark, sf, "lineitem"), LINE, 1.7)
 
 
+@query("""SELECT 'l_quantity' AS "column", count(*) FILTER (abs(l_quantity - 25.0) > 1.5 * 14.0) AS outliers, count(*) AS n FROM lineitem UNION ALL SELECT 'l_discount', count(*) FILTER (abs(l_discount - 0.05) > 1.5 * 0.02), count(*) FROM lineitem""")
+def design_outliers(spark, sf):
+    """Against the mean and deviation of the design, not of the sample."""
+    return stats.sigma_outliers(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], 1.5, given={"l_quantity": (25.0, 14.0), "l_discount": (0.05, 0.02)})
+
+
+@query("""WITH d AS (SELECT sqrt(ln(1 + 0.2 * 0.2)) AS s), m AS (SELECT s, ln(1400.0) - 0.5 * s * s AS mu FROM d)
+    SELECT 'p_retailprice' AS "column", count(*) FILTER (abs(ln(p_retailprice) - mu) > 1.5 * s) AS outliers, count(*) AS n FROM part, m WHERE p_retailprice > 0""")
+def design_log_outliers(spark, sf):
+    """Against a lognormal design of mean 1,400 and coefficient of variation 0.2, in logarithms."""
+    return stats.sigma_outliers(table(spark, sf, "part"), ["p_retailprice"], 1.5, log=True, given={"p_retailprice": normal.lognormal_parameters(1400.0, 0.2)})
+
+
 @query(SIGMA.format(v="ln(value)", t=unpivot("lineitem", ["l_extendedprice"]), w="WHERE value > 0", k=3))
 def log_sigma_outliers(spark, sf):
     return stats.sigma_outliers(table(spark, sf, "lineitem"), ["l_extendedprice"], 3.0, log=True)
@@ -142,14 +155,19 @@ def split_stats(spark, sf):
     return rounded(rows.groupBy("l_returnflag", "column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")))
 
 
-DRIFT = """{p} AS (SELECT "column", avg(value) AS m, stddev_samp(value) AS s, max(value) AS p, min(value) AS lo FROM {t} GROUP BY 1)"""
+def drift_sql(name, flag):
+    """Orders are curves over their lines; statistics by column of the lines with one flag."""
+    cols = " UNION ALL ".join(f"SELECT l_orderkey AS k, '{c}' AS \"column\", {c} AS value FROM lineitem WHERE l_returnflag = '{flag}'" for c in LINE)
+    return f"""{name}u AS ({cols}), {name} AS (SELECT "column", avg(value) AS m, stddev_samp(value) AS s, min(value) AS lo FROM {name}u GROUP BY 1), {name}p AS (SELECT "column", avg(v) AS p FROM (SELECT k, "column", max(value) AS v FROM {name}u GROUP BY ALL) GROUP BY 1)"""
 
 
-@query(f"""WITH {DRIFT.format(p="a", t=unpivot("lineitem", LINE, "WHERE l_returnflag = 'A'"))}, {DRIFT.format(p="b", t=unpivot("lineitem", LINE, "WHERE l_returnflag = 'N'"))}
-    SELECT "column", round(a.m, 6) AS before_mean, round(a.s, 6) AS before_std, a.p AS before_peak, a.lo AS before_min, round(b.m, 6) AS after_mean, round(b.s, 6) AS after_std, b.p AS after_peak, b.lo AS after_min, round(b.p / a.p, 6) AS peak_ratio, b.p / a.p > 0.9 AND b.p / a.p < 1.1 AS peak_ok, b.lo >= 0 AS non_negative FROM a JOIN b USING ("column")""")
+@query(f"""WITH {drift_sql("a", "A")}, {drift_sql("b", "N")}
+    SELECT "column", round(a.m, 6) AS before_mean, round(a.s, 6) AS before_std, round(ap.p, 6) AS before_peak, a.lo AS before_min, round(b.m, 6) AS after_mean, round(b.s, 6) AS after_std, round(bp.p, 6) AS after_peak, b.lo AS after_min, round(bp.p / ap.p, 6) AS peak_ratio, bp.p / ap.p > 0.9 AND bp.p / ap.p < 1.1 AS peak_ok, b.lo >= 0 AS non_negative
+    FROM a JOIN ap USING ("column") JOIN b USING ("column") JOIN bp USING ("column")""")
 def drift_report(spark, sf):
+    """Lines of open orders against returned ones; a column that isn't there is left out."""
     rows = table(spark, sf, "lineitem")
-    return rounded(stats.drift(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'N'"), LINE))
+    return rounded(stats.drift(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'N'"), "l_orderkey", [*LINE, "l_missing"]))
 
 
 @query("SELECT c_custkey AS key FROM customer INTERSECT SELECT o_custkey FROM orders INTERSECT SELECT user_id FROM events")
