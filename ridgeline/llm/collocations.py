@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.substrings import packed_rows
 from ridgeline.llm.texts import ascii_lower, mixed, pieces, raw, strings
 from ridgeline.sources.stage import stored
 
@@ -211,13 +210,22 @@ def hashes(rows: np.ndarray) -> np.ndarray:
 
 
 def combined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with counts, equal ones as one (rows whose hashes collide just stay apart)."""
-    order = np.argsort(hashes(rows), kind="stable")
+    """Rows with counts, by their first two words, equal ones as one (rows whose hashes collide just stay apart)."""
+    order = np.lexsort((hashes(rows[:, 2:]), rows[:, 0] << 32 | rows[:, 1]))
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(rows)), bool), (rows[1:] != rows[:-1]).any(1)]))
     return rows[first], np.diff(np.append(first, len(rows)))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Rows of int32 by column and byte: what is alike stands together, and a shuffle's compression takes it away."""
+    return np.ascontiguousarray(values, "<i4").view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unplaned(data: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4 * width, -1).T).view("<i4")
+
+
 def partitioned(coded: DataFrame, words: DataFrame, suffixes: int, budget: int) -> tuple[Prefixes, list[tuple[int, int]]]:
     """The extended prefixes, and (number, count) of those of two words and more."""
     out, known = Prefixes(), []
@@ -258,7 +266,7 @@ def extensions(coded: DataFrame, prefixes: Prefixes, last: np.ndarray) -> DataFr
 
 
 def dealt(coded: DataFrame, prefixes: Prefixes) -> DataFrame:
-    """The suffixes by group: packed rows of DEPTH codes, with counts and the depth of their extended prefix."""
+    """The suffixes by group: rows of DEPTH codes and their counts as byte planes, with the depth of their extended prefix."""
     shared = coded.sparkSession.sparkContext.broadcast(prefixes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,17 +280,19 @@ def dealt(coded: DataFrame, prefixes: Prefixes) -> DataFrame:
                 on = code > 0
                 rows, count, ids, depth, code = (x[on] for x in (rows, count, ids, depth, code))
                 group = p.first[ids] + (mixed(code.astype(np.uint64)) % p.groups[ids].astype(np.uint64)).astype(np.int64)
-                out = packed_rows(group, rows.astype(np.int32), count.astype(np.int32), depth.astype(np.int8))
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in range(3))], ["grp", "rows", "counts", "depths"])
+                order = np.argsort(group, kind="stable")
+                full, first = np.unique(group[order], return_index=True)
+                cuts = [order[i:j] for i, j in zip(first, [*first[1:], len(order)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([planes(rows[c]) for c in cuts], pa.binary()), pa.array([planes(count[c]) for c in cuts], pa.binary()), pa.array([int(depth[c[0]]) for c in cuts], pa.int32())], ["grp", "rows", "counts", "depth"])
 
-    return coded.mapInArrow(deal, "grp long, rows binary, counts binary, depths binary")
+    return coded.mapInArrow(deal, "grp long, rows binary, counts binary, depth int")
 
 
 def subtree(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     """The nodes of a group's subtree, deeper than its extended prefix, that ``least`` leaves or more stand under."""
-    rows = np.frombuffer(b"".join(pdf["rows"]), np.int32).reshape(-1, DEPTH)
-    count = np.frombuffer(b"".join(pdf["counts"]), np.int32).astype(np.int64)
-    top = int(np.frombuffer(pdf["depths"].iloc[0], np.int8)[0])
+    rows = np.concatenate([unplaned(x, DEPTH) for x in pdf["rows"]])
+    count = np.concatenate([unplaned(x, 1)[:, 0] for x in pdf["counts"]]).astype(np.int64)
+    top = int(pdf["depth"].iloc[0])
     order = np.lexsort(rows.T[::-1])
     rows, count = rows[order], count[order]
     differs = np.zeros(len(rows), bool)
