@@ -24,6 +24,8 @@ from ridgeline.sources.stage import stored
 
 #: Rows of a block, rounds at the most, relative residual that ends them, and rows whose deviations are solved for together.
 BLOCK, ROUNDS, TOLERANCE, TOGETHER = 1000, 200, 1e-9, 64
+#: Added to the landmarks' kernel in the preconditioner; the solution doesn't depend on it.
+JITTER = 1e-6
 
 VECTORS = "block long, x array<double>, {}"
 
@@ -96,37 +98,39 @@ def times(left: DataFrame, n_left: int, right: DataFrame, n_right: int, vector:
 
 
 class Preconditioner:
-    """(landmark kernel product + noise)^-1 by the matrix inversion lemma; its sums over rows are landmark x landmark."""
+    """(projected kernel + noise)^-1 by the matrix inversion lemma, in coordinates that make the landmarks' kernel the identity:
+    its sums over rows are landmark x landmark and well conditioned."""
 
     def __init__(self, system: System):
-        self.process, self.d = system.process, system.width
-        process, d = self.process, self.d
+        self.process, d = system.process, system.width
+        marks, kind, parts = self.process.landmarks, self.process.kind, self.process.parts
+        m = len(marks)
+        self.white = [np.linalg.inv(np.linalg.cholesky(kernel(marks, marks, p["length"], kind) + JITTER * np.eye(m))) for p in parts]
+        features = self.features
 
         def gram(f: pd.DataFrame) -> pd.DataFrame:
-            x = matrix(f.x.iloc[0], d)
-            ks = [kernel(process.landmarks, x, p["length"], process.kind) for p in process.parts]
+            ks = [features(c, matrix(f.x.iloc[0], d)) for c in range(len(parts))]
             return pd.DataFrame({"component": range(len(ks)), "at": f.block.iloc[0], "sums": [(k @ k.T).reshape(-1) for k in ks]})
 
         sums = added(system.blocks.select("block", "x").groupBy("block").applyInPandas(gram, "component int, at long, sums array<double>"), ["component"], "at", "sums", n=system.n_blocks).collect()
-        m = len(process.landmarks)
-        self.whole: list[np.ndarray] = [np.zeros((0, 0))] * len(process.parts)
+        self.whole: list[np.ndarray] = [np.zeros((0, 0))] * len(parts)
         for r in sums:
-            p = process.parts[r.component]
-            inner = kernel(process.landmarks, process.landmarks, p["length"], process.kind) + 1e-8 * np.eye(m)
-            self.whole[r.component] = np.linalg.inv(matrix(r.sums, m) + p["noise"] * inner + 1e-10 * m * np.eye(m))
+            self.whole[r.component] = np.linalg.inv(matrix(r.sums, m) + parts[r.component]["noise"] * np.eye(m))
+
+    def features(self, c: int, x: np.ndarray) -> np.ndarray:
+        """Landmarks x rows: their products are the projected kernel."""
+        return self.white[c] @ kernel(self.process.landmarks, x, self.process.parts[c]["length"], self.process.kind)
 
     def projected(self, x: np.ndarray, r: np.ndarray, of: list[int]) -> np.ndarray:
         """A block's part of the landmark sums, landmarks x right-hand sides, with r'r as one more row."""
-        out = by_component(lambda c, v: kernel(self.process.landmarks, x, self.process.parts[c]["length"], self.process.kind) @ v, r, of)
-        return np.vstack([out, (r * r).sum(0)])
+        return np.vstack([by_component(lambda c, v: self.features(c, x) @ v, r, of), (r * r).sum(0)])
 
     def inner(self, t: np.ndarray, of: list[int]) -> np.ndarray:
         return by_component(lambda c, v: self.whole[c] @ v, t, of)
 
     def applied(self, x: np.ndarray, r: np.ndarray, u: np.ndarray, of: list[int]) -> np.ndarray:
         """The preconditioned residual of a block, ``u`` being ``inner`` of all blocks' sums."""
-        low = by_component(lambda c, v: kernel(x, self.process.landmarks, self.process.parts[c]["length"], self.process.kind) @ v, u, of)
-        return (r - low) / np.array([self.process.parts[c]["noise"] for c in of])
+        return (r - by_component(lambda c, v: self.features(c, x).T @ v, u, of)) / np.array([self.process.parts[c]["noise"] for c in of])
 
 
 def solved(system: System, sides: DataFrame, of: list[int], condition: Preconditioner, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:

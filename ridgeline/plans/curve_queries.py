@@ -195,9 +195,9 @@ steps AS (SELECT response, sum(a) OVER o AS ca, sum(b) OVER o AS cb, sum(a) OVER
 ks AS (SELECT response, max(abs(ca / na - cb / nb)) AS ks, sqrt(max(na)::DOUBLE * max(nb) / (max(na) + max(nb))) AS s FROM steps GROUP BY response),
 test AS (SELECT *, (s + 0.12 + 0.11 / s) * ks AS z FROM ks),
 p AS (SELECT response, ks, CASE WHEN z < 0.2 THEN 1 ELSE least(greatest((SELECT sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * z * z)) FROM range(1, 101) t(k)), 0), 1) END AS p FROM test),
-t AS (SELECT *, mean_gap < 0.05 * peak AS mean_ok, band_overlap > 0.8 AS band_ok, p > 0.05 AS ks_ok FROM agree JOIN p USING (response)), u AS (SELECT *, mean_ok::INTEGER + band_ok::INTEGER + ks_ok::INTEGER AS passed FROM t), w AS (SELECT bool_and(passed >= 2) AS whole, bool_or(passed >= 2) AS some FROM u)
+t AS (SELECT *, mean_gap < 0.05 * peak AS mean_ok, band_overlap > 0.8 AS band_ok, p > 0.05 AS ks_ok FROM agree JOIN p USING (response)), u AS (SELECT *, mean_ok::INTEGER + band_ok::INTEGER + ks_ok::INTEGER AS passed FROM t), w AS (SELECT bool_and(passed >= 2) AS all_ok, bool_or(passed >= 2) AS one_ok FROM u)
     SELECT response, round(mean_gap, 6) AS mean_gap, round(max_gap, 6) AS max_gap, round(band_overlap, 6) AS band_overlap, round(peak, 6) AS peak, round(ks, 6) AS ks, round(p, 6) AS p, mean_ok, band_ok, ks_ok, passed,
-      CASE WHEN whole THEN 'approved' WHEN some THEN 'conditionally approved' ELSE 'not approved' END AS recommendation, CASE WHEN whole THEN 'high' WHEN some THEN 'medium' ELSE 'low' END AS confidence FROM u, w""")
+      CASE WHEN all_ok THEN 'approved' WHEN one_ok THEN 'conditionally approved' ELSE 'not approved' END AS recommendation, CASE WHEN all_ok THEN 'high' WHEN one_ok THEN 'medium' ELSE 'low' END AS confidence FROM u, w""")
 def fidelity_verdict(spark, sf):
     """The curves of views as a stand-in for those of clicks, judged on two responses."""
     one, two = (responses_of(spark, sf, k) for k in ("click", "view"))
