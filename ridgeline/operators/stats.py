@@ -214,8 +214,8 @@ def agreement(one: DataFrame, two: DataFrame, by: str = "i") -> DataFrame:
 
 def fidelity(one: DataFrame, two: DataFrame, response: str, envelopes: tuple[DataFrame, DataFrame], by: str = "i", y: str = "y") -> DataFrame:
     """One row for a response of two ensembles in long form: the agreement of their envelopes, and the Kolmogorov-Smirnov test
-    of their values at the point where the first one's mean is largest (the first such point)."""
-    top = envelopes[0].agg(F.max_by(by, F.struct("mean", -F.col(by))).alias("_top"))
+    of their values at the first point where the first one's mean is largest (to nine digits)."""
+    top = envelopes[0].agg(F.max_by(by, F.struct(F.round("mean", 9), -F.col(by))).alias("_top"))
     at = lambda d: d.join(F.broadcast(top)).where(F.col(by) == F.col("_top")).select(y)
     test = ks_two_sample(at(one), at(two), y).select("ks", "p")
     return agreement(*envelopes, by).join(F.broadcast(test)).select(F.lit(response).alias("response"), "*")

@@ -162,10 +162,11 @@ def roughness(spark, sf):
 
 
 def responses_of(spark, sf, kind):
-    """Two responses of the curves of one kind of event on the grid, written once: level (y) and response (monotone)."""
+    """Two responses of the curves of one kind of event on the grid, written once: level (y) and response (monotone, to nine digits,
+    so that what has reached 1 is 1)."""
     rows = curves(spark, sf).where(F.col("event_type") == kind)
     grid = C.on_grid(C.keep_last(rows, ["curve_id", "x"], ["ord"]), grid_place(), GRID_N)
-    return stored(C.monotone(grid, order="i").select("curve_id", "i", "y", "response"), "two-responses")
+    return stored(C.monotone(grid, order="i").select("curve_id", "i", "y", F.round("response", 9).alias("response")), "two-responses")
 
 
 AGREE_SQL = GRIDDED_SQL.replace("FROM events)", "FROM events WHERE event_type = '{kind}')")
@@ -176,7 +177,7 @@ def agree_sql(kind, name):
     for t in ("curves", "knots", "points", "sides", "gridded"):
         out = out.replace(f"{t} AS (", f"{t}_{name} AS (").replace(f"FROM {t} ", f"FROM {t}_{name} ").replace(f"FROM {t})", f"FROM {t}_{name})").replace(f"JOIN {t} ", f"JOIN {t}_{name} ")
     return f"""{out}, long_{name} AS (SELECT 'level' AS response, curve_id, i, y FROM gridded_{name} UNION ALL
-  SELECT 'monotone', curve_id, i, sum(greatest(y, 0)) OVER (PARTITION BY curve_id ORDER BY i ROWS UNBOUNDED PRECEDING) / coalesce(nullif(sum(greatest(y, 0)) OVER (PARTITION BY curve_id), 0), 1) FROM gridded_{name}),
+  SELECT 'monotone', curve_id, i, round(sum(greatest(y, 0)) OVER (PARTITION BY curve_id ORDER BY i ROWS UNBOUNDED PRECEDING) / coalesce(nullif(sum(greatest(y, 0)) OVER (PARTITION BY curve_id), 0), 1), 9) FROM gridded_{name}),
 e{name} AS (SELECT response, i, avg(y) AS mean, quantile_cont(y, 0.05) AS p05, quantile_cont(y, 0.95) AS p95 FROM long_{name} GROUP BY ALL)"""
 
 
@@ -189,7 +190,7 @@ def envelope_agreement(spark, sf):
     return rounded(stats.agreement(*(C.envelope(responses_of(spark, sf, k), ["i"]) for k in ("click", "view"))))
 
 
-@query(f"""WITH {BOTH_SQL}, tops AS (SELECT response, arg_max(i, (mean, -i)) AS top FROM ea GROUP BY response),
+@query(f"""WITH {BOTH_SQL}, tops AS (SELECT response, arg_max(i, (round(mean, 9), -i)) AS top FROM ea GROUP BY response),
 peaks AS (SELECT response, y AS v, 1 AS a, 0 AS b FROM long_a JOIN tops USING (response) WHERE i = top UNION ALL SELECT response, y, 0, 1 FROM long_b JOIN tops USING (response) WHERE i = top),
 steps AS (SELECT response, sum(a) OVER o AS ca, sum(b) OVER o AS cb, sum(a) OVER w AS na, sum(b) OVER w AS nb FROM (SELECT response, v, sum(a) AS a, sum(b) AS b FROM peaks GROUP BY ALL) WINDOW o AS (PARTITION BY response ORDER BY v ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY response)),
 ks AS (SELECT response, max(abs(ca / na - cb / nb)) AS ks, sqrt(max(na)::DOUBLE * max(nb) / (max(na) + max(nb))) AS s FROM steps GROUP BY response),
