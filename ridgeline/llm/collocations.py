@@ -184,7 +184,7 @@ class Prefixes:
         ids, depth = np.zeros(len(suffixes), np.int64), np.zeros(len(suffixes), np.int64)
         on = np.arange(len(suffixes))
         for d in range(DEPTH - 1):
-            to = self.child(ids[on], suffixes[on, d])
+            to = self.child(ids[on], suffixes[on, d].astype(np.int64))
             on, to = on[to >= 0], to[to >= 0]
             if not len(on):
                 break
@@ -194,11 +194,13 @@ class Prefixes:
 
 def suffixes_of(codes: bytes) -> np.ndarray:
     """All suffixes of two words and more, cut at DEPTH and filled with 0."""
-    c = np.concatenate([np.frombuffer(codes, np.int32), np.zeros(DEPTH, np.int32)]).astype(np.int64)
+    c = np.concatenate([np.frombuffer(codes, np.int32), np.zeros(DEPTH, np.int32)])
     at = np.flatnonzero((c[:-1] > 0) & (c[1:] > 0))
-    out = c[at[:, None] + np.arange(DEPTH)]
-    for d in range(2, DEPTH):
-        out[out[:, d - 1] == 0, d] = 0
+    out = np.empty((len(at), DEPTH), np.int32)
+    for d in range(DEPTH):
+        out[:, d] = c[at + d]
+        if d > 1:
+            out[out[:, d - 1] == 0, d] = 0
     return out
 
 
@@ -211,7 +213,7 @@ def hashes(rows: np.ndarray) -> np.ndarray:
 
 def combined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows with counts, by their first two words, equal ones as one (rows whose hashes collide just stay apart)."""
-    order = np.lexsort((hashes(rows[:, 2:]), rows[:, 0] << 32 | rows[:, 1]))
+    order = np.lexsort((hashes(rows[:, 2:]), rows[:, 0].astype(np.int64) << 32 | rows[:, 1]))
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(rows)), bool), (rows[1:] != rows[:-1]).any(1)]))
     return rows[first], np.diff(np.append(first, len(rows)))
@@ -258,7 +260,7 @@ def extensions(coded: DataFrame, prefixes: Prefixes, last: np.ndarray) -> DataFr
                 rows = suffixes_of(codes)
                 ids, depth = shared.value.leave(rows)
                 new = ids >= low
-                ids, code = ids[new], rows[new, depth[new]]
+                ids, code = ids[new], rows[new, depth[new]].astype(np.int64)
                 keys, k = np.unique((ids << 32 | code)[code > 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(k)], ["prefix", "code", "k"])
 

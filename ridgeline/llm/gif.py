@@ -6,9 +6,11 @@ methods, transparent indices, frame delays. ``media`` and ``frames`` apply them
 map-only, so nothing is shuffled.
 
 Defined cases: a null or empty text is 64 zero bytes; equal texts give equal values; a stream that is null, damaged or
-cut gives the frames before the damage (none for null), and so does one that declares more pixels than it can encode or than
-``MOST_PIXELS``; texts of any length are stored whole, and read back one frame at a time; repeated rows and null ids pass; an empty table gives no row;
-other columns are ignored.
+cut gives the frames before the damage (none for null), and so does one that declares more pixels than it can encode or a
+canvas beyond ``most_pixels``, a parameter (a canvas can be declared far beyond what its stream fills, and would take all
+memory); what ends a stream early is said in a row of its own in ``frames``, whose frame is null and whose status tells why, so
+nothing is lost unseen; texts of any length are stored whole, and
+read back one frame at a time; repeated rows and null ids pass; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from ridgeline.llm.texts import column, pieces, raw
 
 WIDTH, ROWS, DELAY = 64, 1024, 10
 MOST_CODES = 4096
-#: Pixels of a canvas or frame beyond which a stream counts as broken; pixels that one code can stand for.
+#: Pixels of a canvas or frame that are decoded unless the caller says otherwise; pixels that one code can stand for.
 MOST_PIXELS, LONGEST_RUN = 1 << 24, 4096
 
 #: An RGB 3-3-2 palette, as all 256 indices are used.
@@ -210,21 +213,26 @@ def decode(data: bytes | None) -> tuple[int, int, list[Frame]]:
     return *canvas_size(data), list(decoded(data))
 
 
-def decoded(data: bytes | None) -> Iterator[Frame]:
-    """Frames one by one, up to the first that is broken.
+def decoded(data: bytes | None, most_pixels: int = MOST_PIXELS, said: list[str] | None = None) -> Iterator[Frame]:
+    """Frames one by one, up to the first that is broken; ``said`` receives why an incomplete stream ended.
 
-    Memory follows the data: a frame or canvas of more than ``MOST_PIXELS``, or a frame of more pixels than its stream could
-    encode (a code stands for ``LONGEST_RUN`` pixels at the most), counts as broken.
+    Memory follows the data: a frame of more pixels than its stream could encode (a code stands for ``LONGEST_RUN`` pixels at
+    the most) is damage. A canvas may be larger than its frames, so ``most_pixels`` bounds both.
     """
     wide, high = canvas_size(data)
-    if not wide * high or wide * high > MOST_PIXELS:
+    said = [] if said is None else said
+    if not wide * high:
+        said.append("no stream" if data is None else "damaged")
+        return
+    if wide * high > most_pixels:
+        said.append("too large")
         return
     flags, at, shared = data[10], 13, np.zeros((0, 3), np.uint8)
 
     def palette(bits: int, at: int) -> np.ndarray:
         return np.frombuffer(data[at : at + 3 * (2 << bits)], np.uint8).reshape(-1, 3)
 
-    def chain(at: int) -> tuple[bytes, int]:
+    def chained(at: int) -> tuple[bytes, int]:
         parts = []
         while data[at]:
             parts.append(data[at + 1 : at + 1 + data[at]])
@@ -238,7 +246,7 @@ def decoded(data: bytes | None) -> Iterator[Frame]:
         control = (0, 0, None)
         while data[at] != 0x3B:
             if data[at] == 0x21:
-                body, to = chain(at + 2)
+                body, to = chained(at + 2)
                 if data[at + 1] == 0xF9 and len(body) >= 4:
                     control = (body[0] >> 2 & 7, struct.unpack_from("<H", body, 1)[0], body[3] if body[0] & 1 else None)
                 at = to
@@ -251,17 +259,23 @@ def decoded(data: bytes | None) -> Iterator[Frame]:
                     at += 3 * (2 << (own & 7))
                 least = data[at]
                 if not 1 <= least <= 8:
-                    break
-                body, at = chain(at + 1)
-                if width * height > min(MOST_PIXELS, 8 * len(body) // (least + 1) * LONGEST_RUN):
-                    break
+                    said.append("damaged")
+                    return
+                body, at = chained(at + 1)
+                if width * height > 8 * len(body) // (least + 1) * LONGEST_RUN:
+                    said.append("damaged")
+                    return
+                if width * height > most_pixels:
+                    said.append("too large")
+                    return
                 pixels = np.frombuffer(lzw_decode(body, least, width * height).ljust(width * height, b"\0"), np.uint8).reshape(height, width)
                 yield Frame(left, top, width, height, control[1], control[0], control[2], deinterlaced(pixels) if own & 0x40 else pixels, colours)
                 control = (0, 0, None)
             else:
-                break
+                said.append("damaged")
+                return
     except (IndexError, struct.error, ValueError):
-        return
+        said.append("damaged")
 
 
 def shown(wide: int, high: int, frames: Iterable[Frame]) -> Iterator[np.ndarray]:
@@ -302,21 +316,24 @@ def histogram(pixels: np.ndarray) -> np.ndarray:
     return np.bincount(bins if high[:, 3].all() else bins[high[:, 3] > 0], minlength=64)
 
 
-def timed(data: bytes | None) -> Iterator[tuple[int, Frame, np.ndarray, np.ndarray]]:
+def timed(data: bytes | None, most_pixels: int = MOST_PIXELS, said: list[str] | None = None) -> Iterator[tuple[int, Frame, np.ndarray, np.ndarray]]:
     """Each frame with its start in milliseconds, the canvas while it shows (not to be kept) and its colour histogram."""
     start, now = 0, []
 
     def kept() -> Iterator[Frame]:
-        for f in decoded(data):
+        for f in decoded(data, most_pixels, said):
             now[:] = [f]
             yield f
 
-    for canvas in shown(*canvas_size(data), kept()):
+    first = next(own := kept(), None)
+    if first is None:
+        return
+    for canvas in shown(*canvas_size(data), chain([first], own)):
         yield start, now[0], canvas, histogram(canvas)
         start += 10 * now[0].delay
 
 
-FRAMES = "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, disposal int, transparent int, pixels binary, histogram array<long>"
+FRAMES = "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, disposal int, transparent int, pixels binary, histogram array<long>, status string"
 
 
 def media(docs: DataFrame) -> DataFrame:
@@ -330,22 +347,26 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
-def frames(table: DataFrame) -> DataFrame:
-    """One row for each frame of the GIFs in ``media``: times, the composed canvas as RGBA bytes, its colour histogram."""
+def frames(table: DataFrame, most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """One row for each frame of the GIFs in ``media``: times, the composed canvas as RGBA bytes, its colour histogram, status
+    ``ok``. A stream that ended early has a last row without a frame whose status is ``no stream``, ``damaged`` or ``too large``."""
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, data in zip(column(batch, "doc_id").to_pylist(), column(batch, "media"), strict=True):
                 data = data.as_py()
                 wide, high = canvas_size(data)
-                for k, (start, f, canvas, seen) in enumerate(timed(data)):
-                    row = {"doc_id": doc, "frame": k, "start_ms": start, "delay_ms": 10 * f.delay, "width": wide, "height": high, "disposal": f.disposal, "transparent": f.transparent, "pixels": canvas.tobytes(), "histogram": seen.tolist()}
+                said: list[str] = []
+                for k, (start, f, canvas, seen) in enumerate(timed(data, most_pixels, said)):
+                    row = {"doc_id": doc, "frame": k, "start_ms": start, "delay_ms": 10 * f.delay, "width": wide, "height": high, "disposal": f.disposal, "transparent": f.transparent, "pixels": canvas.tobytes(), "histogram": seen.tolist(), "status": "ok"}
                     yield pa.RecordBatch.from_pylist([row], schema=FRAME_SCHEMA)
+                if said:
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "width": wide, "height": high, "status": said[0]}], schema=FRAME_SCHEMA)
 
     return table.select("doc_id", "media").mapInArrow(show, FRAMES)
 
 
-FRAME_SCHEMA = pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("pixels", pa.binary()), ("histogram", pa.list_(pa.int64()))])
+FRAME_SCHEMA = pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("pixels", pa.binary()), ("histogram", pa.list_(pa.int64())), ("status", pa.string())])
 
 
 def payload_features(table: DataFrame) -> DataFrame:

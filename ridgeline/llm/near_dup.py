@@ -258,8 +258,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
     sigs = stored(signatures(docs), "signatures")
     known = sigs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep"), (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
+    # The smallest doc_id of each set, with its signature, comes from partial aggregates: a set that very many hold is no hot key.
+    signature = F.min_by(F.struct("n", "planes", "bands"), "doc_id").alias("own")
+    classes = stored(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), signature), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id"), "own.*")
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("other"), F.max("doc_id").alias("_last")).where(F.col("hub") < F.col("_last")).drop("_last")
     members = stored(banded.join(hubs, "band"), "bucket-members")
@@ -289,7 +291,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
                 links = links.union(more)
                 labels = connected(links)
 
-    ids = classes.join(labels, classes.rep == labels.node, "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component"))
+    # Written, so that the join by set is one of two plain sides, which adaptive execution splits.
+    ids = stored(classes.join(labels, classes.rep == labels.node, "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component")), "class-components")
     own = known.join(ids, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left").select("doc_id", "n", "component")
     rest = sigs.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component"))
     out = own.union(rest).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -13,8 +13,9 @@ patterns miss. On the held-out part, of secrets never seen, the scores are calib
 that recalls ``RECALL`` of them or more, midway between them and the others. All documents and whole texts are scanned.
 
 Defined cases: a null or empty text has no span; offsets are code points, end exclusive; a candidate longer than the
-network's window is read in overlapping windows and has their highest score; with fewer than ``LEAST`` distinct findings
-or plain examples to learn from, or a single value in all of them, no span is added; texts of any length are scanned whole;
+network's window is read in overlapping windows and has their highest score; with fewer than ``least`` distinct findings
+or plain examples to learn from, or a single value in all of them, there is no model and no span is added (``fit`` takes another
+``least``, and ``scanned`` takes a model fitted on other documents, for tables that hold few); texts of any length are scanned whole;
 repeated rows and null ids are scanned like others; an empty table gives no row; other columns are ignored.
 """
 
@@ -259,17 +260,17 @@ def split(real: np.ndarray, other: np.ndarray) -> tuple[tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def fit(docs: DataFrame) -> Network | None:
-    """A trained, calibrated network; None if there is nothing to learn from."""
+def fit(docs: DataFrame, least: int = LEAST, recall: float = RECALL) -> Network | None:
+    """A trained, calibrated network; None if there is nothing to learn from: under ``least`` findings or plain examples."""
     every = stored(labelled(docs).dropDuplicates(["secret", "x"]), "labelled-tokens")
     rows = [least_hashes(every, y, SAMPLE) for y in (1, 0)]
-    if min(map(len, rows)) < LEAST:
+    if min(map(len, rows)) < max(2, least):
         return None
     real, other = (np.stack([np.frombuffer(r.x, np.uint8).reshape(2, LENGTH) for r in own]) for own in rows)
     if min(len({value_of(x) for x in own}) for own in (real, other)) < 2:
         return None
     train, held = split(real, other)
-    return Network().train(*train).calibrate(*held, RECALL)
+    return Network().train(*train).calibrate(*held, recall)
 
 
 def scanned(docs: DataFrame, model: Network | None) -> DataFrame:

@@ -4,6 +4,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.llm import gif
 
@@ -86,7 +87,19 @@ def test_palettes_disposal_transparency_and_times(spark):
     rows = [r for r in gif.frames(df).orderBy("doc_id", "frame").collect() if r.doc_id == 1]
     assert [(r.start_ms, r.delay_ms) for r in rows] == [(0, 30), (30, 70), (100, 30), (130, 30), (160, 30)]
     assert bytes(rows[1].pixels) == shots[1].tobytes() and rows[0].histogram[48] == 80 and sum(rows[2].histogram) == 78
-    assert {r.doc_id for r in gif.frames(df).collect()} <= {1, 4}
+    assert {r.doc_id for r in gif.frames(df).where("status = 'ok'").collect()} <= {1, 4} and {r.status for r in rows} == {"ok"}
+
+
+def test_what_ends_a_stream_early_is_said(spark):
+    whole = film(image(np.zeros((20, 4), int)), image(np.zeros((20, 4), int)))
+    lie = b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x02\x4c\x01\x00"
+    rows = [(1, whole), (2, None), (3, b"GIF89a"), (4, whole[:-12]), (5, film(image(np.zeros((20, 4), int)), lie)), (6, whole.replace(struct.pack("<HH", 4, 20), struct.pack("<HH", 9000, 9000), 1))]
+    df = spark.createDataFrame([(k, None if d is None else bytearray(d)) for k, d in rows], "doc_id long, media binary")
+    out = {}
+    for r in gif.frames(df).orderBy("doc_id", F.col("frame").asc_nulls_last()).collect():
+        out.setdefault(r.doc_id, []).append(r.status)
+    assert out == {1: ["ok", "ok"], 2: ["no stream"], 3: ["damaged"], 4: ["ok", "damaged"], 5: ["ok", "damaged"], 6: ["too large"]}
+    assert gif.frames(df.where("doc_id = 6"), most_pixels=10**8).where("status = 'ok'").count() == 2
 
 
 def test_payloads(spark):
