@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,11 +91,11 @@ def directions(dimension: int) -> list[int]:
     return [m[i] << (BITS - 1 - i) for i in range(BITS)]
 
 
-def sobol_point(row: Column, dimension: int) -> Column:
-    """Point ``row`` by its Gray code: the exclusive or of the directions of its bits."""
+def sobol_point(row: Column, dimension: int, bits: int = BITS) -> Column:
+    """Point ``row`` (under 2^``bits``) by its Gray code: the exclusive or of the directions of its bits."""
     gray = row.bitwiseXOR(F.shiftright(row, 1))
     out = F.lit(0).cast("long")
-    for i, v in enumerate(directions(dimension)):
+    for i, v in enumerate(directions(dimension)[:bits]):
         out = out.bitwiseXOR(F.shiftright(gray, i).bitwiseAND(F.lit(1)) * F.lit(v))
     return out / float(1 << BITS)
 
@@ -104,7 +105,7 @@ def sobol(spark: SparkSession, n: int, names: list[str], first: int = 0) -> Data
     n = 1 << (n.bit_length() - 1)
     if n > 1 << BITS or first + len(names) > len(JOE_KUO) + 1:
         raise ValueError(f"at most 2^{BITS} points in {len(JOE_KUO) + 1} dimensions")
-    return rows(spark, n).select("row", *(sobol_point(F.col("row"), first + k).alias(c) for k, c in enumerate(names)))
+    return rows(spark, n).select("row", *(sobol_point(F.col("row"), first + k, n.bit_length()).alias(c) for k, c in enumerate(names)))
 
 
 def grid(spark: SparkSession, per_axis: int, names: list[str]) -> DataFrame:
@@ -128,13 +129,18 @@ def clipped_normal(seed: int, mean: float, std: float, low: float, high: float,
     return clamp(mean + std * gaussian(seed, *of), low, high)
 
 
+def share_of(share: float, n: str) -> Column:
+    """floor(share x n), the share being the decimal number it is written as: 0.7 of 90,000 is 63,000, and not one less."""
+    return F.floor(F.expr(f"CAST('{Decimal(repr(share)):f}' AS DECIMAL(18, 17))") * F.col(n).cast("decimal(19, 0)"))
+
+
 def split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """``split`` by a seeded shuffle with exact sizes: every part but the last has floor(share x n) rows."""
     ranked = hash_ranked(df, key, seed)
     out, bound = F.when(F.lit(False), F.lit("")), F.lit(0)
     names = list(shares)
     for name in names[:-1]:
-        bound = bound + F.floor(F.lit(shares[name]) * F.col("total"))
+        bound = bound + share_of(shares[name], "total")
         out = out.when(F.col("rank") <= bound, F.lit(name))
     return ranked.withColumn("split", out.otherwise(F.lit(names[-1]))).drop("rank", "total")
 
@@ -220,8 +226,9 @@ def bound(design: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def nested_subsets(df: DataFrame, key: str, fractions: list[float], seed: int = 42) -> DataFrame:
     """Rows with ``fraction``: the smaller subset is in every larger one, sizes are floor(fraction x n)."""
-    each = hash_ranked(df, key, seed).withColumn("fraction", F.explode(F.array(*(F.lit(f) for f in sorted(fractions)))))
-    return each.where(F.col("rank") <= F.floor(F.col("fraction") * F.col("total"))).drop("rank", "total")
+    sizes = F.array(*(F.struct(F.lit(f).alias("fraction"), share_of(f, "total").alias("size")) for f in sorted(fractions)))
+    each = hash_ranked(df, key, seed).withColumn("_s", F.explode(sizes))
+    return each.where("rank <= _s.size").withColumn("fraction", F.col("_s.fraction")).drop("rank", "total", "_s")
 
 
 def bootstrapped(rows: DataFrame, factors: DataFrame, place: Column, n: int) -> DataFrame:
