@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.ranges import quantiles
@@ -34,17 +34,34 @@ def normalised(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.withColumn("share", F.when(total != 0, F.col(value) / total).otherwise(0.0))
 
 
-def sobol_indices(runs: DataFrame, factors: list[str], row: str = "row", matrix: str = "matrix", value: str = "value") -> DataFrame:
-    """S1 (Saltelli 2010) and ST (Jansen 1999) from scored designs: matrix is A, B or AB_<factor>."""
-    named = [f"AB_{f}" for f in factors]
-    wide = runs.groupBy(row).pivot(matrix, ["A", "B", *named]).agg(F.first(value))
-    both = F.var_pop("v")
-    variance = runs.where(F.col(matrix).isin("A", "B")).select(F.col(value).alias("v")).agg(both.alias("variance"))
-    sums = [x for f in factors for x in (F.avg(F.col("B") * (F.col(f"AB_{f}") - F.col("A"))).alias(f"_s_{f}"), (F.avg(F.pow(F.col("A") - F.col(f"AB_{f}"), 2)) / 2).alias(f"_t_{f}"))]
-    one = wide.agg(*sums).join(F.broadcast(variance))
+def blends(first: dict[str, Column], second: dict[str, Column]) -> Column:
+    """A, B and AB_<factor> of one row as an array of structs of the factors, in that order: the runs of a row stay together."""
+    swapped = [{f: (second if f == g else first)[f] for f in first} for g in first]
+    return F.array(*(F.struct(*(c.alias(f) for f, c in m.items())) for m in (first, second, *swapped)))
+
+
+def sobol_of_arrays(runs: DataFrame, factors: list[str], values: str = "values") -> DataFrame:
+    """S1 (Saltelli 2010) and ST (Jansen 1999) from one array of values for each row, in the order of ``blends``: one pass, no shuffle of rows."""
+    a, b = F.col(values)[0], F.col(values)[1]
+    swap = lambda k: F.col(values)[k + 2]
+    sums = [x for k, f in enumerate(factors) for x in (F.avg(b * (swap(k) - a)).alias(f"_s_{f}"), (F.avg(F.pow(a - swap(k), 2)) / 2).alias(f"_t_{f}"))]
+    whole = [f(c).alias(f"_{n}{x}") for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop)) for x, c in (("a", a), ("b", b))]
+    one = runs.agg(*sums, *whole)
+    # the variance of both samples together, from those of each
+    of = lambda n: F.coalesce(n, F.lit(0.0))
+    n = F.col("_na") + F.col("_nb")
+    gap = of("_ma") - of("_mb")
+    variance = F.try_divide(F.col("_na") * of("_va") + F.col("_nb") * of("_vb"), n) + F.try_divide(F.col("_na") * F.col("_nb") * gap * gap, n * n)
     rows = F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f"_s_{f}").alias("s"), F.col(f"_t_{f}").alias("t")) for f in factors))
     safe = F.when(F.col("variance") > 1e-12, F.col("variance"))
-    return one.select("variance", F.explode(rows).alias("_p")).select("_p.factor", (F.col("_p.s") / safe).alias("S1"), (F.col("_p.t") / safe).alias("ST"))
+    return one.withColumn("variance", variance).select("variance", F.explode(rows).alias("_p")).select("_p.factor", (F.col("_p.s") / safe).alias("S1"), (F.col("_p.t") / safe).alias("ST"))
+
+
+def sobol_indices(runs: DataFrame, factors: list[str], row: str = "row", matrix: str = "matrix", value: str = "value") -> DataFrame:
+    """The same from scored designs in long form: matrix is A, B or AB_<factor>."""
+    named = ["A", "B", *(f"AB_{f}" for f in factors)]
+    wide = runs.groupBy(row).agg(*(F.max(F.when(F.col(matrix) == m, F.col(value))).alias(m) for m in named))
+    return sobol_of_arrays(wide.select(F.array(*named).alias("values")), factors)
 
 
 def saltelli(first: DataFrame, second: DataFrame, factors: list[str], row: str = "row") -> DataFrame:
@@ -63,12 +80,29 @@ def perturbed(df: DataFrame, factors: list[str], step: float = 0.01) -> DataFram
     return df.select("row", F.explode(F.array(base, *up)).alias("_p")).select("row", "_p.*")
 
 
+def moves(columns: dict[str, Column], step: float = 0.01) -> Column:
+    """A row and its copies with one factor raised by ``step`` of itself, as an array of structs: the row first, then each factor."""
+    plain = {f: c.cast("double") for f, c in columns.items()}
+    up = [{f: (c * (1 + step) if f == g else c) for f, c in plain.items()} for g in plain]
+    return F.array(*(F.struct(*(c.alias(f) for f, c in m.items())) for m in (plain, *up)))
+
+
+def gradients_of_arrays(runs: DataFrame, factors: list[str], points: str = "points", values: str = "values") -> DataFrame:
+    """Mean absolute forward difference of each factor and its share, from one array of ``moves`` and one of values for each row:
+    one pass, no shuffle of rows."""
+    gap = lambda k, f: F.nullif(F.col(points)[k + 1][f] - F.col(points)[0][f], F.lit(0.0))
+    one = runs.agg(*(F.avg(F.abs((F.col(values)[k + 1] - F.col(values)[0]) / gap(k, f))).alias(f"_g{k}") for k, f in enumerate(factors)))
+    rows = one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f"_g{k}").alias("gradient")) for k, f in enumerate(factors)))).alias("_p")).select("_p.*")
+    return normalised(rows, "gradient", []).select("factor", "gradient", "share")
+
+
 def gradients(scored: DataFrame, factors: list[str], value: str = "value") -> DataFrame:
-    """Mean absolute forward difference of each factor and its share."""
-    base = scored.where("moved IS NULL").select("row", F.col(value).alias("_v0"), *(F.col(f).alias(f"_{f}") for f in factors))
-    width = sum((F.when(F.col("moved") == f, F.col(f) - F.col(f"_{f}")).otherwise(0.0) for f in factors), F.lit(0.0))
-    slope = scored.where("moved IS NOT NULL").join(base, "row").withColumn("_d", F.abs((F.col(value) - F.col("_v0")) / F.nullif(width, F.lit(0.0))))
-    return normalised(slope.groupBy(F.col("moved").alias("factor")).agg(F.avg("_d").alias("gradient")), "gradient", []).select("factor", "gradient", "share")
+    """The same from rows of ``perturbed`` that were scored."""
+    own = F.struct(*factors)
+    of = lambda c, what: F.max(F.when(c, what))
+    named = [(F.col("moved").isNull(), "base"), *((F.col("moved") == f, f) for f in factors)]
+    wide = scored.groupBy("row").agg(*(of(c, own).alias(f"p_{n}") for c, n in named), *(of(c, F.col(value)).alias(f"v_{n}") for c, n in named))
+    return gradients_of_arrays(wide.select(F.array(*(f"p_{n}" for _, n in named)).alias("points"), F.array(*(f"v_{n}" for _, n in named)).alias("values")), factors)
 
 
 def combined(*rankings: DataFrame) -> DataFrame:
