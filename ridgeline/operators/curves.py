@@ -6,8 +6,14 @@ any number of curves spreads over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.functions.scalars import is_usable, safe_scale
 from ridgeline.operators.ranges import beside, quantiles
@@ -33,9 +39,10 @@ def on_grid(curves: DataFrame, grid: Column, n: int, curve: str = "curve_id", x:
     """
     knots = curves.where(F.col(x).isNotNull()).select(F.col(curve).alias("c"), F.col(x).alias("at"), F.struct(F.col(x).alias("_at"), *ys).alias("p"), F.lit(None).cast("int").alias("i"))
     points = curves.select(F.col(curve).alias("c")).distinct().select("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("c", grid.alias("at"), F.lit(None).cast(knots.schema["p"].dataType).alias("p"), "i")
-    order = Window.partitionBy("c").orderBy("at", F.col("i").isNotNull())
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    both = knots.unionByName(points).select("c", "at", "i", F.last("p", True).over(back).alias("a"), F.first("p", True).over(ahead).alias("b")).where("i IS NOT NULL")
+    # Both frames run from their start: Spark would count one that ends with the curve anew for every row.
+    back = Window.partitionBy("c").orderBy("at", F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("c").orderBy(F.desc("at"), F.col("i").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = knots.unionByName(points).select("c", "at", "i", F.last("p", True).over(back).alias("a"), F.last("p", True).over(ahead).alias("b")).where("i IS NOT NULL")
     share = (F.col("at") - F.col("a._at")) / (F.col("b._at") - F.col("a._at"))
 
     def between(y: str) -> Column:
@@ -88,8 +95,8 @@ def nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str) ->
     two = right.select(by, at, F.struct(F.col(at).cast("double").alias("at"), F.col(value).cast("double").alias("v")).alias("_r")).withColumn("_l", F.lit(0))
     every = one.unionByName(two, allowMissingColumns=True)
     before = Window.partitionBy(by).orderBy(at, "_l").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(by).orderBy(at, F.desc("_l")).rowsBetween(0, Window.unboundedFollowing)
-    out = every.withColumn("_a", F.last("_r", True).over(before)).withColumn("_b", F.first("_r", True).over(after)).where("_l = 1")
+    after = Window.partitionBy(by).orderBy(F.desc(at), "_l").rowsBetween(Window.unboundedPreceding, 0)
+    out = every.withColumn("_a", F.last("_r", True).over(before)).withColumn("_b", F.last("_r", True).over(after)).where("_l = 1")
     closer = F.when(F.col("_b").isNull() | (F.col(at) - F.col("_a.at") <= F.col("_b.at") - F.col(at)), F.col("_a")).otherwise(F.coalesce("_b", "_a"))
     return out.withColumn("_m", closer).withColumn(f"nearest_{at}", F.col("_m.at")).withColumn(f"nearest_{value}", F.col("_m.v")).drop("_r", "_l", "_a", "_b", "_m")
 
@@ -127,6 +134,27 @@ def monotone(curves: DataFrame, y: str = "y", curve: str = "curve_id", order: st
     return curves.withColumn("response", F.sum(step).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) / safe_scale(F.sum(step).over(w)))
 
 
+def monotone_arrays(arrays: DataFrame, y: str = "y", to: str = "response", total: str = "total") -> DataFrame:
+    """``monotone`` of curves as arrays on one grid: the running sum of what is positive over its ``total``; curves without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(b.schema.get_field_index(y))
+            steps = np.maximum(pc.fill_null(lists.flatten(), 0.0).to_numpy(zero_copy_only=False), 0)
+            upto = np.cumsum(steps.reshape(b.num_rows, -1), 1)
+            sums = upto[:, -1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shares = (upto / sums[:, None]).reshape(-1)
+            ends = np.arange(0, upto.size + 1, upto.shape[1], dtype=np.int32)
+            out = pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(shares)), pa.array(sums)], [*b.schema.names, to, total])
+            yield out.filter(pa.array(~(sums <= 0)))
+
+    schema = T.StructType([*arrays.schema.fields, T.StructField(to, T.ArrayType(T.DoubleType())), T.StructField(total, T.DoubleType())])
+    return arrays.mapInArrow(run, schema)
+
+
 def roughness(curves: DataFrame, y: str = "y", curve: str = "curve_id", order: str = "ord") -> DataFrame:
     """The mean squared first difference of each curve."""
     d = F.col(y) - F.lag(y).over(Window.partitionBy(curve).orderBy(order))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.operators.designs import clipped_normal
-from ridgeline.operators.gp import Process
+from ridgeline.operators.gp import Process, Swift
 from ridgeline.operators.joins import renumbered
 from ridgeline.sources.tables import with_arrays
 
@@ -22,7 +24,7 @@ class Surrogate:
     """A process from features to latent scores, and a decoder from scores to curves; a scale multiplies curves whose
     shape was modelled apart (``scale_last``: the last component is the logarithm of the scale)."""
 
-    process: Process
+    process: Process | Swift
     features: list[str]
     decode: Callable[[np.ndarray], np.ndarray]
     scale_last: bool = False
@@ -46,22 +48,82 @@ class Linear:
         return scores @ self.vectors + self.mean
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores: a small file is one partition, and what a task computes for a row is far more than its reading."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def swift(model: Surrogate) -> Surrogate:
+    return replace(model, process=model.process.swift())
+
+
+def features_of(batch: pa.RecordBatch, features: list[str]) -> np.ndarray:
+    return np.stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features], 1)
+
+
+def lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1)))
+
+
 def score(inputs: DataFrame, model: Surrogate, to: str = "y", spread: str = "spread") -> DataFrame:
     """``inputs`` with the predicted curve and its deviation pushed through the decoder: decode(m + s) - decode(m)."""
-    kept = inputs.sparkSession.sparkContext.broadcast(model)
+    return scored(inputs, {(to, spread): model})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def scored(inputs: DataFrame, models: dict[tuple[str, str], Surrogate]) -> DataFrame:
+    """``inputs`` with the curve and the deviation of each of ``models``, under its two names."""
+    kept = inputs.sparkSession.sparkContext.broadcast({names: swift(m) for names, m in models.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                columns = dict(zip(b.schema.names, b.columns, strict=True))
+                for (to, spread), m in kept.value.items():
+                    mean, std = m.process.predict(features_of(b, m.features))
+                    y = m.curves(mean)
+                    columns[to], columns[spread] = lists(y), lists(np.abs(m.curves(mean + std) - y))
+                yield pa.RecordBatch.from_arrays([columns[n] for n in order], order)
+
+    schema = with_arrays(inputs, *(n for names in models for n in names))
+    order = schema.names
+    return dealt(inputs).mapInArrow(run, schema)
+
+
+def quantities(inputs: DataFrame, model: Surrogate, final: str = "final", spread: str = "spread") -> DataFrame:
+    """``inputs`` with the last value and the largest deviation of ``score``'s curve, which stays in its task."""
+    kept = inputs.sparkSession.sparkContext.broadcast(swift(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = kept.value
-        for f in frames:
-            if len(f):
-                mean, std = m.process.predict(f[m.features].to_numpy(float))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                mean, std = m.process.predict(features_of(b, m.features))
                 y = m.curves(mean)
-                f[to], f[spread] = list(y), list(np.abs(m.curves(mean + std) - y))
-            else:
-                f[to], f[spread] = [], []
-            yield f
+                last = [pa.array(y[:, -1]), pa.array(np.abs(m.curves(mean + std) - y).max(1))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *last], [*b.schema.names, final, spread])
+
+    return dealt(inputs).mapInArrow(run, T.StructType([*inputs.schema.fields, T.StructField(final, T.DoubleType()), T.StructField(spread, T.DoubleType())]))
+
+
+def finals(designs: DataFrame, model: Surrogate, points: list[list[str]], to: str = "values") -> DataFrame:
+    """``to``, an array of the predicted curve's last value at several points of a row, each given by the columns of its features
+    in the model's order; other columns are left out."""
+    m = swift(model)
+    if isinstance(m.decode, Linear) and not m.scale_last:
+        m = replace(m, decode=Linear(m.decode.mean[-1:], m.decode.vectors[:, -1:]))
+    kept = designs.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                own = np.stack([kept.value.curves(kept.value.process.means(features_of(b, p)))[:, -1] for p in points], 1)
+                yield pa.RecordBatch.from_arrays([lists(own)], [to])
 
-    return inputs.mapInPandas(run, with_arrays(inputs, to, spread))
+    return designs.mapInArrow(run, f"{to} array<double>")
 
 
 def draws(rows: DataFrame, key: str, inputs: dict[str, tuple[float, float, float, float]], seed: int = 42) -> DataFrame:
@@ -94,7 +156,7 @@ def propagated(inputs: DataFrame, key: str, model: Surrogate, replicates: int, s
     quantities.
     """
     k = len(model.process.parts)
-    kept = inputs.sparkSession.sparkContext.broadcast(model)
+    kept = inputs.sparkSession.sparkContext.broadcast(swift(model))
     features = model.features
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +181,7 @@ def propagated(inputs: DataFrame, key: str, model: Surrogate, replicates: int, s
 
     kind = dict(inputs.dtypes)[key]
     schema = f"{key} {kind}, " + ", ".join(f"{x} double" for x in features) + ", rep int, " + ("y array<double>, " if curves else "") + "peak double, final double"
-    out = inputs.select(key, *(F.col(x).cast("double").alias(x) for x in features), F.xxhash64(F.lit(seed), key).alias("_hash")).mapInPandas(run, schema)
+    out = dealt(inputs.select(key, *(F.col(x).cast("double").alias(x) for x in features))).withColumn("_hash", F.xxhash64(F.lit(seed), key)).mapInPandas(run, schema)
     return out.select(*(F.nanvl(c, F.lit(None)).alias(c) if c in ("peak", "final") else F.col(c) for c in out.columns))
 
 
@@ -173,12 +235,12 @@ def propagated_responses(inputs: DataFrame, key: str, responses: dict[str, Respo
     quantities are null.
     """
     features = sorted({x for r in responses.values() for x in r.model.features})
-    rows = inputs.select(key, *(F.col(x).cast("double").alias(x) for x in features), *(F.xxhash64(F.lit(seed), F.lit(n), key).alias(f"_h_{n}") for n in responses))
+    rows = dealt(inputs.select(key, *(F.col(x).cast("double").alias(x) for x in features))).withColumns({f"_h_{n}": F.xxhash64(F.lit(seed), F.lit(n), key) for n in responses})
     read, spread = {}, {}
     for n, r in responses.items():
         if r.factors is not None:
             rows, read[n], spread[n] = drawn_factors(rows, key, r.factors, replicates, seed, f"_f_{n}")
-    parts = {n: (r.model, r.low, r.high, r.noise, r.jitter) for n, r in responses.items()}
+    parts = {n: (swift(r.model), r.low, r.high, r.noise, r.jitter) for n, r in responses.items()}
     kept = inputs.sparkSession.sparkContext.broadcast(parts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,11 +19,8 @@ def ensemble(spark, sf):
     """All curves on the grid with two responses, written once: level (the curve), y (its monotone response, shares of the total
     at every grid point), total, and the parameters. ``held`` marks a fifth of the curves, by hash, that no model is fitted on."""
     arrays = curves.to_arrays(gridded(spark, sf))
-    total = F.aggregate("y", F.lit(0.0), lambda a, v: a + F.greatest(v, F.lit(0.0)))
-    upto = F.aggregate("level", F.array().cast("array<double>"), lambda a, v: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + F.greatest(v, F.lit(0.0)))))
     inputs = table(spark, sf, "customer").select(F.col("c_custkey").alias("curve_id"), F.col("c_acctbal").alias("p1"), F.col("c_nationkey").cast("double").alias("p2"))
-    rows = arrays.select("curve_id", F.col("y").alias("level"), total.alias("total")).where("total > 0")
-    rows = rows.select("curve_id", "level", F.transform(upto, lambda v: v / F.col("total")).alias("y"), "total")
+    rows = curves.monotone_arrays(arrays.withColumnRenamed("y", "level"), "level", "y")
     return stored(rows.join(inputs, "curve_id").withColumn("held", F.pmod(F.xxhash64(F.lit(11), "curve_id"), F.lit(5)) == 0), "ensemble")
 
 
@@ -106,8 +103,7 @@ def gp_exact(spark, sf):
 def surrogate_score(spark, sf):
     """Every customer's predicted response: the last value and the largest deviation."""
     inputs = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("p1"), F.col("c_nationkey").cast("double").alias("p2"))
-    out = mc.score(inputs, surrogate(spark, sf))
-    return rounded(out.select("c_custkey", F.element_at("y", -1).alias("final"), F.array_max("spread").alias("spread")))
+    return rounded(mc.quantities(inputs, surrogate(spark, sf)).select("c_custkey", "final", "spread"))
 
 
 SURROGATES = {"pca": pca_surrogate, "autoencoder": autoencoder_surrogate, "shape_scale": shape_scale_surrogate}
@@ -157,7 +153,7 @@ def surrogate_selection(spark, sf):
         models[response] = {n: SURROGATES[n](stored(of(train), "train")) for n in ("pca", "shape_scale")}
         one = judged(models[response], of(test)).groupBy("model").agg(F.avg("r2").alias(response))
         both = one if both is None else both.join(one, "model")
-    speed = mc.latency(inputs, {n: lambda d, n=n: mc.score(mc.score(d, models["r2_first"][n]), models["r2_second"][n], "y2", "spread2") for n in models["r2_first"]})
+    speed = mc.latency(inputs, {n: lambda d, n=n: mc.scored(d, {("y", "spread"): models["r2_first"][n], ("y2", "spread2"): models["r2_second"][n]}) for n in models["r2_first"]})
     return rounded(stats.model_scores(both.join(speed.select("model", F.col("mean").alias("ms")), "model")))
 
 
@@ -169,11 +165,10 @@ def sobol_of_surrogate(spark, sf):
     bounds = table(spark, sf, "customer").agg(F.min("c_acctbal").alias("l1"), F.max("c_acctbal").alias("h1")).first()
     n = 1 << max(4, table(spark, sf, "lineitem").count().bit_length() - 1)
     points = designs.sobol(spark, n, ["a1", "a2", "b1", "b2"])
-    wide = lambda c, lo, hi: (lo + (hi - lo) * F.col(c))
-    half = lambda x: points.select("row", wide(f"{x}1", bounds.l1, bounds.h1).alias("p1"), wide(f"{x}2", 0.0, 24.0).alias("p2"))
-    runs = sensitivity.saltelli(half("a"), half("b"), FEATURES)
-    scored = mc.score(runs, model).select("row", "matrix", F.element_at("y", -1).alias("value"))
-    return rounded(sensitivity.sobol_indices(stored(scored, "scored-design"), FEATURES))
+    wide = lambda x: (F.lit(bounds.l1) + F.lit(bounds.h1 - bounds.l1) * F.col(f"{x}1"), 24.0 * F.col(f"{x}2"))
+    runs = points.select(*(c.alias(f"{x}{k}") for x in "ab" for k, c in enumerate(wide(x), 1)))
+    values = mc.finals(runs, model, [["a1", "a2"], ["b1", "b2"], ["b1", "a2"], ["a1", "b2"]])
+    return rounded(sensitivity.sobol_of_arrays(values, FEATURES))
 
 
 def priors(rows, key):
