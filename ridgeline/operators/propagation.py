@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 from ridgeline.operators.designs import clipped_normal
 from ridgeline.operators.gp import Process, Swift
 from ridgeline.operators.joins import renumbered
+from ridgeline.operators.sums import added
+from ridgeline.sources.stage import stored
 from ridgeline.sources.tables import with_arrays
 
 
@@ -226,14 +229,19 @@ def drawn_factors(inputs: DataFrame, key: str, factors: DataFrame, replicates: i
     return inputs.join(arrays, key), lambda own: np.stack(own.to_numpy()), (stat.low, stat.high, stat.std)
 
 
-def propagated_responses(inputs: DataFrame, key: str, responses: dict[str, Response], replicates: int, seed: int = 42, amplify: float = 1.0, least: float = 0.01, curves: bool = False) -> DataFrame:
-    """Monte-Carlo propagation of several responses over shared draws: (key, rep, features, and for each response name_peak,
-    name_final, and with ``curves`` the curve name_y). ``key`` tells draws apart.
+@dataclass
+class Simulation:
+    """Draws ready for their responses: ``rows`` (key, features, hashes, factors), and ``run``, which gives for a frame of them,
+    piece by piece, the replicates, whether each is finite, and the curves of each response."""
 
-    Each response samples its own latent scores, N(mean, max(amplify x std, least)), its factor, jitter and noise, from hashes
-    of (seed, response, key, rep), so results don't depend on partitions. If a curve of a replicate isn't finite, all of its
-    quantities are null.
-    """
+    rows: DataFrame
+    key: str
+    features: list[str]
+    names: list[str]
+    run: Callable[[pd.DataFrame], Iterator[tuple[pd.DataFrame, np.ndarray, dict[str, np.ndarray]]]]
+
+
+def simulated(inputs: DataFrame, key: str, responses: dict[str, Response], replicates: int, seed: int = 42, amplify: float = 1.0, least: float = 0.01) -> Simulation:
     features = sorted({x for r in responses.values() for x in r.model.features})
     rows = dealt(inputs.select(key, *(F.col(x).cast("double").alias(x) for x in features))).withColumns({f"_h_{n}": F.xxhash64(F.lit(seed), F.lit(n), key) for n in responses})
     read, spread = {}, {}
@@ -243,39 +251,195 @@ def propagated_responses(inputs: DataFrame, key: str, responses: dict[str, Respo
     parts = {n: (swift(r.model), r.low, r.high, r.noise, r.jitter) for n, r in responses.items()}
     kept = inputs.sparkSession.sparkContext.broadcast(parts)
 
+    def one(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, dict[str, np.ndarray]]:
+        out = g.loc[g.index.repeat(replicates), [key, *features]].reset_index(drop=True)
+        out["rep"] = np.tile(np.arange(1, replicates + 1), len(g)).astype(np.int32)
+        good, found = np.ones(len(out), bool), {}
+        for n, (model, low, high, noise, jitter) in kept.value.items():
+            k = len(model.process.parts)
+            mean, std = model.process.predict(g[model.features].to_numpy(float))
+            z = normals(g[f"_h_{n}"].to_numpy(), replicates, k + 2)
+            y = model.curves((mean[:, None] + np.maximum(amplify * std, least)[:, None] * z[:, :, :k]).reshape(-1, k))
+            if n in read:
+                lowest, highest, deviation = spread[n]
+                factor = read[n](g[f"_f_{n}"]) + jitter * deviation * z[:, :, k + 1]
+                y = y * np.clip(factor, lowest, highest).reshape(-1, 1)
+            if low is not None or high is not None:
+                y = np.clip(y, low, high)
+            y = y * (1 + noise * z[:, :, k].reshape(-1, 1))
+            good &= np.isfinite(y).all(1)
+            found[n] = y
+        return out, good, found
+
+    def run(f: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, dict[str, np.ndarray]]]:
+        for at in range(0, len(f), 1024):
+            yield one(f.iloc[at : at + 1024])
+
+    return Simulation(rows, key, features, list(responses), run)
+
+
+def propagated_responses(inputs: DataFrame, key: str, responses: dict[str, Response], replicates: int, seed: int = 42, amplify: float = 1.0, least: float = 0.01, curves: bool = False) -> DataFrame:
+    """Monte-Carlo propagation of several responses over shared draws: (key, rep, features, and for each response name_peak,
+    name_final, and with ``curves`` the curve name_y). ``key`` tells draws apart.
+
+    Each response samples its own latent scores, N(mean, max(amplify x std, least)), its factor, jitter and noise, from hashes
+    of (seed, response, key, rep), so results don't depend on partitions. If a curve of a replicate isn't finite, all of its
+    quantities are null.
+    """
+    return quantities_of(simulated(inputs, key, responses, replicates, seed, amplify, least), curves)
+
+
+def quantities_of(s: Simulation, curves: bool = False) -> DataFrame:
+    """``propagated_responses`` of a simulation."""
+    make = s.run
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at in range(0, len(f), 1024):
-                g = f.iloc[at : at + 1024]
-                out = g.loc[g.index.repeat(replicates), [key, *features]].reset_index(drop=True)
-                out["rep"] = np.tile(np.arange(1, replicates + 1), len(g)).astype(np.int32)
-                good, found = np.ones(len(out), bool), {}
-                for n, (model, low, high, noise, jitter) in kept.value.items():
-                    k = len(model.process.parts)
-                    mean, std = model.process.predict(g[model.features].to_numpy(float))
-                    z = normals(g[f"_h_{n}"].to_numpy(), replicates, k + 2)
-                    y = model.curves((mean[:, None] + np.maximum(amplify * std, least)[:, None] * z[:, :, :k]).reshape(-1, k))
-                    if n in read:
-                        lowest, highest, deviation = spread[n]
-                        factor = read[n](g[f"_f_{n}"]) + jitter * deviation * z[:, :, k + 1]
-                        y = y * np.clip(factor, lowest, highest).reshape(-1, 1)
-                    if low is not None or high is not None:
-                        y = np.clip(y, low, high)
-                    y = y * (1 + noise * z[:, :, k].reshape(-1, 1))
-                    good &= np.isfinite(y).all(1)
-                    found[n] = y
+            for out, good, found in make(f):
                 for n, y in found.items():
                     out[f"{n}_peak"], out[f"{n}_final"] = np.where(good, y.max(1), np.nan), np.where(good, y[:, -1], np.nan)
                     if curves:
                         out[f"{n}_y"] = list(y)
                 yield out
 
-    kind = dict(inputs.dtypes)[key]
-    told = [f"{n}_{q} double" for n in responses for q in ("peak", "final")]
-    made = [x for n in responses for x in (f"{n}_peak double", f"{n}_final double", *([f"{n}_y array<double>"] if curves else []))]
-    out = rows.mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{x} double" for x in features) + ", rep int, " + ", ".join(made))
-    quantities = {t.split()[0] for t in told}
-    return out.select(*(F.nanvl(c, F.lit(None)).alias(c) if c in quantities else F.col(c) for c in out.columns))
+    kind = dict(s.rows.dtypes)[s.key]
+    told = {f"{n}_{q}" for n in s.names for q in ("peak", "final")}
+    made = [x for n in s.names for x in (f"{n}_peak double", f"{n}_final double", *([f"{n}_y array<double>"] if curves else []))]
+    out = s.rows.mapInPandas(run, f"{s.key} {kind}, " + ", ".join(f"{x} double" for x in s.features) + ", rep int, " + ", ".join(made))
+    return out.select(*(F.nanvl(c, F.lit(None)).alias(c) if c in told else F.col(c) for c in out.columns))
+
+
+#: Cells of a grid point at first and of a wanted cell in a later round, values that are gathered when no more lie in wanted
+#: cells, and rounds at the most (64 bits hold no more digits).
+CELLS, FINER, GATHERED, MOST_ROUNDS = 4096, 512, 200_000, 6
+
+
+class Cells:
+    """Values of many columns by digits of their place between the column's extremes: a first one of ``CELLS``, then of ``FINER``,
+    the further ones only in cells that a table (columns x slots x cells, -1: not wanted) gives a slot."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.low, width = low, high - low
+        self.scale = np.where(width > 0, CELLS / np.where(width > 0, width, 1), 0.0)
+        self.tables: list[np.ndarray] = []
+
+    def placed(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Column, slot, cell and value of what lies in wanted cells of all rounds so far (of everything in the first)."""
+        n, p = y.shape
+        u = ((y - self.low) * self.scale).reshape(-1)
+        value, column, slot, cells = y.reshape(-1), np.tile(np.arange(p), n), np.zeros(n * p, int), CELLS
+        for table in self.tables:
+            cell = np.clip(u.astype(int), 0, cells - 1)
+            own = table[column, slot, cell]
+            keep = own >= 0
+            u, value, column, slot, cells = ((u - cell) * FINER)[keep], value[keep], column[keep], own[keep], FINER
+        return column, slot, np.clip(u.astype(int), 0, cells - 1), value
+
+    def narrowed(self, counts: np.ndarray, ranks: list[dict[int, list[tuple[int, int]]]]) -> int:
+        """Gives slots to the cells that hold wanted ranks (by column and slot, with places in the slot; rewritten), and says how
+        many values lie in them."""
+        table, inside = np.full(self.shape, -1, np.int32), 0
+        for c, slots in enumerate(ranks):
+            new: dict[int, list[tuple[int, int]]] = {}
+            for slot, ks in slots.items():
+                upto = np.cumsum(counts[c, slot])
+                for k, r in ks:
+                    cell = min(int(np.searchsorted(upto, r, "right")), self.shape[2] - 1)
+                    if table[c, slot, cell] < 0:
+                        table[c, slot, cell] = len(new)
+                        new[len(new)] = []
+                        inside += int(counts[c, slot, cell])
+                    new[int(table[c, slot, cell])].append((k, r - int(upto[cell - 1] if cell else 0)))
+            ranks[c] = new
+        self.tables.append(table)
+        return inside
+
+    @property
+    def shape(self) -> tuple[int, int, int]:
+        slots = int(self.tables[-1].max()) + 1 if self.tables else 1
+        return len(self.low), slots, FINER if self.tables else CELLS
+
+
+def envelopes(s: Simulation, levels: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """(response, i, n, mean, std, p05, ...): mean, population deviation and exact percentiles at each grid point over all
+    replicates whose curves are finite.
+
+    Curves are never written or exploded: they follow from hashes, so each round makes them anew inside its tasks and gives
+    counts of cells for a grid point; the cells that hold a wanted rank are told apart by finer ones until few values are left,
+    and these are gathered. Write ``s.rows`` first, so that every round has the same batches. The driver holds cells for each
+    grid point, whatever the number of draws.
+    """
+    names, make = [f"p{round(100 * p):02d}" for p in levels], s.run
+
+    def over(f: Callable[[str, np.ndarray], pd.DataFrame | None], schema: str) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g in frames:
+                for _, good, found in make(g):
+                    for n, y in found.items():
+                        if good.any() and (out := f(n, y[good])) is not None:
+                            yield out
+
+        return s.rows.mapInPandas(run, schema)
+
+    def moments(n: str, y: np.ndarray) -> pd.DataFrame:
+        m = y.mean(0)
+        return pd.DataFrame({"response": n, "i": np.arange(y.shape[1]), "n": len(y), "m": m, "s": ((y - m) ** 2).sum(0), "low": y.min(0), "high": y.max(0)})
+
+    each = stored(over(moments, "response string, i int, n long, m double, s double, low double, high double"), "moments")
+    whole = each.groupBy("response", "i").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    gap = F.col("m") - F.col("mean")
+    both = each.join(F.broadcast(whole), ["response", "i"]).groupBy("response", "i").agg(F.sum("n").alias("n"), F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("s") + F.col("n") * gap * gap) / F.sum("n")).alias("std"), F.min("low").alias("low"), F.max("high").alias("high"))
+    stat = both.orderBy("response", "i").toPandas()
+    sc, state = s.rows.sparkSession.sparkContext, {}
+    for name, own in stat.groupby("response"):
+        total = int(own["n"].iloc[0])
+        wanted = sorted({int(k) for p in levels for k in (np.floor(p * (total - 1)), np.ceil(p * (total - 1)))})
+        # of each column, by slot: wanted ranks and what they are within the slot
+        state[name] = (own, total, Cells(own["low"].to_numpy(), own["high"].to_numpy()), [{0: [(k, k) for k in wanted]} for _ in range(len(own))])
+    left = list(state)
+    for _ in range(MOST_ROUNDS):
+        kept = sc.broadcast({n: state[n][2] for n in left})
+
+        def count(frames: Iterator[pd.DataFrame], kept=kept) -> Iterator[pd.DataFrame]:
+            sums: dict[str, np.ndarray] = {}
+            for g in frames:
+                for _, good, ys in make(g):
+                    for n, cells in kept.value.items():
+                        column, slot, cell, _ = cells.placed(ys[n][good])
+                        _, slots, width = cells.shape
+                        now = np.bincount((column * slots + slot) * width + cell, minlength=int(np.prod(cells.shape)))
+                        sums[n] = sums[n] + now if n in sums else now
+            for n, x in sums.items():
+                yield pd.DataFrame({"response": [n], "at": [TaskContext.get().partitionId()], "sums": [x.astype(float)]})
+
+        for r in added(s.rows.mapInPandas(count, "response string, at long, sums array<double>"), ["response"], "at", "sums", fan_in=16).collect():
+            _, _, cells, ranks = state[r.response]
+            if cells.narrowed(np.array(r.sums).reshape(cells.shape), ranks) <= GATHERED:
+                left.remove(r.response)
+        if not left:
+            break
+    kept = sc.broadcast({n: x[2] for n, x in state.items()})
+
+    def gather(n: str, y: np.ndarray, kept=kept) -> pd.DataFrame:
+        column, slot, _, value = kept.value[n].placed(y)
+        return pd.DataFrame({"i": column, "slot": slot, "v": value}).groupby(["i", "slot", "v"]).size().rename("k").reset_index().assign(response=n)[["response", "i", "slot", "v", "k"]]
+
+    values = over(gather, "response string, i int, slot int, v double, k long").groupBy("response", "i", "slot", "v").agg(F.sum("k").alias("k")).toPandas().sort_values(["response", "i", "slot", "v"])
+    at = {}
+    for (n, i, slot), v in values.groupby(["response", "i", "slot"]):
+        upto = np.cumsum(v["k"].to_numpy())
+        for k, r in state[n][3][i].get(slot, []):
+            at[n, i, k] = float(v["v"].iloc[min(int(np.searchsorted(upto, r, "right")), len(v) - 1)])
+    found = []
+    for n, (own, total, _, _) in state.items():
+        for row in own.itertuples():
+            q = []
+            for p in levels:
+                low, high = (at[n, row.i, int(f(p * (total - 1)))] for f in (np.floor, np.ceil))
+                share = p * (total - 1) % 1
+                q.append(low if share == 0 or low == high else (1 - share) * low + share * high)
+            found.append((n, int(row.i), int(row.n), float(row.mean), float(row.std), *q))
+    return s.rows.sparkSession.createDataFrame(found, "response string, i int, n long, mean double, std double, " + ", ".join(f"{n} double" for n in names))
 
 
 def valid(df: DataFrame, *columns: str) -> tuple[DataFrame, Column]:

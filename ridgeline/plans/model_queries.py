@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -198,7 +200,9 @@ def uq_result_set(spark, sf):
     value): the envelopes at each grid point, summaries of the quantities, exceedance (first peak too low, second final value too
     high, either) of drawn and of fixed limits, correlations with the inputs, counts."""
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("draw"))
-    drawn = stored(mc.propagated_responses(priors(rows, "draw"), "draw", uq_responses(ensemble(spark, sf)), 15, curves=True), "propagated")
+    simulation = mc.simulated(priors(rows, "draw"), "draw", uq_responses(ensemble(spark, sf)), 15)
+    simulation = replace(simulation, rows=stored(simulation.rows, "draws"))
+    drawn = stored(mc.quantities_of(simulation), "propagated")
     quantities = ["level_peak", "level_final", "share_peak", "share_final"]
     good, bad = mc.valid(drawn, *quantities)
 
@@ -207,10 +211,9 @@ def uq_result_set(spark, sf):
         pairs = F.array(*(F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in named))
         return df.select(F.lit(part).alias("part"), F.col(item).cast("string").alias("item"), F.explode(pairs).alias("p")).select("part", "item", "p.*")
 
-    out = None
+    bands, out = mc.envelopes(simulation), None
     for response in ("level", "share"):
-        points = good.select(F.posexplode(f"{response}_y").alias("i", "y"))
-        one = told(curves.envelope(points, ["i"]), f"{response} envelope", "i")
+        one = told(bands.where(F.col("response") == response).drop("response"), f"{response} envelope", "i")
         out = one if out is None else out.unionByName(one)
     for c in quantities:
         out = out.unionByName(told(stats.qoi_summary(good, c).withColumn("qoi", F.lit(c)), "summary", "qoi"))

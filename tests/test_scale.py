@@ -85,3 +85,21 @@ def test_a_small_file_is_scored_by_many_tasks(spark):
     assert short == {r.k: (r.y[-1], max(r.spread)) for r in out.collect()}
     several = propagation.finals(inputs, model, [["a", "b"]]).collect()
     assert sorted(r["values"][0] for r in several) == pytest.approx(sorted(v[0] for v in short.values()))
+
+
+@pytest.mark.parametrize("gathered", [200_000, 50])
+def test_envelopes_without_stored_curves(spark, monkeypatch, gathered):
+    """Exact percentiles of both responses, one of them clipped (many equal values), against the curves themselves."""
+    monkeypatch.setattr(propagation, "GATHERED", gathered)
+    model = propagation.Surrogate(process(np.array([1.0, 1.0])), ["a", "b"], propagation.Linear(np.linspace(0, 1, 5), np.array([[0.0, 0.1, -0.2, 0.4, 1.0]])))
+    inputs = spark.range(700).select("id", (F.col("id") * 13.0).alias("a"), (F.col("id") % 25).cast("double").alias("b"))
+    own = {"one": propagation.Response(model, noise=0.01), "two": propagation.Response(model, 0.0, 0.95, 0.01)}
+    drawn = propagation.propagated_responses(inputs, "id", own, 4, curves=True).toPandas()
+    got = propagation.envelopes(propagation.simulated(inputs, "id", own, 4)).toPandas().set_index(["response", "i"])
+    assert len(got) == 10 and (got.n == 2800).all()
+    for n in own:
+        y = np.stack(drawn[f"{n}_y"])
+        for i in range(5):
+            row = got.loc[n, i]
+            assert np.allclose(row[["p05", "p25", "p50", "p75", "p95"]].to_numpy(float), np.quantile(y[:, i], [0.05, 0.25, 0.5, 0.75, 0.95]), rtol=1e-12)
+            assert np.allclose([row["mean"], row["std"]], [y[:, i].mean(), y[:, i].std()])
