@@ -10,16 +10,18 @@ Every step is written before the next one is planned, so functions below may rea
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators import chebyshev
 from ridgeline.operators.gp import Process, kernel
-from ridgeline.operators.sums import added
+from ridgeline.operators.sums import FAN_IN, added
 from ridgeline.sources.stage import stored
 
 #: Rows of a block, rounds at the most, relative residual that ends them, and rows whose deviations are solved for together.
@@ -260,3 +262,111 @@ def predict(rows: DataFrame, model: Exact, features: list[str], key: str, block:
 
     joined = new.blocks.select("block", "keys").join(means, "block").join(spreads, "block")
     return joined.groupBy("block").applyInPandas(told, f"key {kind}, mean array<double>, std array<double>").withColumnRenamed("key", key)
+
+
+#: Features of an expansion at most, error of the kernel that they may have, and shares of the largest eigenvalue that are left out.
+MOST_FEATURES, KERNEL_ERROR, NOTHING = 1024, 1e-12, 1e-16
+
+
+@dataclass
+class Expansion:
+    """Features whose products are the kernel of one component over a box, to ``KERNEL_ERROR``: Gaussian kernels are products over
+    the inputs, and smooth, so few features are enough where lengths aren't short against the box."""
+
+    low: np.ndarray
+    high: np.ndarray
+    factors: list[np.ndarray]
+    pairs: np.ndarray
+
+    def __call__(self, z: np.ndarray) -> np.ndarray:
+        """Rows x features of scaled rows."""
+        t = chebyshev.scaled(z, self.low, self.high)
+        each = [chebyshev.polynomials(t[:, d], len(g)) @ g for d, g in enumerate(self.factors)]
+        out = each[0][:, self.pairs[:, 0]]
+        for d in range(1, len(each)):
+            out = out * each[d][:, self.pairs[:, d]]
+        return out
+
+
+def expansion(length: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7) -> Expansion | None:
+    """None where more than ``MOST_FEATURES`` are needed."""
+    rng, factors, sizes = np.random.default_rng(seed), [], []
+    for d in range(len(low)):
+        probe = rng.uniform(low[d], high[d], (2, 400))
+        truth, n = np.exp(-(((probe[0] - probe[1]) / length[d]) ** 2) / 2), chebyshev.FIRST
+        while True:
+            at = chebyshev.nodes(n, low[d], high[d])
+            values, vectors = np.linalg.eigh(np.exp(-(((at[:, None] - at) / length[d]) ** 2) / 2))
+            keep = values > NOTHING * values[-1]
+            g = chebyshev.transform(n) @ (vectors[:, keep] * np.sqrt(values[keep]))[:, ::-1]
+            one, two = (chebyshev.polynomials(chebyshev.scaled(p, low[d], high[d]), n) @ g for p in probe)
+            if np.abs((one * two).sum(1) - truth).max() < KERNEL_ERROR:
+                break
+            n *= 2
+            if n > chebyshev.MOST_NODES:
+                return None
+        factors.append(g)
+        sizes.append(values[keep][::-1] / values[-1])
+    pairs = np.stack([x.reshape(-1) for x in np.meshgrid(*(np.arange(len(s)) for s in sizes), indexing="ij")], 1)
+    weight = np.prod([s[pairs[:, d]] for d, s in enumerate(sizes)], 0)
+    pairs = pairs[weight > NOTHING]
+    return Expansion(low, high, factors, pairs) if len(pairs) <= MOST_FEATURES else None
+
+
+def posterior(rows: DataFrame, new: DataFrame, features: list[str], target: str, key: str, process: Process) -> DataFrame:
+    """(key, mean, std) of ``new`` under the exact posterior of all ``rows``.
+
+    Where the kernels of all components expand into features, the posterior is that of a linear model in them: sums over rows,
+    added in a tree, and a small system for each component, so the work grows with the rows. Else the system of all rows is
+    solved over blocks (``fit``, ``predict``), whose work grows with the square of the rows.
+    """
+    z = lambda x: (x - process.mean) / process.std
+    ends = rows.select(*features).unionByName(new.select(*features)).agg(*(f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in features for n, f in (("low", F.min), ("high", F.max)))).first()
+    low, high = (z(np.array([ends[f"{n}_{c}"] for c in features], float)) for n in ("low", "high"))
+    high = np.maximum(high, low + 1e-6)
+    spans = [expansion(np.broadcast_to(p["length"], len(low)), low, high) for p in process.parts] if process.kind == "rbf" else [None]
+    if any(e is None for e in spans):
+        return predict(new, fit(rows, features, target, key, process), features, key)
+    sc, parts, n_out = rows.sparkSession.sparkContext, process.parts, len(process.parts)
+    means, stds, noise = (np.array([p[k] for p in parts]) for k in ("y_mean", "y_std", "noise"))
+    kept = sc.broadcast(spans)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: list[np.ndarray] | None = None
+        for whole in frames:
+            for at in range(0, len(whole), 2000):
+                f = whole.iloc[at : at + 2000]
+                x, y = z(np.stack(f.x.to_numpy())), (np.stack(f.y.to_numpy()) - means) / stds
+                now = []
+                for c, e in enumerate(kept.value):
+                    m, t = e(x), y[:, c]
+                    now.append(np.concatenate([(m.T @ m).reshape(-1), m.T @ t, [t @ t, len(t)]]))
+                own = now if own is None else [u + v for u, v in zip(own, now, strict=True)]
+        if own is not None:
+            yield pd.DataFrame({"component": np.arange(n_out), "at": TaskContext.get().partitionId(), "sums": own})
+
+    picked = rows.select(F.array(*(F.col(f).cast("double") for f in features)).alias("x"), F.col(target).cast("array<double>").alias("y"))
+    largest = max(len(e.pairs) for e in spans)
+    fan_in = int(np.clip(FAN_IN * 512**2 // largest**2, 4, FAN_IN))
+    solved_: list[tuple[np.ndarray, np.ndarray, float]] = [(np.zeros(0), np.zeros(0), 0.0)] * n_out
+    for r in added(picked.mapInPandas(sums, "component int, at long, sums array<double>"), ["component"], "at", "sums", fan_in).collect():
+        s, m = np.array(r.sums), len(spans[r.component].pairs)
+        gram, by_y, yy, n, v = s[: m * m].reshape(m, m), s[m * m : m * m + m], s[-2], s[-1], noise[r.component]
+        lower = np.linalg.cholesky(gram + v * np.eye(m))
+        w = np.linalg.solve(lower.T, np.linalg.solve(lower, by_y))
+        solved_[r.component] = (w, np.linalg.inv(lower).T, max(float((yy - by_y @ w) / v / n), 1e-12))
+    answer = sc.broadcast((spans, solved_))
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in frames:
+            for at in range(0, len(whole), 2000):
+                f = whole.iloc[at : at + 2000]
+                x, mean, std = z(f[features].to_numpy(float)), [], []
+                for c, (e, (w, inverse, amplitude)) in enumerate(zip(*answer.value, strict=True)):
+                    m = e(x)
+                    left = noise[c] * np.square(m @ inverse).sum(1) + np.maximum(1 - (m * m).sum(1), 0)
+                    mean.append(means[c] + stds[c] * (m @ w))
+                    std.append(stds[c] * np.sqrt(amplitude * (np.clip(left, 0, None) + noise[c])))
+                yield pd.DataFrame({key: f[key], "mean": list(np.stack(mean, 1)), "std": list(np.stack(std, 1))})
+
+    return new.select(key, *(F.col(f).cast("double").alias(f) for f in features)).mapInPandas(told, f"{key} {dict(new.dtypes)[key]}, mean array<double>, std array<double>")

@@ -92,12 +92,11 @@ def gp_predict(spark, sf):
 
 @query()
 def gp_exact(spark, sf):
-    """The same by the exact posterior of all training rows, solved over blocks."""
+    """The same by the exact posterior of all training rows."""
     train, held = parted(ensemble(spark, sf))
     model = pca.fit(train, 3)
     scored = stored(pca.project(train, model), "scores")
-    exact = exact_gp.fit(scored, FEATURES, "scores", "curve_id", gp.fit(scored, FEATURES, "scores", "curve_id"))
-    out = exact_gp.predict(held, exact, FEATURES, "curve_id")
+    out = exact_gp.posterior(scored, held, FEATURES, "scores", "curve_id", gp.fit(scored, FEATURES, "scores", "curve_id"))
     return rounded(out.select("curve_id", F.col("mean")[0].alias("mean"), F.col("std")[0].alias("std")))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import chebyshev, curves, designs, gp, propagation, sensitivity
+from ridgeline.operators import chebyshev, curves, designs, exact_gp, gp, propagation, sensitivity
 
 
 def plan(df):
@@ -103,3 +103,26 @@ def test_envelopes_without_stored_curves(spark, monkeypatch, gathered):
             row = got.loc[n, i]
             assert np.allclose(row[["p05", "p25", "p50", "p75", "p95"]].to_numpy(float), np.quantile(y[:, i], [0.05, 0.25, 0.5, 0.75, 0.95]), rtol=1e-12)
             assert np.allclose([row["mean"], row["std"]], [y[:, i].mean(), y[:, i].std()])
+
+
+@pytest.mark.parametrize("lengths", [(0.7, 1.5), (5184.0, 0.4)])
+def test_exact_posterior_by_features(spark, lengths):
+    """Against the dense posterior, for rows outside the training rows' range too, without any system over blocks."""
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.uniform(-3, 3, 500), rng.integers(0, 25, 500)], 1)
+    y = np.sin(x[:, 0]) + 0.1 * x[:, 1] + 0.2 * rng.normal(size=500)
+    df = spark.createDataFrame([(i, *map(float, a), [float(b)]) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, y array<double>")
+    p = process(np.array(lengths), 1e-2)
+    p.mean, p.std = x.mean(0), x.std(0)
+    p.parts[0] |= {"y_mean": y.mean(), "y_std": y.std()}
+    new = df.where("id < 20").withColumn("a", F.col("a") * 1.5)
+    assert exact_gp.expansion(np.array(lengths), np.array([-2.0, -2.0]), np.array([2.0, 2.0])) is not None
+    assert exact_gp.expansion(np.array([0.001, 0.001]), np.array([-2.0, -2.0]), np.array([2.0, 2.0])) is None
+    out = exact_gp.posterior(df, new, ["a", "b"], "y", "id", p).orderBy("id").toPandas()
+    z, zt = (x - p.mean) / p.std, (new.orderBy("id").toPandas()[["a", "b"]].to_numpy() - p.mean) / p.std
+    k, ks = gp.kernel(z, z, np.array(lengths)) + 1e-2 * np.eye(500), gp.kernel(zt, z, np.array(lengths))
+    t = (y - y.mean()) / y.std()
+    a = np.linalg.solve(k, t)
+    std = y.std() * np.sqrt(t @ a / 500 * (1 - (ks * np.linalg.solve(k, ks.T).T).sum(1) + 1e-2))
+    assert np.allclose(np.stack(out["mean"])[:, 0], y.mean() + y.std() * ks @ a, atol=1e-7)
+    assert np.allclose(np.stack(out["std"])[:, 0], std, atol=1e-7)
