@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import chebyshev, curves, designs, exact_gp, gp, propagation, sensitivity
+from ridgeline.operators import chebyshev, curves, designs, exact_gp, forest, gp, pairs, propagation, sensitivity
 
 
 def plan(df):
@@ -126,3 +126,33 @@ def test_exact_posterior_by_features(spark, lengths):
     std = y.std() * np.sqrt(t @ a / 500 * (1 - (ks * np.linalg.solve(k, ks.T).T).sum(1) + 1e-2))
     assert np.allclose(np.stack(out["mean"])[:, 0], y.mean() + y.std() * ks @ a, atol=1e-7)
     assert np.allclose(np.stack(out["std"])[:, 0], std, atol=1e-7)
+
+
+def test_forest_of_cells_is_like_one_of_rows(spark):
+    """Importances and R2 of planted factors, against Spark's own forest; parts of the rows don't matter."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.integers(0, 50, 4000), rng.integers(0, 11, 4000), rng.normal(size=4000)], 1)
+    y = 0.2 * x[:, 0] + np.where(x[:, 1] > 5, 3, 0) + 0.3 * rng.normal(size=4000)
+    df = spark.createDataFrame([(i, *map(float, a), float(b), i % 5 == 0) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, y double, held boolean")
+    ours, r2 = forest.fit(df, ["a", "b", "c"], "y", ["id"], "held", trees=40, depth=10)
+    again, _ = forest.fit(df.repartition(3), ["a", "b", "c"], "y", ["id"], "held", trees=40, depth=10)
+    assert np.allclose(ours, again)
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df).withColumnRenamed("y", "label")
+    theirs = RandomForestRegressor(numTrees=40, maxDepth=10, seed=1).fit(data.where("NOT held"))
+    assert np.allclose(ours, theirs.featureImportances.toArray(), atol=0.06)
+    assert r2 == pytest.approx(RegressionEvaluator(metricName="r2").evaluate(theirs.transform(data.where("held"))), abs=0.03)
+
+
+def test_pair_distances_shuffle_no_vectors_twice(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(230, 6))
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, x array<double>")
+    blocks = pairs.packed(df, ["x"], "vec_id", 20)
+    assert "hashpartitioning" not in plan(pairs.pairings(blocks)) and pairs.pairings(blocks).count() == 12 * 13 // 2
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))[np.triu_indices(230, 1)]
+    total = pairs.over_pairs(blocks, ["x"], lambda a: np.array([len(a), a.sum()]))
+    assert total[0] == len(d) and total[1] == pytest.approx(d.sum())
