@@ -1,60 +1,101 @@
 """Measures of all pair distances of a set of vectors, from blocks of pairs that never become rows.
 
-Rows are dealt to blocks, each unordered pair of blocks is a task that computes its distances by matrix products and gives
-one row of sums or counts. A quantile of the distances comes from rounds of histograms over a range that shrinks to the bin
+Rows are dealt to blocks and written once; each unordered pair of blocks is read, not shuffled, and its distances are computed by
+matrix products; a task gives one row of sums or counts for all its pairs. A quantile of the distances comes from rounds of histograms over a range that shrinks to the bin
 that holds it; distances are computed anew in each round, with the same products, until the bin holds few enough to gather.
-The work grows with the square of the number of vectors, as the measure asks; what is written grows with that of blocks.
+The work grows with the square of the number of vectors, as the measure asks; what is shuffled and written grows with the vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.operators.sums import added
+from ridgeline.sources.stage import stored
 
-#: Vectors of a block, bins of a round, and distances that are gathered once a bin holds no more.
-BLOCK, BINS, FEW = 1000, 2048, 10_000
+#: Vectors of a block, bins of a round, distances that are gathered once a bin holds no more, and files of blocks at the most.
+BLOCK, BINS, FEW, MOST_FILES = 1000, 2048, 10_000, 64
 
 
-def pair_blocks(vectors: DataFrame, spaces: list[str], key: str, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """Each block's rows once for every block it is paired with: (p, q, own, key, spaces); and the number of pairs of blocks."""
-    blocks = max(1, -(-vectors.count() // block))
-    rows = vectors.select(F.col(key).alias("key"), *(F.col(s).cast("array<double>").alias(s) for s in spaces), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
-    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    return dealt.select("*", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), blocks
+@dataclass
+class Blocks:
+    """Vectors in blocks, written once: ``rows`` (block, key order within, each space as one flat array), how many blocks, and the
+    length of a vector of each space."""
 
+    rows: DataFrame
+    n: int
+    widths: dict[str, int]
 
-def distances(pdf: pd.DataFrame, spaces: list[str]) -> Iterator[np.ndarray]:
+
+def packed(vectors: DataFrame, spaces: list[str], key: str, block: int = BLOCK) -> Blocks:
+    """Vectors dealt to blocks by the hash of their key; the only shuffle of vectors there is."""
+    n = max(1, -(-vectors.count() // block))
+    rows = vectors.select(F.col(key).alias("key"), *(F.col(s).cast("array<double>").alias(s) for s in spaces), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("key", kind="stable")
+        return pd.DataFrame({"block": [f.block.iloc[0]], **{s: [np.concatenate(f[s].to_numpy())] for s in spaces}})
+
+    spread = rows.repartition(min(n, MOST_FILES), "block")
+    kept = stored(spread.groupBy("block").applyInPandas(pack, "block int, " + ", ".join(f"{s} array<double>" for s in spaces)), "pair-blocks")
+    widths = vectors.agg(*(F.max(F.size(s)).alias(s) for s in spaces)).first()
+    return Blocks(kept, n, {s: widths[s] or 0 for s in spaces})
+
+
+def pairings(blocks: Blocks) -> DataFrame:
+    """Each unordered pair of blocks once: a product of the written table with itself, which reads blocks and shuffles none. A block
+    meets the half of the others that follow it in a circle, so tasks have even work."""
+    one = blocks.rows.select(F.col("block").alias("p"), *(F.col(s).alias(f"a_{s}") for s in blocks.widths))
+    two = blocks.rows.select(F.col("block").alias("q"), *(F.col(s).alias(f"b_{s}") for s in blocks.widths))
+    ahead = 2 * F.pmod(F.col("q") - F.col("p"), F.lit(blocks.n))
+    return one.crossJoin(two).where((ahead < blocks.n) | ((ahead == blocks.n) & (F.col("p") < F.col("q"))))
+
+
+def distances(pair, spaces: list[str], widths: dict[str, int]) -> Iterator[np.ndarray]:
     """Of a pair of blocks, for each space the distances of its pairs, in one order for all spaces."""
-    alone = pdf.p.iloc[0] == pdf.q.iloc[0]
-    order = pdf.sort_values("key", kind="stable")
-    a, b = (order, order) if alone else (order[order.own == pdf.p.iloc[0]], order[order.own != pdf.p.iloc[0]])
-    keep = np.triu_indices(len(a), 1) if alone else None
     for s in spaces:
-        if not len(a) or not len(b):
-            yield np.zeros(0)
-            continue
-        x, y = np.stack(a[s].to_numpy()).astype(float), np.stack(b[s].to_numpy()).astype(float)
+        x, y = (np.asarray(getattr(pair, f"{side}_{s}"), float).reshape(-1, widths[s]) for side in "ab")
         middle = x.mean(0)
         x, y = x - middle, y - middle
         d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
-        yield d[keep] if alone else d.reshape(-1)
-
-
-def over_pairs(vectors: DataFrame, spaces: list[str], key: str, f: Callable[..., np.ndarray], block: int = BLOCK) -> np.ndarray:
-    """The sum over all pairs of blocks of ``f``'s array, which takes the distances in each space."""
-    dealt, blocks = pair_blocks(vectors, spaces, key, block)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(pdf.p.iloc[0]), int(pdf.q.iloc[0])
-        return pd.DataFrame({"at": [p * blocks + q], "sums": [np.asarray(f(*distances(pdf, spaces)), float)]})
-
-    rows = added(dealt.groupBy("p", "q").applyInPandas(run, "at bigint, sums array<double>"), [], "at", "sums").collect()
+        yield d[np.triu_indices(len(x), 1)] if pair.p == pair.q else d.reshape(-1)
+
+
+@contextmanager
+def few_at_once(spark: SparkSession) -> Iterator[None]:
+    """A row is a pair of blocks, a megabyte and more: few go to Python in one batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def over_pairs(blocks: Blocks, spaces: list[str], f: Callable[..., np.ndarray]) -> np.ndarray:
+    """The sum over all pairs of blocks of ``f``'s array, which takes the distances in each space; a task gives one array."""
+    widths = blocks.widths
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for g in frames:
+            for pair in g.itertuples():
+                now = np.asarray(f(*distances(pair, spaces, widths)), float)
+                total = now if total is None else total + now
+        if total is not None:
+            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "sums": [total]})
+
+    with few_at_once(blocks.rows.sparkSession):
+        rows = added(pairings(blocks).mapInPandas(run, "at bigint, sums array<double>"), [], "at", "sums").collect()
     return np.array(rows[0].sums) if rows else np.zeros(0)
 
 
@@ -63,7 +104,7 @@ def moments(*d: np.ndarray) -> np.ndarray:
     return np.array([len(d[0]), *(v for x in d for v in (x.sum(), (x * x).sum())), (d[0] * d[1]).sum()])
 
 
-def quantile(vectors: DataFrame, space: str, key: str, p: float, n: float, block: int = BLOCK) -> float:
+def quantile(vectors: DataFrame, blocks: Blocks, space: str, p: float, n: float) -> float:
     """The exact quantile of the pair distances, linear between ranks."""
     rank = p * (n - 1)
     norm = F.sqrt(F.aggregate(F.col(space).cast("array<double>"), F.lit(0.0), lambda a, v: a + v * v))
@@ -72,7 +113,7 @@ def quantile(vectors: DataFrame, space: str, key: str, p: float, n: float, block
     inside = n
     while inside > FEW and high > low:
         edges = np.linspace(low, high, BINS + 1)
-        counts = over_pairs(vectors, [space], key, lambda d, e=edges: np.histogram(d[(d >= e[0]) & (d <= e[-1])], e)[0], block)
+        counts = over_pairs(blocks, [space], lambda d, e=edges: np.histogram(d[(d >= e[0]) & (d <= e[-1])], e)[0])
         upto = before + np.cumsum(counts)
         first = int(np.searchsorted(upto, np.floor(rank), "right"))
         last = int(np.searchsorted(upto, min(np.ceil(rank), n - 1), "right"))
@@ -81,22 +122,25 @@ def quantile(vectors: DataFrame, space: str, key: str, p: float, n: float, block
         if (edges[first], edges[last + 1]) == (low, high) or edges[last + 1] <= np.nextafter(edges[first], np.inf):
             break
         low, high = float(edges[first]), float(edges[last + 1])
-    found = np.sort(gathered(vectors, space, key, low, high, block))
+    found = np.sort(gathered(blocks, space, low, high))
     lo, hi = (found[int(np.clip(f(rank) - before, 0, len(found) - 1))] for f in (np.floor, np.ceil))
     share = rank - np.floor(rank)
     return float(lo if share == 0 or lo == hi else (1 - share) * lo + share * hi)
 
 
-def gathered(vectors: DataFrame, space: str, key: str, low: float, high: float, block: int) -> np.ndarray:
+def gathered(blocks: Blocks, space: str, low: float, high: float) -> np.ndarray:
     """Distinct distances of the range, as often as they occur: few, or equal but for the last digit."""
-    dealt, _ = pair_blocks(vectors, [space], key, block)
+    widths = blocks.widths
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        (d,) = distances(pdf, [space])
-        values, k = np.unique(d[(d >= low) & (d <= high)], return_counts=True)
-        return pd.DataFrame({"d": [values], "k": [k.astype(float)]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in frames:
+            for pair in g.itertuples():
+                (d,) = distances(pair, [space], widths)
+                values, k = np.unique(d[(d >= low) & (d <= high)], return_counts=True)
+                yield pd.DataFrame({"d": values, "k": k})
 
-    rows = dealt.groupBy("p", "q").applyInPandas(run, "d array<double>, k array<double>").select(F.explode(F.arrays_zip("d", "k")).alias("v")).groupBy("v.d").agg(F.sum("v.k").alias("k")).collect()
+    with few_at_once(blocks.rows.sparkSession):
+        rows = pairings(blocks).mapInPandas(run, "d double, k long").groupBy("d").agg(F.sum("k").alias("k")).collect()
     return np.repeat(np.array([r.d for r in rows]), np.array([int(r.k) for r in rows])) if rows else np.zeros(1)
 
 
@@ -106,14 +150,15 @@ def smoothness(vectors: DataFrame, inputs: str, latents: str, key: str = "vec_id
 
     Nulls where there are fewer than two vectors or no pair lies under the cut.
     """
-    total = over_pairs(vectors, [inputs, latents], key, moments, block)
+    blocks = packed(vectors, [inputs, latents], key, block)
+    total = over_pairs(blocks, [inputs, latents], moments)
     n = total[0] if len(total) else 0
     row: list[float | None] = [None] * 4
     if n:
         (sx, xx), (sy, yy), xy = total[1:3], total[3:5], total[5]
         vx, vy = xx / n - (sx / n) ** 2, yy / n - (sy / n) ** 2
-        cut = quantile(vectors, inputs, key, nearest, n, block)
-        near = over_pairs(vectors, [inputs, latents], key, lambda a, b: [(a < cut).sum(), b[a < cut].sum(), np.square(b[a < cut]).sum()], block)
+        cut = quantile(vectors, blocks, inputs, nearest, n)
+        near = over_pairs(blocks, [inputs, latents], lambda a, b: [(a < cut).sum(), b[a < cut].sum(), np.square(b[a < cut]).sum()])
         spread = np.sqrt(max(near[2] / near[0] - (near[1] / near[0]) ** 2, 0)) if near[0] else None
         row = [(xy / n - sx * sy / n**2) / np.sqrt(vx * vy) if vx > 0 and vy > 0 else None, sy / n, np.sqrt(max(vy, 0)), None if spread is None else 1 / (1 + spread)]
     return vectors.sparkSession.createDataFrame([tuple(None if x is None else float(x) for x in row)], "correlation double, mean_distance double, std_distance double, smoothness double")
