@@ -27,8 +27,8 @@ def curve_files(spark, sf):
     """Curves in a folder for each sample, its number read from the path; rows that don't parse (planted: those of line 7) are left out."""
     path = new_path(spark, "curves")
     rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample"), F.col("l_quantity").alias("u"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice").cast("string")).otherwise("unreadable").alias("f"))
-    rows.repartition("sample").write.partitionBy("sample").option("header", True).csv(path)
-    read = S.read_curve_files(spark, f"{path}/*", "u double, f double", pattern=r"sample=(\d+)", of="file_path")
+    S.write_folders(rows, path, "sample", "csv", header=True)
+    read = S.read_curve_files(spark, path, "u double, f double", pattern=r"sample=(\d+)", of="file_path")
     return rounded(read.groupBy("sample_id").agg(F.count("*").alias("n"), F.max("f").alias("peak"), F.sum("u").alias("total")), "peak", digits=4)
 
 
@@ -44,8 +44,8 @@ def run_logs(spark, sf):
     at = F.date_format(F.timestamp_seconds(F.lit(1709251200) + key), "yyyy-MM-dd HH:mm:ss")
     state = F.element_at(F.array(*map(F.lit, STATES)), (F.col("s_nationkey") % 4 + 1).cast("int"))
     log = F.concat(F.lit("job_name: "), scalars.job_key(key), F.lit("\ntimestamp: "), at, F.lit("\nstatus: "), state, F.lit("\nruntime: "), (key + 0.5).cast("string"), F.lit(" seconds\ncpus: "), F.col("s_nationkey").cast("string"))
-    table(spark, sf, "supplier").select(key.alias("run"), log.alias("value")).write.partitionBy("run").text(path)
-    return S.read_run_log(spark, f"{path}/*").select("job", "status", "runtime", "cpus", F.col("at").cast("timestamp_ntz").alias("at"))
+    S.write_folders(table(spark, sf, "supplier").select(key.alias("run"), log.alias("value")), path, "run", "text")
+    return S.read_run_log(spark, path).select("job", "status", "runtime", "cpus", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
 @query("SELECT printf('sample_%03d', c_custkey) AS job FROM customer WHERE c_custkey % 3 > 0")

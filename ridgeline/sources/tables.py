@@ -17,11 +17,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else reader.parquet(path)
 
 
-def read_curve_files(spark: SparkSession, glob: str, schema: str, key: str = "sample_id", pattern: str = r"sample_(\d+)", of: str = "file_name") -> DataFrame:
-    """Many CSV files as one table, the id from each file's name (or its whole path, with ``of`` as "file_path"); rows that don't
+def read_curve_files(spark: SparkSession, path: str, schema: str, key: str = "sample_id", pattern: str = r"sample_(\d+)", of: str = "file_name") -> DataFrame:
+    """Many CSV files (a folder with all under it, or a glob) as one table, the id from each file's name (or its whole path, with ``of`` as "file_path"); rows that don't
     parse, files that can't be read and files without an id are left out."""
-    reader = spark.read.schema(f"{schema}, _corrupt string").option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
-    rows = reader.option("columnNameOfCorruptRecord", "_corrupt").csv(glob)
+    reader = spark.read.schema(f"{schema}, _corrupt string").option("recursiveFileLookup", True).option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
+    rows = reader.option("columnNameOfCorruptRecord", "_corrupt").csv(path)
     found = F.regexp_extract(F.col(f"_metadata.{of}"), pattern, 1)
     return rows.withColumn(key, found.try_cast("int")).where(F.col(key).isNotNull() & F.col("_corrupt").isNull()).drop("_corrupt")
 
@@ -32,7 +32,7 @@ def log_field(name: str, text: str = "value") -> Column:
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """One row for each log file of ``key: value`` lines: job, time, status (a word of it), runtime in seconds."""
-    rows = spark.read.text(path, wholetext=True)
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     status = F.upper(log_field("status"))
     kind = F.when(status.contains("SUCCESS") | status.contains("COMPLETED"), "success").when(status.contains("TIMEOUT"), "timeout").when(status.contains("FAIL") | status.contains("ERROR"), "failed").otherwise("unknown")
     return rows.select(
@@ -73,6 +73,15 @@ def write_report(lines: DataFrame, path: str, order: str = "line", text: str = "
     lines.orderBy(order).select(text).coalesce(1).write.text(path)
 
 
+def write_folders(df: DataFrame, path: str, key: str, kind: str, **options) -> None:
+    """One folder for each of very many keys: all cores write, and tasks put their own folders in place (the driver would otherwise
+    move every folder by itself, one after another)."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = df.repartition(tasks, key).write.partitionBy(key).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    out.options(**options).format(kind).save(path)
+
+
 def write_per_key(df: DataFrame, path: str, key: str) -> None:
     """One folder for each key."""
     df.repartition(key).write.partitionBy(key).parquet(path)
