@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,92 @@ def on_grid(curves: DataFrame, grid: Column, n: int, curve: str = "curve_id", x:
     return both.select(F.col("c").alias(curve), "i", F.col("at").alias(x), *(between(y) for y in ys))
 
 
+class Line:
+    """One curve on its way through a grid: knots come in order of x, in pieces; what lies up to the last but one is told
+    at once (the last one may be repeated in the next piece)."""
+
+    def __init__(self, grid: np.ndarray):
+        self.grid, self.done, self.knots = grid, 0, (np.empty(0), np.empty(0), np.empty(0, bool))
+        self.y, self.null = np.zeros(len(grid)), np.ones(len(grid), bool)
+
+    def add(self, *new: np.ndarray) -> None:
+        """x, y and whether y is null. Of knots that repeat an x the last one counts."""
+        x, y, null = (np.concatenate(p) for p in zip(self.knots, new, strict=True)) if len(self.knots[0]) else new
+        last = np.append(x[1:] != x[:-1], True)
+        self.knots = x[last], y[last], null[last]
+        if len(self.knots[0]) > 1:
+            self.tell(int(np.searchsorted(self.grid, self.knots[0][-2], "right")))
+        self.knots = tuple(k[-2:] for k in self.knots)
+
+    def tell(self, upto: int) -> None:
+        x, y, null = self.knots
+        if upto <= self.done or not len(x):
+            return
+        at, here = self.grid[self.done : upto], slice(self.done, upto)
+        k = np.searchsorted(x, at, "right") - 1
+        a, b = np.maximum(k, 0), np.minimum(k + 1, len(x) - 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inner = y[a] + (at - x[a]) / (x[b] - x[a]) * (y[b] - y[a])
+        one = (k < 0) | (a == b) | (x[a] == at)
+        self.y[here], self.null[here], self.done = np.where(one, y[a], inner), null[a] | (null[b] & ~one), upto
+
+
+#: Curves that leave a task together.
+TOGETHER = 1024
+
+
+def grid_arrays(curves: DataFrame, grid: list[float], curve: str = "curve_id", x: str = "x", y: str = "y", order: tuple[str, ...] = ()) -> DataFrame:
+    """``on_grid`` at the ascending places ``grid``, one row for each curve: (curve_id, y), y an array. Of points that repeat an x the
+    last in ``order`` counts.
+
+    Spark deals the curves to tasks and sorts each task's knots once; they stream past the grid, which is in no sort, and a task
+    holds a batch of knots and a batch of curves, however long a curve is.
+    """
+    kind, places = curves.schema[curve].dataType, np.array(grid, float)
+    rows = curves.select(F.col(curve).alias("c"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *(F.col(o).alias(f"_o{k}") for k, o in enumerate(order)))
+    rows = rows.repartition(spread(curves.sparkSession), "c").sortWithinPartitions("c", "x", *(f"_o{k}" for k in range(len(order)))).select("c", "x", "y")
+
+    def packed(keys: list, lines: list[Line], of: pa.DataType) -> pa.RecordBatch:
+        flat = pa.array(np.concatenate([line.y for line in lines]), mask=np.concatenate([line.null for line in lines]))
+        ends = pa.array(np.arange(0, len(flat) + 1, len(places), dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(keys, of), pa.ListArray.from_arrays(ends, flat)], [curve, y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lines, of = [], [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = b.column(0).type
+            runs = pc.run_end_encode(b.column(0))
+            there = pc.is_valid(b.column(1)).to_numpy(zero_copy_only=False)
+            xs, ys = (pc.fill_null(c, 0.0).to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            gone, start = pc.is_null(b.column(2)).to_numpy(zero_copy_only=False), 0
+            for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if not keys or not (key == keys[-1] or (key != key and keys[-1] != keys[-1])):
+                    if lines:
+                        lines[-1].tell(len(places))
+                    if len(lines) == TOGETHER:
+                        yield packed(keys, lines, of)
+                        keys, lines = [], []
+                    keys.append(key)
+                    lines.append(Line(places))
+                # Nulls come first.
+                start = start + int(np.argmax(there[start:end])) if there[start:end].any() else end
+                if start < end:
+                    lines[-1].add(xs[start:end], ys[start:end], gone[start:end])
+                start = end
+        if lines:
+            lines[-1].tell(len(places))
+            yield packed(keys, lines, of)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(curve, kind), T.StructField(y, T.ArrayType(T.DoubleType()))]))
+
+
+def spread(spark: SparkSession) -> int:
+    """Partitions that keep all cores at work, where a row costs far more than its reading."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def envelope(gridded: DataFrame, by: list[str], y: str = "y", levels: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), accuracy: int | None = None) -> DataFrame:
     """Mean, population deviation and exact percentiles at each grid point; with ``accuracy``, percentiles from sketches."""
     names = [f"p{round(100 * p):02d}" for p in levels]
@@ -134,8 +220,9 @@ def monotone(curves: DataFrame, y: str = "y", curve: str = "curve_id", order: st
     return curves.withColumn("response", F.sum(step).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) / safe_scale(F.sum(step).over(w)))
 
 
-def monotone_arrays(arrays: DataFrame, y: str = "y", to: str = "response", total: str = "total") -> DataFrame:
-    """``monotone`` of curves as arrays on one grid: the running sum of what is positive over its ``total``; curves without any are left out."""
+def monotone_arrays(arrays: DataFrame, y: str = "y", to: str = "response", total: str = "total", flat: bool = False, digits: int | None = None) -> DataFrame:
+    """``monotone`` of curves as arrays on one grid: the running sum of what is positive over its ``total``, rounded to ``digits``;
+    curves without any are left out, or are 0 with ``flat``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,10 +233,12 @@ def monotone_arrays(arrays: DataFrame, y: str = "y", to: str = "response", total
             upto = np.cumsum(steps.reshape(b.num_rows, -1), 1)
             sums = upto[:, -1]
             with np.errstate(divide="ignore", invalid="ignore"):
-                shares = (upto / sums[:, None]).reshape(-1)
+                shares = (upto / np.where(sums == 0, 1 if flat else 0, sums)[:, None]).reshape(-1)
+            if digits is not None:
+                shares = np.floor(shares * 10.0**digits + 0.5) / 10.0**digits
             ends = np.arange(0, upto.size + 1, upto.shape[1], dtype=np.int32)
             out = pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(shares)), pa.array(sums)], [*b.schema.names, to, total])
-            yield out.filter(pa.array(~(sums <= 0)))
+            yield out if flat else out.filter(pa.array(~(sums <= 0)))
 
     schema = T.StructType([*arrays.schema.fields, T.StructField(to, T.ArrayType(T.DoubleType())), T.StructField(total, T.DoubleType())])
     return arrays.mapInArrow(run, schema)
@@ -176,6 +265,12 @@ def magnitude(y: Column) -> Column:
     return F.array_max(F.transform(y, lambda v: F.abs(v)))
 
 
+def average(y: Column) -> Column:
+    """The mean of an array's values that aren't null."""
+    there = F.filter(y, lambda v: v.isNotNull())
+    return F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, v: a + v), F.size(there))
+
+
 def shape_and_scale(arrays: DataFrame, y: str = "y") -> DataFrame:
     """``scale``, the largest absolute value, and ``shape``, the curve over it (over 1 where it is zero), and whether the curve is near zero."""
     scale = magnitude(F.col(y))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridgeline.operators.curves import envelope, spread, to_long
 from ridgeline.operators.designs import clipped_normal
 from ridgeline.operators.gp import Process, Swift
 from ridgeline.operators.joins import renumbered
@@ -53,8 +55,7 @@ class Linear:
 
 def dealt(rows: DataFrame) -> DataFrame:
     """``rows`` over all cores: a small file is one partition, and what a task computes for a row is far more than its reading."""
-    spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartition(spread(rows.sparkSession))
 
 
 def swift(model: Surrogate) -> Surrogate:
@@ -442,6 +443,22 @@ def envelopes(s: Simulation, levels: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75,
     return s.rows.sparkSession.createDataFrame(found, "response string, i int, n long, mean double, std double, " + ", ".join(f"{n} double" for n in names))
 
 
+def envelopes_of(arrays: DataFrame, ys: list[str], levels: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """``envelopes`` of curves that are there as arrays on one grid, the columns ``ys`` being the responses. Every value that isn't
+    null counts. ``arrays`` is read several times: write it first."""
+    odd = reduce(Column.__or__, (F.col(y).isNull() | F.exists(y, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))) for y in ys))
+    if not arrays.where(odd).isEmpty():
+        long = [to_long(arrays, y, ()).select(F.lit(y).alias("response"), "i", F.col(y).alias("y")) for y in ys]
+        return envelope(reduce(DataFrame.unionByName, long), ["response", "i"], levels=levels)
+
+    def run(f: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, dict[str, np.ndarray]]]:
+        for at in range(0, len(f), 1024):
+            g = f.iloc[at : at + 1024]
+            yield g, np.ones(len(g), bool), {y: np.stack(g[y].to_numpy()) for y in ys}
+
+    return envelopes(Simulation(arrays.select(*ys), "", [], ys, run), levels)
+
+
 def valid(df: DataFrame, *columns: str) -> tuple[DataFrame, Column]:
     """Rows whose quantities are all there, and the count expression of the others."""
     ok = F.lit(True)

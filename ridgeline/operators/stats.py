@@ -6,8 +6,14 @@ Quantiles, ranks and running shares come from ``ranges``, so no task holds a who
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.functions.normal import normal_quantile
 from ridgeline.functions.scalars import issues
@@ -144,6 +150,28 @@ def curve_metrics(pairs: DataFrame, by: list[str], truth: str = "truth", guess:
     return out.select(*by, "rmse", "mae", "r2", F.try_divide("rmse", "_range").alias("nrmse"), "peak_error", F.try_divide("peak_error", "_peak").alias("peak_error_share"), "max_error")
 
 
+def curve_metrics_of_arrays(pairs: DataFrame, by: list[str], truth: str = "truth", guess: str = "guess") -> DataFrame:
+    """``curve_metrics`` of a row for each curve, truth and guess being arrays of one length without nulls: nothing is exploded."""
+    names = ["rmse", "mae", "r2", "nrmse", "peak_error", "peak_error_share", "max_error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, g = (b.column(b.schema.get_field_index(c)).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in (truth, guess))
+            gap = np.abs(g - t)
+            rmse, whole, width = np.sqrt((gap * gap).mean(1)), t.var(1) * t.shape[1], t.max(1) - t.min(1)
+            peak = np.abs(t).max(1)
+            error = np.abs(np.abs(g).max(1) - peak)
+            over = lambda x, y: pa.array(x / np.where(y == 0, 1, y), mask=y == 0)
+            r2 = pc.subtract(1.0, over((gap * gap).sum(1), whole))
+            out = [pa.array(rmse), pa.array(gap.mean(1)), r2, over(rmse, width), pa.array(error), over(error, peak), pa.array(gap.max(1))]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in by), *out], [*by, *names])
+
+    schema = T.StructType([*(pairs.schema[c] for c in by), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return pairs.select(*by, F.col(truth).cast("array<double>").alias(truth), F.col(guess).cast("array<double>").alias(guess)).mapInArrow(run, schema)
+
+
 def component_metrics(df: DataFrame, truth: str, guess: str, split: str) -> DataFrame:
     """RMSE, MAE and R2 of each component of two arrays in each split, and their means over components (component "mean")."""
     pairs = df.select(split, F.posexplode(F.arrays_zip(F.col(truth).alias("truth"), F.col(guess).alias("guess"))).alias("component", "_p")).select(split, "component", "_p.*")
@@ -214,9 +242,14 @@ def agreement(one: DataFrame, two: DataFrame, by: str = "i") -> DataFrame:
 
 def fidelity(one: DataFrame, two: DataFrame, response: str, envelopes: tuple[DataFrame, DataFrame], by: str = "i", y: str = "y") -> DataFrame:
     """One row for a response of two ensembles in long form: the agreement of their envelopes, and the Kolmogorov-Smirnov test
-    of their values at the first point where the first one's mean is largest (to nine digits)."""
+    of their values at the first point where the first one's mean is largest (to nine digits). Ensembles may also be arrays ``y`` on
+    the points from 0 on, a row for each curve."""
     top = envelopes[0].agg(F.max_by(by, F.struct(F.round("mean", 9), -F.col(by))).alias("_top"))
-    at = lambda d: d.join(F.broadcast(top)).where(F.col(by) == F.col("_top")).select(y)
+
+    def at(d: DataFrame) -> DataFrame:
+        both = d.join(F.broadcast(top))
+        return both.where(F.col(by) == F.col("_top")).select(y) if by in d.columns else both.select(F.get(y, F.col("_top")).alias(y))
+
     test = ks_two_sample(at(one), at(two), y).select("ks", "p")
     return agreement(*envelopes, by).join(F.broadcast(test)).select(F.lit(response).alias("response"), "*")
 

@@ -26,10 +26,17 @@ def grid_place():
     return F.col("i") * ((GRID_HIGH - GRID_LOW) / (GRID_N - 1)) + GRID_LOW
 
 
+GRID = [i * ((GRID_HIGH - GRID_LOW) / (GRID_N - 1)) + GRID_LOW for i in range(GRID_N)]
+
+
+def grid_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(curve_id, y): curves on the grid as arrays, written once: most queries read them in several branches."""
+    return stored(C.grid_arrays(curves(spark, sf_dir), GRID, order=("ord",)), "gridded")
+
+
 def gridded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curves on the grid, written once: most queries read them in several branches."""
-    rows = C.keep_last(curves(spark, sf_dir), ["curve_id", "x"], ["ord"])
-    return stored(C.on_grid(rows, grid_place(), GRID_N), "gridded")
+    """The same in long form: (curve_id, i, x, y)."""
+    return C.to_long(grid_arrays(spark, sf_dir)).select("curve_id", "i", grid_place().alias("x"), "y")
 
 
 CURVES_SQL = "curves AS (SELECT user_id AS curve_id, event_id AS ord, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS x, value AS y, event_type FROM events)"

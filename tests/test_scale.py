@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import chebyshev, curves, designs, exact_gp, forest, gp, pairs, propagation, sensitivity
+from ridgeline.operators import chebyshev, curves, designs, exact_gp, forest, gp, pairs, pca, propagation, sensitivity, stats
 
 
 def plan(df):
@@ -156,3 +156,61 @@ def test_pair_distances_shuffle_no_vectors_twice(spark):
     d = np.sqrt(((x[:, None] - x) ** 2).sum(2))[np.triu_indices(230, 1)]
     total = pairs.over_pairs(blocks, ["x"], lambda a: np.array([len(a), a.sum()]))
     assert total[0] == len(d) and total[1] == pytest.approx(d.sum())
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_grid_arrays_are_on_grid(spark, batch):
+    """Repeated x, nulls, curves without a knot, curves longer than a batch; grid points are in no sort."""
+    rng = np.random.default_rng(12)
+    rows = [(f"c{k}" if k else None, j, float(x), float(j) if j % 7 else None) for k in range(9) for j, x in enumerate(rng.integers(-2, 12, 3 * k + 1) / 2)]
+    rows += [("none", 0, None, 1.0), ("c3", 99, None, 5.0), ("on", 0, 2.0, 4.0)]
+    knots = spark.createDataFrame(rows, "curve_id string, ord int, x double, y double")
+    long = curves.on_grid(curves.keep_last(knots, ["curve_id", "x"], ["ord"]), F.col("i") * 0.5, 9)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = curves.grid_arrays(knots, [i * 0.5 for i in range(9)], order=("ord",))
+        assert "explode" not in plan(out).lower()
+        got = {r.curve_id: r.y for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {r.curve_id: r.y for r in curves.to_arrays(long).collect()} and got["none"] == [None] * 9
+
+
+@pytest.mark.parametrize("hole", [False, True])
+def test_envelopes_of_arrays(spark, hole):
+    rng = np.random.default_rng(13)
+    y = np.round(rng.normal(size=(300, 4)), 1)
+    df = spark.createDataFrame([(k, [None if hole and k == 5 else float(v) for v in a], [1.0] * 4) for k, a in enumerate(y)], "curve_id int, y array<double>, z array<double>")
+    got = propagation.envelopes_of(df, ["y", "z"]).orderBy("response", "i").toPandas()
+    want = curves.envelope(curves.to_long(df), ["i"]).orderBy("i").toPandas()
+    columns = ["n", "mean", "std", "p05", "p25", "p50", "p75", "p95"]
+    assert np.allclose(got[got.response == "y"][columns].to_numpy(float), want[columns].to_numpy(float))
+    assert (got[got.response == "z"][["mean", "p05", "p95"]].to_numpy() == 1).all()
+
+
+def test_augmentation_of_arrays_is_that_of_points(spark):
+    arrays = spark.createDataFrame([(k, [float(k + i) for i in range(5)]) for k in range(6)], "key int, y array<double>")
+    p = spark.createDataFrame([(k, float(k)) for k in range(6)], "key int, f double")
+    one, _ = designs.augmentation(arrays, p, "key", 2, ["f"], low=0.0)
+    two, _ = designs.augmentation(curves.to_long(arrays, keys=("key",)), p, "key", 2, ["f"], low=0.0)
+    assert "explode" not in plan(one.select("number", F.array_max("y"))).lower().replace("explode(sequence", "")
+    assert {r.number: r.y for r in one.collect()} == {r.number: r.y for r in curves.to_arrays(two, curve="number").collect()}
+
+
+def test_metrics_of_arrays_are_those_of_points(spark):
+    rng = np.random.default_rng(14)
+    rows = [("m", k, (rng.normal(size=6) if k else np.ones(6)).tolist(), rng.normal(size=6).tolist()) for k in range(5)] + [("m", 9, [0.0] * 6, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "model string, curve_id int, truth array<double>, guess array<double>")
+    long = df.select("model", "curve_id", F.explode(F.arrays_zip("truth", "guess")).alias("v")).select("model", "curve_id", "v.*")
+    one, two = (d.orderBy("curve_id").toPandas() for d in (stats.curve_metrics_of_arrays(df, ["model", "curve_id"]), stats.curve_metrics(long, ["model", "curve_id"])))
+    assert list(one.columns) == list(two.columns) and one.isna().equals(two.isna())
+    assert np.allclose(one.drop(columns="model").to_numpy(float), two.drop(columns="model").to_numpy(float), equal_nan=True)
+
+
+def test_curves_are_rebuilt_in_one_worker(spark):
+    x = np.random.default_rng(15).normal(size=(50, 7))
+    df = spark.createDataFrame([(k, a.tolist()) for k, a in enumerate(x)], "curve_id int, y array<double>")
+    out = pca.rebuilt(df, pca.fit(df, 7))
+    assert plan(out).count("MapInArrow") == 1 and "MapInPandas" not in plan(out)
+    assert np.allclose(np.stack(out.orderBy("curve_id").toPandas().rebuilt), x)
