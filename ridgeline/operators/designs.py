@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.normal import normal_quantile
 from ridgeline.functions.scalars import clamp, job_key
+from ridgeline.operators.curves import magnitude
 from ridgeline.operators.ranges import ranked
 from ridgeline.sources.stage import stored
 
@@ -174,7 +175,8 @@ def augmentation(gridded: DataFrame, parameters: DataFrame, key: str, rounds: in
     parameters are mixed alike, jittered and kept at ``least`` or more, and columns in ``derived`` are computed from the new ones.
     Round 0 is the original. Returns curves (key, round, number, job_aug, i, y), clamped to ``low`` and ``high``, and parameters
     (key, round, number, job_aug, ...); numbers go on from round to round in the order of keys. ``draw`` gives a uniform column
-    from a name and columns; by default a hash.
+    from a name and columns; by default a hash. ``gridded`` is (key, i, y), or (key, y) with y an array on one grid: then curves are
+    one row each, before and after, and have no i.
     """
     draw = draw or (lambda name, *of: uniform(seed, F.lit(name), *of))
     places = stored(numbered(parameters.select(key).distinct(), key), "places")
@@ -190,14 +192,19 @@ def augmentation(gridded: DataFrame, parameters: DataFrame, key: str, rounds: in
         return df.select(key, "round", number.alias("number"), job_key(number).alias("job_aug"), *columns)
 
     normal = lambda name, *of: normal_quantile(draw(name, F.col("place"), F.col("round"), *of)) if noise or jitter else F.lit(0.0)
-    other = gridded.select(F.col(key).alias("partner"), "i", F.col("y").alias("_o"))
-    mixed = gridded.select(key, "i", "y").join(pairs, key).join(other, ["partner", "i"])
+    at = ["i"] if "i" in gridded.columns else []
+    other = gridded.select(F.col(key).alias("partner"), *at, F.col("y").alias("_o"))
+    mixed = gridded.select(key, *at, "y").join(pairs, key).join(other, ["partner", *at])
     if noise:
-        mixed = mixed.join(gridded.groupBy(key).agg(F.max(F.abs("y")).alias("_peak")), key)
-    y = F.col("y") + F.col("alpha") * (F.col("_o") - F.col("y")) + (noise * F.col("_peak") * normal("y", F.col("i")) if noise else F.lit(0.0))
-    y = y if low is None and high is None else clamp(y, low if low is not None else float("-inf"), high if high is not None else float("inf"))
-    own = gridded.select(key, "i", "y").join(places, key).withColumn("round", F.lit(0))
-    curves = told(own, "i", "y").unionByName(told(mixed, "i", y.alias("y")))
+        mixed = mixed.join(gridded.groupBy(key).agg(F.max(F.abs("y")).alias("_peak")), key) if at else mixed.withColumn("_peak", magnitude(F.col("y")))
+
+    def point(mine: Column, theirs: Column, i: Column) -> Column:
+        y = mine + F.col("alpha") * (theirs - mine) + (noise * F.col("_peak") * normal("y", i) if noise else F.lit(0.0))
+        return y if low is None and high is None else clamp(y, low if low is not None else float("-inf"), high if high is not None else float("inf"))
+
+    y = point(F.col("y"), F.col("_o"), F.col("i")) if at else F.transform("y", lambda v, i: point(v, F.get("_o", i), i))
+    own = gridded.select(key, *at, "y").join(places, key).withColumn("round", F.lit(0))
+    curves = told(own, *at, "y").unionByName(told(mixed, *at, y.alias("y")))
 
     theirs = parameters.select(F.col(key).alias("partner"), *(F.col(p).alias(f"_{p}") for p in params))
     both = parameters.select(key, *params).join(pairs, key).join(theirs, "partner")
