@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,28 +126,44 @@ def fit_wide(clean: DataFrame, k: int, p: int, seed: int = 7) -> Components:
     return Components(mean, upright((q @ turn[:, ::-1][:, :k]).T), now, whole)
 
 
+#: Curves that a task turns at a time.
+TOGETHER = 2048
+
+
+def turned(arrays: DataFrame, f: Callable[[np.ndarray, Components], list[np.ndarray]], model: Components, source: str, *to: str) -> DataFrame:
+    """``arrays`` with what ``f`` makes of column ``source``, a few curves at a time, so that a worker's memory is fixed."""
+    kept = arrays.sparkSession.sparkContext.broadcast(model)
+    schema = with_arrays(arrays, *to)
+    order = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(at, TOGETHER)
+                columns = dict(zip(b.schema.names, b.columns, strict=True))
+                x = columns[source].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                for name, m in zip(to, f(x, kept.value), strict=True):
+                    ends = pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.int32())
+                    columns[name] = pa.ListArray.from_arrays(ends, pa.array(m.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([columns[n] for n in order], order)
+
+    return arrays.mapInArrow(run, schema)
+
+
 def project(arrays: DataFrame, model: Components, y: str = "y", to: str = "scores") -> DataFrame:
     """Centred scores of each curve."""
-    kept = arrays.sparkSession.sparkContext.broadcast((model.mean, model.vectors))
+    return turned(arrays, lambda x, m: [(x - m.mean) @ m.vectors.T], model, y, to)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean, vectors = kept.value
-        for f in frames:
-            f[to] = list((np.stack(f[y].to_numpy()) - mean) @ vectors.T) if len(f) else []
-            yield f
 
-    schema = with_arrays(arrays, to)
-    return arrays.mapInPandas(run, schema)
+def reconstruct(scored: DataFrame, model: Components, scores: str = "scores", to: str = "rebuilt") -> DataFrame:
+    return turned(scored, lambda s, m: [s @ m.vectors + m.mean], model, scores, to)
 
 
-def reconstruct(scored: DataFrame, model: Components, scores: str = "scores", to: str = "rebuilt") -> DataFrame:
-    kept = scored.sparkSession.sparkContext.broadcast((model.mean, model.vectors))
+def rebuilt(arrays: DataFrame, model: Components, y: str = "y", scores: str = "scores", to: str = "rebuilt") -> DataFrame:
+    """``project`` and ``reconstruct`` in one step of one worker."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean, vectors = kept.value
-        for f in frames:
-            f[to] = list(np.stack(f[scores].to_numpy()) @ vectors + mean) if len(f) else []
-            yield f
+    def both(x: np.ndarray, m: Components) -> list[np.ndarray]:
+        own = (x - m.mean) @ m.vectors.T
+        return [own, own @ m.vectors + m.mean]
 
-    schema = with_arrays(scored, to)
-    return scored.mapInPandas(run, schema)
+    return turned(arrays, both, model, y, scores, to)
