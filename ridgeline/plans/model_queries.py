@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import autoencoder, curves, designs, exact_gp, forest, gp, pca, sensitivity, stats
 from ridgeline.operators import propagation as mc
-from ridgeline.plans.bindings import gridded, table
+from ridgeline.plans.bindings import grid_arrays, table
 from ridgeline.plans.curve_queries import vectors
 from ridgeline.plans.registry import query, rounded
 from ridgeline.sources.stage import stored
@@ -17,7 +17,7 @@ from ridgeline.sources.stage import stored
 def ensemble(spark, sf):
     """All curves on the grid with two responses, written once: level (the curve), y (its monotone response, shares of the total
     at every grid point), total, and the parameters. ``held`` marks a fifth of the curves, by hash, that no model is fitted on."""
-    arrays = curves.to_arrays(gridded(spark, sf))
+    arrays = grid_arrays(spark, sf)
     inputs = table(spark, sf, "customer").select(F.col("c_custkey").alias("curve_id"), F.col("c_acctbal").alias("p1"), F.col("c_nationkey").cast("double").alias("p2"))
     rows = curves.monotone_arrays(arrays.withColumnRenamed("y", "level"), "level", "y")
     return stored(rows.join(inputs, "curve_id").withColumn("held", F.pmod(F.xxhash64(F.lit(11), "curve_id"), F.lit(5)) == 0), "ensemble")
@@ -43,25 +43,30 @@ def pca_reconstruct(spark, sf):
     """Every value of a curve from its scores on all components."""
     v = vectors(spark, sf)
     model = pca.fit(v, pca.MOST_COLUMNS)
-    out = pca.reconstruct(pca.project(v, model), model)
+    out = pca.rebuilt(v.select("curve_id", "y"), model)
     return rounded(out.select("curve_id", F.posexplode("rebuilt").alias("i", "y")))
 
 
 FEATURES = ["p1", "p2"]
 
 
+def projected(rows, model, *more):
+    """Scores with key and parameters only, written once: a fit reads them several times."""
+    return stored(pca.project(rows.select("curve_id", *FEATURES, "y", *more), model).drop("y"), "scores")
+
+
 def pca_surrogate(rows, k=3):
     model = pca.fit(rows, k)
-    return mc.Surrogate(gp.fit(pca.project(rows, model), FEATURES, "scores", "curve_id"), FEATURES, mc.pca_decoder(model.mean, model.vectors))
+    return mc.Surrogate(gp.fit(projected(rows, model), FEATURES, "scores", "curve_id"), FEATURES, mc.pca_decoder(model.mean, model.vectors))
 
 
 def autoencoder_surrogate(rows, k=3):
     """The monotone decoder of shares; processes from the parameters to the codes and to the logarithm of the curve's last value,
     by which the shares are multiplied again."""
     shares = rows.withColumn("scale", F.greatest(F.element_at("y", -1), F.lit(1e-12))).withColumn("y", F.transform("y", lambda v: v / F.col("scale")))
-    shares = stored(shares, "shares")
+    shares = stored(shares.select("curve_id", *FEATURES, "y", "scale"), "shares")
     net, _ = autoencoder.fit(shares, k, monotone=True)
-    coded = autoencoder.encoded(shares, net).withColumn("code", F.concat("code", F.array(F.ln("scale"))))
+    coded = stored(autoencoder.encoded(shares, net).drop("y").withColumn("code", F.concat("code", F.array(F.ln("scale")))), "codes")
     return mc.Surrogate(gp.fit(coded, FEATURES, "code", "curve_id"), FEATURES, net.decode, scale_last=True)
 
 
@@ -69,7 +74,7 @@ def shape_scale_surrogate(rows, k=3):
     """Components of the shape (a curve over its largest value) and the logarithm of the scale."""
     shaped = rows.withColumn("scale", F.greatest(F.array_max("y"), F.lit(1e-12))).withColumn("y", F.transform("y", lambda v: v / F.col("scale")))
     model = pca.fit(shaped, k)
-    scored = pca.project(shaped, model).withColumn("scores", F.concat("scores", F.array(F.ln("scale"))))
+    scored = projected(shaped, model, "scale").withColumn("scores", F.concat("scores", F.array(F.ln("scale"))))
     return mc.Surrogate(gp.fit(scored, FEATURES, "scores", "curve_id"), FEATURES, mc.pca_decoder(model.mean, model.vectors), scale_last=True)
 
 
@@ -82,8 +87,8 @@ def gp_predict(spark, sf):
     """The first score of curves that nothing was fitted on: mean, deviation and what it is. Lengths and noise climb the evidence of all rows."""
     train, held = parted(ensemble(spark, sf))
     model = pca.fit(train, 3)
-    process = gp.fit(stored(pca.project(train, model), "scores"), FEATURES, "scores", "curve_id", rounds=8)
-    out = gp.predict(pca.project(held, model), process, FEATURES)
+    process = gp.fit(projected(train, model), FEATURES, "scores", "curve_id", rounds=8)
+    out = gp.predict(pca.project(held.select("curve_id", *FEATURES, "y"), model).drop("y"), process, FEATURES)
     return rounded(out.select("curve_id", F.col("mean")[0].alias("mean"), F.col("std")[0].alias("std"), F.col("scores")[0].alias("score")))
 
 
@@ -123,8 +128,8 @@ def guesses(models, test):
 
 def judged(models, test):
     """Errors of each model on each test curve."""
-    pairs = guesses(models, test).join(test.select("curve_id", "y"), "curve_id").select("model", "curve_id", F.explode(F.arrays_zip("y", "guess")).alias("v"))
-    return stats.curve_metrics(pairs.select("model", "curve_id", F.col("v.y").alias("truth"), F.col("v.guess").alias("guess")), ["model", "curve_id"])
+    pairs = guesses(models, test).join(test.select("curve_id", F.col("y").alias("truth")), "curve_id")
+    return stats.curve_metrics_of_arrays(pairs, ["model", "curve_id"])
 
 
 @query()
