@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Nodes of a variable at first and at most; random points at which a series is compared with its function.
-FIRST, MOST_NODES, CHECKED = 16, 256, 500
+#: Nodes of a variable at first and at most; random points at which a series is compared with its function; points at which the
+#: function is taken at a time (it may need a row of hundreds of values for each).
+FIRST, MOST_NODES, CHECKED, TOGETHER = 16, 256, 500, 2048
 
 
 def scaled(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -75,7 +76,7 @@ def fitted(f: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndar
     while True:
         at = [nodes(k, lo, hi) for k, lo, hi in zip(n, low, high, strict=True)]
         points = np.stack([x.reshape(-1) for x in np.meshgrid(*at, indexing="ij")], 1)
-        c = f(points).T.reshape(-1, *n)
+        c = np.concatenate([f(points[k : k + TOGETHER]) for k in range(0, len(points), TOGETHER)]).T.reshape(-1, *n)
         for axis, k in enumerate(n):
             c = np.moveaxis(np.tensordot(transform(k), c, (1, axis + 1)), 0, axis + 1)
         size = np.abs(c) / tolerance.reshape(-1, *[1] * d)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -71,14 +72,20 @@ class Process:
     kind: str
     parts: list[dict]
 
+    @cached_property
+    def factors(self) -> list[np.ndarray]:
+        """What squares to ``reduce``, whose own entries reach 1e8 and cancel, so that sums over them are right to 1e-5 only."""
+        found = (np.linalg.eigh((p["reduce"] + p["reduce"].T) / 2) for p in self.parts)
+        return [v * np.sqrt(np.maximum(e, 0)) for e, v in found]
+
     def standard(self, x: np.ndarray) -> np.ndarray:
         """Means and explained variances of all components in their own units, rows x (2 components)."""
         z = (x - self.mean) / self.std
         means, explained = [], []
-        for p in self.parts:
+        for p, f in zip(self.parts, self.factors, strict=True):
             k = kernel(z, self.landmarks, p["length"], self.kind)
             means.append(k @ p["weights"])
-            explained.append(((k @ p["reduce"]) * k).sum(1))
+            explained.append(np.square(k @ f).sum(1))
         return np.stack([*means, *explained], 1)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,19 +105,23 @@ class Process:
 
     def swift(self) -> Process | Swift:
         """The same process for many rows: series in place of kernels where rows lie about the landmarks, if they settle."""
+        return self.quick
+
+    @cached_property
+    def quick(self) -> Process | Swift:
         if len(self.mean) > 2 or not len(self.landmarks):
             return self
         low, high = self.landmarks.min(0), self.landmarks.max(0)
         room = np.maximum(MARGIN * (high - low), 1e-6)
         box = [self.mean + self.std * v for v in (low - room, high + room)]
         size = [max(float(np.abs(p["weights"]).sum()), 1.0) for p in self.parts]
-        tolerance = np.array([*(max(MEAN_ERROR, 1e-13 * s) for s in size), *(max(EXPLAINED_ERROR * p["noise"], 1e-14 * float(np.abs(p["reduce"]).max())) for p in self.parts)])
+        tolerance = np.array([*(max(MEAN_ERROR, 1e-13 * s) for s in size), *(EXPLAINED_ERROR * p["noise"] for p in self.parts)])
         series = chebyshev.fitted(self.standard, *box, tolerance)
         return self if series is None else Swift(self, series)
 
 
-#: Room about the landmarks, as a share of their range; errors of series: of means in deviations, of variances in shares of the noise
-#: (and never under what rounding leaves of the kernels' own sums).
+#: Room about the landmarks, as a share of their range; errors of series: of means in deviations (and never under what rounding
+#: leaves of the kernels' own sums), of variances in shares of the noise.
 MARGIN, MEAN_ERROR, EXPLAINED_ERROR = 0.1, 1e-9, 1e-5
 
 
@@ -318,6 +329,7 @@ def tuned(rows: DataFrame, x: np.ndarray, y: np.ndarray, kind: str) -> list[tupl
 
 def predict(rows: DataFrame, model: Process, features: list[str], mean: str = "mean", std: str = "std") -> DataFrame:
     """``rows`` with the means and deviations of all components."""
+    model.factors  # noqa: B018  (taken here, once, and not by every worker)
     kept = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,7 +20,8 @@ def ensemble(spark, sf):
     arrays = grid_arrays(spark, sf)
     inputs = table(spark, sf, "customer").select(F.col("c_custkey").alias("curve_id"), F.col("c_acctbal").alias("p1"), F.col("c_nationkey").cast("double").alias("p2"))
     rows = curves.monotone_arrays(arrays.withColumnRenamed("y", "level"), "level", "y")
-    return stored(rows.join(inputs, "curve_id").withColumn("held", F.pmod(F.xxhash64(F.lit(11), "curve_id"), F.lit(5)) == 0), "ensemble")
+    # By its file, a table that compresses well looks small enough for a broadcast, which the driver would hold.
+    return stored(rows.join(inputs.hint("merge"), "curve_id").withColumn("held", F.pmod(F.xxhash64(F.lit(11), "curve_id"), F.lit(5)) == 0), "ensemble")
 
 
 def parted(rows):
@@ -72,7 +73,9 @@ def autoencoder_surrogate(rows, k=3):
 
 def shape_scale_surrogate(rows, k=3):
     """Components of the shape (a curve over its largest value) and the logarithm of the scale."""
-    shaped = rows.withColumn("scale", F.greatest(F.array_max("y"), F.lit(1e-12))).withColumn("y", F.transform("y", lambda v: v / F.col("scale")))
+    shaped = rows.withColumn("scale", F.greatest(F.array_max("y"), F.lit(1e-12)))
+    # An array of the scale, since Spark would take the largest value anew for each entry that a lambda divides by it.
+    shaped = shaped.withColumn("y", F.zip_with("y", F.array_repeat("scale", F.size("y")), lambda v, s: v / s))
     model = pca.fit(shaped, k)
     scored = projected(shaped, model, "scale").withColumn("scores", F.concat("scores", F.array(F.ln("scale"))))
     return mc.Surrogate(gp.fit(scored, FEATURES, "scores", "curve_id"), FEATURES, mc.pca_decoder(model.mean, model.vectors), scale_last=True)
@@ -128,7 +131,7 @@ def guesses(models, test):
 
 def judged(models, test):
     """Errors of each model on each test curve."""
-    pairs = guesses(models, test).join(test.select("curve_id", F.col("y").alias("truth")), "curve_id")
+    pairs = guesses(models, test).join(test.select("curve_id", F.col("y").alias("truth")).hint("merge"), "curve_id")
     return stats.curve_metrics_of_arrays(pairs, ["model", "curve_id"])
 
 

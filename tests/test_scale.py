@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.operators import chebyshev, curves, designs, exact_gp, forest, gp, pairs, pca, propagation, sensitivity, stats
+from ridgeline.plans import model_queries
 
 
 def plan(df):
@@ -76,6 +77,30 @@ def test_series_are_the_process(length):
     assert chebyshev.fitted(lambda q: np.sign(q[:, :1]), np.array([-1.0]), np.array([1.0]), np.array([1e-6]), 64) is None
 
 
+def test_series_are_fitted_once_and_in_pieces(monkeypatch):
+    """The driver takes kernels of few points at a time, and of a process with long lengths and little noise there is a series."""
+    seen, kernel = [], gp.kernel
+    monkeypatch.setattr(gp, "kernel", lambda a, *more: seen.append(len(a)) or kernel(a, *more))
+    p = process(np.array([0.05, 0.05]), noise=1e-4)
+    seen.clear()
+    first, calls = p.swift(), len(seen)
+    assert max(seen) <= chebyshev.TOGETHER < sum(seen)
+    assert p.swift() is first and len(seen) == calls
+    smooth = process(np.array([5184.0, 5184.0]), noise=1e-4)
+    fast = smooth.swift()
+    assert isinstance(fast, gp.Swift)
+    x = np.stack([np.linspace(0, 9000, 50), np.linspace(0, 24, 50)], 1)
+    assert np.allclose(smooth.means(x), fast.means(x), atol=1e-7)
+
+
+def test_parameters_are_never_broadcast(spark, monkeypatch):
+    """A table of millions of rows can be a file of few megabytes."""
+    plans = []
+    monkeypatch.setattr(model_queries, "stored", lambda df, tag: plans.append(plan(df)) or df)
+    model_queries.ensemble(spark, "/root/testdata/sf0.001")
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
 def test_a_small_file_is_scored_by_many_tasks(spark):
     model = propagation.Surrogate(process(np.array([1.0, 1.0])), ["a", "b"], propagation.Linear(np.zeros(4), np.ones((1, 4))))
     inputs = spark.createDataFrame([(k, float(10 * k), float(k % 25)) for k in range(500)], "k int, a double, b double").coalesce(1)
