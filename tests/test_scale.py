@@ -183,6 +183,48 @@ def test_pair_distances_shuffle_no_vectors_twice(spark):
     assert total[0] == len(d) and total[1] == pytest.approx(d.sum())
 
 
+def measures(x, z):
+    i, j = np.triu_indices(len(x), 1)
+    dx, dz = (np.sqrt(((a[i] - a[j]) ** 2).sum(1)) for a in (x, z))
+    near = dz[dx < np.percentile(dx, 10)]
+    return np.corrcoef(dx, dz)[0, 1], dz.mean(), dz.std(), 1 / (1 + near.std())
+
+
+def vectors_and_latents(spark, x, z):
+    return spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(x, z, strict=True))], "vec_id long, x array<double>, z array<double>")
+
+
+@pytest.mark.parametrize("wrong", [False, True])
+def test_smoothness_goes_over_all_pairs_once(spark, monkeypatch, wrong):
+    """Where bounds miss the quantile, they widen."""
+    monkeypatch.setattr(pairs, "FEW", 30)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(160, 4)) + 50
+    z = x[:, :2] + rng.normal(size=(160, 2))
+    calls, all_pairs, told = [], pairs.pairings, []
+    monkeypatch.setattr(pairs, "pairings", lambda b: calls.append(1) or all_pairs(b))
+    if wrong:
+        bounds = pairs.bounds
+        monkeypatch.setattr(pairs, "bounds", lambda *a: told.append(1) or (bounds(*a) if len(told) > 1 else (0.01, 0.02)))
+    r = pairs.smoothness(vectors_and_latents(spark, x, z), "x", "z", block=16).first()
+    assert (r.correlation, r.mean_distance, r.std_distance, r.smoothness) == pytest.approx(measures(x, z), rel=1e-9)
+    assert len(calls) == (3 if wrong else 2)
+
+
+def test_distances_equal_to_the_cut_are_not_under_it(spark):
+    """Distances of such vectors are equal in many pairs, and differ by rounding as sums of products."""
+    rng = np.random.default_rng(15)
+    x = rng.integers(0, 3, (120, 4)) / 10 + 7.7
+    z = rng.normal(size=(120, 2))
+    i, j = np.triu_indices(120, 1)
+    exact = np.sqrt(np.add.reduce(np.square(x[i].T - x[j].T), axis=0))
+    near = np.linalg.norm(z[i] - z[j], axis=1)[exact < np.percentile(exact, 10)]
+    r = pairs.smoothness(vectors_and_latents(spark, x, z), "x", "z", block=30).first()
+    assert r.smoothness == pytest.approx(1 / (1 + near.std()), rel=1e-9)
+    same = pairs.smoothness(vectors_and_latents(spark, x[:1].repeat(40, 0), z[:40]), "x", "z", block=16).first()
+    assert same.smoothness is None and same.mean_distance == pytest.approx(measures(z[:40], z[:40])[1])
+
+
 @pytest.mark.parametrize("batch", [3, 10_000])
 def test_grid_arrays_are_on_grid(spark, batch):
     """Repeated x, nulls, curves without a knot, curves longer than a batch; grid points are in no sort."""
